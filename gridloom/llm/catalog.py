@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import pii
+from gridloom.llm import decontaminate, pii, substrings
 from gridloom.llm.common import table
 from gridloom.llm.simhash import simhash_components
 from gridloom.llm.sstable import token_shards
@@ -21,6 +21,14 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digest(substrings.find_repeats(table(spark, sf_dir, "documents")))
+
+
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.digest(decontaminate.find_benchmark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
 def op8_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_shards(table(spark, sf_dir, "documents"))
 
@@ -32,9 +40,13 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_simhash": op2_simhash,
+    "op3_substrings": op3_substrings,
+    "op4_decontaminate": op4_decontaminate,
     "op8_sstable": op8_sstable,
     "op10_token_counts": op10_token_counts,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_pii": pii.SQL,
+    "op3_substrings": substrings.SQL,
+    "op4_decontaminate": decontaminate.SQL,
 }
