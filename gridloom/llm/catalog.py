@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import decontaminate, pii, substrings
+from gridloom.llm import decontaminate, lines, pii, substrings
 from gridloom.llm.common import table
+from gridloom.llm.embeddings import near_embeddings
 from gridloom.llm.simhash import simhash_components
 from gridloom.llm.sstable import token_shards
 from gridloom.llm.token_counts import count_tokens
@@ -29,10 +30,18 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.find_benchmark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.digest(lines.repeated_lines(table(spark, sf_dir, "documents")))
+
+
 def op8_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_shards(table(spark, sf_dir, "documents"))
 
 
+def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_embeddings(table(spark, sf_dir, "embeddings"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
 
@@ -42,11 +51,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op3_substrings": op3_substrings,
     "op4_decontaminate": op4_decontaminate,
+    "op7_lines": op7_lines,
     "op8_sstable": op8_sstable,
+    "op9_embeddings": op9_embeddings,
     "op10_token_counts": op10_token_counts,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_pii": pii.SQL,
     "op3_substrings": substrings.SQL,
     "op4_decontaminate": decontaminate.SQL,
+    "op7_lines": lines.SQL,
 }
