@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from gridloom.llm import decontaminate, lines, pii, substrings
 from gridloom.llm.common import table
 from gridloom.llm.embeddings import near_embeddings
+from gridloom.llm.mixing import mix
+from gridloom.llm.quality import score_quality
 from gridloom.llm.simhash import simhash_components
 from gridloom.llm.sstable import token_shards
 from gridloom.llm.token_counts import count_tokens
@@ -19,7 +21,7 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash_components(table(spark, sf_dir, "documents"))
+    return simhash_components(table(spark, sf_dir, "documents")).drop("row", "group")
 
 
 def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +32,14 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.find_benchmark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents")).drop("row")
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents")).drop("row")
+
+
 def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.digest(lines.repeated_lines(table(spark, sf_dir, "documents")))
 
@@ -51,6 +61,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op3_substrings": op3_substrings,
     "op4_decontaminate": op4_decontaminate,
+    "op5_quality": op5_quality,
+    "op6_mixing": op6_mixing,
     "op7_lines": op7_lines,
     "op8_sstable": op8_sstable,
     "op9_embeddings": op9_embeddings,

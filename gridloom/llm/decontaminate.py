@@ -155,13 +155,13 @@ def blocks(benchmark: DataFrame, most: int) -> Iterator[list[tuple[int | None, b
 
 
 def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, n_words, spans (runs of hit words: start, end exclusive), items (ids of the items with a window in the text, ascending) of each row."""
+    """doc_id, row (hash of the text), n_words, spans (runs of hit words: start, end exclusive), items (ids of the items with a window in the text, ascending) of each row."""
     spark = docs.sparkSession
     text = as_bytes("text")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), text.alias("text"))
     found = [scan(rows, spark, index_items(b, window, gram), window, gram) for b in blocks(benchmark.select(F.col("item_id").cast("long"), text), block_bytes)]
     if len(found) == 1:
-        return found[0].drop("row")
+        return found[0]
     every = found[0]
     for other in found[1:]:
         every = every.unionByName(other)
@@ -169,7 +169,7 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     merged = every.groupBy("doc_id", "row", "n_words").agg(places.alias("at"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.count("*").alias("n"))
     one = F.transform(F.array_sort("at"), lambda i: F.struct(i.alias("start"), (i + 1).alias("end")))
     copies = F.explode(F.sequence(F.lit(1), (F.col("n") / len(found)).cast("int")))  # rows that repeat in docs
-    return merged.select("doc_id", "n_words", one.alias("spans"), "items", copies.alias("_copy")).drop("_copy")
+    return merged.select("doc_id", "row", "n_words", one.alias("spans"), "items", copies.alias("_copy")).drop("_copy")
 
 
 def digest(found: DataFrame) -> DataFrame:

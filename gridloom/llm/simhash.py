@@ -103,14 +103,14 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, print (the 64 bits as a long) of each row."""
+    """doc_id, row (hash of the text), print (the 64 bits as a long) of each row."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            own = np.array([fingerprint(t.as_buffer().to_pybytes(), shingle) for t in b.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own)], names=["doc_id", "print"])
+            own = np.array([fingerprint(t.as_buffer().to_pybytes(), shingle) for t in b.column(2)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(own)], names=["doc_id", "row", "print"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), as_bytes(text_col).alias("text")).mapInArrow(made, "doc_id long, print long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("row"), as_bytes(text_col).alias("text")).mapInArrow(made, "doc_id long, row long, print long")
 
 
 def similar_prints(prints: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
@@ -132,7 +132,8 @@ def similar_prints(prints: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, most_bits: int = MOST_BITS) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable by links), n_same (rows with this fingerprint) of each row.
+    """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable by links), n_same (rows with this fingerprint), row (hash of
+    the text), group (the component's least fingerprint, as a long) of each row.
 
     Null and empty texts have fingerprint zero, linked like any other. Repeated rows give repeated rows. A null id gets the component's smallest other id.
     """
@@ -142,5 +143,5 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     member = connected_components(links).select(F.col("node").alias("print"), "component")
     placed = classes.join(member, "print", "left").withColumn("component", F.coalesce("component", "print"))
     least = placed.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    classes = placed.join(least, "component").select("print", "component_id", "n_same")
-    return own.join(classes, "print").select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id", "n_same")
+    classes = placed.join(least, "component").select("print", "component_id", "n_same", "component")
+    return own.join(classes, "print").select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id", "n_same", "row", F.col("component").alias("group"))
