@@ -31,6 +31,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import as_bytes, one_thread, tokenizer_path
+from gridloom.llm.words import text_slices
 from gridloom.session import new_folder
 
 MAGIC = b"GLSST001"
@@ -38,7 +39,7 @@ FOOTER = struct.Struct("<6Q2I8s")
 BLOCK_BYTES = 64 << 10
 BLOOM_BITS_PER_KEY, BLOOM_HASHES = 10, 7
 #: Words whose ids a worker keeps at once, and the longest kept.
-KEPT_WORDS, KEPT_BYTES = 400_000, 64
+KEPT_WORDS, KEPT_BYTES = 600_000, 64
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -56,10 +57,16 @@ def bloom_places(key: bytes, bits: int, hashes: int) -> list[int]:
 
 
 class Encoder:
-    """Ids of texts, each followed by the end id. White space ends every pre-token of the tokenizer, so the ids of a text are those of its words, end to end."""
+    """Ids of texts, each followed by the end id. White space ends every pre-token of the tokenizer, so the ids of a text are those of its words, end to end.
+
+    A worker keeps the ids of words it has met. A new word that ends in full stops or commas after an ASCII letter or digit is its two parts, and new words of letters
+    only are encoded in one call: each is one pre-token, whose last id alone bears the tokenizer's end-of-word mark.
+    """
 
     def __init__(self, path: str, end_id: int) -> None:
         one_thread()
+        import json
+
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -67,19 +74,60 @@ class Encoder:
         self.kind = np.dtype(f"<u{self.width}")
         self.end = np.array([end_id], self.kind).tobytes()
         self.kept: dict[bytes, bytes] = {}
-
-    def encode(self, text: bytes) -> bytes:
-        parts, kept = text.split(), self.kept
-        new = [w for w in dict.fromkeys(parts) if w not in kept]
-        if new:
-            made = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-            own = {w: np.array(e.ids, self.kind).tobytes() for w, e in zip(new, made, strict=True)}
-            out = b"".join([own[w] if w in own else kept[w] for w in parts])
-            if len(kept) > KEPT_WORDS:
-                kept.clear()
-            kept.update((w, x) for w, x in own.items() if len(w) <= KEPT_BYTES)
-            return out + self.end
-        return b"".join([kept[w] for w in parts]) + self.end
+        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+        with open(path) as f:
+            mark = json.load(f)["model"].get("end_of_word_suffix")
+        self.ends_word = np.zeros(max(vocab.values()) + 1, bool)
+        if mark:
+            self.ends_word[[i for piece, i in vocab.items() if piece.endswith(mark)]] = True
+
+    def one_by_one(self, new: list[bytes]) -> list[bytes]:
+        made = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
+        return [np.array(e.ids, self.kind).tobytes() for e in made]
+
+    def together(self, new: list[bytes]) -> list[bytes]:
+        """Words of letters only."""
+        ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(new).decode()], add_special_tokens=False)[0].ids, self.kind)
+        ends = np.flatnonzero(self.ends_word[ids]) + 1
+        if len(ends) != len(new) or ends[-1] != len(ids):  # a letter whose lower case is more than letters
+            return self.one_by_one(new)
+        raw, ends = ids.tobytes(), (ends * self.width).tolist()
+        return [raw[s:e] for s, e in zip([0, *ends[:-1]], ends, strict=True)]
+
+    def learn(self, found: set[bytes]) -> dict[bytes, bytes]:
+        """Ids of these words; short ones are kept."""
+        kept = self.kept
+        cut, plain, other = [], {}, []
+        for w in found:
+            base = w.rstrip(b".,")
+            if len(base) < len(w) and base and base[-1:].isalnum():
+                cut.append((w, base, w[len(base) :]))
+                for part in (base, w[len(base) :]):
+                    if part not in kept and part not in found:
+                        plain[part] = None
+            else:
+                plain[w] = None
+        own, letters = {}, []
+        for w in plain:
+            (letters if w.isalpha() or (not w.isascii() and w.decode("utf-8", "replace").isalpha() and b"\xef\xbf\xbd" not in w) else other).append(w)
+        if letters:
+            own.update(zip(letters, self.together(letters), strict=True))
+        if other:
+            own.update(zip(other, self.one_by_one(other), strict=True))
+        for w, base, tail in sorted(cut, key=lambda x: len(x[0])):
+            own[w] = (own[base] if base in own else kept[base]) + (own[tail] if tail in own else kept[tail])
+        if len(kept) > KEPT_WORDS:
+            kept.clear()
+        kept.update((w, x) for w, x in own.items() if len(w) <= KEPT_BYTES)
+        return own
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        parts = [t.split() for t in texts]
+        met = set().union(*parts)
+        kept = self.kept
+        have = {w: x for w in met if (x := kept.get(w)) is not None}
+        have.update(self.learn(met - have.keys()))
+        return [b"".join([have[w] for w in p]) + self.end for p in parts]
 
 
 @lru_cache(maxsize=2)
@@ -207,11 +255,15 @@ def write_shards(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
         k = TaskContext.get().partitionId()
         path = f"{folder}/shards/{k:06d}-{uuid.uuid4().hex}.sst"
         for b in batches:
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                if writer is None:
-                    writer, first = ShardWriter(output_stream(path), own.width), doc_id
-                writer.add(key_of(doc_id), own.encode(text.as_buffer().to_pybytes()))
-                last, n = doc_id, n + 1
+            ids = b.column(0).to_pylist()
+            for row, end, data, offsets in text_slices(b.column(1), 2 << 20):
+                at = offsets.tolist()
+                raw = data.tobytes()
+                for doc_id, value in zip(ids[row:end], own.encode([raw[s:e] for s, e in zip(at[:-1], at[1:], strict=True)]), strict=True):
+                    if writer is None:
+                        writer, first = ShardWriter(output_stream(path), own.width), doc_id
+                    writer.add(key_of(doc_id), value)
+                    last, n = doc_id, n + 1
         if writer is not None:
             writer.close()
             yield pa.RecordBatch.from_arrays(
