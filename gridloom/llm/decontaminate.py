@@ -167,7 +167,7 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
         every = every.unionByName(other)
     places = F.array_distinct(F.flatten(F.collect_list(F.transform(F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["end"] - 1))), lambda i: i))))
     merged = every.groupBy("doc_id", "row", "n_words").agg(places.alias("at"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.count("*").alias("n"))
-    one = F.transform(F.array_sort("at"), lambda i: F.struct(i.alias("start"), (i + 1).alias("end")))
+    one = F.transform(F.array_sort("at"), lambda i: F.named_struct(F.lit("start"), i, F.lit("end"), i + 1))
     copies = F.explode(F.sequence(F.lit(1), (F.col("n") / len(found)).cast("int")))  # rows that repeat in docs
     return merged.select("doc_id", "row", "n_words", one.alias("spans"), "items", copies.alias("_copy")).drop("_copy")
 

@@ -119,8 +119,9 @@ def digest(found: DataFrame) -> DataFrame:
 
 def without_lines(docs: DataFrame, found: DataFrame) -> DataFrame:
     """docs without the removed lines. Ids must be unique and not null."""
-    kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("removed", i))
-    return docs.join(found.select("doc_id", "removed"), "doc_id", "left").withColumn("text", F.when(F.size("removed") > 0, F.array_join(kept, "\n")).otherwise(F.col("text"))).drop("removed")
+    kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_removed", i))
+    own = found.select(F.col("doc_id").alias("_id"), F.col("removed").alias("_removed"))
+    return docs.join(own, F.col("doc_id") == F.col("_id"), "left").withColumn("text", F.when(F.size("_removed") > 0, F.array_join(kept, "\n")).otherwise(F.col("text"))).drop("_id", "_removed")
 
 
 #: DuckDB SQL of op7.

@@ -129,7 +129,7 @@ def digest(found: DataFrame, base: tuple[str, ...] = BASE_KINDS) -> DataFrame:
 
 def redact(found: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_score: float = 0.5) -> DataFrame:
     """docs with each span of that score or more replaced by <KIND>; overlaps give way to the span that starts first. Ids must be unique and not null."""
-    spans = F.array_sort(F.filter("spans", lambda x: x["score"] >= least_score), lambda a, b: F.when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1).otherwise(b["end"] - a["end"]))
+    spans = F.array_sort(F.filter("_spans", lambda x: x["score"] >= least_score), lambda a, b: F.when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1).otherwise(b["end"] - a["end"]))
     text = F.coalesce(F.col(text_col), F.lit(""))
     put = F.aggregate(
         spans,
@@ -139,7 +139,7 @@ def redact(found: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col:
         ),
         lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))),
     )
-    return docs.join(found.select(F.col("doc_id").alias(id_col), "spans"), id_col, "left").withColumn(text_col, F.when(F.size("spans") > 0, put).otherwise(F.col(text_col))).drop("spans")
+    return docs.join(found.select(F.col("doc_id").alias("_id"), F.col("spans").alias("_spans")), F.col(id_col) == F.col("_id"), "left").withColumn(text_col, F.when(F.size("_spans") > 0, put).otherwise(F.col(text_col))).drop("_id", "_spans")
 
 
 #: DuckDB SQL of op1.
