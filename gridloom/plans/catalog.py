@@ -24,4 +24,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Callable[[Tables], Dat
     return register
 
 
-from gridloom.plans import queries_model, queries_results, queries_space  # noqa: E402, F401
+from gridloom.plans import queries_audit, queries_model, queries_results, queries_space  # noqa: E402, F401
