@@ -512,10 +512,10 @@ def _(t: Tables) -> DataFrame:
     return N.fan_out(t("cost_invest"), t("tweaks").select("run"), _changes(t), ["region", "tech", "vintage"], "cost").select("run", "region", "tech", "vintage", *r6("cost"))
 
 
-@query("scn5_ranges", "SELECT 'invest' AS param, tech AS \"group\", round(cost, 6) AS value, round(cost * (1 - 0.13), 6) AS low, round(cost * (1 + 0.13), 6) AS high FROM {cost_invest} WHERE vintage = 1995 UNION ALL SELECT 'fixed', tech, round(cost, 6), round(cost * (1 - 0.13), 6), round(cost * (1 + 0.13), 6) FROM {cost_fixed} WHERE vintage = 1995")
+@query("scn5_ranges", "SELECT 'invest' AS param, tech AS \"group\", round(cost, 6) AS value, round(cost * (1 - 1 / 7e0), 6) AS low, round(cost * (1 + 1 / 7e0), 6) AS high FROM {cost_invest} WHERE vintage = 1995 UNION ALL SELECT 'fixed', tech, round(cost, 6), round(cost * (1 - 1 / 7e0), 6), round(cost * (1 + 1 / 7e0), 6) FROM {cost_fixed} WHERE vintage = 1995")
 def _(t: Tables) -> DataFrame:
     marked = lambda n: t(n).withColumn("group", F.when(F.col("vintage") == 1995, F.col("tech")))
-    return N.sensitivity_ranges({"invest": marked("cost_invest"), "fixed": marked("cost_fixed")}, "cost", 0.13).select("param", "group", *r6("value", "low", "high"))
+    return N.sensitivity_ranges({"invest": marked("cost_invest"), "fixed": marked("cost_fixed")}, "cost", 1 / 7).select("param", "group", *r6("value", "low", "high"))
 
 
 _RUNS = "SELECT o_custkey AS trajectory, o_orderkey AS step, CASE WHEN o_orderkey % 4 <> 0 THEN o_orderpriority END AS param, 0.25e0 AS delta, o_totalprice AS y FROM {orders}"
