@@ -235,3 +235,29 @@ def metric_rows(row: DataFrame) -> DataFrame:
     """DIA-12: a one-row frame as metric and value."""
     cells = F.explode(F.array(*(F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in row.columns))).alias("x")
     return row.select(cells).select("x.*")
+
+
+def uncapped_findings(technology: DataFrame, fixed: DataFrame, invest: DataFrame, existing: DataFrame, variable: DataFrame, active: DataFrame) -> DataFrame:
+    """DIA-17: processes of uncapped technologies with fixed, invest or existing-capacity rows, and those whose variable cost misses periods of their life."""
+    key = ["region", "tech", "vintage"]
+    free = technology.where("unlim_cap = 1").select("tech")
+    of = lambda df, text: df.join(F.broadcast(free), "tech", "left_semi").select(*key).distinct().withColumn("finding", F.lit(text))
+    some = variable.groupBy(*key).agg(F.collect_set("period").alias("v"))
+    life = active.join(F.broadcast(free), "tech", "left_semi").groupBy(*key).agg(F.collect_set("period").alias("life"))
+    gaps = life.join(some, key).where(F.size(F.array_except("life", "v")) > 0).select(*key, F.lit("variable cost missing in the lifetime").alias("finding"))
+    return union(of(fixed, "fixed cost"), of(invest, "invest cost"), of(existing, "existing capacity"), gaps)
+
+
+def sequential_seasons(sequence: DataFrame, fractions: DataFrame, days: float, tolerance: float = 1e-3) -> DataFrame:
+    """DIA-23: findings per period and season: day counts (period, seq, season, num_days) against fractions * days, a season that is missing, and consecutive entries of one season of unequal length."""
+    totals = sequence.groupBy("period", "season").agg(F.sum("num_days").alias("n"))
+    both = fractions.join(totals, ["period", "season"], "full")
+    off = both.select("period", "season", F.when(F.col("n").isNull(), "missing").when(F.abs(F.col("n") / days - F.coalesce("fraction", F.lit(0.0))) > tolerance, "days differ from the fraction").alias("finding")).where("finding is not null")
+    w = W.partitionBy("period").orderBy("seq")
+    uneven = sequence.withColumns({"_s": F.lag("season").over(w), "_n": F.lag("num_days").over(w)}).where("_s = season and _n <> num_days")
+    return off.unionByName(uneven.select("period", "season", F.lit("consecutive days differ").alias("finding")).distinct())
+
+
+def default_sequence(fractions: DataFrame, days: float) -> DataFrame:
+    """DIA-23: without a table of one's own, each season once, in order, with its fraction of the days."""
+    return fractions.select("period", F.row_number().over(W.partitionBy("period").orderBy("season")).alias("seq"), "season", (F.col("fraction") * days).alias("num_days"))

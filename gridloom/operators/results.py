@@ -261,3 +261,75 @@ def period_totals(parts: DataFrame) -> DataFrame:
 def null_small(column: str, epsilon: float = EPSILON) -> Column:
     """Values of a size below epsilon as 0."""
     return F.when(F.abs(column) < epsilon, 0.0).otherwise(F.col(column))
+
+
+def capacity_results(built: DataFrame, early: DataFrame, ends: DataFrame, epsilon: float = EPSILON) -> DataFrame:
+    """RES-1: rows of kind built (at the vintage), early (retired before its end) and end (what is left at its natural end); sizes below epsilon go.
+
+    built: scenario, region, tech, vintage, capacity; early has a period too; ends: region, tech, vintage, period.
+    """
+    keys = ["scenario", "region", "tech", "vintage"]
+    gone = early.groupBy(*keys).agg(F.sum("capacity").alias("gone"))
+    left = built.join(gone, keys, "left").join(ends.select("region", "tech", "vintage", "period"), ["region", "tech", "vintage"])
+    rows = union(
+        built.select(*keys, F.col("vintage").alias("period"), F.lit("built").alias("kind"), "capacity"),
+        early.select(*keys, "period", F.lit("early").alias("kind"), "capacity"),
+        left.select(*keys, "period", F.lit("end").alias("kind"), (F.col("capacity") - F.coalesce("gone", F.lit(0.0))).alias("capacity")),
+    )
+    return rows.where(F.abs("capacity") >= epsilon)
+
+
+def flow_results(out: DataFrame, curtailed: DataFrame, flex: DataFrame, efficiency: DataFrame, storage: DataFrame, epsilon: float = EPSILON) -> DataFrame:
+    """RES-2: rows of kind out (less flex), in (out / efficiency), lost, curtail and flex per link and slice; storage has no `in` here. All inputs: LINK, season, tod, flow."""
+    keys = [*LINK, "season", "tod"]
+    eff = efficiency.select("region", "input_comm", "tech", "vintage", "output_comm", "efficiency")
+    own = out.join(eff, ["region", "input_comm", "tech", "vintage", "output_comm"]).join(F.broadcast(storage.select("tech").distinct()), "tech", "left_anti")
+    row = lambda df, kind, value: df.select(*keys, F.lit(kind).alias("kind"), value.alias("flow"))
+    parts = union(
+        row(out, "out", F.col("flow")), row(flex, "out", -F.col("flow")), row(flex, "flex", F.col("flow")), row(curtailed, "curtail", F.col("flow")),
+        row(own, "in", F.col("flow") / F.col("efficiency")), row(own, "lost", F.col("flow") / F.col("efficiency") - F.col("flow")),
+    )
+    return parts.groupBy(*keys, "kind").agg(F.sum("flow").alias("flow")).where(F.abs("flow") >= epsilon)
+
+
+def material_flows(built: DataFrame, retired: DataFrame, inputs: DataFrame, outputs: DataFrame, lengths: DataFrame, segfrac: DataFrame) -> DataFrame:
+    """RES-4: construction (new capacity times input a unit, over the period's years) and end-of-life flows (retired capacity times output), by slice fraction.
+
+    built and retired: scenario, region, tech, vintage, period, capacity; inputs and outputs: region, tech, vintage, commodity, amount.
+    """
+    one = lambda df, per, kind: df.join(per, ["region", "tech", "vintage"]).withColumn("kind", F.lit(kind))
+    both = one(built, inputs, "construction").unionByName(one(retired, outputs, "end of life"))
+    rows = both.join(F.broadcast(lengths.where("length is not null")), "period").join(F.broadcast(segfrac.select("period", "season", "tod", "segfrac")), "period")
+    return rows.groupBy("scenario", "region", "period", "season", "tod", "commodity", "kind").agg(F.sum(F.col("capacity") * F.col("amount") / F.col("length") * F.col("segfrac")).alias("flow"))
+
+
+def scaled_levels(levels: DataFrame, fractions: DataFrame, days: float, base: DataFrame | None = None) -> DataFrame:
+    """RES-5: a level over (season fraction * days); with base(scenario, region, period, season, tech, vintage, base) the seasonal one is base plus the daily part."""
+    out = levels.join(F.broadcast(fractions.select("period", "season", "fraction")), ["period", "season"]).withColumn("level", F.col("level") / (F.col("fraction") * days))
+    if base is None:
+        return out.drop("fraction")
+    keys = ["scenario", "region", "period", "season", "tech", "vintage"]
+    return out.join(base, keys, "left").withColumn("level", F.col("level") + F.coalesce("base", F.lit(0.0))).drop("fraction", "base")
+
+
+def survival_loan_cost(loans: DataFrame, curve: DataFrame, rate: float, start: int, end: int) -> DataFrame:
+    """RES-8: discounted and undiscounted loan cost spread over the years by what survives, each year's cost falling due at its end, counted up to the horizon.
+
+    loans: scenario, region, tech, vintage, annuity, at_build (value of all payments in the vintage year), loan_life; curve: region, tech, vintage, year, fraction.
+    """
+    keys = ["scenario", "region", "tech", "vintage", "annuity", "at_build", "loan_life"]
+    due = F.pow(F.lit(1.0 + rate), -(F.col("year") - F.col("vintage") + 1))
+    inside = F.col("year") < end
+    sums = loans.join(curve, ["region", "tech", "vintage"]).groupBy(*keys).agg(
+        F.sum(F.col("fraction") * due).alias("pv"), F.sum("fraction").alias("all"), F.coalesce(F.sum(F.when(inside, F.col("fraction") * due)), F.lit(0.0)).alias("pv_in"), F.coalesce(F.sum(F.when(inside, F.col("fraction"))), F.lit(0.0)).alias("all_in")
+    )
+    to_start = F.pow(F.lit(1.0 + rate), -(F.col("vintage") - start))
+    return sums.select(*keys[:4], (F.col("at_build") * F.col("pv_in") / F.col("pv") * to_start).alias("discounted"), (F.col("annuity") * F.col("loan_life") * F.col("all_in") / F.col("all")).alias("undiscounted"))
+
+
+def storage_fraction(levels: DataFrame, fractions: DataFrame, capacity: DataFrame, duration: float, scale: float, tolerance: float = 1e-6) -> DataFrame:
+    """RES-35: forced storage fractions (scenario, region, period, season, tod, tech, vintage, fraction) against levels: fraction * capacity * duration * scale."""
+    keys = ["scenario", "region", "period", "tech", "vintage"]
+    want = fractions.join(capacity.select(*keys, "capacity"), keys).withColumn("wanted", F.col("fraction") * F.col("capacity") * duration * scale)
+    both = want.join(levels.select(*keys, "season", "tod", "level"), [*keys, "season", "tod"], "left").na.fill(0.0, ["level"])
+    return both.withColumn("broken", F.abs(F.col("level") - F.col("wanted")) > tolerance * F.greatest(F.lit(1.0), F.abs("wanted")))
