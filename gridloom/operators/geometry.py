@@ -235,3 +235,63 @@ def grid_summary(cells: DataFrame, *keys: str) -> DataFrame:
 def evidence_summary(features: DataFrame, keys: list[str], source: str, clipped: str) -> DataFrame:
     """GEO-12: features and measures per class; null groups stay."""
     return features.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(source).alias("source"), F.sum(clipped).alias("clipped"))
+
+
+def select_boundaries(rects: DataFrame, wanted: list[str], code: str = "code") -> DataFrame:
+    """GEO-6: the parts of the wanted jurisdictions; a missing one is an error. Parts are disjoint, so together they are the union."""
+    from gridloom.operators.joins import ContractError
+
+    found = {r[0] for r in rects.where(F.col(code).isin(wanted)).select(code).distinct().collect()}  # at most the wanted ones
+    if missing := sorted(set(wanted) - found):
+        raise ContractError(f"no boundary for {missing}")
+    return rects.where(F.col(code).isin(wanted))
+
+
+def union_area(rects: pd.DataFrame) -> float:
+    """Area under rectangles, each point once: strips between all x bounds, merged intervals of y in each."""
+    xs, area = sorted({*rects["xmin"], *rects["xmax"]}), 0.0
+    for a, b in zip(xs[:-1], xs[1:], strict=True):
+        own = rects[(rects["xmin"] <= a) & (rects["xmax"] >= b)].sort_values("ymin")
+        end, covered = -math.inf, 0.0
+        for lo, hi in zip(own["ymin"], own["ymax"], strict=True):
+            covered += max(0.0, hi - max(lo, end))
+            end = max(end, hi)
+        area += covered * (b - a)
+    return area
+
+
+def dissolve(rects: DataFrame, tile: float, key: str) -> DataFrame:
+    """GEO-10: rectangles joined by overlaps of positive area, transitively: component (least key), parts, summed and dissolved area. Touching only is no overlap. Keys are whole numbers."""
+    from gridloom.operators.components import connected_components
+
+    own = rects.select(F.col(key).cast("long").alias("a"), "xmin", "ymin", "xmax", "ymax")
+    links = overlay(own, own.withColumnRenamed("a", "b"), tile, "a", "b").where("a < b").select("a", "b")
+    member = connected_components(links).withColumnRenamed("node", "a")
+    placed = own.join(member, "a", "left").withColumn("component", F.coalesce("component", "a"))
+    area = F.sum((F.col("xmax") - F.col("xmin")) * (F.col("ymax") - F.col("ymin"))).alias("summed")
+    sums = placed.groupBy("component").agg(F.count("*").alias("n"), area)
+    several = placed.join(sums.where("n > 1").select("component"), "component", "left_semi").withColumn("_t", F.explode(tiles(tile)))
+    # areas add up over tiles, so a group is what one tile holds of a component
+    cut = several.select(
+        "component", "_t.tx", "_t.ty", F.greatest("xmin", F.col("_t.tx") * tile).alias("xmin"), F.greatest("ymin", F.col("_t.ty") * tile).alias("ymin"), F.least("xmax", (F.col("_t.tx") + 1) * tile).alias("xmax"), F.least("ymax", (F.col("_t.ty") + 1) * tile).alias("ymax")
+    ).where("xmax > xmin and ymax > ymin")
+    by_tile = cut.groupBy("component", "tx", "ty").applyInPandas(lambda g: pd.DataFrame({"component": [g["component"].iloc[0]], "part": [union_area(g)]}), "component long, part double")
+    dissolved = by_tile.groupBy("component").agg(F.sum("part").alias("dissolved"))
+    return sums.join(dissolved, "component", "left").withColumn("dissolved", F.coalesce("dissolved", "summed"))
+
+
+def clip_tiles(features: DataFrame, areas: DataFrame, tile: float, key: str) -> DataFrame:
+    """GEO-11: features read by tile, each once, cut to the study area (disjoint rectangles): source and clipped area."""
+    source = (F.col("xmax") - F.col("xmin")) * (F.col("ymax") - F.col("ymin"))
+    once = features.dropDuplicates([key])
+    parts = overlay(once, areas.withColumn("_area", F.monotonically_increasing_id()), tile, key, "_area").groupBy(key).agg(F.sum("area").alias("clipped"))
+    return once.join(parts, key).select(key, source.alias("source"), "clipped")
+
+
+def exposure(areas: DataFrame, centres: DataFrame, bands: DataFrame, tile: float, density: str) -> DataFrame:
+    """GEO-14: parts of areas (code, jurisdiction) inside population centres (centre, jurisdiction) of the same jurisdiction, with the density band of the centre."""
+    from gridloom.operators.prepare import classify_bands
+
+    parts = overlay(areas, centres, tile, "code", "centre")
+    same = parts.join(areas.select("code", F.col("jurisdiction").alias("_j")), "code").join(centres.select("centre", F.col("jurisdiction").alias("_k"), density), "centre").where("_j = _k")
+    return classify_bands(same, bands, density, ["code", "centre"]).select("code", "centre", "area", density, "band")

@@ -351,3 +351,46 @@ def _(t: Tables) -> DataFrame:
 @query("grf26_exchange_maps", "SELECT split_part(region, '-', 1) AS exporter, output_comm, count(DISTINCT (split_part(region, '-', 2), tech)) AS n FROM {flow_out} WHERE region LIKE '%-%' GROUP BY 1, 2")
 def _(t: Tables) -> DataFrame:
     return H.exchange_maps(t("flow_out")).select("exporter", "output_comm", F.size("importers").cast("long").alias("n"))
+
+
+@query("geo6_boundaries", "SELECT code, xmin, ymin, xmax, ymax FROM {zones} WHERE code IN ('Z1', 'Z7', 'Z12')")
+def _(t: Tables) -> DataFrame:
+    return S.select_boundaries(t("zones"), ["Z1", "Z7", "Z12"]).select("code", "xmin", "ymin", "xmax", "ymax")
+
+
+_SMALL = "SELECT feature_id, xmin, ymin, xmax, ymax FROM {features} WHERE class = 'Brand#1'"
+
+
+@query(
+    "geo10_dissolve",
+    f"""WITH RECURSIVE f AS ({_SMALL}), l AS (SELECT a.feature_id AS a, b.feature_id AS b FROM f a, f b WHERE a.feature_id <> b.feature_id AND least(a.xmax, b.xmax) > greatest(a.xmin, b.xmin) AND least(a.ymax, b.ymax) > greatest(a.ymin, b.ymin)),
+    r AS (SELECT feature_id AS k, feature_id AS c FROM f UNION SELECT l.a, r.c FROM l JOIN r ON l.b = r.k) SELECT component, count(*) AS n, round(sum((xmax - xmin) * (ymax - ymin)), 6) AS summed FROM (SELECT k, min(c) AS component FROM r GROUP BY k) JOIN f ON k = feature_id GROUP BY component""",
+)
+def _(t: Tables) -> DataFrame:
+    return S.dissolve(t.sql(_SMALL), 5.0, "feature_id").select("component", "n", *r6("summed"))
+
+
+@query("geo10_dissolved_area")
+def _(t: Tables) -> DataFrame:
+    return S.dissolve(t("features"), 5.0, "feature_id").select("component", *r6("dissolved"))
+
+
+@query(
+    "geo11_clip",
+    """SELECT feature_id, round(any_value(s), 6) AS source, round(sum(a), 6) AS clipped FROM (SELECT f.feature_id, (f.xmax - f.xmin) * (f.ymax - f.ymin) AS s, greatest(least(z.xmax, f.xmax) - greatest(z.xmin, f.xmin), 0) * greatest(least(z.ymax, f.ymax) - greatest(z.ymin, f.ymin), 0) AS a FROM (SELECT * FROM {features}) f, (SELECT * FROM {zones}) z) WHERE a > 0 GROUP BY feature_id""",
+)
+def _(t: Tables) -> DataFrame:
+    f = t("features")
+    return S.clip_tiles(f.unionByName(f.where("feature_id % 3 = 0")), t("zones"), 20.0, "feature_id").select("feature_id", *r6("source", "clipped"))
+
+
+_CENTRES = "SELECT feature_id AS centre, xmin, ymin, xmax, ymax, CAST(feature_id % 5 AS INT) AS jurisdiction, value FROM {features} WHERE class = 'Brand#2'"
+
+
+@query(
+    "geo14_exposure",
+    f"""SELECT code, centre, round(a, 6) AS area, CASE WHEN value < 1000 THEN 'low' WHEN value <= 1500 THEN 'mid' ELSE 'high' END AS band FROM (SELECT code, centre, value, greatest(least(z.xmax, f.xmax) - greatest(z.xmin, f.xmin), 0) * greatest(least(z.ymax, f.ymax) - greatest(z.ymin, f.ymin), 0) AS a FROM (SELECT * FROM {{zones}}) z JOIN ({_CENTRES}) f ON z.grp = f.jurisdiction) WHERE a > 0""",
+)
+def _(t: Tables) -> DataFrame:
+    bands = t.sql("SELECT DISTINCT 'low' AS band, CAST(NULL AS DOUBLE) AS lower, 1e3 AS upper, true AS lower_inclusive, false AS upper_inclusive FROM {region} UNION ALL SELECT DISTINCT 'mid', 1e3, 1.5e3, true, true FROM {region} UNION ALL SELECT DISTINCT 'high', 1.5e3, CAST(NULL AS DOUBLE), false, true FROM {region}")
+    return S.exposure(t("zones").withColumnRenamed("grp", "jurisdiction"), t.sql(_CENTRES), bands, 20.0, "value").select("code", "centre", *r6("area"), "band")

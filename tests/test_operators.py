@@ -195,3 +195,9 @@ def test_within_or_nearest(spark):
     r = spark.createDataFrame([("Z1", 0.0, 0.0, 10.0, 10.0), ("Z0", 10.0, 10.0, 20.0, 20.0)], "code string, xmin double, ymin double, xmax double, ymax double")
     out = geometry.within_or_nearest(p, r, 2.0)
     assert rows(out.na.fill(""), "point_id", "code", "matched_by") == [("a", "Z1", "within"), ("b", "Z1", "nearest"), ("c", "", "none"), ("d", "Z0", "within")]
+
+
+def test_dissolve(spark):
+    boxes = [(1, 0.0, 0.0, 2000.0, 1000.0), (2, 1000.0, 0.0, 3000.0, 1000.0), (3, 3000.0, 0.0, 4000.0, 1000.0), (4, 2500.0, 500.0, 2600.0, 5000.0)]
+    out = geometry.dissolve(spark.createDataFrame(boxes, "k long, xmin double, ymin double, xmax double, ymax double"), 700.0, "k")
+    assert [(c, n, round(a, 6), round(d, 6)) for c, n, a, d in rows(out, "component", "n", "summed", "dissolved")] == [(1, 3, 4_450_000.0, 3_400_000.0), (3, 1, 1_000_000.0, 1_000_000.0)]
