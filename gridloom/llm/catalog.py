@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gridloom.llm import decontaminate, lines, pii, substrings
 from gridloom.llm.common import table
+from gridloom.llm.embeddings import SQL as EMBEDDINGS_SQL
 from gridloom.llm.embeddings import near_embeddings
 from gridloom.llm.mixing import mix
 from gridloom.llm.quality import score_quality
@@ -73,4 +74,5 @@ ORACLE_SQL: dict[str, str] = {
     "op3_substrings": substrings.SQL,
     "op4_decontaminate": decontaminate.SQL,
     "op7_lines": lines.SQL,
+    "op9_embeddings": EMBEDDINGS_SQL,
 }

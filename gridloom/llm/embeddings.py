@@ -229,3 +229,13 @@ def near_embeddings(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     out = rows.select("vec_id", key.alias("vector")).join(placed, "vector", "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
+
+
+#: DuckDB SQL of op9: all pairs, then the closure of the links.
+SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9),
+r AS (SELECT vec_id AS k, vec_id AS c FROM embeddings UNION SELECT p.a, r.c FROM p JOIN r ON p.b = r.k),
+c AS (SELECT k, min(c) AS component_id FROM r GROUP BY k), n AS (SELECT a, count(*) AS n FROM p GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM embeddings JOIN c ON k = vec_id LEFT JOIN n ON a = vec_id
+"""

@@ -3,11 +3,11 @@ r"""Near-duplicate lines by an exact set-similarity join, with DataFrame functio
 A line is the set of its words (lower case, split at \x20 and \x09-\x0D). Lines equal but for case and outer space are one class; classes are joined where the Jaccard
 similarity of their words is at least the threshold:
 
-- words are ordered by rarity. Occurrences are counted in 2**20 buckets of the word's hash, so what is sent to all tasks has a fixed size; a bucket's magnitude ranks
+- words are ordered by rarity. Occurrences are counted in 2**18 buckets of the word's hash, so what is sent to all tasks has a fixed size; a bucket's magnitude ranks
   its words and the hash breaks ties. Any total order keeps the join exact, a good one keeps it short;
 - a set of n words posts its first n - ceil(t n) + 1 ones: two similar sets share one of these;
 - the postings' join tests lengths, positions, and the parity signatures of the two sets (each word in one set only changes one bit, so signatures of similar sets differ
-  in few bits), all inside the join, so what comes out is nearly only true pairs;
+  in few bits), all inside the join, so what comes out is nearly only true pairs; of the smaller set only n - ceil(2 t / (1 + t) n) + 1 words need to meet;
 - the words of each pair that is left are compared.
 
 A line goes if an earlier one (by doc_id, text, line number) is similar, whether or not that one stays. Lines without words stay. Null texts have no lines; an empty one
@@ -20,16 +20,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 THRESHOLD = 0.8
-RARITY_BUCKETS = 1 << 20
-GAP = r"[\x20\x09-\x0D]+"
+RARITY_BUCKETS = 1 << 18
+GAP, SPACES = r"[\x20\x09-\x0D]+", "\x20\x09\x0a\x0b\x0c\x0d"
 
 
 def norm(line: Column) -> Column:
-    return F.regexp_replace(F.lower(line), rf"^{GAP}|{GAP}$", "")
+    return F.btrim(F.lower(line), F.lit(SPACES))
 
 
 def word_list(normed: Column) -> Column:
-    return F.split(normed, GAP)
+    """Words of a trimmed line. Splitting at one plain space is the quick way; an empty word shows that a gap is longer, and rare spaces are looked for before."""
+    rare = normed.contains("\t") | normed.contains("\x0b") | normed.contains("\x0c") | normed.contains("\r") | normed.contains("  ")
+    return F.when(rare, F.split(normed, GAP)).otherwise(F.split(normed, " "))
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -41,7 +43,7 @@ def lines_of(docs: DataFrame) -> DataFrame:
 def rarity(docs: DataFrame) -> DataFrame:
     """One row: an array with, for each bucket of words, twice the binary logarithm of its occurrences."""
     words = docs.select(F.explode(F.split(F.lower("text"), GAP)).alias("w"))
-    counts = words.groupBy(F.pmod(F.xxhash64("w"), F.lit(RARITY_BUCKETS)).cast("int").alias("bucket")).agg(F.count("*").alias("n"))
+    counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(RARITY_BUCKETS - 1)).cast("int").alias("bucket")).agg(F.count("*").alias("n"))
     ranked = counts.select("bucket", F.floor(2 * F.log2(F.col("n") + 1)).cast("byte").alias("rank"))
     # packed by blocks of buckets first, so the last step joins a few strings of fixed length
     blocks = ranked.groupBy(F.shiftright("bucket", 12).alias("block")).agg(F.map_from_entries(F.collect_list(F.struct(F.col("bucket") % 4096, "rank"))).alias("own"))
@@ -54,8 +56,9 @@ def rarity(docs: DataFrame) -> DataFrame:
 
 def ordered_words(line: Column, ranks: Column) -> Column:
     """Distinct words as longs that sort by rarity: the rank in the top byte, 56 bits of the hash below."""
-    own = lambda w: F.shiftleft(F.get(ranks, F.pmod(F.xxhash64(w), F.lit(RARITY_BUCKETS)).cast("int")).cast("long"), 56).bitwiseOR(F.xxhash64(w).bitwiseAND(F.lit((1 << 56) - 1)))
-    return F.sort_array(F.array_distinct(F.transform(word_list(line), own)))
+    hashes = F.array_distinct(F.transform(word_list(line), lambda w: F.xxhash64(w)))
+    own = lambda h: F.shiftleft(F.get(ranks, h.bitwiseAND(F.lit(RARITY_BUCKETS - 1)).cast("int")).cast("long"), 56).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1)))
+    return F.sort_array(F.transform(hashes, own))
 
 
 def signature(words: Column, shift: int) -> Column:
@@ -67,7 +70,7 @@ def overlap_needed(n: Column, m: Column, t: float) -> Column:
 
 
 def similar_lines(classes: DataFrame, ranks: DataFrame, t: float = THRESHOLD) -> DataFrame:
-    """Pairs a, b (struct of the first line's place and text, and id) of classes (columns id, first) with a Jaccard similarity of at least t, a's id below b's.
+    """Pairs a, b (struct of the first line's place and text, and id) of classes (columns id, first) with a Jaccard similarity of at least t, a the smaller set (of equal ones that of the lower id).
 
     Every use of classes takes both its columns, so all share one shuffle.
     """
@@ -79,15 +82,19 @@ def similar_lines(classes: DataFrame, ranks: DataFrame, t: float = THRESHOLD) ->
     spark.catalog.dropTempView("gridloom_rarity")
     # coalesced, so that the join infers no null test that would compute the sets twice
     whole = lambda c, zero=0: F.coalesce(c, F.lit(zero))
-    sets = sets.select("id", whole(F.size("words")).alias("n"), whole(signature(F.col("words"), 3)).cast("long").alias("s1"), whole(signature(F.col("words"), 13)).cast("long").alias("s2"), "words")
+    sets = sets.select("id", whole(F.size("words")).alias("n"), whole(signature(F.col("words"), 13)).cast("long").alias("s"), "words")
     prefix = F.slice("words", F.lit(1), F.col("n") - F.ceil(F.lit(t) * F.col("n") - 1e-9).cast("int") + 1)
-    posts = sets.select("id", "n", "s1", "s2", F.posexplode(prefix).alias("i", "w"))
-    a, b = (posts.select("w", *(F.col(c).alias(f"{side}_{c}") for c in ("id", "n", "i", "s1", "s2"))) for side in "ab")
+    posts = sets.select("id", "n", "s", F.posexplode(prefix).alias("i", "w"))
+    # 32 bits of the word are enough to meet: what meets by chance fails the tests
+    posts = posts.select(F.col("w").bitwiseAND(F.lit(2**31 - 1)).cast("int").alias("w"), "id", "n", "s", "i")
+    a, b = (posts.select("w", *(F.col(c).alias(f"{side}_{c}") for c in ("id", "n", "i", "s"))) for side in "ab")
     need = overlap_needed(F.col("a_n"), F.col("b_n"), t)
     most = F.least("a_i", "b_i") + F.least(F.col("a_n") - F.col("a_i"), F.col("b_n") - F.col("b_i"))
-    bits = lambda s: F.bit_count(F.col(f"a_{s}").bitwiseXOR(F.col(f"b_{s}")))
-    odd = F.col("a_n") + F.col("b_n") - 2 * need
-    fit = (F.col("a_id") < F.col("b_id")) & (bits("s1") <= odd) & (bits("s2") <= odd) & (F.least("a_n", "b_n") >= need) & (most >= need)
+    # the smaller set (a) needs only this much of its prefix
+    short = F.col("a_i") <= F.col("a_n") - F.ceil(F.lit(2 * t / (1 + t)) * F.col("a_n") - 1e-9)
+    first = (F.col("a_n") < F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a_id") < F.col("b_id")))
+    # said in one expression of both sides: alone it would filter one side before the shuffle, and the sides could not share it
+    fit = F.when(first, short).otherwise(F.lit(False)) & (F.col("a_n") >= F.lit(t) * F.col("b_n") - 1e-9) & (F.bit_count(F.col("a_s").bitwiseXOR(F.col("b_s"))) <= F.col("a_n") + F.col("b_n") - 2 * need) & (most >= need)
     pairs = a.join(b.hint("shuffle_merge"), (a["w"] == b["w"]) & fit).select("a_id", "b_id").distinct()
     one, two = (classes.select(F.col("id").alias(f"{s}_id"), F.col("first").alias(f"{s}_first")) for s in "ab")
     both = pairs.join(one, "a_id").join(two, "b_id")

@@ -176,7 +176,7 @@ def _mapped(rows: DataFrame, made, schema: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for row, end, data, offsets in text_slices(b.column(b.num_columns - 1)):
+            for row, end, data, offsets in text_slices(b.column(b.num_columns - 1), 2 << 20):
                 yield made(row, end, features(data, offsets), b)
 
     return rows.mapInArrow(run, schema)
