@@ -1,0 +1,11 @@
+"""Column functions of the library in one place."""
+
+from gridloom.operators.finance import annuity_of_pv, loan_cost, pv_of_annuity, pv_of_future, yearly_cost
+from gridloom.operators.geometry import clip_interval, geodesic_km, haversine_km, in_rectangle, project, rectangle_distance, snap_limit, tile_of, tiles, unproject
+from gridloom.operators.prepare import assignable, padded, transport_mode
+from gridloom.operators.regions import edge_from, edge_to, is_edge, mirrored, numeric_order, undirected_key
+
+__all__ = [
+    "annuity_of_pv", "assignable", "clip_interval", "edge_from", "edge_to", "geodesic_km", "haversine_km", "in_rectangle", "is_edge", "loan_cost", "mirrored", "numeric_order",
+    "padded", "project", "pv_of_annuity", "pv_of_future", "rectangle_distance", "snap_limit", "tile_of", "tiles", "transport_mode", "undirected_key", "unproject", "yearly_cost",
+]

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gridloom.operators.joins import ContractError, full_diff
+from gridloom.operators.joins import ContractError, checked_join, full_diff
 
 
 def not_positive(df: DataFrame, columns: Sequence[str], keys: Sequence[str]) -> DataFrame:
@@ -177,3 +177,13 @@ def finance_elements(base: DataFrame, values: dict[str, float]) -> DataFrame:
     new = base.sparkSession.range(1).select(own).select("x.*")
     return base.join(F.broadcast(new), "element", "left_anti").unionByName(new)
 
+
+
+def merge_costs(capex: DataFrame, variable: DataFrame, fixed: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """CST-3: one row a case with its three costs; a case given twice in any table is an error."""
+    return checked_join(checked_join(capex, variable, keys, cardinality="1:1"), fixed, keys, cardinality="1:1")
+
+
+def opex_template(fitted: DataFrame, keys: Sequence[str], unit: str) -> DataFrame:
+    """CST-8: the slope of each linear fit with its unit a kilometre; intercepts are left out."""
+    return fitted.select(*keys, F.col("b").alias("slope"), F.lit(f"{unit}/km").alias("unit"))

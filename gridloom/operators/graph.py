@@ -225,3 +225,9 @@ def exchange_maps(links: DataFrame) -> DataFrame:
     """GRF-26: per exporter and commodity its importers (region and tech), as a sorted array; exchanged links swap the roles."""
     edges = links.where(is_edge()).select(edge_from().alias("exporter"), edge_to().alias("importer"), "output_comm", "tech").distinct()
     return edges.groupBy("exporter", "output_comm").agg(F.array_sort(F.collect_set(F.struct("importer", "tech"))).alias("importers"))
+
+
+def edge_lines(edges: DataFrame, cells: DataFrame) -> DataFrame:
+    """GEO-13: the straight segment x0, y0, x1, y1 between the centres of each edge's ends."""
+    a, b = (cells.select(F.col("region").alias(r), F.col("cx").alias(x), F.col("cy").alias(y)) for r, x, y in (("region_from", "x0", "y0"), ("region_to", "x1", "y1")))
+    return edges.join(a, "region_from").join(b, "region_to")

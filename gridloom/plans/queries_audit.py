@@ -537,3 +537,15 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     names = ["power", "transport", "industry"]
     return N.activity_vectors(t("flow_out"), t("technology").select("tech", F.col("sector").alias("category")), names).select("scenario", *r6(*names))
+
+
+@query("cst3_merge", "SELECT i.region, i.tech, i.vintage, round(i.cost, 6) AS capex, round(v, 6) AS variable, round(f, 6) AS fixed FROM (SELECT * FROM {cost_invest}) i JOIN (SELECT region, tech, vintage, max(cost) AS v FROM {cost_variable} GROUP BY ALL) x ON x.region = i.region AND x.tech = i.tech AND x.vintage = i.vintage JOIN (SELECT region, tech, vintage, max(cost) AS f FROM {cost_fixed} GROUP BY ALL) y ON y.region = i.region AND y.tech = i.tech AND y.vintage = i.vintage")
+def _(t: Tables) -> DataFrame:
+    keys = ["region", "tech", "vintage"]
+    most = lambda n, out: t(n).groupBy(*keys).agg(F.max("cost").alias(out))
+    return K.merge_costs(t("cost_invest").withColumnRenamed("cost", "capex"), most("cost_variable", "variable"), most("cost_fixed", "fixed"), keys).select(*keys, *r6("capex", "variable", "fixed"))
+
+
+@query("cst8_opex_template", f"SELECT tech, period, round(b, 4) AS slope, 'dollars/km' AS unit FROM ({_FIT})")
+def _(t: Tables) -> DataFrame:
+    return K.opex_template(K.fits(t.sql(_XY), ["tech", "period"], "x", "y"), ["tech", "period"], "dollars").withColumn("slope", F.round("slope", 4))

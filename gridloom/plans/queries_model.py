@@ -428,3 +428,10 @@ def _(t: Tables) -> DataFrame:
 @query("dia28_identity", "SELECT 'p_type' AS field, array_to_string(list_sort(list(DISTINCT p_type)), ',') AS found, false AS passed FROM {part} WHERE p_brand = 'Brand#1' UNION ALL SELECT 'p_brand', 'Brand#1', true")
 def _(t: Tables) -> DataFrame:
     return C.identity(t("part").where("p_brand = 'Brand#1'"), {"p_type": "PROMO", "p_brand": "Brand#1"})
+
+
+@query("prj12_modes", "SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'pipeline' WHEN 1 THEN 'truck' WHEN 2 THEN 'power_line' END AS mode FROM {part}")
+def _(t: Tables) -> DataFrame:
+    k = F.col("p_size") % 4
+    named = F.when(k == 0, F.concat("p_brand", F.lit("_PIPE"))).when(k == 1, F.concat("p_brand", F.lit("_TRUCK"))).when(k == 2, "ELC_TRANS").otherwise(F.col("p_brand"))
+    return t("part").select("p_partkey", P.transport_mode(named).alias("mode"))

@@ -394,3 +394,8 @@ _CENTRES = "SELECT feature_id AS centre, xmin, ymin, xmax, ymax, CAST(feature_id
 def _(t: Tables) -> DataFrame:
     bands = t.sql("SELECT DISTINCT 'low' AS band, CAST(NULL AS DOUBLE) AS lower, 1e3 AS upper, true AS lower_inclusive, false AS upper_inclusive FROM {region} UNION ALL SELECT DISTINCT 'mid', 1e3, 1.5e3, true, true FROM {region} UNION ALL SELECT DISTINCT 'high', 1.5e3, CAST(NULL AS DOUBLE), false, true FROM {region}")
     return S.exposure(t("zones").withColumnRenamed("grp", "jurisdiction"), t.sql(_CENTRES), bands, 20.0, "value").select("code", "centre", *r6("area"), "band")
+
+
+@query("geo13_edge_lines", "SELECT edge_region, x0, y0, x1, y1 FROM {edges}")
+def _(t: Tables) -> DataFrame:
+    return H.edge_lines(t("edges").select("edge_region", "region_from", "region_to"), t("cells")).select("edge_region", "x0", "y0", "x1", "y1")
