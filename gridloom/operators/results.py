@@ -40,16 +40,15 @@ def node_balance(flow_out: DataFrame, flow_in: DataFrame, demand: DataFrame, key
     An edge's output is an export of its origin (of the input commodity) and an import of its target. Demand counts in every scenario.
     """
     extra = [k for k in keys if k not in NODE]
-    row = lambda df, region, commodity, part: df.select("scenario", "period", region.alias("region"), F.col(commodity).alias("commodity"), *extra, F.lit(part).alias("part"), F.col("flow").alias("amount"))
+
+    def row(df: DataFrame, commodity: str, end: Column, at_node: str, at_edge: str) -> DataFrame:
+        """Each flow once: at its node, or at the end of its edge."""
+        part = F.when(is_edge(), at_edge).otherwise(at_node).alias("part")
+        return df.select("scenario", "period", F.coalesce(end, F.col("region")).alias("region"), F.col(commodity).alias("commodity"), *extra, part, F.col("flow").alias("amount"))
+
     needed = demand.crossJoin(F.broadcast(flow_out.select("scenario").distinct()))  # scenarios: few
     needed = needed.select("scenario", "period", "region", "commodity", *(F.col(k) if k in demand.columns else F.lit(None).cast("string").alias(k) for k in extra), F.lit("demand").alias("part"), F.col("demand").alias("amount"))
-    parts = union(
-        row(flow_out.where(~is_edge()), F.col("region"), "output_comm", "production"),
-        row(flow_in.where(~is_edge()), F.col("region"), "input_comm", "consumption"),
-        row(flow_out.where(is_edge()), edge_to(), "output_comm", "imports"),
-        row(flow_in.where(is_edge()), edge_from(), "input_comm", "exports"),
-        needed,
-    )
+    parts = union(row(flow_out, "output_comm", edge_to(), "production", "imports"), row(flow_in, "input_comm", edge_from(), "consumption", "exports"), needed)
     names = ("production", "imports", "consumption", "exports", "demand")
     out = parts.groupBy(*keys).agg(*(F.coalesce(F.sum(F.when(F.col("part") == n, F.col("amount"))), F.lit(0.0)).alias(n) for n in names))
     supply, use = F.col("production") + F.col("imports"), F.col("consumption") + F.col("exports") + F.col("demand")
