@@ -39,7 +39,7 @@ FOOTER = struct.Struct("<6Q2I8s")
 BLOCK_BYTES = 64 << 10
 BLOOM_BITS_PER_KEY, BLOOM_HASHES = 10, 7
 #: Words whose ids a worker keeps at once, and the longest kept.
-KEPT_WORDS, KEPT_BYTES = 600_000, 64
+KEPT_WORDS, KEPT_BYTES = 800_000, 64
 
 
 def key_of(doc_id: int | None) -> bytes:
