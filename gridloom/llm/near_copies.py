@@ -1,0 +1,169 @@
+"""Near-copies by exact Jaccard similarity of five-word shingles.
+
+Two texts link where the sets of their five-word shingles (hashes of 64 bits) have a Jaccard similarity of 4/5 or more. Such sets share 4/5 of the larger one, so
+under any one order of all shingles they share one of the first n - ceil(4n/5) + 1 of each: the join on these prefixes gives every pair, and none is left to chance.
+The order puts shingles that a sample of the texts holds often last (by count), and the others by hash; what the sample holds changes the work, not the result.
+
+Pairs that share enough of their prefixes are verified on the whole sets. First each text of a prefix's bucket is compared with one of them only; then all pairs
+whose ends those links leave in different components. So a large group of near-copies costs rows in proportion, and the components are those of all links.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from gridloom.llm.common import as_bytes
+from gridloom.operators.components import connected_components
+from gridloom.session import drop_folder, materialize
+
+SHINGLE = 5
+#: One text in so many is sampled for the order; a shingle in OFTEN of them is put last; at most MOST are.
+SAMPLED, OFTEN, MOST = 32, 3, 1 << 18
+#: Bits of the filter for texts to be verified.
+BITS = 1 << 22
+
+
+class _Words(dict):
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 1 << 20:
+            self.clear()
+        own = self[word] = xxhash.xxh64_intdigest(word, 42)
+        return own
+
+
+_WORDS = _Words()
+
+
+def shingle_set(text: bytes) -> np.ndarray:
+    """Sorted distinct hashes of the five-word shingles; of a shorter text one for the whole, of none for no words."""
+    parts = text.lower().split()
+    if not parts:
+        return np.zeros(0, np.uint64)
+    words = np.fromiter(map(_WORDS.__getitem__, parts), np.uint64, len(parts))
+    k = min(SHINGLE, len(parts))
+    n = len(parts) - k + 1
+    own = np.zeros(n, np.uint64)
+    for i in range(k):
+        own = (own ^ words[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
+        own ^= own >> np.uint64(32)
+    return np.unique(own)
+
+
+def prefix(own: np.ndarray, often: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The first n - ceil(4n/5) + 1 shingles of a sorted set; those in often (sorted) come last, by count."""
+    n = len(own)
+    if len(often) and n:
+        at = np.minimum(np.searchsorted(often, own), len(often) - 1)
+        own = own[np.argsort(np.where(often[at] == own, counts[at], 0), kind="stable")]
+    return own[: n - (4 * n + 4) // 5 + 1] if n else own
+
+
+def _lists(sets: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *(len(s) for s in sets)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)))
+
+
+def _sets(rows: DataFrame, wanted: np.ndarray | None = None) -> DataFrame:
+    """row, shingles of the texts; only of those whose bit is set in wanted, where given."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if wanted is not None:
+                at = b.column(0).to_numpy() & (BITS - 1)
+                b = b.filter(pa.array((wanted[at >> 6] >> (at & 63)) & 1 == 1))
+            for i in range(0, b.num_rows, 1 << 9):
+                part = b.slice(i, 1 << 9)
+                yield pa.RecordBatch.from_arrays([part.column(0), _lists([shingle_set(t.as_buffer().to_pybytes()) for t in part.column(1)])], names=["row", "shingles"])
+
+    return rows.select("row", "text").mapInArrow(made, "row long, shingles array<long>")
+
+
+def _often(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several sampled texts hold, sorted, and in how many."""
+    own = _sets(rows.where(F.pmod("row", F.lit(SAMPLED)) == 0)).select("row", F.explode("shingles").alias("key")).distinct()
+    found = own.groupBy("key").count().where(F.col("count") >= OFTEN).orderBy(F.desc("count"), "key").limit(MOST).toArrow()
+    keys = found["key"].to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], found["count"].to_numpy()[order]
+
+
+def _similar(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b, hashes of texts) whose shingle sets have a Jaccard similarity of 4/5 or more."""
+    at = F.col("row").bitwiseAND(F.lit(BITS - 1))
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("row"))
+    bits = ends.groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(row & 63 AS INT))")).alias("bits")).toArrow()
+    wanted = np.zeros(BITS >> 6, np.int64)
+    wanted[bits["word"].to_numpy()] = bits["bits"].to_numpy()
+    sets = _sets(rows, wanted).groupBy("row").agg(F.first("shingles").alias("shingles"))
+    a, b = sets.select(F.col("row").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("row").alias("b"), F.col("shingles").alias("sb"))
+    both = F.size(F.array_intersect("sa", "sb"))
+    return pairs.join(a, "a").join(b, "b").where(9 * both >= 4 * (F.size("sa") + F.size("sb"))).select("a", "b")
+
+
+def _enough(shared: DataFrame) -> DataFrame:
+    """Pairs (a, b) of which the prefix shingles that both hold (rows: a, b, n, m) leave room for 4/5.
+
+    Where the prefix that ends first in the order belongs to a, both hold no more than what is shared in the prefixes and what follows a's, ceil(4n/5) - 1; likewise for b.
+    Counting only some of the shared ones leaves out more pairs.
+    """
+    follow = F.greatest(F.ceil(4 * F.col("n") / 5), F.ceil(4 * F.col("m") / 5)) - 1
+    sizes = 5 * F.least("n", "m") >= 4 * F.greatest("n", "m")
+    return shared.where(sizes).groupBy("a", "b", "n", "m").count().where(9 * (F.col("count") + follow) >= 4 * (F.col("n") + F.col("m"))).select("a", "b")
+
+
+def near_copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """group (hash of one of its texts), doc_id, row (hash of the text): of each component of links the row with the smallest doc_id (null last, then by hash).
+
+    Texts without words are one class. Nothing is left out: a text without links is a group of its own.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("row"), as_bytes(text_col).alias("text"))
+    often, counts = _often(rows)
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, 1 << 9):
+                part = b.slice(i, 1 << 9)
+                sets = [shingle_set(t.as_buffer().to_pybytes()) for t in part.column(2)]
+                same = pa.array([xxhash.xxh128_digest(s.tobytes()) for s in sets], pa.binary())
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), same, pa.array([len(s) for s in sets], pa.int32()), _lists([prefix(s, often, counts) for s in sets])], names=["doc_id", "row", "same", "n", "keys"]
+                )
+
+    own = rows.mapInArrow(made, "doc_id long, row long, same binary, n int, keys array<long>")
+    classes = own.groupBy("same").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first"), F.min("row").alias("node"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    classes = materialize(classes.drop("same"), "classes")
+
+    postings = classes.select("node", "n", F.explode("keys").alias("key"))
+    bucket = Window.partitionBy("key")
+    postings = postings.withColumn("hub", F.min(F.struct(F.xxhash64("node").alias("h"), "node", "n")).over(bucket)).withColumn("most", F.max("node").over(bucket)).withColumn("least", F.min("node").over(bucket))
+    shared = materialize(postings.where("least <> most").select("key", "node", "n", "hub"), "shared")
+
+    ends = (F.struct("node", "n"), F.struct("hub.node", "hub.n"))
+    stars = shared.where("node <> hub.node").select(F.least(*ends).alias("x"), F.greatest(*ends).alias("y"))
+    stars = _enough(stars.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.n").alias("n"), F.col("y.n").alias("m")))
+    stars = materialize(stars, "stars")
+    links = materialize(_similar(stars, rows), "links")
+
+    member = connected_components(links).withColumnRenamed("component", "own")
+    placed = shared.select("key", "node", "n").join(member, "node", "left").withColumn("own", F.coalesce("own", "node"))
+    apart = placed.withColumn("most", F.max("own").over(bucket)).withColumn("least", F.min("own").over(bucket)).where("least <> most").drop("least", "most")
+    apart = materialize(apart, "apart")
+    x, y = apart.alias("x"), apart.alias("y").hint("shuffle_merge")
+    sizes = 5 * F.least("x.n", "y.n") >= 4 * F.greatest("x.n", "y.n")
+    cross = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.own") != F.col("y.own")) & sizes)
+    cross = _enough(cross.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.n").alias("n"), F.col("y.n").alias("m")))
+    cross = materialize(cross.join(stars, ["a", "b"], "left_anti"), "cross")
+    links = materialize(links.unionByName(_similar(cross, rows)), "links")
+
+    member = connected_components(links)
+    firsts = classes.select("node", "first").join(member, "node", "left").withColumn("group", F.coalesce("component", "node"))
+    out = materialize(firsts.groupBy("group").agg(F.min("first").alias("first")).select("group", "first.doc_id", "first.row"), "groups")
+    for done in (classes, shared, stars, apart, cross, links):
+        drop_folder(done)
+    return out
