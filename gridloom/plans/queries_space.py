@@ -252,22 +252,34 @@ def _(t: Tables) -> DataFrame:
     return H.network_summary(t("segments").withColumn("backbone", F.col("class") < "2"), "jurisdiction", ["backbone"])
 
 
-ADAPTERS["road_cells"] = "SELECT segment_id % 40 AS road_id, region FROM (SELECT segment_id, CAST(floor((x0 + 145) / 5) AS INT) AS i, CAST(floor((y0 - 40) / 5) AS INT) AS j FROM {segments} WHERE segment_id % 50 = 0) s JOIN (SELECT ix, iy, region FROM {cells}) c ON c.ix = s.i AND c.iy = s.j"
+_SIDES = (("x0 - x1", "x0 - xmin"), ("x1 - x0", "xmax - x0"), ("y0 - y1", "y0 - ymin"), ("y1 - y0", "ymax - y0"))
+_ENTER = ", ".join(f"CASE WHEN {p} < 0 THEN ({q}) / nullif({p}, 0) WHEN {p} = 0 AND {q} < 0 THEN 2e0 ELSE 0e0 END" for p, q in _SIDES)
+_LEAVE = ", ".join(f"CASE WHEN {p} > 0 THEN ({q}) / nullif({p}, 0) WHEN {p} = 0 AND {q} < 0 THEN -1e0 ELSE 1e0 END" for p, q in _SIDES)
+#: A row for each cell that a segment touches; four order keys in a row are a road. The queries get the same by segment_cells.
+ADAPTERS["road_cells"] = f"""
+    SELECT CAST(floor(segment_id / 4) AS BIGINT) AS road_id, region FROM (SELECT segment_id, x0, y0, x1, y1 FROM {{segments}}) s JOIN (SELECT ix, iy, region, x0 AS xmin, y0 AS ymin, x1 AS xmax, y1 AS ymax FROM {{cells}}) c
+    ON c.ix BETWEEN floor(least(s.x0, s.x1) / 5) + 29 AND floor(greatest(s.x0, s.x1) / 5) + 29 AND c.iy BETWEEN floor(least(s.y0, s.y1) / 5) - 8 AND floor(greatest(s.y0, s.y1) / 5) - 8
+    WHERE greatest(0e0, {_ENTER}) <= least(1e0, {_LEAVE})"""
+
+
+def _road_cells(t: Tables) -> DataFrame:
+    touched = S.segment_cells(t("segments"), float(SIZE), "segment_id").select(F.floor(F.col("segment_id") / 4).alias("road_id"), (F.col("ix") + 29).alias("ix"), (F.col("iy") - 8).alias("iy"))
+    return touched.join(t("cells").select("ix", "iy", "region"), ["ix", "iy"]).select("road_id", "region")
 
 
 @query("grf15_road_presence", "SELECT region, count(DISTINCT road_id) AS n_roads, count(road_id) AS n_crossings, count(road_id) > 0 AS has_road FROM (SELECT region FROM {cells}) LEFT JOIN {road_cells} USING (region) GROUP BY region")
 def _(t: Tables) -> DataFrame:
-    return H.road_presence(t("cells"), t("road_cells"))
+    return H.road_presence(t("cells"), _road_cells(t))
 
 
 @query("grf16_weak_connection", "SELECT edge_region, region_from IN (SELECT region FROM {road_cells}) AND region_to IN (SELECT region FROM {road_cells}) AS connected FROM {edges}")
 def _(t: Tables) -> DataFrame:
-    return H.weak_connection(t("edges"), H.road_presence(t("cells"), t("road_cells"))).select("edge_region", "connected")
+    return H.weak_connection(t("edges"), H.road_presence(t("cells"), _road_cells(t))).select("edge_region", "connected")
 
 
 @query("grf17_strong_connection", "SELECT region_from, region_to, count(DISTINCT a.road_id) AS n_shared, count(DISTINCT a.road_id) > 0 AS connected FROM (SELECT * FROM {edges}) e LEFT JOIN ((SELECT * FROM {road_cells}) a JOIN (SELECT region AS r2, road_id AS q FROM {road_cells}) b ON a.road_id = b.q) ON a.region = region_from AND b.r2 = region_to GROUP BY region_from, region_to")
 def _(t: Tables) -> DataFrame:
-    return H.strong_connection(t("edges"), t("road_cells"))
+    return H.strong_connection(t("edges"), _road_cells(t))
 
 
 @query(
