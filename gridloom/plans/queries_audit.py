@@ -104,7 +104,7 @@ def _(t: Tables) -> DataFrame:
     return D.capacity_flags(t("storage"), t("assessed"), ["p10", "p50"])
 
 
-ADAPTERS["crosswalk"] = "SELECT concat('f', CAST(p_partkey % 900 AS STRING)) AS feature_id, region, p_size / 1e1 AS area, p_type AS source FROM {part} JOIN (SELECT ix, region FROM {cells}) c ON c.ix = p_partkey % 19 WHERE p_partkey % 6 = 0"
+ADAPTERS["crosswalk"] = "SELECT concat('f', CAST(p_partkey % 900 AS STRING)) AS feature_id, region, p_size / 1e1 AS area, p_type AS source FROM {part} JOIN (SELECT ix, region FROM {cells}) c ON c.ix = p_partkey % 19"
 
 
 @query("sto3_coverage", "SELECT region, " + ", ".join(f"round(coalesce(sum(area) FILTER (source = '{s}'), 0) / 25, 6) AS {s.lower()}" for s in ("PROMO", "SMALL")) + " FROM (SELECT region FROM {cells}) LEFT JOIN {crosswalk} USING (region) GROUP BY region")
@@ -192,9 +192,9 @@ def _(t: Tables) -> DataFrame:
     return K.learning_curve(c, ["tech"], 4).select("tech", "segment", *r6("quantity"), F.round("cost", 4).alias("cost"))
 
 
-@query("cst10_expand", f"SELECT edge_region, tech, segment, round(cost_upper * distance_km / (SELECT avg(distance_km) FROM {{edges}}), 4) AS cost FROM {{edges}}, ({_SEGMENTS}) s WHERE tech = 'Brand#1'")
+@query("cst10_expand", f"SELECT edge_region, tech, segment, round(cost_upper * distance_km / (SELECT avg(distance_km) FROM {{edges}}), 4) AS cost FROM {{edges}}, ({_SEGMENTS}) s")
 def _(t: Tables) -> DataFrame:
-    curve = K.piecewise_template(t.sql(_CURVES), ["tech"], 5).where("tech = 'Brand#1'")
+    curve = K.piecewise_template(t.sql(_CURVES), ["tech"], 5)
     return K.expand_curve(curve, t("edges"), "distance_km").select("edge_region", "tech", "segment", F.round("cost_upper", 4).alias("cost"))
 
 
@@ -430,11 +430,11 @@ def _(t: Tables) -> DataFrame:
 @query(
     "lim14_ramp",
     """WITH f AS (SELECT scenario, region, period, tech, vintage, season, tod, sum(flow) AS f FROM {flow_out} GROUP BY ALL), q AS (SELECT period, season, tod, coalesce(lead(season) OVER w, first_value(season) OVER w) AS ns, coalesce(lead(tod) OVER w, first_value(tod) OVER w) AS nt FROM {slices} WINDOW w AS (PARTITION BY period ORDER BY season, tod))
-    SELECT c.scenario, c.region, c.period, c.tech, c.vintage, q.season, q.tod, round(coalesce(b.f, 0) - coalesce(a.f, 0), 6) AS change, abs(coalesce(b.f, 0) - coalesce(a.f, 0)) > 0.2 * capacity + 1e-6 AS broken FROM (SELECT * FROM {net_capacity} WHERE region = 'R1') c JOIN q ON q.period = c.period
+    SELECT c.scenario, c.region, c.period, c.tech, c.vintage, q.season, q.tod, round(coalesce(b.f, 0) - coalesce(a.f, 0), 6) AS change, abs(coalesce(b.f, 0) - coalesce(a.f, 0)) > 0.2 * capacity + 1e-6 AS broken FROM (SELECT * FROM {net_capacity}) c JOIN q ON q.period = c.period
     LEFT JOIN f a ON a.scenario = c.scenario AND a.region = c.region AND a.period = c.period AND a.tech = c.tech AND a.vintage = c.vintage AND a.season = q.season AND a.tod = q.tod LEFT JOIN f b ON b.scenario = c.scenario AND b.region = c.region AND b.period = c.period AND b.tech = c.tech AND b.vintage = c.vintage AND b.season = q.ns AND b.tod = q.nt""",
 )
 def _(t: Tables) -> DataFrame:
-    out = L.ramp_limits(t("flow_out"), t("net_capacity").where("region = 'R1'"), C.slice_sequence(t("slices")), 0.2)
+    out = L.ramp_limits(t("flow_out"), t("net_capacity"), C.slice_sequence(t("slices")), 0.2)
     return out.select("scenario", "region", "period", "tech", "vintage", "season", "tod", *r6("change"), "broken")
 
 

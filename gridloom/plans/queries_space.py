@@ -292,7 +292,7 @@ def _(t: Tables) -> DataFrame:
 
 
 #: A layered network with cycles: commodities c0 … c9, made of part keys.
-_LINKS = "SELECT DISTINCT concat('R', CAST(p_size % 3 AS STRING)) AS region, 1995 AS period, concat('c', CAST(p_partkey % 23 AS STRING)) AS input_comm, p_brand AS tech, 1990 AS vintage, concat('c', CAST((p_partkey % 23 * 3 + p_size % 5) % 29 AS STRING)) AS output_comm FROM {part} WHERE p_partkey % 3 = 0"
+_LINKS = "SELECT DISTINCT concat('R', CAST(p_size % 3 AS STRING)) AS region, 1995 AS period, concat('c', CAST(p_partkey % 23 AS STRING)) AS input_comm, p_brand AS tech, 1990 AS vintage, concat('c', CAST((p_partkey % 23 * 3 + p_size % 5) % 29 AS STRING)) AS output_comm FROM {part}"
 
 
 def _trace(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -370,7 +370,7 @@ def _(t: Tables) -> DataFrame:
     return S.select_boundaries(t("zones"), ["Z1", "Z7", "Z12"]).select("code", "xmin", "ymin", "xmax", "ymax")
 
 
-_SMALL = "SELECT feature_id, xmin, ymin, xmax, ymax FROM {features} WHERE class = 'Brand#1'"
+_SMALL = "SELECT feature_id, xmin, ymin, xmax, ymax FROM {features}"
 
 
 @query(

@@ -39,3 +39,27 @@ def test_roads_cover_every_segment_and_cell(spark):
         assert r.n_shared == len(roads[r.region_from] & roads[r.region_to])
     for r, e in ((r, r.edge_region.split("-")) for r in catalog.QUERIES["grf16_weak_connection"](spark, SF).collect()):
         assert r.connected == (e[0] in roads and e[1] in roads)
+
+
+def test_ramps_of_every_region(spark):
+    audited = catalog.QUERIES["lim14_ramp"](spark, SF).select("region").distinct().count()
+    assert audited == Tables(spark, SF)("net_capacity").select("region").distinct().count()
+
+
+def test_every_curve_on_every_edge(spark):
+    t, out = Tables(spark, SF), catalog.QUERIES["cst10_expand"](spark, SF)
+    assert out.select("tech").distinct().count() == catalog.QUERIES["cst7_template"](spark, SF).select("tech").distinct().count()
+    assert out.select("edge_region").distinct().count() == t("edges").count()
+
+
+def test_links_crosswalk_and_dissolve_read_all_parts(spark):
+    t = Tables(spark, SF)
+    parts = t("part").count()
+    assert catalog.QUERIES["geo10_dissolve"](spark, SF).agg(F.sum("n")).first()[0] == parts
+    cells = t("cells").groupBy("ix").count().withColumnRenamed("count", "k")
+    want = t("part").join(cells, F.col("ix") == F.col("p_partkey") % 19).agg(F.sum("k")).first()[0]
+    assert t("crosswalk").count() == want
+    from gridloom.plans.queries_space import _LINKS
+
+    keys = t("part").selectExpr("p_size % 3", "p_partkey % 23", "p_brand", "(p_partkey % 23 * 3 + p_size % 5) % 29").distinct().count()
+    assert t.sql(_LINKS).count() == keys
