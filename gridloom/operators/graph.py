@@ -126,6 +126,14 @@ def strong_connection(edges: DataFrame, road_cells: DataFrame) -> DataFrame:
     return ends.join(shared, ["region_from", "region_to"], "left").na.fill(0, ["n_shared"]).withColumn("connected", F.col("n_shared") > 0)
 
 
+def canonical_links(nodes: DataFrame, edges: DataFrame, connections: DataFrame) -> DataFrame:
+    """GRF-9: kind and region of the links a model is built on: each node, each edge for pipelines, each road-connected edge for trucks. connections: edge_region, connected."""
+    own = edges.select(F.col("edge_region").alias("region")).dropDuplicates(["region"])
+    trucks = own.join(connections.where("connected").select(F.col("edge_region").alias("region")), "region", "left_semi")
+    kind = lambda name, df: df.select(F.lit(name).alias("kind"), "region")
+    return union(kind("node", nodes.select("region").distinct()), kind("pipeline", own), kind("truck", trucks))
+
+
 def process_network(efficiency: DataFrame, active: DataFrame) -> DataFrame:
     """GRF-18: live links region, period, input, tech, vintage, output.
 

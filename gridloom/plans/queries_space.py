@@ -277,6 +277,16 @@ def _(t: Tables) -> DataFrame:
     return H.weak_connection(t("edges"), H.road_presence(t("cells"), _road_cells(t))).select("edge_region", "connected")
 
 
+@query(
+    "grf9_canonical_links",
+    """SELECT DISTINCT 'node' AS kind, region FROM {cells} UNION ALL SELECT DISTINCT 'pipeline', edge_region FROM {edges}
+    UNION ALL SELECT DISTINCT 'truck', edge_region FROM {edges} WHERE region_from IN (SELECT region FROM {road_cells}) AND region_to IN (SELECT region FROM {road_cells})""",
+)
+def _(t: Tables) -> DataFrame:
+    connected = H.weak_connection(t("edges"), H.road_presence(t("cells"), _road_cells(t)))
+    return H.canonical_links(t("cells"), t("edges"), connected)
+
+
 @query("grf17_strong_connection", "SELECT region_from, region_to, count(DISTINCT a.road_id) AS n_shared, count(DISTINCT a.road_id) > 0 AS connected FROM (SELECT * FROM {edges}) e LEFT JOIN ((SELECT * FROM {road_cells}) a JOIN (SELECT region AS r2, road_id AS q FROM {road_cells}) b ON a.road_id = b.q) ON a.region = region_from AND b.r2 = region_to GROUP BY region_from, region_to")
 def _(t: Tables) -> DataFrame:
     return H.strong_connection(t("edges"), _road_cells(t))

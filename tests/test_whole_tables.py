@@ -5,6 +5,7 @@ from fractions import Fraction as N
 
 from pyspark.sql import functions as F
 
+from gridloom.operators import graph
 from gridloom.plans import catalog
 from gridloom.plans.adapters import Tables
 from tests.conftest import SF
@@ -63,3 +64,11 @@ def test_links_crosswalk_and_dissolve_read_all_parts(spark):
 
     keys = t("part").selectExpr("p_size % 3", "p_partkey % 23", "p_brand", "(p_partkey % 23 * 3 + p_size % 5) % 29").distinct().count()
     assert t.sql(_LINKS).count() == keys
+
+
+def test_canonical_links(spark):
+    nodes = spark.createDataFrame([("A",), ("B",), ("A",)], "region string")
+    edges = spark.createDataFrame([("A-B",), ("B-A",), ("A-B",)], "edge_region string")
+    roads = spark.createDataFrame([("A-B", True), ("A-B", True), ("B-A", False)], "edge_region string, connected boolean")
+    found = sorted(tuple(r) for r in graph.canonical_links(nodes, edges, roads).collect())
+    assert found == [("node", "A"), ("node", "B"), ("pipeline", "A-B"), ("pipeline", "B-A"), ("truck", "A-B")]
