@@ -1,15 +1,20 @@
 """Near-duplicate embeddings by product quantisation.
 
 Equal vectors are one class from the start. Coarse centroids and residual codebooks are fitted on a bounded sample of unit vectors; every class is then indexed: its
-inverted list, the code of its residual in each subspace, and its exact quantisation error. A query probes its own list and each list whose border lies so near that a
-vector within the linking distance could lie across it: the distance to the border is compared with the displacement of `sigmas` standard deviations of a random
-direction, with no cap on the number of lists. In a list, asymmetric table-lookup distances keep a resident unless the triangle inequality (distance to its code less
-its error) proves it too far, so codes lose nothing; what is left is ranked by the exact cosine in double precision.
+inverted list, the code of its residual in each subspace, and its exact quantisation error. Lists hold about `LIST_ROWS` classes at every size: their number grows with
+the table, and past `LEVEL_LISTS` of them a further level of centroids quantises the residual, so lists are not capped by the sample.
 
-All rows are queries. Lists and their queries are dealt into blocks of about `block_rows` on both sides; a block returns counts per query and a spanning forest of its
-links, not the links, so a dense group costs rows in proportion to its size.
+A query probes each list whose border lies so near that a vector within the linking distance could lie across it: the distance to the border is compared with the
+displacement of `sigmas` standard deviations of a random direction, level by level, with no cap on the number of lists. In a list, asymmetric table-lookup distances
+keep a resident unless the triangle inequality (distance to its code less its error) proves it too far, so codes lose nothing; what is left is ranked by the exact
+cosine in double precision.
 
-Vectors that are null, zero, of another length than `dim`, or hold null or non-finite parts link with nothing. Repeated rows link as equal vectors. An empty table gives none.
+All rows are queries. Neighbouring lists make a group, to which a query is sent once; groups are cut into blocks of about `BLOCK_ROWS` on both sides. A block returns
+counts per query and a spanning forest of its links, not the links, so a dense group costs rows in proportion to its size.
+
+Vectors of different length link with nothing of each other: blocks hold one length. Lists and codes see the first `dim` parts (the most common length; shorter vectors
+are filled with zeros), which only shortens distances. Vectors that are null, empty, zero, or hold null or non-finite parts link with nothing. Repeated rows link as
+equal vectors; repeated ids with different vectors count as different rows. Extra columns are dropped. An empty table gives none.
 """
 
 from __future__ import annotations
@@ -23,12 +28,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.operators.components import connected_components
-from gridloom.session import materialize
+from gridloom.session import drop_folder, materialize
 
 LEAST_COSINE = 0.9
-#: Vectors that centroids and codebooks are fitted on, at most; standard deviations that a probe covers; rows of a block on either side, about.
-SAMPLE_ROWS, SIGMAS, BLOCK_ROWS = 16_384, 3.0, 2_048
+#: Vectors that centroids and codebooks are fitted on, at most; standard deviations that a probe covers.
+SAMPLE_ROWS, SIGMAS = 16_384, 2.0
+#: Classes of a list, lists of a level of centroids, lists of a group, rows of a block on either side, about.
+LIST_ROWS, LEVEL_LISTS, GROUP_LISTS, BLOCK_ROWS = 128, 1024, 16, 4096
 SUBSPACES, CODES = 8, 256
+#: Table sums are in single precision: a resident is too far only beyond this much more.
+SLACK = 1e-3
 
 
 def k_means(x: np.ndarray, k: int, rounds: int = 8, seed: int = 7) -> np.ndarray:
@@ -36,11 +45,9 @@ def k_means(x: np.ndarray, k: int, rounds: int = 8, seed: int = 7) -> np.ndarray
     centers = x[rng.permutation(len(x))[:k]].copy()
     for _ in range(rounds):
         near = nearest(x, centers)[0]
-        counts = np.bincount(near, minlength=len(centers))
-        sums = np.zeros_like(centers)
-        np.add.at(sums, near, x)
-        some = counts > 0
-        centers[some] = sums[some] / counts[some, None]
+        order = np.argsort(near, kind="stable")
+        some, first, counts = np.unique(near[order], return_index=True, return_counts=True)
+        centers[some] = np.add.reduceat(x[order], first, axis=0) / counts[:, None]
     return centers
 
 
@@ -54,181 +61,268 @@ def nearest(x: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return at, least
 
 
+def apart(centers: np.ndarray) -> np.ndarray:
+    """Distances between centers."""
+    own = (centers**2).sum(1)
+    return np.sqrt(np.maximum(own[:, None] + own[None, :] - 2 * centers @ centers.T, 1e-30))
+
+
 @dataclass
 class Quantiser:
-    centers: np.ndarray  # lists x dim
+    levels: list[np.ndarray]  # for each level of centroids lists x dim; a list is a path, numbered with the last level fastest
+    apart: list[np.ndarray]
+    near: np.ndarray  # the group of each centroid of the last level
     books: list[np.ndarray]  # for each subspace codes x width
     cuts: np.ndarray  # subspace bounds
     reach: float  # linking distance of unit vectors
 
     @staticmethod
     def fit(sample: np.ndarray, lists: int, cosine: float) -> Quantiser:
-        centers = k_means(sample, min(lists, len(sample)))
-        rest = sample - centers[nearest(sample, centers)[0]]
+        depth = 1
+        while lists > LEVEL_LISTS**depth:
+            depth += 1
+        levels, rest = [], sample
+        for _ in range(depth):
+            levels.append(k_means(rest, min(round(lists ** (1 / depth)), len(rest))))
+            rest = rest - levels[-1][nearest(rest, levels[-1])[0]]
+        last = levels[-1]
+        near = nearest(last, k_means(last, max(1, len(last) // GROUP_LISTS)))[0]
         cuts = np.linspace(0, sample.shape[1], min(SUBSPACES, sample.shape[1]) + 1).astype(int)
         books = [k_means(rest[:, a:b], min(CODES, len(sample))) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-        return Quantiser(centers, books, cuts, float(np.sqrt(2 - 2 * cosine)))
-
-    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """List, codes and quantisation error of unit vectors."""
-        at, _ = nearest(x, self.centers)
-        rest = x - self.centers[at]
-        codes, error = np.zeros((len(x), len(self.books)), np.uint8), np.zeros(len(x))
-        for m, (a, b) in enumerate(zip(self.cuts[:-1], self.cuts[1:], strict=True)):
-            codes[:, m] = nearest(rest[:, a:b], self.books[m])[0]
-            error += ((rest[:, a:b] - self.books[m][codes[:, m]]) ** 2).sum(1)
-        return at, codes, np.sqrt(error)
-
-    def probes(self, x: np.ndarray, sigmas: float) -> tuple[np.ndarray, np.ndarray]:
-        """(row, list) of the lists each unit vector probes."""
-        d = (x**2).sum(1)[:, None] + (self.centers**2).sum(1)[None, :] - 2 * x @ self.centers.T
-        own = d.argmin(1)
-        apart = np.sqrt(np.maximum(((self.centers[own][:, None, :] - self.centers[None, :, :]) ** 2).sum(2), 1e-30))
-        border = (d - d[np.arange(len(x)), own][:, None]) / (2 * apart)
-        return np.nonzero(border <= self.reach * min(1.0, sigmas / np.sqrt(x.shape[1])))
-
-    def far(self, queries: np.ndarray, at: int, codes: np.ndarray, errors: np.ndarray) -> np.ndarray:
-        """Whether each resident of list `at` is surely beyond reach of each query: table lookups, a row a query."""
-        rest, d = queries - self.centers[at], np.zeros((len(queries), len(codes)))
+        return Quantiser(levels, [apart(c) for c in levels], near, books, cuts, float(np.sqrt(2 - 2 * cosine)))
+
+    def group(self, at: np.ndarray) -> np.ndarray:
+        """The group of each list."""
+        last = len(self.levels[-1])
+        return at // last * (int(self.near.max()) + 1) + self.near[at % last]
+
+    def centers(self, at: np.ndarray | int, depth: int | None = None) -> np.ndarray:
+        """The sum of the centroids of a list, or of the first levels of a path."""
+        own = 0
+        for c in reversed(self.levels[:depth]):
+            own, at = own + c[at % len(c)], at // len(c)
+        return own
+
+    def lists(self, x: np.ndarray) -> np.ndarray:
+        at = np.zeros(len(x), np.int64)
+        for c in self.levels:
+            own = nearest(x, c)[0]
+            at, x = at * len(c) + own, x - c[own]
+        return at
+
+    def codes(self, x: np.ndarray, at: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of residents of list `at`: codes, quantisation errors, and what the tables of a query leave out of the squared distance."""
+        center = self.centers(at)
+        rest = x - center
+        codes, error, extra = np.zeros((len(self.books), len(x)), np.uint8), np.zeros(len(x)), np.zeros(len(x))
         for m, (a, b) in enumerate(zip(self.cuts[:-1], self.cuts[1:], strict=True)):
-            table = ((rest[:, a:b][:, None, :] - self.books[m][None, :, :]) ** 2).sum(2)
-            d += table[:, codes[:, m]]
-        return np.sqrt(d) > self.reach + errors[None, :] + 1e-9
+            codes[m], own = nearest(rest[:, a:b], self.books[m])
+            error += np.maximum(own, 0)
+            extra += ((self.books[m] ** 2).sum(1) + 2 * self.books[m] @ center[a:b])[codes[m]]
+        return codes, np.sqrt(error), extra
+
+    def probes(self, x: np.ndarray, width: int, sigmas: float) -> tuple[np.ndarray, np.ndarray]:
+        """(row, list) of the lists each vector of that length probes."""
+        most = self.reach * min(1.0, sigmas / np.sqrt(width))
+        row, at = np.arange(len(x)), np.zeros(len(x), np.int64)
+        for k, (c, between) in enumerate(zip(self.levels, self.apart, strict=True)):
+            rest, rows, found = x if k == 0 else x[row], [], []
+            if k:
+                rest = rest - self.centers(at, k)
+            for i in range(0, len(rest), 1024):
+                d = (c**2).sum(1)[None, :] - 2 * rest[i : i + 1024] @ c.T
+                own = d.argmin(1)
+                p, j = np.nonzero(d - d[np.arange(len(d)), own][:, None] <= 2 * most * between[own])
+                rows.append(p + i)
+                found.append(j)
+            rows = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+            row, at = row[rows], at[rows] * len(c) + (np.concatenate(found) if found else rows)
+        return row, at
+
+    def tables(self, x: np.ndarray) -> list[np.ndarray]:
+        """For each subspace, query and code: minus twice their product."""
+        return [(-2 * x[:, a:b] @ book.T).astype(np.float32) for a, b, book in zip(self.cuts[:-1], self.cuts[1:], self.books, strict=True)]
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links between a and b: each round every tree takes one link, and links inside trees go."""
+    names, flat = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y, above, kept = flat[: len(a)], flat[len(a) :], np.arange(len(names)), []
+    left = np.arange(len(a))
+
+    def top(i: int) -> int:
+        while above[i] != i:
+            i = above[i]
+        return i
+
+    while len(left):
+        tried = np.unique(np.concatenate([np.unique(above[side[left]], return_index=True)[1] for side in (x, y)]))
+        for k in left[tried].tolist():
+            p, q = top(x[k]), top(y[k])
+            if p != q:
+                above[max(p, q)] = min(p, q)
+                kept.append(k)
+        while (above != above[above]).any():
+            above = above[above]
+        left = left[above[x[left]] != above[y[left]]]
+    return a[kept], b[kept]
 
 
-def forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    """A spanning forest of the links between a and b."""
-    above: dict[int, int] = {}
-
-    def top(x: int) -> int:
-        while (y := above.get(x, x)) != x:
-            above[x] = above.get(y, y)
-            x = y
-        return x
-
-    kept = []
-    for x, y in zip(a.tolist(), b.tolist(), strict=True):
-        p, q = top(x), top(y)
-        if p != q:
-            above[max(p, q)] = min(p, q)
-            kept.append((x, y))
-    return kept
+def unit(x: np.ndarray) -> np.ndarray:
+    x = x / np.abs(x).max(axis=1, keepdims=True)  # squares neither overflow nor vanish
+    return x / np.sqrt((x**2).sum(1, keepdims=True))
 
 
-def matrix(column: pa.Array, dim: int) -> np.ndarray:
+def units(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, unit vectors) of a list column, for each length in it."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+    sizes, flat = np.diff(column.offsets.to_numpy()), column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    starts = np.cumsum(sizes) - sizes
+    for n in np.unique(sizes):
+        rows = np.flatnonzero(sizes == n)
+        yield rows, unit(flat[starts[rows][:, None] + np.arange(n)[None, :]])
 
 
-def unit(x: np.ndarray) -> np.ndarray:
-    x = x / np.abs(x).max(axis=1, keepdims=True)  # squares neither overflow nor vanish
-    return x / np.sqrt((x**2).sum(1, keepdims=True))
+def fitted(x: np.ndarray, dim: int) -> np.ndarray:
+    """The first dim parts; zeros fill shorter vectors."""
+    return x[:, :dim] if x.shape[1] >= dim else np.pad(x, ((0, 0), (0, dim - x.shape[1])))
 
 
-BLOCK = "part long, class_id long, weight long, query boolean, vector array<double>"
+DEALT = "width int, `group` long, class_id long, weight long, query boolean, lists array<int>, vector array<{}>"
+LINKS = "a long, b long, n long"
 
 
-def near_embeddings(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = LEAST_COSINE, dim: int | None = None, sample_rows: int = SAMPLE_ROWS, sigmas: float = SIGMAS) -> DataFrame:
-    """vec_id, n_links (other rows within the cosine), component_id (smallest vec_id reachable), kept (vec_id = component_id) of each row."""
-    spark = vectors.sparkSession
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"))
-    if dim is None:
-        common = rows.groupBy(F.size("vector").alias("n")).count().where("n > 0").orderBy(F.desc("count"), "n").first()
-        dim = common.n if common else 1
-    finite = F.forall("vector", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
-    good = F.coalesce((F.size("vector") == dim) & finite & F.exists("vector", lambda v: v != 0), F.lit(False))
-    classes = rows.where(good).groupBy("vector").agg(F.min("vec_id").alias("least_id"), F.count("*").alias("weight"))
-    classes = materialize(classes.withColumn("class_id", F.monotonically_increasing_id()), "vectors")
-    n = classes.count()
-    lists = int(min(4096, max(1, round(np.sqrt(n) / 2))))
-    sample = classes.orderBy(F.xxhash64("vector"), "class_id").limit(sample_rows).select("vector").toArrow()
-    if n:
-        shared = spark.sparkContext.broadcast(Quantiser.fit(unit(matrix(sample["vector"], dim)), lists, cosine))
-    else:
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-
-    def rank(rows: np.ndarray, salt: int, parts: np.ndarray) -> np.ndarray:
-        h = (rows.astype(np.uint64) + np.uint64(salt)) * np.uint64(0x9E3779B97F4A7C15)
-        return ((h >> np.uint64(33)) % parts.astype(np.uint64)).astype(np.int64)
+def found_links(classes: DataFrame, dim: int, cosine: float, sample_rows: int, sigmas: float) -> DataFrame:
+    """a, b (null: n is the number of rows that link with a; else a link of a spanning forest) of the classes (class_id, weight, vector)."""
+    spark, n = classes.sparkSession, classes.count()
+    sample = classes.orderBy(F.xxhash64("vector"), "class_id").limit(sample_rows).select("vector").toArrow()["vector"]
+    sample = np.concatenate([np.zeros((0, dim)), *(fitted(x, dim) for _, x in units(sample))])
+    if not n:
+        return spark.createDataFrame([], LINKS)
+    shared = spark.sparkContext.broadcast(Quantiser.fit(sample, max(1, round(n / LIST_ROWS)), cosine))
 
-    def sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q, total = shared.value, np.zeros((len(shared.value.centers), 2), np.int64)
-        for b in batches:
-            x = unit(matrix(b.column(0), dim))
+    def placed(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(rows, own lists, probing rows, probed lists) of some vectors at a time."""
+        q = shared.value
+        for rows, x in units(column):
             for i in range(0, len(x), 1024):
-                total[:, 0] += np.bincount(nearest(x[i : i + 1024], q.centers)[0], minlength=len(total))
-                total[:, 1] += np.bincount(q.probes(x[i : i + 1024], sigmas)[1], minlength=len(total))
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total[:, 0]), pa.array(total[:, 1])], names=["list", "residents", "queries"])
+                part = fitted(x[i : i + 1024], dim)
+                row, at = q.probes(part, x.shape[1], sigmas)
+                yield rows[i : i + 1024], q.lists(part), rows[i : i + 1024][row], at
 
-    found = classes.select("vector").mapInArrow(sized, "list long, residents long, queries long").groupBy("list").agg(F.sum("residents"), F.sum("queries")).orderBy("list").collect()
-    cut = np.maximum(1, -(-np.array([r[1:] for r in found]) // BLOCK_ROWS))  # a row a list: at most 4,096
-    width = int(cut.max()) + 1
+    def sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q = shared.value
+        for b in batches:
+            for _, own, row, at in placed(b.column(0)):
+                asks = np.unique(np.stack([row, q.group(at)]), axis=1)[1]
+                names, where = np.unique(np.concatenate([q.group(own), asks]), return_inverse=True)
+                counts = [np.bincount(w, minlength=len(names)) for w in (where[: len(own)], where[len(own) :])]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (names, *counts)], names=["group", "residents", "queries"])
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q = shared.value
         for b in batches:
-            ids, weights, raw = b.column(0).to_numpy(), b.column(1).to_numpy(), matrix(b.column(2), dim)
-            for i in range(0, len(raw), 1024):
-                x = unit(raw[i : i + 1024])
-                own, (row, probed) = nearest(x, q.centers)[0], q.probes(x, sigmas)
-                rb = rank(ids[i : i + 1024], 1, cut[own, 0])
-                qb = rank(ids[i : i + 1024][row], 2, cut[probed, 1])
-                copies = cut[own, 1]
-                r_row = np.repeat(np.arange(len(x)), copies)
-                r_part = (own[r_row] * width + rb[r_row]) * width + np.arange(len(r_row)) - np.repeat(np.cumsum(copies) - copies, copies)
-                copies = cut[probed, 0]
-                at = np.repeat(np.arange(len(row)), copies)
-                q_part = (probed[at] * width + np.arange(len(at)) - np.repeat(np.cumsum(copies) - copies, copies)) * width + qb[at]
-                where = i + np.concatenate([r_row, row[at]])
+            sizes = np.diff(b.column(2).offsets.to_numpy())
+            for rows, own, row, at in placed(b.column(2)):
+                groups = q.group(at)
+                order = np.lexsort((groups, row))
+                row, at, groups = row[order], at[order], groups[order]
+                first = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (groups[1:] != groups[:-1])))
+                where = np.concatenate([rows, row[first]])
+                bounds = np.concatenate([np.arange(len(rows)), len(rows) + np.append(first, len(row))]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.concatenate([r_part, q_part])),
-                        *(pa.array(v[where]) for v in (ids, weights)),
-                        pa.array(np.arange(len(where)) >= len(r_row)),
+                        pa.array(sizes[where].astype(np.int32)),
+                        pa.array(np.concatenate([q.group(own), groups[first]])),
+                        *(b.column(c).take(pa.array(where)) for c in (0, 1)),
+                        pa.array(np.arange(len(where)) >= len(rows)),
+                        pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate([own, at]).astype(np.int32))),
                         b.column(2).take(pa.array(where)),
                     ],
-                    names=["part", "class_id", "weight", "query", "vector"],
+                    names=["width", "group", "class_id", "weight", "query", "lists", "vector"],
                 )
 
     def linked(key: tuple, group: pa.Table) -> pa.Table:
-        """Counts (b null) and forest links of a block."""
-        q, at = shared.value, key[0].as_py() // (width * width)
+        """Counts and forest links of a block."""
+        q = shared.value
         ids, weights, asks = (group[c].to_numpy() for c in ("class_id", "weight", "query"))
-        x = unit(matrix(group["vector"], dim))
-        there, here = x[~asks], x[asks]
-        _, codes, errors = q.encode(there) if len(there) else (None, np.zeros((0, len(q.books)), np.uint8), np.zeros(0))
-        r_ids, r_weights, q_ids = ids[~asks], weights[~asks], ids[asks]
-        counts, a, b = np.zeros(len(here), np.int64), [], []
-        for i in range(0, len(here) if len(there) else 0, 256):
-            k, j = np.nonzero(~q.far(here[i : i + 256], at, codes, errors))
-            for p in range(0, len(k), 1 << 16):
-                kk, jj = k[p : p + (1 << 16)] + i, j[p : p + (1 << 16)]
-                ok = (np.einsum("ij,ij->i", here[kk], there[jj]) >= cosine) & (q_ids[kk] != r_ids[jj])
-                kk, jj = kk[ok], jj[ok]
-                np.add.at(counts, kk, r_weights[jj])
-                a.append(q_ids[kk])
-                b.append(r_ids[jj])
-        kept = forest(np.concatenate(a), np.concatenate(b)) if a else []
-        some = counts > 0
+        lists = group["lists"].combine_chunks()
+        of = np.repeat(np.arange(len(ids)), np.diff(lists.offsets.to_numpy()))
+        at = lists.flatten().to_numpy()
+        (_, x), = units(group["vector"])
+        near = fitted(x, dim)
+        counts, a, b = np.zeros(len(ids), np.int64), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for name in np.unique(at[~asks[of]]):
+            there, here = of[(at == name) & ~asks[of]], of[(at == name) & asks[of]]
+            codes, errors, extra = q.codes(near[there], int(name))
+            far, center = ((q.reach + errors + SLACK) ** 2 - extra).astype(np.float32)[None, :], q.centers(int(name))
+            for i in range(0, len(here), 256):
+                own = here[i : i + 256]
+                d = np.repeat((((near[own] - center) ** 2).sum(1))[:, None].astype(np.float32), len(there), axis=1)
+                for m, table in enumerate(q.tables(near[own])):
+                    d += table[:, codes[m]]
+                k, j = np.nonzero(d <= far)
+                if 8 * len(k) > d.size:  # most are near: all products at once cost less than picked ones
+                    k, j = np.nonzero(x[own] @ x[there].T >= cosine)
+                else:
+                    k, j = (v[np.einsum("ij,ij->i", x[own][k], x[there][j]) >= cosine] for v in (k, j)) if len(k) else (k, j)
+                k, j = own[k], there[j]
+                other = ids[k] != ids[j]
+                k, j = k[other], j[other]
+                counts += np.bincount(k, weights[j], minlength=len(ids)).astype(np.int64)
+                p, r = forest(ids[k], ids[j])
+                a.append(p)
+                b.append(r)
+        some, (p, r) = counts > 0, forest(np.concatenate(a), np.concatenate(b))
         return pa.table(
             {
-                "a": pa.array([*q_ids[some].tolist(), *(x for x, _ in kept)], pa.int64()),
-                "b": pa.array([*[None] * int(some.sum()), *(y for _, y in kept)], pa.int64()),
-                "n": pa.array([*counts[some].tolist(), *[0] * len(kept)], pa.int64()),
+                "a": pa.array(np.concatenate([ids[some], p])),
+                "b": pa.array(np.concatenate([ids[some], r]), mask=np.arange(int(some.sum()) + len(p)) < some.sum()),
+                "n": pa.array(np.concatenate([counts[some], np.zeros(len(p), np.int64)])),
             }
         )
 
-    blocks = classes.select("class_id", "weight", "vector").mapInArrow(dealt, BLOCK)
-    made = materialize(blocks.groupBy("part").applyInArrow(linked, "a long, b long, n long"), "links")
+    sizes = classes.select("vector").mapInArrow(sized, "`group` long, residents long, queries long").groupBy("group").agg(F.sum("residents").alias("r"), F.sum("queries").alias("q"))
+    cut = lambda c: F.ceil(F.col(c) / BLOCK_ROWS).cast("int")
+    large = sizes.where((F.col("r") > BLOCK_ROWS) | (F.col("q") > BLOCK_ROWS)).select("group", F.greatest(cut("r"), F.lit(1)).alias("r"), F.greatest(cut("q"), F.lit(1)).alias("q"))
+    kind = classes.schema["vector"].dataType.elementType.simpleString()
+    rows = classes.select("class_id", "weight", "vector").mapInArrow(dealt, DEALT.format(kind)).join(large, "group", "left")
+    # a resident meets each block of queries, a query each block of residents
+    one = lambda c, salt: F.pmod(F.xxhash64("class_id", F.lit(salt)), F.coalesce(F.col(c), F.lit(1))).cast("int")
+    every = lambda c: F.sequence(F.lit(0), F.coalesce(F.col(c), F.lit(1)) - 1)
+    rows = rows.withColumn("rb", F.explode(F.when(F.col("query"), every("r")).otherwise(F.array(one("r", 1))))).withColumn("qb", F.explode(F.when(F.col("query"), F.array(one("q", 2))).otherwise(every("q"))))
+    return rows.groupBy("width", "group", "rb", "qb").applyInArrow(linked, LINKS)
+
+
+def near_embeddings(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = LEAST_COSINE, dim: int | None = None, sample_rows: int = SAMPLE_ROWS, sigmas: float = SIGMAS) -> DataFrame:
+    """vec_id, n_links (other rows within the cosine), component_id (smallest vec_id reachable), kept (vec_id = component_id) of each row."""
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("vector"))
+    if rows.schema["vector"].dataType.elementType.simpleString() not in ("float", "double"):
+        rows = rows.withColumn("vector", F.col("vector").cast("array<double>"))
+    finite = F.forall("vector", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    good = F.coalesce(finite & F.exists("vector", lambda v: v != 0), F.lit(False))
+    classes = rows.where(good).groupBy("vector").agg(F.min("vec_id").alias("least_id"), F.count("*").alias("weight"))
+    classes = materialize(classes.withColumn("class_id", F.monotonically_increasing_id()), "vectors")
+    if dim is None:
+        common = classes.groupBy(F.size("vector").alias("n")).agg(F.sum("weight").alias("rows")).orderBy(F.desc("rows"), "n").first()
+        dim = common.n if common else 1
+    made = materialize(found_links(classes, dim, cosine, sample_rows, sigmas), "links")
     counts = made.where("b is null").groupBy(F.col("a").alias("class_id")).agg(F.sum("n").alias("others"))
-    member = connected_components(made.where("b is not null")).select(F.col("node").alias("class_id"), "component")
-    placed = classes.join(member, "class_id", "left").join(counts, "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
-    least = placed.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    placed = placed.join(least, "component").select("vector", (F.coalesce("others", F.lit(0)) + F.col("weight") - 1).cast("long").alias("n_links"), "component_id")
-    key = F.when(good, F.col("vector"))  # vectors that link with nothing meet no class
-    out = rows.select("vec_id", key.alias("vector")).join(placed, "vector", "left")
-    component = F.coalesce("component_id", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
+    # nodes that sort by the least vec_id (null last): a component's least node names it
+    node = F.struct(F.col("least_id").isNull().alias("none"), "least_id", "class_id")
+    links = made.where("b is not null").select(F.col("a").alias("class_id"), "b")
+    links = links.join(classes.select("class_id", node.alias("x")), "class_id").select("x", F.col("b").alias("class_id"))
+    links = links.join(classes.select("class_id", node.alias("y")), "class_id").select("x", "y")
+    member = connected_components(links, "x", "y").select(F.col("node.class_id").alias("class_id"), F.col("component.least_id").alias("component_id"))
+    placed = classes.join(member, "class_id", "left").join(counts, "class_id", "left")
+    placed = placed.select("vector", (F.coalesce("others", F.lit(0)) + F.col("weight") - 1).cast("long").alias("n_links"), F.coalesce("component_id", "least_id").alias("component_id"))
+    placed = materialize(placed, "placed")
+    drop_folder(made)
+    drop_folder(classes)
+    # vectors that link with nothing take no part in the join
+    out = rows.where(good).join(placed, "vector").select("vec_id", "n_links", "component_id")
+    out = out.unionByName(rows.where(~good).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")))
+    return out.select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 #: DuckDB SQL of op9: all pairs, then the closure of the links.

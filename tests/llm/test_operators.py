@@ -104,6 +104,36 @@ def test_pii_redaction(spark):
     assert out == {1: "to <EMAIL> or <IP> now", 2: None, 3: "none"}
 
 
+def test_pii_many_matches_in_one_text(spark):
+    """Time grows with the matches, not with their square: 400,000 short numbers, and thousands of confirmed spans, in one text."""
+    mails = "".join(f"é a{i}@b.co" for i in range(20_000))
+    found = {r.doc_id: r for r in pii.digest(pii.find_pii(frame(spark, [(1, ", ".join(["12"] * 400_000)), (2, mails)]))).collect()}
+    assert found[1].spans == ""
+    at, want = 0, []
+    for i in range(20_000):
+        n = len(f"a{i}@b.co")
+        want.append(f"email:{at + 2}:{at + 2 + n}")
+        at += 2 + n
+    assert found[2].spans == ",".join(want)
+
+
+def test_pii_context_decides(spark):
+    key = "0123456789abcdef0123456789abcdef"
+    texts = [f"the token = {key} end", f"see commit {key} end", f"plain {key} end", "host 8.8.8.8 up", "version 8.8.8.8 out", f"x{key}é token {key[:23]}"]
+    docs = frame(spark, list(enumerate(texts)))
+    found = pii.find_pii(docs)
+    out = {r.doc_id: r.text for r in pii.redact(found, docs).collect()}
+    assert out == {0: "the token = <SECRET> end", 1: texts[1], 2: texts[2], 3: "host <IP> up", 4: texts[4], 5: texts[5]}
+    assert {r.doc_id: (r.n_secret, r.n_ip, r.n_likely) for r in pii.digest(found).collect()} == {0: (1, 0, 1), 1: (1, 0, 0), 2: (1, 0, 0), 3: (0, 1, 1), 4: (0, 1, 0), 5: (1, 0, 0)}
+
+
+def test_pii_redaction_of_overlaps(spark):
+    text = "a1@b.co call +4222222222222, card 4111 1111 1111 1111 é"  # the first number is a phone's and, without its sign, a card's
+    docs = frame(spark, [(1, text), (2, text * 500)])
+    out = {r.doc_id: r.text for r in pii.redact(pii.find_pii(docs), docs).collect()}
+    assert out[1] == "<EMAIL> call <PHONE>, card <CARD> é" and out[2] == out[1] * 500
+
+
 def brute_print(t):
     w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     if not w:
@@ -356,6 +386,67 @@ def test_embeddings_against_all_pairs(spark):
     assert near_embeddings(none).count() == 0
 
 
+def brute_links(rows, cosine=0.9):
+    """{key: (n_links, component)} of (vec_id, vector) rows by all pairs; key is the row's place."""
+    above = list(range(len(rows)))
+
+    def top(x):
+        while above[x] != x:
+            x = above[x]
+        return x
+
+    units = []
+    for _, v in rows:
+        ok = bool(v) and all(x is not None and np.isfinite(x) for x in v) and any(v)
+        v = np.array(v, np.float64) if ok else None
+        v = v / np.abs(v).max() if ok else None
+        units.append(v / np.linalg.norm(v) if ok else None)
+    n = [0] * len(rows)
+    for a in range(len(rows)):
+        for b in range(a):
+            if units[a] is not None and units[b] is not None and len(units[a]) == len(units[b]) and units[a] @ units[b] >= cosine:
+                n[a], n[b] = n[a] + 1, n[b] + 1
+                above[top(a)] = top(b)
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        least[top(k)] = min(least.get(top(k), i), i)
+    return sorted((i, n[k], least[top(k)], i == least[top(k)]) for k, (i, _) in enumerate(rows))
+
+
+@pytest.mark.parametrize("levels", [1024, 3])
+def test_embeddings_by_row(spark, monkeypatch, levels):
+    """Every row's links and component, with lists of one or several levels, blocks of a few rows, mixed lengths and repeated ids."""
+    from gridloom.llm import embeddings
+
+    for name, value in {"LIST_ROWS": 12, "LEVEL_LISTS": levels, "BLOCK_ROWS": 40}.items():
+        monkeypatch.setattr(embeddings, name, value)
+    rng = np.random.default_rng(2)
+    rows = []
+    for width, n in ((16, 260), (3, 40), (40, 40)):
+        base = rng.normal(size=(n // 4, width))
+        rows += [(len(rows) + k, (base[k % len(base)] + rng.normal(size=width) * rng.uniform(0, 0.3) * (k >= len(base))).tolist()) for k in range(n)]
+    rows += [(1, rows[5][1]), (1, rows[300][1]), (7, rows[7][1]), (900, None), (901, []), (902, [0.0] * 16), (903, [1.0, None, 2.0]), (904, [float("inf")] * 3), (905, [1.0]), (906, [2.0]), (907, [-0.0, 0.0, 1.0]), (908, [0.0, 0.0, 1.0])]
+    frame = spark.createDataFrame([(i, v, "x", 1) for i, v in rows], "vec_id long, embedding array<double>, vector string, class_id int")
+    found = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in near_embeddings(frame, sigmas=100.0).collect())
+    assert found == brute_links(rows)
+    assert len({c for *_, c, _ in found}) < len(rows) - 60
+
+
+def test_embeddings_recall(spark):
+    """With production settings nearly all links at and beyond the threshold are found, and none below it."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(2000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = rng.normal(size=x.shape)
+    y -= (y * x).sum(1, keepdims=True) * x
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    cos = rng.uniform(0.88, 0.95, (2000, 1))
+    rows = [(i, v.tolist()) for i, v in enumerate([*x, *(cos * x + np.sqrt(1 - cos**2) * y)])]
+    want, found = {i: n for i, n, *_ in [(i, int(cos[i % 2000, 0] >= 0.9)) for i in range(4000)]}, near_embeddings(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert all(r.n_links <= want[r.vec_id] for r in found)
+    assert sum(r.n_links for r in found) >= 0.98 * sum(want.values())
+
+
 def test_token_counts_against_library(docs, rows, none):
     import public_tokenizers
     import sentencepiece
