@@ -27,7 +27,7 @@ KEEP_CASE = np.arange(256, dtype=np.uint8)
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
-_BYTE_VALUES = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_KEEP = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 _powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
@@ -65,14 +65,18 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
     def hashes(self, fold: np.ndarray = KEEP_CASE) -> np.ndarray:
-        """A 64-bit hash of each word's bytes; fold maps each byte first (LOWER: A-Z to a-z)."""
+        """A 64-bit hash of each word's bytes; fold maps each byte first (LOWER: A-Z to a-z). Eight bytes at a time are mixed with their place, so no sum of byte values can cancel."""
         if not len(self):
             return np.zeros(0, np.uint64)
-        up, down = powers(len(self.data) + 1)
-        sums = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum(_BYTE_VALUES[fold][self.data] * down[1:], out=sums[1:])
-        # the reversed powers make equal words at different places equal
-        return mixed((sums[self.ends] - sums[self.starts]) * up[self.starts] + (self.ends - self.starts).astype(np.uint64))
+        sizes = self.ends - self.starts
+        pieces = (sizes + 7) >> 3
+        first = np.cumsum(pieces) - pieces
+        word = np.repeat(np.arange(len(self)), pieces)
+        i = np.arange(len(word)) - first[word]
+        data = np.concatenate([fold[self.data], np.zeros(8, np.uint8)])
+        eights = np.ndarray(len(self.data) + 1, "<u8", data, strides=(1,))  # the eight bytes from each place on
+        own = eights[self.starts[word] + 8 * i] & _KEEP[np.minimum(sizes[word] - 8 * i, 8)]
+        return mixed(np.add.reduceat(mixed(own + (i + 1).astype(np.uint64) * np.uint64(_BASE)), first) + sizes.astype(np.uint64))
 
     def windows(self, hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
         """Starts (word indices) and hashes of all windows of `size` words that lie in one text."""
@@ -91,6 +95,36 @@ class Words:
         return at, mixed((sums[at + size] - sums[at]) * up[at] + np.uint64(size))
 
 
+def same_windows(a: Words, at: np.ndarray, b: Words, to: np.ndarray, size: int) -> np.ndarray:
+    """Whether the `size` words of a from each `at` on equal those of b from `to` on, byte for byte. Windows that overlap on both sides are compared once."""
+    if not len(at):
+        return np.zeros(0, bool)
+    order = np.lexsort((at, to - at))
+    p, q = at[order], to[order]
+    new = np.append(True, (np.diff(q - p) != 0) | (np.diff(p) > size))
+    run = np.cumsum(new) - 1
+    first, last = np.flatnonzero(new), np.append(np.flatnonzero(new)[1:], len(p)) - 1
+    n = p[last] - p[first] + size
+    base = np.cumsum(n) - n
+    i = np.arange(n.sum()) - np.repeat(base, n)
+    x, y = np.repeat(p[first], n) + i, np.repeat(q[first], n) + i
+    sizes = a.ends[x] - a.starts[x]
+    bad = sizes != b.ends[y] - b.starts[y]
+    like = np.flatnonzero(~bad)
+    for part in np.array_split(like, max(1, int(sizes[like].sum()) >> 24)):  # bytes of some words at a time
+        own = sizes[part]
+        begins = np.cumsum(own) - own
+        j = np.arange(own.sum()) - np.repeat(begins, own)
+        other = a.data[np.repeat(a.starts[x[part]], own) + j] != b.data[np.repeat(b.starts[y[part]], own) + j]
+        if len(part):
+            bad[part] = np.logical_or.reduceat(other, begins)
+    wrong = np.append(0, np.cumsum(bad))
+    place = base[run] + p - p[first][run]
+    ok = np.zeros(len(p), bool)
+    ok[order] = wrong[place + size] == wrong[place]
+    return ok
+
+
 def words(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> Words:
     """Runs of bytes in is_word, none across texts. offsets: where each text starts in data, and the end of the last."""
     inside = is_word[data]
