@@ -4,14 +4,19 @@ Tokens (words) are summed by source, language and topic; the cell masses are rak
 probability with which each of its documents is kept. A mass never exceeds the cell's tokens: documents can't be kept more than once, so other cells of a margin take
 up what a small one can't give. Which documents stay is decided by a hash of the row, so the sample is the same at any partitioning, and equal rows share their fate.
 
-Targets default to each margin's own shares to a power below one (a temperature), which lifts small sources and languages. Cells and margins stay DataFrames: there may
-be any number of sources. Null labels are a value like any other. Null or empty texts weigh nothing and are kept as their cell is. Extra columns are dropped.
+Targets default to each margin's own shares to a power below one (a temperature), which lifts small sources and languages. There may be any number of sources: up to
+`FEW_CELLS` cells (counted first) are raked in memory, more as DataFrames, by the same steps. Raking that doesn't settle raises; `margins` reports what was reached.
+
+Null labels are a value like any other. Null or empty texts weigh nothing and are kept as their cell is. Equal rows are kept or not together. A very long text is one
+row's work. An empty table gives none. Extra columns are dropped.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,7 +26,8 @@ from gridloom.session import drop_folder, materialize
 GAP = r"[\x20\x09-\x0D]+"
 TOPICS = (("table", r" \| "), ("contact", r"@|\+[0-9]"), ("licence", r"(?i)license|copyright"))
 POWERS = {"source": 0.5, "lang": 0.8, "topic": 0.9}
-ROUNDS, TOLERANCE = 30, 1e-4
+#: Rounds after which raking is given up, the share of the budget that a round still moves when it has settled, and cells raked in memory at most.
+ROUNDS, TOLERANCE, FEW_CELLS = 500, 1e-4, 1 << 16
 
 
 def n_tokens(text: Column) -> Column:
@@ -63,6 +69,9 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], budget: float, rounds:
     state = cells
     for margin, wanted in targets.items():
         state = state.alias("l").join(wanted.alias("r"), same(margin), "left").select("l.*", (F.coalesce("r.target", F.lit(0.0)) * budget).alias(f"want_{margin}"))
+    few = state.limit(FEW_CELLS + 1).toArrow()
+    if few.num_rows <= FEW_CELLS:
+        return state.sparkSession.createDataFrame(raked(few, list(targets), budget, rounds, tolerance), state.schema.add("mass", "double"))
     state, fixed = materialize(state.withColumn("mass", F.col("tokens") * F.lit(1.0)), "cells"), state.columns
     for _ in range(rounds):
         step = state.select(*fixed, "mass", F.col("mass").alias("was"))
@@ -75,8 +84,35 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], budget: float, rounds:
         state = new
         moved = state.agg(F.sum(F.abs(F.col("mass") - F.col("was")))).first()[0]
         if not moved or moved <= tolerance * budget:
-            break
-    return state
+            return state.drop("was")
+    raise RuntimeError("the mixture did not settle")
+
+
+def raked(cells: pa.Table, margins: list[str], budget: float, rounds: int, tolerance: float) -> pa.Table:
+    """The rounds of rake() on few cells in memory."""
+    tokens = cells["tokens"].to_numpy().astype(np.float64)
+    codes = {m: cells[m].combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy() for m in margins} if len(tokens) else {}
+    want = {m: cells[f"want_{m}"].to_numpy() for m in codes}
+    mass = tokens.copy()
+    for _ in range(rounds):
+        was = mass
+        for m, own in codes.items():
+            sums = np.bincount(own, mass)[own]
+            mass = np.where(sums > 0, np.minimum(mass * want[m] / np.where(sums > 0, sums, 1), tokens), 0)
+        if np.abs(mass - was).sum() <= tolerance * budget:
+            return cells.append_column("mass", pa.array(mass))
+    raise RuntimeError("the mixture did not settle")
+
+
+def margins(fitted: DataFrame, targets: dict[str, DataFrame]) -> DataFrame:
+    """margin, value, target, reached (shares) of what rake() gave: where no document can be kept twice, small values stay below their target."""
+    total = fitted.agg(F.sum("mass").alias("all"))
+    parts = []
+    for margin, wanted in targets.items():
+        own = fitted.groupBy(margin).agg(F.sum("mass").alias("mass")).join(F.broadcast(total))  # total is one row
+        own = own.alias("l").join(wanted.alias("r"), same(margin), "left").select(F.lit(margin).alias("margin"), F.col(f"l.{margin}").cast("string").alias("value"), F.coalesce("r.target", F.lit(0.0)).alias("target"), (F.col("mass") / F.col("all")).alias("reached"))
+        parts.append(own)
+    return reduce(DataFrame.unionByName, parts)
 
 
 def mix(docs: DataFrame, share: float = 0.7, targets: dict[str, DataFrame] | None = None, powers: dict[str, float] = POWERS, seed: int = 5) -> DataFrame:

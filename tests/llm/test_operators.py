@@ -293,6 +293,22 @@ def test_mixing_against_plain_raking(spark, none):
     assert mixing.mix(none).count() == 0
 
 
+def test_mixing_reports_and_rakes_alike_at_any_size(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(i, " ".join(["w"] * rng.randint(0, 40)), rng.choice(["en", "de", None]), rng.choice(["a", "a", "a", "b", None]), 1, "x") for i in range(300)] + [(1, "w " * 200_000, "en", "b", 1, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_tokens int, topic string")
+    found = sorted((tuple(r) for r in mixing.mix(docs, share=0.5).collect()), key=repr)
+    cells = mixing.labelled(docs.where("length(text) < 1000")).groupBy("source", "lang", "topic").agg(F.sum("n_tokens").alias("tokens"))
+    targets = mixing.default_targets(cells)
+    total = cells.agg(F.sum("tokens")).first()[0]
+    reached = {(r.margin, r.value): (r.target, r.reached) for r in mixing.margins(mixing.rake(cells, targets, 0.2 * total), targets).collect()}
+    assert all(abs(t - r) < 1e-3 for t, r in reached.values())
+    monkeypatch.setattr(mixing, "FEW_CELLS", 0)
+    assert sorted((tuple(r) for r in mixing.mix(docs, share=0.5).collect()), key=repr) == [(*r[:6], pytest.approx(r[6], abs=1e-8), r[7]) for r in found]
+    with pytest.raises(RuntimeError):
+        mixing.rake(cells, targets, 0.2 * total, rounds=1)
+
+
 def test_lines_against_all_pairs(spark, docs, rows, none):
     rng = random.Random(6)
     extra = []
