@@ -204,6 +204,38 @@ def test_substrings_against_all_windows(docs, rows, none):
     assert substrings.find_repeats(none).count() == 0
 
 
+def colliding_words(n=10):
+    """Two words of 2**n letters of which sums of letter values times powers of any base modulo 2**64 are the same."""
+    bits = [bin(i).count("1") & 1 for i in range(1 << n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_windows_that_differ_in_a_colliding_word_are_apart(spark):
+    x, y = colliding_words()
+    words = vocabulary(4, 34)
+    rows = [(1, " ".join([*words[:20], x, *words[20:]])), (2, " ".join([*words[:20], y, *words[20:]]))]
+    assert pairs(substrings.digest(substrings.find_repeats(frame(spark, rows))), "doc_id", "n_removed") == [(1, 0), (2, 0)]
+    bench = spark.createDataFrame([(7, " ".join([*words[:9], x]))], "item_id long, text string")
+    docs = frame(spark, [(1, " ".join([*words[:9], y])), (2, " ".join([*words[:9], x]))])
+    assert pairs(decontaminate.digest(decontaminate.find_benchmark(docs, bench)), "doc_id", "n_hit", "contaminated") == [(1, 0, False), (2, 10, True)]
+
+
+@pytest.mark.parametrize("bits", [0, 3, 7])
+def test_equal_hashes_are_compared(spark, bits):
+    """With hashes of few bits, where most windows collide, results stay exact."""
+    rng, vocab = random.Random(12), vocabulary(3, 40)
+    passages = [" ".join(rng.choices(vocab, k=12)) for _ in range(4)]
+    docs = [(i, " ".join(rng.choice(passages) if rng.random() < 0.3 else " ".join(rng.choices(vocab, k=6)) for _ in range(6))) for i in range(60)]
+    split, seen = [t.split() for _, t in docs], {}
+    for k, own in enumerate(split):
+        for p in range(len(own) - 7):
+            seen.setdefault(tuple(own[p : p + 8]), []).append((k, p))
+    gone = {(k, q) for places in seen.values() if len(places) > 1 for k, p in places for q in range(p, p + 8)}
+    want = sorted(((i, sum((k, q) in gone for q in range(len(split[k])))) for k, (i, _) in enumerate(docs)), key=repr)
+    assert 0 < len(gone) < sum(map(len, split))
+    assert pairs(substrings.digest(substrings.find_repeats(frame(spark, docs), window=8, hash_bits=bits)), "doc_id", "n_removed") == want
+
+
 @pytest.mark.parametrize("block", [32 << 20, 300])
 def test_decontamination_against_all_windows(spark, docs, rows, none, block):
     rng = random.Random(5)
