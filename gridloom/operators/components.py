@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from gridloom.session import drop_folder, materialize
 
 
+#: Edges from which a round's minima are written before they are joined.
+MANY = 1 << 20
+
+
 def _star(edges: DataFrame) -> DataFrame:
     """Each node's least neighbour, itself included; edges go both ways in. Partial sums keep a hot node's rows apart."""
     return edges.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
@@ -21,7 +25,8 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", most_roun
     """node, component (the least node of its component) for every node of a link between different nodes.
 
     A large star ties each larger neighbour to the least neighbour, a small star each smaller one; the rounds needed grow with the logarithm of the longest path.
-    Groups are never gathered: minima are aggregated and joined back, so a hot node is an ordinary skewed join. Every round ends in the shared folder.
+    Groups are never gathered: minima are aggregated and joined back. Where edges are many the minima are a table of their own, so that both sides of the join are plain
+    shuffles and adaptive execution can split a hot node. Every round ends in the shared folder. a and b may be structs; the least node is by their order.
     Null ends and self links are ignored.
     """
     edges = (
@@ -33,10 +38,13 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", most_roun
         if (count.n, count.h) == seen or not count.n:
             break
         seen = (count.n, count.h)
+        own = (lambda df: materialize(_star(df), "stars")) if count.n > MANY else _star
         both = _both(edges)
-        large = both.join(_star(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = both.join(own(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u <> v").distinct()
-        small = large.join(_star(large), "u")
+        if count.n > MANY:
+            large = materialize(large, "large")
+        small = large.join(own(large), "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         new = materialize(small, "edges")
         drop_folder(edges)

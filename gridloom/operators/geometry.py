@@ -122,6 +122,15 @@ def tile_of(x: Column, y: Column, size: float) -> Column:
     return F.struct(F.floor(x / size).alias("tx"), F.floor(y / size).alias("ty"))
 
 
+def met_here(tile: float, *low: tuple[str, str]) -> Column:
+    """Whether the tile of a joined row (column _tile) holds the low corner of what two rectangles share, so that each pair of them counts in one of their tiles.
+
+    low: for x and y the columns of the two low bounds.
+    """
+    x, y = (F.floor(F.greatest(*own) / tile) for own in low)
+    return (F.col("_tile.tx") == x) & (F.col("_tile.ty") == y)
+
+
 def points_in_rectangles(points: DataFrame, rects: DataFrame, tile: float, x: str = "x", y: str = "y", key: str = "point_id", code: str = "code", border: str = "include") -> DataFrame:
     """GEO-J1: points with the rectangle that holds them; of several the lexically least code. Points outside all are left out."""
     p = points.withColumn("_tile", tile_of(F.col(x), F.col(y), tile))
@@ -173,7 +182,7 @@ def nearest_in_group(points: DataFrame, hubs: DataFrame, group: str, key: str, h
 def overlay(left: DataFrame, right: DataFrame, tile: float, left_id: str, right_id: str) -> DataFrame:
     """GEO-J6: positive-area intersections of two layers of rectangles with their share of either, in [0, 1]."""
     side = lambda df, i, s: df.select(F.col(i).alias(f"{s}_id"), *(F.col(c).alias(f"{s}_{c}") for c in ("xmin", "ymin", "xmax", "ymax")), F.explode(tiles(tile)).alias("_tile"))
-    both = side(left, left_id, "l").join(side(right, right_id, "r"), "_tile").drop("_tile").dropDuplicates(["l_id", "r_id"])
+    both = side(left, left_id, "l").join(side(right, right_id, "r"), "_tile").where(met_here(tile, ("l_xmin", "r_xmin"), ("l_ymin", "r_ymin"))).drop("_tile")
     edge = lambda a, b: F.greatest(F.least(f"l_{b}", f"r_{b}") - F.greatest(f"l_{a}", f"r_{a}"), F.lit(0.0))
     own = lambda s: (F.col(f"{s}_xmax") - F.col(f"{s}_xmin")) * (F.col(f"{s}_ymax") - F.col(f"{s}_ymin"))
     area = edge("xmin", "xmax") * edge("ymin", "ymax")
@@ -196,13 +205,13 @@ def line_in_layers(edges: DataFrame, layers: DataFrame, tile: float, key: str =
     """GEO-J7: length of each edge (x0, y0, x1, y1) in each layer times its factor.
 
     layers: layer, factor, constant (boolean), xmin..ymax. Rectangles of a constant-factor layer count once where they overlap (their intervals are merged); those of a
-    column-factor layer add up.
+    column-factor layer add up, equal ones included.
     """
     e = edges.withColumns({"_a": F.least("x0", "x1"), "_b": F.least("y0", "y1"), "_c": F.greatest("x0", "x1"), "_d": F.greatest("y0", "y1")}).withColumn("_tile", F.explode(tiles(tile, "_a", "_b", "_c", "_d")))
-    r = layers.withColumn("_r", F.xxhash64("layer", "factor", "xmin", "ymin", "xmax", "ymax")).withColumn("_tile", F.explode(tiles(tile)))
+    r = layers.withColumn("_tile", F.explode(tiles(tile)))
     lo, hi = clip_interval()
     length = F.sqrt(F.pow(F.col("x1") - F.col("x0"), 2) + F.pow(F.col("y1") - F.col("y0"), 2))
-    hit = e.join(r, "_tile").dropDuplicates([key, "layer", "_r"]).withColumns({"lo": lo, "hi": hi, "len": length}).where("hi > lo")
+    hit = e.join(r, "_tile").where(met_here(tile, ("_a", "xmin"), ("_b", "ymin"))).withColumns({"lo": lo, "hi": hi, "len": length}).where("hi > lo")
     w = W.partitionBy(key, "layer").orderBy("lo", "hi")
     before = F.max("hi").over(w.rowsBetween(W.unboundedPreceding, -1))
     new = F.when(F.col("constant"), F.greatest(F.col("hi") - F.greatest("lo", F.coalesce(before, F.lit(0.0))), F.lit(0.0))).otherwise(F.col("hi") - F.col("lo"))
@@ -284,7 +293,7 @@ def clip_tiles(features: DataFrame, areas: DataFrame, tile: float, key: str) ->
     """GEO-11: features read by tile, each once, cut to the study area (disjoint rectangles): source and clipped area."""
     source = (F.col("xmax") - F.col("xmin")) * (F.col("ymax") - F.col("ymin"))
     once = features.dropDuplicates([key])
-    parts = overlay(once, areas.withColumn("_area", F.monotonically_increasing_id()), tile, key, "_area").groupBy(key).agg(F.sum("area").alias("clipped"))
+    parts = overlay(once, areas.withColumn("_area", F.lit(0)), tile, key, "_area").groupBy(key).agg(F.sum("area").alias("clipped"))
     return once.join(parts, key).select(key, source.alias("source"), "clipped")
 
 

@@ -87,7 +87,7 @@ def _(t: Tables) -> DataFrame:
 
 
 ADAPTERS["storage"] = "SELECT concat('f', CAST(p_partkey % 900 AS STRING)) AS feature_id, concat('u', CAST(p_size AS STRING)) AS unit_id FROM {part}"
-ADAPTERS["assessed"] = "SELECT concat('f', CAST(p_partkey % 1100 AS STRING)) AS feature_id, concat('u', CAST(p_size + p_partkey % 3 AS STRING)) AS unit_id, CASE WHEN p_partkey % 50 = 0 THEN 'other' WHEN p_partkey % 2 = 0 THEN 'unit' ELSE 'feature' END AS scope, CASE WHEN p_partkey % 5 = 0 THEN 1e0 ELSE 0e0 END AS p10, CASE WHEN p_partkey % 7 = 0 THEN 2e0 END AS p50 FROM {part} WHERE p_partkey % 4 <> 3"
+ADAPTERS["assessed"] = "SELECT concat('f', CAST(p_partkey % 1100 AS STRING)) AS feature_id, concat('u', CAST(p_size + p_partkey % 3 AS STRING)) AS unit_id, CASE WHEN p_partkey % 50 = 0 THEN 'other' WHEN p_partkey % 2 = 0 THEN 'unit' ELSE 'feature' END AS scope, CASE WHEN p_partkey % 5 = 0 THEN 1e0 ELSE 0e0 END AS p10, CASE WHEN p_partkey % 7 = 0 THEN 2e0 END AS p50 FROM {part}"
 
 
 @query(

@@ -158,12 +158,12 @@ def _(t: Tables) -> DataFrame:
 
 @query(
     "der6_slice_index",
-    f"""WITH a AS (SELECT DISTINCT a.region, a.tech, a.vintage, period, input_comm, output_comm, annual, curtail, flex FROM ({_ACTIVE}) a JOIN (SELECT * FROM {{efficiency}}) e ON a.region = e.region AND a.tech = e.tech AND a.vintage = e.vintage JOIN (SELECT * FROM {{technology}}) k ON a.tech = k.tech WHERE a.region LIKE 'R%' AND a.region NOT LIKE '%-%'),
+    f"""WITH a AS (SELECT DISTINCT a.region, a.tech, a.vintage, period, input_comm, output_comm, annual, curtail, flex FROM ({_ACTIVE}) a JOIN (SELECT * FROM {{efficiency}}) e ON a.region = e.region AND a.tech = e.tech AND a.vintage = e.vintage JOIN (SELECT * FROM {{technology}}) k ON a.tech = k.tech),
     b AS (SELECT a.*, season, tod FROM a JOIN (SELECT period, season, tod FROM {{slices}}) s USING (period) WHERE annual = 0 UNION ALL SELECT a.*, NULL, NULL FROM a WHERE annual = 1)
     SELECT tech, period, kind, count(*) AS n, count(season) AS with_slice FROM (SELECT *, unnest(list_filter(['flow', CASE WHEN curtail = 1 THEN 'curtail' END, CASE WHEN flex = 1 THEN 'flex' END], lambda x: x IS NOT NULL)) AS kind FROM b) GROUP BY tech, period, kind""",
 )
 def _(t: Tables) -> DataFrame:
-    rows = D.slice_index(D.active(_lives(t), t("period")).where("region not like '%-%'"), t("efficiency"), t("slices"), t("technology"))
+    rows = D.slice_index(D.active(_lives(t), t("period")), t("efficiency"), t("slices"), t("technology"))
     return rows.groupBy("tech", "period", "kind").agg(F.count("*").alias("n"), F.count("season").alias("with_slice"))
 
 

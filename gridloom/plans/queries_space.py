@@ -14,7 +14,7 @@ from gridloom.plans.catalog import query
 SIZE = 5
 ADAPTERS["cells"] = """
     SELECT ix, iy, concat('R', CAST(row_number() OVER (ORDER BY iy, ix) - 1 AS STRING)) AS region, -145e0 + 5 * ix AS x0, 40e0 + 5 * iy AS y0, -140e0 + 5 * ix AS x1, 45e0 + 5 * iy AS y1, -142.5e0 + 5 * ix AS cx, 42.5e0 + 5 * iy AS cy, jurisdiction
-    FROM (SELECT CAST(floor((lon + 145) / 5) AS INT) AS ix, CAST(floor((lat - 40) / 5) AS INT) AS iy, min(jurisdiction) AS jurisdiction FROM {points} WHERE point_id LIKE 's%' GROUP BY 1, 2)"""
+    FROM (SELECT CAST(floor((lon + 145) / 5) AS INT) AS ix, CAST(floor((lat - 40) / 5) AS INT) AS iy, min(jurisdiction) AS jurisdiction FROM {points} GROUP BY 1, 2)"""
 ADAPTERS["zones"] = "SELECT concat('Z', CAST(n_nationkey AS STRING)) AS code, -145e0 + (n_nationkey % 5) * 18 AS xmin, 41e0 + floor(n_nationkey / 5) * 8 AS ymin, -127e0 + (n_nationkey % 5) * 18 - n_nationkey % 3 AS xmax, 49e0 + floor(n_nationkey / 5) * 8 AS ymax, n_nationkey % 5 AS grp FROM {nation}"
 ADAPTERS["features"] = "SELECT p_partkey AS feature_id, p_brand AS class, p_type AS layer, -145e0 + (p_partkey * 7) % 88 AS xmin, 42e0 + (p_partkey * 11) % 40 AS ymin, -145e0 + (p_partkey * 7) % 88 + p_size / 1e1 AS xmax, 42e0 + (p_partkey * 11) % 40 + p_size / 2e1 AS ymax, p_retailprice AS value FROM {part}"
 ADAPTERS["segments"] = """
