@@ -2,7 +2,7 @@
 
 Each text is cut into non-overlapping reference blocks of (window + 1) // 2 words; any window holds a whole one. All blocks are indexed by hash and every rolling window
 of a block's length probes the index; a block is an anchor if its hash occurs at two places or more. Only windows over an anchor can repeat, so only those are
-extended: windows whose 64-bit hash meets again are compared word for word, and runs of the ones that repeat are the maximal exact repeats.
+extended: windows whose hash (the bucket and four bytes) meets again are compared word for word, and runs of the ones that repeat are the maximal exact repeats.
 
 Texts are dealt into chunks by a hash of the row. A chunk's hashes go to buckets as packed sorted arrays, each value once with a flag for "twice here", so a passage
 that a third of all texts hold costs a bucket one value a chunk. Buckets and chunks are bounded by the data's size and not by how often anything occurs.
@@ -32,10 +32,10 @@ CHUNK_BYTES, BUCKET_BYTES, TASK_CHUNKS = 8 << 20, 32 << 20, 2
 
 PACKED = "bucket long, chunk long, hashes binary, aligned binary, twice binary"
 FOUND = "bucket long, chunk long, hashes binary"
-PLACED = "bucket long, chunk long, hashes array<long>, at array<int>, twice array<boolean>"
-LINKS = "chunk long, at array<int>, hashes array<long>, to_chunk array<long>, to_at array<int>, place array<int>, places array<int>"
-ASKED = "chunk long, at int, words binary, from_chunk long, from_at int, hashes array<long>, place array<int>, places array<int>"
-FAILED = "hash long, place int, places int, chunk long, at int, words binary"
+PLACED = "bucket long, chunk long, hashes array<int>, at array<int>"
+LINKS = "chunk long, at array<int>, to_chunk array<long>, to_at array<int>, place array<int>, places array<int>"
+ASKED = "chunk long, at int, words binary, from_chunk long, from_at int, place array<int>, places array<int>"
+FAILED = "place int, places int, chunk long, at int, words binary"
 CLEAN = "doc_id long, n_words long, spans array<struct<start:long,end:long>>, text string"
 
 
@@ -142,7 +142,8 @@ def lengths(table: pa.Table, name: str) -> np.ndarray:
 
 def linked(group: pa.Table) -> pa.Table:
     """A bucket's windows that meet again: for each chunk their places, and the chunk and place that each is compared with (chunk -1: the first of its hash)."""
-    hashes, at, twice = (flat(group, c) for c in ("hashes", "at", "twice"))
+    hashes, at = (flat(group, c) for c in ("hashes", "at"))
+    at, twice = np.where(at < 0, ~at, at), at < 0
     chunk = np.repeat(group["chunk"].to_numpy(), lengths(group, "at"))
     order = np.lexsort((at, chunk, hashes))
     hashes, at, twice, chunk = hashes[order], at[order], twice[order], chunk[order]
@@ -154,7 +155,7 @@ def linked(group: pa.Table) -> pa.Table:
     use = np.flatnonzero((places > 1) | twice)
     use = use[np.lexsort((at[use], chunk[use]))]
     bounds = cuts(chunk[use])
-    columns = {"at": at, "hashes": hashes, "to_chunk": to_chunk, "to_at": to_at, "place": place, "places": places}
+    columns = {"at": at, "to_chunk": to_chunk, "to_at": to_at, "place": place, "places": places}
     return pa.table({"chunk": chunk[use][bounds[:-1]], **{c: lists(v[use], bounds) for c, v in columns.items()}})
 
 
@@ -202,24 +203,23 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, chunk_bytes: int = CHUNK
         at, h = at[use], h[use]
         rep, index, counts = np.unique(first_same(own, at, h, window), return_index=True, return_counts=True)
         bucket = ((h[index] >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
-        order = np.lexsort((rep, h[index], bucket))
+        order = np.lexsort((h[index].astype(np.uint32), bucket))
         bounds = cuts(bucket[order])
         return pa.table(
             {
                 "bucket": bucket[order][bounds[:-1]],
                 "chunk": np.full(len(bounds) - 1, key[0].as_py(), np.int64),
-                "hashes": lists(h[index][order].view(np.int64), bounds),
-                "at": lists(rep[order].astype(np.int32), bounds),
-                "twice": lists(counts[order] > 1, bounds),
+                "hashes": lists(h[index][order].astype(np.uint32).view(np.int32), bounds),
+                "at": lists(np.where(counts > 1, ~rep, rep)[order].astype(np.int32), bounds),
             }
         )
 
     def asked(key: tuple, group: pa.Table, found: pa.Table) -> pa.Table:
         """Runs of a chunk's windows that face a run of windows of another chunk, with their words."""
-        at, h, to_chunk, to_at, place, places = (flat(found, c) for c in ("at", "hashes", "to_chunk", "to_at", "place", "places"))
+        at, to_chunk, to_at, place, places = (flat(found, c) for c in ("at", "to_chunk", "to_at", "place", "places"))
         order = np.lexsort((at, to_at.astype(np.int64) - at, to_chunk))
         order = order[to_chunk[order] >= 0]
-        at, h, to_chunk, to_at, place, places = (v[order] for v in (at, h, to_chunk, to_at, place, places))
+        at, to_chunk, to_at, place, places = (v[order] for v in (at, to_chunk, to_at, place, places))
         go_on = (np.diff(at) == 1) & (np.diff(to_at) == 1) & (to_chunk[1:] == to_chunk[:-1])
         bounds = np.append(np.flatnonzero(np.append(True, ~go_on)), len(at)) if len(at) else np.zeros(1, np.int64)
         own = split(ordered(group)["text"]) if len(at) else None
@@ -229,13 +229,13 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, chunk_bytes: int = CHUNK
         return pa.table(
             {
                 "chunk": to_chunk[bounds[:-1]], "at": to_at[bounds[:-1]], "words": pa.array(spelled, pa.binary()), "from_chunk": np.full(len(first), key[0].as_py(), np.int64), "from_at": first.astype(np.int32),
-                "hashes": lists(h, bounds), "place": lists(place, bounds), "places": lists(places, bounds),
+                "place": lists(place, bounds), "places": lists(places, bounds),
             }
         )
 
     def compared(key: tuple, group: pa.Table, runs_in: pa.Table) -> pa.Table:
         """Both places, spelled out, of each comparison that fails."""
-        n = lengths(runs_in, "hashes") if len(runs_in) else np.zeros(0, np.int64)
+        n = lengths(runs_in, "place") if len(runs_in) else np.zeros(0, np.int64)
         i = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         here, there = (split(ordered(group)["text"]), split(runs_in["words"])) if len(runs_in) else (None, None)
         if len(runs_in):
@@ -244,11 +244,11 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, chunk_bytes: int = CHUNK
         else:
             bad = p = q = np.zeros(0, np.int64)
         spell = lambda own, k: [b" ".join(own.data[a:b].tobytes() for a, b in zip(own.starts[x : x + window], own.ends[x : x + window], strict=True)) for x in k.tolist()]
-        h, place, places = (flat(runs_in, c)[bad] if len(runs_in) else bad for c in ("hashes", "place", "places"))
+        place, places = (flat(runs_in, c)[bad] if len(runs_in) else bad for c in ("place", "places"))
         far = (np.repeat(runs_in["from_chunk"].to_numpy(), n)[bad], (np.repeat(runs_in["from_at"].to_numpy(), n) + i)[bad])
         return pa.table(
             {
-                "hash": pa.array(np.append(h, h), pa.int64()), "place": pa.array(np.append(place, place - 1).astype(np.int32)), "places": pa.array(np.append(places, places).astype(np.int32)),
+                "place": pa.array(np.append(place, place - 1).astype(np.int32)), "places": pa.array(np.append(places, places).astype(np.int32)),
                 "chunk": pa.array(np.append(far[0], np.full(len(bad), key[0].as_py())).astype(np.int64)), "at": pa.array(np.append(far[1], q[bad]).astype(np.int32)), "words": pa.array((spell(there, p[bad]) + spell(here, q[bad])) if len(bad) else [], pa.binary()),
             }
         )
@@ -295,10 +295,10 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, chunk_bytes: int = CHUNK
     links = in_buckets(wide).applyInArrow(linked, LINKS)
     failed = by_chunk.cogroup(by_chunk.cogroup(links.groupBy("chunk")).applyInArrow(asked, ASKED).groupBy("chunk")).applyInArrow(compared, FAILED)
     # a place between two others is compared twice, the first and the last one of a hash once
-    alone = failed.groupBy("hash", "chunk", "at", "words").agg(F.count("*").alias("n"), F.first("place").alias("place"), F.first("places").alias("places"))
+    alone = failed.groupBy("chunk", "at", "words").agg(F.count("*").alias("n"), F.first("place").alias("place"), F.first("places").alias("places"))
     alone = alone.where(F.col("n") == F.when((F.col("place") == 0) | (F.col("place") == F.col("places") - 1), 1).otherwise(2))
-    spelled = failed.select("hash", "words", "chunk", "at").distinct().groupBy("hash", "words").count().where("count = 1")
-    wrong = alone.join(spelled, ["hash", "words"], "left_semi").select("chunk", F.array("at").alias("at"), F.lit(True).alias("wrong"))
+    spelled = failed.select("words", "chunk", "at").distinct().groupBy("words").count().where("count = 1")
+    wrong = alone.join(spelled, "words", "left_semi").select("chunk", F.array("at").alias("at"), F.lit(True).alias("wrong"))
     found = links.select("chunk", "at", F.lit(False).alias("wrong")).unionByName(wrong)
     return by_chunk.cogroup(found.groupBy("chunk")).applyInArrow(cleaned, CLEAN)
 
