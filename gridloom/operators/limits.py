@@ -128,3 +128,128 @@ def retirement_account(built: DataFrame, retired: DataFrame, net: DataFrame, tol
     run = gone.withColumn("gone", F.sum("gone").over(W.partitionBy(*keys).orderBy("period").rowsBetween(W.unboundedPreceding, 0)))
     out = run.join(built.select(*keys, F.col("capacity").alias("built")), keys)
     return out.withColumn("broken", F.abs(F.col("capacity") - (F.col("built") - F.col("gone"))) > tolerance)
+
+
+def emission_limits(limits: DataFrame, found: DataFrame, regions: DataFrame, by: Sequence[str] = ("period", "emis_comm"), limit: str = "bound") -> DataFrame:
+    """LIM-5: activity, embodied and end-of-life emissions of a limit's regions together against it. limits: region (a node, A+B or global), those of by, operator, limit; absent emissions count 0."""
+    named = limits.withColumn("_limit", F.xxhash64(*limits.columns))
+    members = expand_groups(named, regions).select("_limit", F.col("member").alias("region"), *by).distinct()
+    sums = members.join(found.select("scenario", "region", *by, "emission"), ["region", *by]).groupBy("_limit", "scenario").agg(F.sum("emission").alias("emission"))
+    every = named.crossJoin(F.broadcast(found.select("scenario").distinct()))  # scenarios: few
+    out = every.join(sums, ["_limit", "scenario"], "left").na.fill(0.0, ["emission"]).drop("_limit")
+    return out.withColumn("broken", breaks(F.col("operator"), F.col("emission"), F.col(limit)))
+
+
+STORE = ("scenario", "region", "period", "tech", "vintage")
+
+
+def storage_audit(flows: DataFrame, levels: DataFrame, capacity: DataFrame, storage: DataFrame, sequence: DataFrame, segfrac: DataFrame, days: float, tolerance: float = 1e-6) -> DataFrame:
+    """LIM-13: findings per storage process and slice, each with its value and bound.
+
+    state: level + charge - discharge is not the next slice's level; energy: the level exceeds capacity * to_activity * duration / 24 hours * the season's fraction (the same
+    for a season of `days` days); charge, discharge, throughput (both): more than capacity * to_activity * the slice's fraction; negative: a level below 0.
+
+    flows: STORE, season, tod, charge (times efficiency), discharge; levels: STORE, season, tod, level (before the slice); storage: tech, duration (hours), to_activity; sequence
+    gives the next slice, which loops in its season or period; absent flows and levels count 0.
+    """
+    keys = [*STORE, "season", "tod"]
+    rows = capacity.select(*STORE, "capacity").join(storage.select("tech", "duration", "to_activity"), "tech").join(sequence, "period").join(segfrac.select("period", "season", "tod", "segfrac"), ["period", "season", "tod"])
+    season = segfrac.groupBy("period", "season").agg(F.sum("segfrac").alias("in_season"))
+    rows = rows.join(season, ["period", "season"]).join(flows, keys, "left").join(levels.select(*keys, "level"), keys, "left")
+    nxt = levels.select(*STORE, F.col("season").alias("next_season"), F.col("tod").alias("next_tod"), F.col("level").alias("next_level"))
+    rows = rows.join(nxt, [*STORE, "next_season", "next_tod"], "left").na.fill(0.0, ["charge", "discharge", "level", "next_level"])
+    power = F.col("capacity") * F.col("to_activity") * F.col("segfrac")
+    energy = F.col("capacity") * F.col("to_activity") * F.col("duration") / (24 * days) * F.col("in_season") * days
+    rule = lambda name, value, bound, bad: F.struct(F.lit(name).alias("finding"), value.cast("double").alias("value"), bound.cast("double").alias("bound"), bad.alias("bad"))
+    over = lambda value, bound: value > bound + tolerance * F.greatest(F.lit(1.0), F.abs(bound))
+    after = F.col("level") + F.col("charge") - F.col("discharge")
+    rules = F.array(
+        rule("state", after, F.col("next_level"), F.abs(after - F.col("next_level")) > tolerance * F.greatest(F.lit(1.0), F.abs(after))),
+        rule("negative", F.col("level"), F.lit(0.0), F.col("level") < -tolerance),
+        rule("energy", F.col("level"), energy, over(F.col("level"), energy)),
+        rule("charge", F.col("charge"), power, over(F.col("charge"), power)),
+        rule("discharge", F.col("discharge"), power, over(F.col("discharge"), power)),
+        rule("throughput", F.col("charge") + F.col("discharge"), power, over(F.col("charge") + F.col("discharge"), power)),
+    )
+    return rows.select(*keys, F.explode(F.filter(rules, lambda r: r["bad"])).alias("r")).select(*keys, "r.finding", "r.value", "r.bound")
+
+
+def slice_balance(made: DataFrame, used: DataFrame, commodity: DataFrame, keys: Sequence[str] = ("scenario", "region", "period", "season", "tod"), tolerance: float = 1e-6) -> DataFrame:
+    """LIM-12: what is made and used of each commodity in each slice, and whether it is broken: unequal, or for waste commodities (flag w) more used than made. Sources (flag s) and demands (flag d) are not balanced.
+
+    made and used: keys, commodity, flow; exchanges and material flows are further rows of either. For the annual form leave season and tod out of keys.
+    """
+    row = lambda df, sign: df.select(*keys, "commodity", F.when(F.lit(sign > 0), F.col("flow")).otherwise(0.0).alias("m"), F.when(F.lit(sign < 0), F.col("flow")).otherwise(0.0).alias("u"))
+    sums = row(made, 1).unionByName(row(used, -1)).groupBy(*keys, "commodity").agg(F.sum("m").alias("made"), F.sum("u").alias("used"))
+    out = sums.join(commodity.select(F.col("name").alias("commodity"), "flag"), "commodity", "left").where("flag is null or flag not in ('s', 'd')")
+    slack = tolerance * F.greatest(F.lit(1.0), F.abs("made"), F.abs("used"))
+    return out.withColumn("broken", F.when(F.col("flag") == "w", F.col("used") > F.col("made") + slack).otherwise(F.abs(F.col("made") - F.col("used")) > slack))
+
+
+def exchange_rows(flow_out: DataFrame, flow_in: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Flows as rows of slice_balance(): an edge's output is made where it ends, its input used where it begins."""
+    made = flow_out.select("*", F.coalesce(edge_to(), F.col("region")).alias("_r")).drop("region").withColumnsRenamed({"_r": "region", "output_comm": "commodity"})
+    used = flow_in.select("*", F.coalesce(edge_from(), F.col("region")).alias("_r")).drop("region").withColumnsRenamed({"_r": "region", "input_comm": "commodity"})
+    return made, used
+
+
+def slice_capacity_use(flow_out: DataFrame, curtailed: DataFrame, capacity: DataFrame, factors: DataFrame, segfrac: DataFrame, to_activity: float, tolerance: float = 1e-6) -> DataFrame:
+    """LIM-10: output plus curtailment of each slice against factor * conversion * fraction * capacity. factors: STORE without scenario, season, tod, factor; 1 where absent."""
+    keys = [*STORE, "season", "tod"]
+    both = flow_out.select(*keys, "flow", F.lit(0.0).alias("lost")).unionByName(curtailed.select(*keys, F.lit(0.0).alias("flow"), F.col("flow").alias("lost")))
+    use = both.groupBy(*keys).agg(F.sum("flow").alias("flow"), F.sum("lost").alias("curtailed"))
+    use = use.join(capacity.select(*STORE, "capacity"), list(STORE)).join(segfrac.select("period", "season", "tod", "segfrac"), ["period", "season", "tod"]).join(factors, [*STORE[1:], "season", "tod"], "left").na.fill(1.0, ["factor"])
+    allowed = F.col("factor") * F.col("capacity") * to_activity * F.col("segfrac")
+    return use.withColumn("allowed", allowed).withColumn("broken", F.col("flow") + F.col("curtailed") > F.col("allowed") + tolerance)
+
+
+def seasonal_capacity_factors(flow_out: DataFrame, capacity: DataFrame, limits: DataFrame, segfrac: DataFrame, regions: DataFrame, to_activity: float, limit: str = "factor") -> DataFrame:
+    """LIM-4: a technology's output in a season over a limit's regions against factor * capacity * conversion * the season's fraction. limits: region (a node, A+B or global), season, tech, operator, factor."""
+    named = limits.withColumn("_limit", F.xxhash64(*limits.columns))
+    members = expand_groups(named, regions).select("_limit", F.col("member").alias("region"), "tech", "season").distinct()
+    season = segfrac.groupBy("period", "season").agg(F.sum("segfrac").alias("fraction"))
+    able = members.join(capacity.groupBy("scenario", "region", "period", "tech").agg(F.sum("capacity").alias("capacity")), ["region", "tech"]).join(season, ["period", "season"])
+    able = able.groupBy("_limit", "scenario", "period").agg(F.sum(F.col("capacity") * to_activity * F.col("fraction")).alias("possible"))
+    made = members.join(flow_out.groupBy("scenario", "region", "period", "tech", "season").agg(F.sum("flow").alias("flow")), ["region", "tech", "season"]).groupBy("_limit", "scenario", "period").agg(F.sum("flow").alias("flow"))
+    out = named.join(able, "_limit").join(made, ["_limit", "scenario", "period"], "left").na.fill(0.0, ["flow"]).drop("_limit")
+    return out.withColumn("allowed", F.col(limit) * F.col("possible")).withColumn("broken", breaks(F.col("operator"), F.col("flow"), F.col("allowed")))
+
+
+def linked_output(flow_out: DataFrame, activity: DataFrame, links: DataFrame, tolerance: float = 1e-6) -> DataFrame:
+    """LIM-15: slices where the output of a linked technology is not minus the emission activity of its primary one. links: region, tech, emis_comm, linked_tech."""
+    keys = ["scenario", "region", "period", "season", "tod", "vintage"]
+    rate = activity.join(links, ["region", "emis_comm", "tech"])
+    primary = flow_out.join(rate, ["region", "input_comm", "tech", "vintage", "output_comm"]).groupBy(*keys, "tech", "emis_comm", "linked_tech").agg(F.sum(F.col("flow") * F.col("activity")).alias("emission"))
+    linked = flow_out.join(links.select("region", "linked_tech", F.col("tech").alias("_primary"), "emis_comm"), (flow_out["region"] == links["region"]) & (flow_out["tech"] == links["linked_tech"])).drop(links["region"])
+    linked = linked.groupBy(*keys, F.col("_primary").alias("tech"), "emis_comm", "linked_tech").agg(F.sum("flow").alias("flow"))
+    both = primary.join(linked, [*keys, "tech", "emis_comm", "linked_tech"], "full").na.fill(0.0, ["emission", "flow"])
+    return both.where(F.abs(F.col("emission") + F.col("flow")) > tolerance * F.greatest(F.lit(1.0), F.abs("emission"), F.abs("flow")))
+
+
+def adjusted_capacity(built: DataFrame, retired: DataFrame, net: DataFrame, life: DataFrame, tolerance: float = 1e-6) -> DataFrame:
+    """LIM-16: net capacity against (built less early retirements, each over what survives then) times the part of the period that is lived.
+
+    built: scenario, region, tech, vintage, capacity; retired: those and period; net: both; life: region, period, tech, vintage, fraction (lived part, survival included), survival (at the period's start; 1 without a curve).
+    """
+    keys = ["scenario", "region", "tech", "vintage"]
+    rows = net.select(*keys, "period", "capacity").join(life, ["region", "period", "tech", "vintage"]).join(retired.select(*keys, "period", F.col("capacity").alias("gone")), [*keys, "period"], "left").na.fill(0.0, ["gone"])
+    run = rows.withColumn("gone", F.sum(F.when(F.col("period") > F.col("vintage"), F.col("gone") / F.col("survival")).otherwise(0.0)).over(W.partitionBy(*keys).orderBy("period").rowsBetween(W.unboundedPreceding, 0)))
+    out = run.join(built.select(*keys, F.col("capacity").alias("built")), keys).withColumn("expected", (F.col("built") - F.col("gone")) * F.col("fraction"))
+    return out.withColumn("broken", F.abs(F.col("capacity") - F.col("expected")) > tolerance * F.greatest(F.lit(1.0), F.abs("expected")))
+
+
+def dynamic_reserve(capacity: DataFrame, flow_out: DataFrame, charge: DataFrame, reserve: DataFrame, factors: DataFrame, segfrac: DataFrame, margin: float, to_activity: float, tolerance: float = 1e-6) -> DataFrame:
+    """LIM-8, dynamic: per slice, what reserve technologies could make (capacity * derate * factor * conversion * fraction; an edge helps where it ends) against what they make there, with imports, less exports and storage charging, times 1 + margin.
+
+    reserve: tech, derate; factors: STORE without scenario, season, tod, factor (1 where absent); charge: scenario, region, period, season, tod, tech, flow.
+    """
+    place = ["scenario", "region", "period", "season", "tod"]
+    able = capacity.join(reserve, "tech").join(segfrac.select("period", "season", "tod", "segfrac"), "period").join(factors, [*STORE[1:], "season", "tod"], "left").na.fill(1.0, ["factor"])
+    able = able.withColumn("region", F.coalesce(edge_to(), F.col("region"))).groupBy(*place).agg(F.sum(F.col("capacity") * F.col("derate") * F.col("factor") * to_activity * F.col("segfrac")).alias("available"))
+    here = flow_out.join(reserve.select("tech"), "tech", "left_semi").select(*place, "flow")
+    sent = here.where(is_edge()).select("scenario", edge_from().alias("region"), "period", "season", "tod", (-F.col("flow")).alias("flow"))
+    got = here.select("scenario", F.coalesce(edge_to(), F.col("region")).alias("region"), "period", "season", "tod", "flow")
+    stored = charge.join(reserve.select("tech"), "tech", "left_semi").select(*place, (-F.col("flow")).alias("flow"))
+    load = got.unionByName(sent).unionByName(stored).groupBy(*place).agg(F.sum("flow").alias("load"))
+    out = able.join(load, place, "full").na.fill(0.0, ["available", "load"])
+    return out.withColumn("broken", F.col("available") < F.col("load") * (1 + margin) - tolerance)

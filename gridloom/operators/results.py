@@ -332,3 +332,52 @@ def storage_fraction(levels: DataFrame, fractions: DataFrame, capacity: DataFram
     want = fractions.join(capacity.select(*keys, "capacity"), keys).withColumn("wanted", F.col("fraction") * F.col("capacity") * duration * scale)
     both = want.join(levels.select(*keys, "season", "tod", "level"), [*keys, "season", "tod"], "left").na.fill(0.0, ["level"])
     return both.withColumn("broken", F.abs(F.col("level") - F.col("wanted")) > tolerance * F.greatest(F.lit(1.0), F.abs("wanted")))
+
+
+def emissions(flow_out: DataFrame, activity: DataFrame, built: DataFrame, embodied: DataFrame, retired: DataFrame, end_of_life: DataFrame, lengths: DataFrame) -> DataFrame:
+    """RES-11: yearly emission of each process by source: activity (flow times rate), embodied (new capacity times rate, spread over the years of the build period) and end of life (capacity retired a year times rate).
+
+    built: scenario, region, tech, vintage, capacity; retired: those and period; embodied and end_of_life: region, emis_comm, tech, vintage, rate; lengths: period, length.
+    """
+    keys = ["scenario", "region", "period", "emis_comm", "tech", "vintage"]
+    row = lambda df, source: df.select(*keys, F.lit(source).alias("source"), "emission")
+    spread = built.withColumn("period", F.col("vintage")).join(embodied, ["region", "tech", "vintage"]).join(lengths.select("period", "length"), "period")
+    spread = spread.withColumn("emission", F.col("capacity") * F.col("rate") / F.col("length"))
+    ended = retired.join(end_of_life, ["region", "tech", "vintage"]).withColumn("emission", F.col("capacity") * F.col("rate"))
+    rows = union(row(flow_emissions(flow_out, activity), "activity"), row(spread, "embodied"), row(ended, "end of life"))
+    return rows.groupBy(*keys, "source").agg(F.sum("emission").alias("emission"))
+
+
+def emission_costs(found: DataFrame, cost_emission: DataFrame, lengths: DataFrame, rate: float, start: int, epsilon: float = EPSILON) -> DataFrame:
+    """RES-11: discounted and undiscounted cost of emissions by process and period; a process whose emissions of a commodity sum to less than epsilon costs nothing, nor does a commodity without a price.
+
+    found: what emissions() gives; cost_emission: region, period, emis_comm, cost.
+    """
+    from gridloom.operators.finance import yearly_cost
+
+    keys = ["scenario", "region", "period", "tech", "vintage"]
+    sums = found.groupBy(*keys, "emis_comm").agg(F.sum("emission").alias("emission")).where(F.abs("emission") >= epsilon)
+    priced = sums.join(cost_emission, ["region", "period", "emis_comm"]).join(lengths.select("period", "length"), "period")
+    discounted, plain = yearly_cost(F.col("emission"), F.col("cost"), F.lit(rate), F.col("length"), F.lit(start), F.col("period"))
+    return priced.groupBy(*keys).agg(F.sum(discounted).alias("d_emiss"), F.sum(plain).alias("emiss"))
+
+
+def map_nodes(flow_out: DataFrame, demand: DataFrame, places: DataFrame) -> DataFrame:
+    """RES-29: what each node makes and needs by scenario, period and technology (demand: by commodity, in every scenario), with its coordinates: kind, name, value, x, y."""
+    made = flow_out.where(~is_edge()).groupBy("scenario", "region", "period", F.col("tech").alias("name")).agg(F.sum("flow").alias("value")).withColumn("kind", F.lit("flow"))
+    every = demand.crossJoin(F.broadcast(flow_out.select("scenario").distinct()))  # scenarios: few
+    need = every.groupBy("scenario", "region", "period", F.col("commodity").alias("name")).agg(F.sum("demand").alias("value")).withColumn("kind", F.lit("demand"))
+    return made.unionByName(need).where("value > 0").join(places.select("region", "x", "y"), "region")
+
+
+def concentration_split(df: DataFrame, keys: Sequence[str], value: str, cutoff: float) -> DataFrame:
+    """RES-33: per key, rows and total below the cutoff and at or above it."""
+    small = F.col(value) < cutoff
+    part = lambda test, name: (F.count_if(test).alias(f"n_{name}"), F.coalesce(F.sum(F.when(test, F.col(value))), F.lit(0.0)).alias(f"total_{name}"))
+    return df.groupBy(*keys).agg(*part(small, "small"), *part(~small, "large"))
+
+
+def diagram_emissions(found: DataFrame) -> DataFrame:
+    """RES-38: links from each process to its emission commodities, by scenario and period, in the form of diagram()."""
+    sums = found.groupBy("scenario", "period", F.col("tech").alias("source"), F.col("emis_comm").alias("target")).agg(F.sum("emission").alias("value"))
+    return sums.withColumn("kind", F.lit("emission"))
