@@ -1,26 +1,33 @@
 r"""Near-duplicate lines by an exact set-similarity join, with DataFrame functions only.
 
-A line is the set of its words (lower case, split at \x20 and \x09-\x0D). Lines equal but for case and outer space are one class; classes are joined where the Jaccard
-similarity of their words is at least the threshold:
+A line is the set of its words (lower case, split at \x20 and \x09-\x0D). Lines equal but for case and outer space are one class, named by two hashes of the line (96 bits);
+classes are joined where the Jaccard similarity of their words is at least the threshold:
 
-- words are ordered by rarity. Occurrences are counted in 2**18 buckets of the word's hash, so what is sent to all tasks has a fixed size; a bucket's magnitude ranks
+- words are ordered by rarity. Occurrences are counted in 2**20 buckets of the word's hash, so what is sent to all tasks has a fixed size; a bucket's magnitude ranks
   its words and the hash breaks ties. Any total order keeps the join exact, a good one keeps it short;
-- a set of n words posts its first n - ceil(t n) + 1 ones: two similar sets share one of these;
-- the postings' join tests lengths, positions, and the parity signatures of the two sets (each word in one set only changes one bit, so signatures of similar sets differ
-  in few bits), all inside the join, so what comes out is nearly only true pairs; of the smaller set only n - ceil(2 t / (1 + t) n) + 1 words need to meet;
-- the words of each pair that is left are compared.
+- a set of n words posts its first n - ceil(t n) + 1 ones: two similar sets share one of these. Words are looked up line by line, and only the posted ones are shuffled;
+- the postings' join tests lengths, positions (the first word that both hold leaves enough words after it on both sides), and the parity signatures of the two sets (each
+  word in one set only changes one bit, so signatures of similar sets differ in few bits), so what comes out is nearly only true pairs;
+- each later line is compared, word for word, with the earliest of its partners; those that fail there with all others they have. Texts of lines that no pair names stay
+  where they are.
 
 A line goes if an earlier one (by doc_id, text, line number) is similar, whether or not that one stays. Lines without words stay. Null texts have no lines; an empty one
-has one. Rows with equal id and text count once and share their result; extra columns are dropped. Classes, not lines, are joined: repeats cost nothing.
+has one. Rows with equal id and text count once and share their result; an empty table gives none; a very long line is one set like any other. Extra columns are dropped.
+Classes, not lines, are joined: repeats cost nothing.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.session import materialize
+
 THRESHOLD = 0.8
-RARITY_BUCKETS = 1 << 18
+#: Buckets of words; bits of the filter for lines that are compared.
+RARITY_BUCKETS, WANTED_BITS = 1 << 20, 1 << 22
 GAP, SPACES = r"[\x20\x09-\x0D]+", "\x20\x09\x0a\x0b\x0c\x0d"
 
 
@@ -35,23 +42,33 @@ def word_list(normed: Column) -> Column:
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """doc_id, row (hash of the text), line_no, line for each line with words."""
+    """doc_id, row (hash of the text), line_no, line, id and id2 (hashes of the line) for each line with words."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), F.posexplode(F.split("text", "\n")).alias("line_no", "raw"))
-    return rows.select("doc_id", "row", "line_no", norm(F.col("raw")).alias("line")).where("line <> ''")
+    return rows.select("doc_id", "row", "line_no", norm(F.col("raw")).alias("line")).where("line <> ''").select("*", F.xxhash64("line").alias("id"), F.hash("line").alias("id2"))
+
+
+def packed_row(spark: SparkSession, sparse: DataFrame, n: int, kind: str, step: int = 4096) -> DataFrame:
+    """One row: an array of n values of that type from sparse rows (at, value), 0 elsewhere. Packed by blocks first, so the last step joins a few arrays of fixed length."""
+    blocks = spark.range(n).select(F.col("id").alias("at")).join(sparse.select(F.col("at").cast("long").alias("at"), "value"), "at", "left")
+    own = blocks.groupBy(F.floor(F.col("at") / step).alias("block")).agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("value", F.lit(0)).cast(kind).alias("value")))).alias("own"))
+    flat = own.select("block", F.transform("own", lambda x: x["value"]).alias("own"))
+    return flat.agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("block", "own"))), lambda x: x["own"])).alias("packed"))
 
 
 def rarity(docs: DataFrame) -> DataFrame:
-    """One row: an array with, for each bucket of words, twice the binary logarithm of its occurrences."""
-    words = docs.select(F.explode(F.split(F.lower("text"), GAP)).alias("w"))
-    counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(RARITY_BUCKETS - 1)).cast("int").alias("bucket")).agg(F.count("*").alias("n"))
-    ranked = counts.select("bucket", F.floor(2 * F.log2(F.col("n") + 1)).cast("byte").alias("rank"))
-    # packed by blocks of buckets first, so the last step joins a few strings of fixed length
-    blocks = ranked.groupBy(F.shiftright("bucket", 12).alias("block")).agg(F.map_from_entries(F.collect_list(F.struct(F.col("bucket") % 4096, "rank"))).alias("own"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(4095)), lambda i: F.coalesce(F.get(F.map_values("own"), F.array_position(F.map_keys("own"), i).cast("int") - 1), F.lit(0).cast("byte")))
-    filled = blocks.select("block", dense.alias("ranks"))
-    every = docs.sparkSession.range(RARITY_BUCKETS >> 12).select(F.col("id").cast("int").alias("block")).join(filled, "block", "left")
-    ranks = F.coalesce("ranks", F.array_repeat(F.lit(0).cast("byte"), 4096))
-    return every.agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("block", ranks.alias("ranks")))), lambda x: x["ranks"])).alias("ranks"))
+    """One row: an array with, for each bucket of words, twice the binary logarithm of its occurrences in all texts."""
+    words = lines_of(docs).select(F.explode(word_list(F.col("line"))).alias("w"))
+    counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(RARITY_BUCKETS - 1)).cast("int").alias("at")).agg(F.count("*").alias("n"))
+    return packed_row(docs.sparkSession, counts.select("at", F.floor(2 * F.log2(F.col("n") + 1)).cast("byte").alias("value")), RARITY_BUCKETS, "byte")
+
+
+def with_row(df: DataFrame, row: DataFrame, name: str) -> DataFrame:
+    """df with the array of a table of one row (packed_row: of fixed size), as a scalar subquery."""
+    view = f"gridloom_{uuid.uuid4().hex}"
+    row.createOrReplaceTempView(view)
+    out = df.select("*", F.expr(f"(SELECT packed FROM {view})").alias(name))
+    df.sparkSession.catalog.dropTempView(view)
+    return out
 
 
 def ordered_words(line: Column, ranks: Column) -> Column:
@@ -69,50 +86,63 @@ def overlap_needed(n: Column, m: Column, t: float) -> Column:
     return F.ceil(F.lit(t / (1 + t)) * (n + m) - 1e-9)
 
 
-def similar_lines(classes: DataFrame, ranks: DataFrame, t: float = THRESHOLD) -> DataFrame:
-    """Pairs a, b (struct of the first line's place and text, and id) of classes (columns id, first) with a Jaccard similarity of at least t, a the smaller set (of equal ones that of the lower id).
-
-    Every use of classes takes both its columns, so all share one shuffle.
-    """
-    spark = classes.sparkSession
-    ranks.createOrReplaceTempView("gridloom_rarity")
-    # a scalar subquery of fixed size; named first, as lambdas take a column but no subquery
-    ranked = classes.select("id", "first", F.expr("(SELECT ranks FROM gridloom_rarity)").alias("ranks"))
-    sets = ranked.select("id", ordered_words(F.col("first.line"), F.col("ranks")).alias("words"))
-    spark.catalog.dropTempView("gridloom_rarity")
+def candidate_pairs(lines: DataFrame, ranks: DataFrame, t: float = THRESHOLD) -> DataFrame:
+    """Pairs a, b (ids of classes) of which a is the smaller set (of equal ones that of the lower id) and may have a Jaccard similarity of at least t."""
+    # named first, as lambdas take a column but no subquery
+    sets = with_row(lines.select("id", "id2", "line"), ranks, "ranks").select("id", "id2", ordered_words(F.col("line"), F.col("ranks")).alias("words"))
     # coalesced, so that the join infers no null test that would compute the sets twice
     whole = lambda c, zero=0: F.coalesce(c, F.lit(zero))
-    sets = sets.select("id", whole(F.size("words")).alias("n"), whole(signature(F.col("words"), 13)).cast("long").alias("s"), "words")
+    sets = sets.select("id", "id2", whole(F.size("words")).alias("n"), whole(signature(F.col("words"), 13)).cast("long").alias("s"), "words")
     prefix = F.slice("words", F.lit(1), F.col("n") - F.ceil(F.lit(t) * F.col("n") - 1e-9).cast("int") + 1)
-    posts = sets.select("id", "n", "s", F.posexplode(prefix).alias("i", "w"))
-    # 32 bits of the word are enough to meet: what meets by chance fails the tests
-    posts = posts.select(F.col("w").bitwiseAND(F.lit(2**31 - 1)).cast("int").alias("w"), "id", "n", "s", "i")
+    # 31 bits of a word are enough to meet: what meets by chance fails the tests
+    short = F.transform(prefix, lambda w: w.bitwiseAND(F.lit(2**31 - 1)).cast("int"))
+    classes = sets.select("id", "id2", "n", "s", short.alias("p")).groupBy("id", "id2").agg(F.first("n").alias("n"), F.first("s").alias("s"), F.first("p").alias("p"))
+    posts = classes.select("id", whole(F.col("n")).alias("n"), whole(F.col("s")).alias("s"), F.posexplode("p").alias("i", "w"))
     a, b = (posts.select("w", *(F.col(c).alias(f"{side}_{c}") for c in ("id", "n", "i", "s"))) for side in "ab")
     need = overlap_needed(F.col("a_n"), F.col("b_n"), t)
-    most = F.least("a_i", "b_i") + F.least(F.col("a_n") - F.col("a_i"), F.col("b_n") - F.col("b_i"))
-    # the smaller set (a) needs only this much of its prefix
-    short = F.col("a_i") <= F.col("a_n") - F.ceil(F.lit(2 * t / (1 + t)) * F.col("a_n") - 1e-9)
     first = (F.col("a_n") < F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a_id") < F.col("b_id")))
-    # said in one expression of both sides: alone it would filter one side before the shuffle, and the sides could not share it
-    fit = F.when(first, short).otherwise(F.lit(False)) & (F.col("a_n") >= F.lit(t) * F.col("b_n") - 1e-9) & (F.bit_count(F.col("a_s").bitwiseXOR(F.col("b_s"))) <= F.col("a_n") + F.col("b_n") - 2 * need) & (most >= need)
-    pairs = a.join(b.hint("shuffle_merge"), (a["w"] == b["w"]) & fit).select("a_id", "b_id").distinct()
-    one, two = (classes.select(F.col("id").alias(f"{s}_id"), F.col("first").alias(f"{s}_first")) for s in "ab")
-    both = pairs.join(one, "a_id").join(two, "b_id")
-    x, y = F.array_distinct(word_list(F.col("a_first.line"))), F.array_distinct(word_list(F.col("b_first.line")))
-    good = F.size(F.array_intersect(x, y)) >= overlap_needed(F.size(x), F.size(y), t)
-    return both.where(good).select(*(F.struct(F.col(f"{s}_first").alias("first"), F.col(f"{s}_id").alias("id")).alias(s) for s in "ab"))
+    # a pair's first common word has all others after it. Said in one expression of both sides: alone it would filter one side before the shuffle, and the sides could not share it
+    left = F.when(first, F.least(F.col("a_n") - F.col("a_i"), F.col("b_n") - F.col("b_i")) >= need).otherwise(F.lit(False))
+    fit = left & (F.col("a_n") >= F.lit(t) * F.col("b_n") - 1e-9) & (F.bit_count(F.col("a_s").bitwiseXOR(F.col("b_s"))) <= F.col("a_n") + F.col("b_n") - 2 * need)
+    return a.join(b.hint("shuffle_merge"), (a["w"] == b["w"]) & fit).select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct()
+
+
+PLACE = ("doc_id", "row", "line_no")
+CLASS = ("id", "id2")
+
+
+def similar(pairs: DataFrame, lines: DataFrame, t: float) -> DataFrame:
+    """Of the pairs of classes (x, y: structs of id and id2) the y of those whose words have a Jaccard similarity of at least t."""
+    spark = lines.sparkSession
+    at = lambda c: F.col(c).bitwiseAND(F.lit(WANTED_BITS - 1))
+    ends = pairs.select(F.explode(F.array("x", "y")).alias("e")).select("e.id")
+    bits = ends.groupBy(F.shiftright(at("id"), 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(id & 63 AS INT))")).alias("value"))
+    bit = F.shiftright(F.get("wanted", F.shiftright(at("id"), 6).cast("int")), 0).bitwiseAND(F.expr("shiftleft(1L, CAST(id & 63 AS INT))"))
+    texts = with_row(lines.select(*CLASS, "line"), packed_row(spark, bits, WANTED_BITS >> 6, "long", 1024), "wanted").where(bit != 0).groupBy(F.struct(*CLASS).alias("c")).agg(F.first("line").alias("line"))
+    x, y = (texts.select(F.col("c").alias(s), F.array_distinct(word_list(F.col("line"))).alias(f"{s}_words")) for s in "xy")
+    both = pairs.join(x, "x").join(y, "y")
+    good = F.size(F.array_intersect("x_words", "y_words")) >= overlap_needed(F.size("x_words"), F.size("y_words"), t)
+    return both.where(good).select("y").distinct()
 
 
 def repeated_lines(docs: DataFrame, t: float = THRESHOLD) -> DataFrame:
     """doc_id, n_lines, removed (numbers of the lines to remove, from 0, ascending) of each row."""
-    keyed = lines_of(docs).withColumn("id", F.xxhash64("line"))
-    classes = keyed.groupBy("id").agg(F.min(F.struct("doc_id", "row", "line_no", "line")).alias("first"))
-    pairs = similar_lines(classes, rarity(docs), t)
-    later = pairs.select(F.greatest("a", "b")["id"].alias("id")).distinct().withColumn("late", F.lit(True))
-    flagged = classes.join(later, "id", "left").select("id", "first", "late")
-    placed = keyed.select("doc_id", "row", "line_no", "id").join(flagged, "id")
-    is_first = F.struct("doc_id", "row", "line_no").eqNullSafe(F.struct("first.doc_id", "first.row", "first.line_no"))
-    gone = placed.where(F.coalesce("late", F.lit(False)) | ~is_first).groupBy("doc_id", "row").agg(F.array_sort(F.collect_set("line_no")).alias("removed"))
+    lines = lines_of(docs)
+    pairs = materialize(candidate_pairs(lines, rarity(docs), t), "pairs")
+    # dealt out by id once: the first place of each class, and later all places of it
+    placed = lines.select(*CLASS, *PLACE).repartition("id")
+    firsts = placed.groupBy(*CLASS).agg(F.min(F.struct(*PLACE)).alias("first"))
+    side = lambda s: firsts.select(F.col("id").alias(s), F.struct("first", *CLASS).alias(f"{s}_own"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select(F.least("a_own", "b_own").alias("x"), F.greatest("a_own", "b_own").alias("y"))
+    key = lambda c: F.struct(*(F.col(f"{c}.{k}") for k in CLASS)).alias(c)
+    ways = materialize(both.select("x.first", key("x"), key("y")), "ways")
+    best = ways.groupBy("y").agg(F.min(F.struct("first", "x")).alias("best")).select("best.x", "y")
+    late = materialize(similar(best, lines, t), "late")
+    others = ways.join(late, "y", "left_anti").join(best, ["x", "y"], "left_anti").select("x", "y")
+    late = late.unionByName(materialize(similar(others, lines, t), "late")).select("y.*", F.lit(True).alias("late"))
+    flagged = placed.groupBy(*CLASS).agg(F.min(F.struct(*PLACE)).alias("first")).join(late, list(CLASS), "left")
+    gone = placed.join(flagged, list(CLASS)).where(F.coalesce("late", F.lit(False)) | ~F.struct(*PLACE).eqNullSafe(F.col("first")))
+    gone = gone.groupBy("doc_id", "row").agg(F.array_sort(F.collect_set("line_no")).alias("removed"))
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), n_lines.alias("n_lines"))
     found = gone.withColumnsRenamed({"doc_id": "d", "row": "r"})

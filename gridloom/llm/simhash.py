@@ -6,6 +6,15 @@ from either. Each fingerprint therefore takes, for each pair of segments, the co
 bit away: about ten keys, and any two fingerprints that link share one. An equi-join on the keys with the exact bit count as its condition gives all links and no other.
 
 Exact copies are one fingerprint before any key is made, so a group of copies of any size costs one row.
+
+`simhash_components` links fingerprints of few differing bits. `near_copy_groups` asks for a similarity instead: the shingle sets of two texts must have a Jaccard
+similarity of 0.8 or more, where a fingerprint differs in some ten bits. Each set has several independent fingerprints, whose keys together meet for nearly all such
+pairs; of texts that share a key, one after another becomes a hub and takes those whose fingerprints are near, first inside each partition and then, among the
+hubs, across them. So a group of copies of any size costs rows in proportion, and a key that holds a third of all texts reaches the shuffle as a few hubs a
+partition. Each pair of a text and its hub is verified on the whole shingle sets before it links.
+
+Texts are lower-cased in A-Z and split at \\x20 and \\x09-\\x0D; null and empty ones have no words and are one class. Repeated rows are one class; ids decide ties. A very long
+text is one row's work. An empty table gives none. Extra columns are dropped.
 """
 
 from __future__ import annotations
@@ -15,16 +24,21 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import as_bytes
 from gridloom.operators.components import connected_components
-from gridloom.session import materialize
+from gridloom.session import drop_folder, materialize
 
 SHINGLE, MOST_BITS = 4, 4
 SEED = 42
+#: Of near_copy_groups: words of a shingle, the least similarity in hundredths, fingerprints of a text, differing bits of a fingerprint beyond which a text isn't near a hub.
+WORDS, LEAST, PRINTS, NEAR_BITS = 5, 80, 5, 20
+#: Keys worked on together, about; bits of the filter for texts to be verified.
+PART_KEYS, FILTER_BITS = 1 << 20, 1 << 22
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1 generates the code.
 GENERATOR = 0b110001110101
@@ -141,7 +155,177 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     classes = own.groupBy("print").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n_same"))
     links = similar_prints(classes, most_bits)
     member = connected_components(links).select(F.col("node").alias("print"), "component")
-    placed = classes.join(member, "print", "left").withColumn("component", F.coalesce("component", "print"))
-    least = placed.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    classes = placed.join(least, "component").select("print", "component_id", "n_same", "component")
+    # tables of their own: both sides of the joins are plain shuffles, and one that a component or a fingerprint makes hot can be split
+    placed = materialize(classes.join(member, "print", "left").withColumn("component", F.coalesce("component", "print")), "placed")
+    least = materialize(placed.groupBy("component").agg(F.min("first_id").alias("component_id")), "least")
+    classes = materialize(placed.join(least, "component").select("print", "component_id", "n_same", "component"), "classes")
+    drop_folder(placed)
+    drop_folder(least)
     return own.join(classes, "print").select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id", "n_same", "row", F.col("component").alias("group"))
+
+
+class _Words(dict):
+    """Hashes of words met before."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 1 << 20:
+            self.clear()
+        own = self[word] = xxhash.xxh64_intdigest(word, SEED)
+        return own
+
+
+_WORDS = _Words()
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+    return h ^ (h >> np.uint64(32))
+
+
+def shingle_set(text: bytes, size: int) -> np.ndarray:
+    """Sorted distinct hashes of a text's shingles; of a shorter text one for the whole, of none for no words."""
+    parts = text.lower().split()
+    if not parts:
+        return np.zeros(0, np.uint64)
+    words = np.fromiter(map(_WORDS.__getitem__, parts), np.uint64, len(parts))
+    size = min(size, len(parts))
+    n = len(parts) - size + 1
+    own = np.zeros(n, np.uint64)
+    for i in range(size):
+        own = mixed(own ^ words[i : i + n])
+    return np.unique(own)
+
+
+def set_prints(own: np.ndarray, n: int = PRINTS) -> np.ndarray:
+    """Fingerprints of a set of hashes: each from the hashes mixed anew."""
+    counts = np.zeros((n, 64), np.int64)
+    for i in range(0, len(own), 1 << 14):
+        part = own[i : i + (1 << 14)]
+        for k in range(n):
+            h = mixed(part + np.uint64(0xD1B54A32D192ED03 * (k + 1) & (1 << 64) - 1))
+            counts[k] += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * counts > len(own), axis=1, bitorder="little").view("<u8")[:, 0]
+
+
+def taken(key: np.ndarray, node: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows that are hubs of their key, and (rows, their hubs). Of each key's rows the one with the least mixed node is a hub and takes all near it; what is left chooses again. Each fingerprint (the key's top bits) mixes nodes its own way."""
+    left = np.lexsort((mixed(node.view(np.uint64) ^ mixed(key.astype(np.uint64) >> np.uint64(26))), key))
+    hubs, members, above = [], [], []
+    while len(left):
+        first = np.append(True, key[left[1:]] != key[left[:-1]])
+        hub = left[first][np.cumsum(first) - 1]
+        near = ~first & (np.bitwise_count(check[left] ^ check[hub]) <= NEAR_BITS)
+        hubs.append(left[first])
+        members.append(left[near])
+        above.append(hub[near])
+        left = left[~first & ~near]
+    none = [np.zeros(0, np.int64)]
+    return tuple(np.concatenate(none + x) for x in (hubs, members, above))
+
+
+def _lists(sets: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *(len(s) for s in sets)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)))
+
+
+def _pairs(node: np.ndarray, members: np.ndarray, hubs: np.ndarray) -> np.ndarray:
+    """Distinct pairs of nodes, the smaller first."""
+    both = np.stack([np.minimum(node[members], node[hubs]), np.maximum(node[members], node[hubs])], axis=1)
+    return np.unique(both[both[:, 0] != both[:, 1]], axis=0)
+
+
+def proposed_pairs(classes: DataFrame) -> DataFrame:
+    """Pairs a < b of nodes (columns node, prints) of which one is a hub of a key they share and near it."""
+    spark = classes.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), classes.count() * 29 * PRINTS // PART_KEYS)
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nodes, prints = [np.zeros(0, np.int64)], [np.zeros((0, PRINTS), np.int64)]
+        for b in batches:
+            nodes.append(b.column(0).to_numpy())
+            prints.append(b.column(1).flatten().to_numpy().reshape(-1, PRINTS))
+        node, prints = np.concatenate(nodes), np.concatenate(prints).view(np.uint64)
+        for k in range(PRINTS):
+            # a key's texts are told apart by the next fingerprint
+            row, key = golay_keys(prints[:, k])
+            key |= k << 26
+            check = prints[:, (k + 1) % PRINTS]
+            hubs, members, above = taken(key, node[row], check[row])
+            own = _pairs(node[row], members, above)
+            key, row = key[hubs], row[hubs]
+            part = (mixed(key.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+            order = np.lexsort((key, part))
+            key, row, part = key[order], row[order], part[order]
+            cut = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])), len(part)) if len(part) else np.zeros(1, np.int64)
+            packs = [slice(a, b) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+            columns = [[v[p].tobytes() for p in packs] for v in (key.astype("<u4"), node[row].astype("<i8"), check[row].astype("<u8"))]
+            # pairs found here go along as they are: no keys, only ends
+            for column, v in zip(columns, (np.zeros(0), own[:, 0].astype("<i8"), own[:, 1].astype("<i8")), strict=True):
+                column.extend([v.tobytes()] * bool(len(own)))
+            where = np.append(part[cut[:-1]], [own[0, 0] % parts] if len(own) else []).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(where), *(pa.array(c, pa.binary()) for c in columns)], names=["part", "x", "y", "z"])
+
+    def met(group: pa.Table) -> pa.Table:
+        long = pc.greater(pc.binary_length(group["x"]), 0)
+        keyed, ready = group.filter(long), group.filter(pc.invert(long))
+        read = lambda t, c, kind: np.concatenate([np.zeros(0, kind), *(np.frombuffer(x.as_buffer(), kind) for x in t[c])])
+        key, node, check = (read(keyed, c, kind) for c, kind in (("x", "<u4"), ("y", "<i8"), ("z", "<u8")))
+        own = np.concatenate([_pairs(node, *taken(key, node, check)[1:]), np.stack([read(ready, c, "<i8") for c in "yz"], axis=1)])
+        return pa.table({"a": own[:, 0], "b": own[:, 1]})
+
+    made = classes.select("node", "prints").mapInArrow(local, "part int, x binary, y binary, z binary")
+    return materialize(made.groupBy("part").applyInArrow(met, "a long, b long").distinct(), "proposed")
+
+
+def similar_sets(pairs: DataFrame, rows: DataFrame, size: int, least: int) -> DataFrame:
+    """Those of the pairs (a, b, hashes of texts) whose shingle sets have a Jaccard similarity of `least` hundredths or more."""
+    at = F.col("row").bitwiseAND(F.lit(FILTER_BITS - 1))
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("row"))
+    bits = ends.groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(row & 63 AS INT))")).alias("bits")).toArrow()  # at most FILTER_BITS / 64 rows
+    wanted = np.zeros(FILTER_BITS >> 6, np.int64)
+    wanted[bits["word"].to_numpy()] = bits["bits"].to_numpy()
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = b.column(0).to_numpy() & (FILTER_BITS - 1)
+            b = b.filter(pa.array((wanted[at >> 6] >> (at & 63)) & 1 == 1))
+            for i in range(0, b.num_rows, 1 << 9):
+                part = b.slice(i, 1 << 9)
+                yield pa.RecordBatch.from_arrays([part.column(0), _lists([shingle_set(t.as_buffer().to_pybytes(), size) for t in part.column(1)])], names=["row", "shingles"])
+
+    # a table of its own, so that the joins below can split a hub with many members
+    own = materialize(rows.select("row", "text").mapInArrow(sets, "row long, shingles array<long>").groupBy("row").agg(F.first("shingles").alias("shingles")), "sets")
+    a, b = own.select(F.col("row").alias("a"), F.col("shingles").alias("sa")), own.select(F.col("row").alias("b"), F.col("shingles").alias("sb"))
+    both = F.size(F.array_intersect("sa", "sb"))
+    links = pairs.join(a, "a").join(b, "b").where((100 + least) * both >= least * (F.size("sa") + F.size("sb"))).select("a", "b")
+    links = materialize(links, "links")
+    drop_folder(own)
+    return links
+
+
+def near_copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = WORDS, least: int = LEAST) -> DataFrame:
+    """group (hash of one of its texts), doc_id, row (hash of the text): of each component of links the row with the smallest doc_id (null last, then by hash).
+
+    Texts of equal shingle sets are one class. A text without links is a group of its own.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("row"), as_bytes(text_col).alias("text"))
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, 1 << 9):
+                part = b.slice(i, 1 << 9)
+                sets = [shingle_set(t.as_buffer().to_pybytes(), shingle) for t in part.column(2)]
+                same = pa.array([xxhash.xxh128_digest(s.tobytes()) for s in sets], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), same, _lists([set_prints(s) for s in sets])], names=["doc_id", "row", "same", "prints"])
+
+    own = rows.mapInArrow(made, "doc_id long, row long, same binary, prints array<long>")
+    classes = own.groupBy("same").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first"), F.min("row").alias("node"), F.first("prints").alias("prints"))
+    classes = materialize(classes.drop("same"), "classes")
+    pairs = proposed_pairs(classes)
+    links = similar_sets(pairs, rows, shingle, least)
+    member = connected_components(links)
+    firsts = classes.select("node", "first").join(member, "node", "left").withColumn("group", F.coalesce("component", "node"))
+    out = materialize(firsts.groupBy("group").agg(F.min("first").alias("first")).select("group", "first.doc_id", "first.row"), "groups")
+    for done in (classes, pairs, links):
+        drop_folder(done)
+    return out
