@@ -16,7 +16,7 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.driver.memory", "16g")
+        .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -24,13 +24,16 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession
 
 
 def work_root(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir; a new temporary one only where that is unset (tests)."""
+    """The shared folder named in spark.checkpoint.dir. Where it is unset a single machine gets a new temporary one; a cluster, whose executors would not see it, an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         set_before = spark.sparkContext._jsc.sc().getCheckpointDir()
-        root = set_before.get() if set_before.isDefined() else "file://" + tempfile.mkdtemp(prefix="gridloom-")
-        if not set_before.isDefined():
-            spark.sparkContext.setCheckpointDir(root)
+        if set_before.isDefined():
+            return set_before.get()
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="gridloom-")
+        spark.sparkContext.setCheckpointDir(root)
     return root
 
 
