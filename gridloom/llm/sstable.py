@@ -11,7 +11,8 @@ Keys are order-preserving bytes (null: 00; a long: 01 and eight big-endian bytes
 binary search of the index and a scan of one block. Values are little-endian ids of two bytes where the vocabulary fits, else four.
 A shard is written by the task that sorted it and is known only by the row that task returns: a task that runs again leaves an unused file, never a wrong one.
 
-Null or empty text: only the end id. Null ids come first. Repeated ids give an entry each, in order of their texts' bytes. Extra columns are ignored.
+Null or empty text: only the end id. Null ids come first. Repeated ids give an entry each, in order of their texts' bytes. A very long text is encoded by
+itself. An empty table gives no shard. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -238,13 +240,16 @@ class ShardReader:
         return found
 
 
+#: Text bytes of a shard, about.
+SHARD_BYTES = 64 << 20
+
 MANIFEST = "shard int, path string, first_id long, last_id long, n_docs long, n_ids long"
 
 
 def write_shards(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "word_bpe_49k.json", end_id: int = 1, shards: int | None = None) -> DataFrame:
     """Encode and write all documents below folder; returns the manifest (also kept there): shard, path, first_id, last_id, n_docs, n_ids.
 
-    The ids of shard k come before those of shard k + 1. shards: how many ranges; by default the session's shuffle partitions.
+    The ids of shard k come before those of shard k + 1. shards: how many ranges; by default the session's shuffle partitions, or more, so that a shard has about `SHARD_BYTES` of text.
     """
     spark = docs.sparkSession
 
@@ -271,8 +276,10 @@ def write_shards(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
             )
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), as_bytes(text_col).alias("text"))
-    cut = (shards or int(spark.conf.get("spark.sql.shuffle.partitions")),)
-    (rows.repartitionByRange(*cut, "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(written, MANIFEST).write.mode("overwrite").parquet(f"{folder}/manifest"))
+    if shards is None:
+        size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
+    (rows.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(written, MANIFEST).write.mode("overwrite").parquet(f"{folder}/manifest"))
     return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
 
@@ -283,14 +290,12 @@ def read_shards(manifest: DataFrame) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for path, start in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids, starts, sizes, sums = [], [], [], []
-                for doc_id, own in ShardReader(path).scan():
-                    ids.append(doc_id)
-                    starts.append(start)
-                    sizes.append(len(own))
-                    sums.append(zlib.crc32(own.astype("<u4").tobytes()))
-                    start += len(own)
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (ids, starts, sizes, sums)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                entries = ShardReader(path).scan()
+                while some := list(islice(entries, 1 << 12)):  # a batch at a time
+                    sizes = np.array([len(own) for _, own in some], np.int64)
+                    sums = [zlib.crc32(own.astype("<u4").tobytes()) for _, own in some]
+                    yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in some], pa.int64()), pa.array(start + np.cumsum(sizes) - sizes), pa.array(sizes), pa.array(sums, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                    start += int(sizes.sum())
 
     before = W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)  # one row a shard: small beside the data
     placed = manifest.select("path", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).cast("long").alias("start"))
