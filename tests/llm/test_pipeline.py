@@ -1,5 +1,6 @@
 """The pipeline against the operators applied by hand, on whole tables and on odd rows."""
 
+import re
 import zlib
 
 import numpy as np
@@ -9,7 +10,8 @@ from pyspark.sql import functions as F
 import corpus_pipeline as P
 from gridloom.llm.sstable import encoder
 from gridloom.llm.common import tokenizer_path
-from tests.llm.test_operators import brute_print, corpus
+from tests.llm.test_near_copies import brute, recall
+from tests.llm.test_operators import corpus
 
 SF = "/root/testdata/sf0.001"
 
@@ -27,24 +29,18 @@ def test_stages_on_the_small_tables(spark):
     assert set(kept_ids(clean)) <= set(kept_ids(quality)) and quality.count() < docs.count()
 
     near = P.near_copies(spark, quality, SF)
-    rows = quality.select("doc_id", "text").collect()
-    prints = {r.doc_id: brute_print(r.text) for r in rows}
-    above = {i: i for i in prints}
-
-    def top(x):
-        while above[x] != x:
-            x = above[x]
-        return x
-
-    for a in sorted(prints):
-        for b in prints:
-            if a < b and bin(prints[a] ^ prints[b]).count("1") <= 4:
-                p, q = sorted((top(a), top(b)))
-                above[q] = p
-    assert kept_ids(near) == sorted((i for i in prints if top(i) == i), key=repr)
+    rows = [(r.doc_id, r.text) for r in quality.select("doc_id", "text").collect()]
+    assert recall(kept_ids(near), brute(rows), rows) >= 0.9
 
     bench = P.benchmark(spark, near, SF)
-    assert set(kept_ids(bench)) < set(kept_ids(near))
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    grams = {}
+    for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect():
+        own = split(r.text)
+        n = min(10, len(own))
+        grams.setdefault(n, set()).update(tuple(own[p : p + n]) for p in range(len(own) - n + 1 if n else 0))
+    clean = [r.doc_id for r in near.collect() if not any(tuple(w[p : p + n]) in g for w in [split(r.text)] for n, g in grams.items() for p in range(len(w) - n + 1))]
+    assert kept_ids(bench) == sorted(clean, key=repr) and len(clean) < near.count()
     mixed = P.mixture(spark, bench, SF)
     assert set(kept_ids(mixed)) < set(kept_ids(bench))
     for stage in (quality, near, bench, mixed):
