@@ -121,16 +121,29 @@ def roll_up(results: DataFrame) -> DataFrame:
     return out.withColumn("status", F.when(F.col("n_errors") > 0, "error").when(F.col("n_warnings") > 0, "warning").otherwise("ok"))
 
 
-def price_checks(efficiency: DataFrame, fixed: DataFrame, variable: DataFrame, invest: DataFrame, active: DataFrame) -> DataFrame:
-    """DIA-16: findings per process, each check by itself: no cost at all; neither fixed nor invest; fixed and variable periods differ; periods of its life without them."""
+def price_checks(efficiency: DataFrame, fixed: DataFrame, variable: DataFrame, invest: DataFrame, active: DataFrame, technology: DataFrame | None = None, horizon: DataFrame | None = None) -> DataFrame:
+    """DIA-16: findings per process, each check by itself: no cost at all; neither fixed nor invest; a fixed cost of the build year, or an invest cost, that the technology has only elsewhere; fixed and variable periods differ; periods of its life without them.
+
+    technology (tech, unlim_cap): uncapped ones may lack fixed and invest costs. horizon (period): vintages outside it are not asked for fixed and invest costs.
+    """
     key = ["region", "tech", "vintage"]
     own = efficiency.select(*key).distinct()
     periods = lambda df, name: df.groupBy(*key).agg(F.sort_array(F.collect_set("period")).alias(name))
-    rows = own.join(periods(fixed, "f"), key, "left").join(periods(variable, "v"), key, "left").join(invest.select(*key).distinct().withColumn("i", F.lit(True)), key, "left").join(periods(active, "life"), key, "left")
+    flag = lambda df, on, name: df.select(*on).distinct().withColumn(name, F.lit(True))
+    base = fixed.where("period = vintage")
+    rows = own.join(periods(fixed, "f"), key, "left").join(periods(variable, "v"), key, "left").join(flag(invest, key, "i"), key, "left").join(periods(active, "life"), key, "left")
+    rows = rows.join(flag(base, key, "b"), key, "left").join(flag(base, ["tech"], "b_else"), "tech", "left").join(flag(invest, ["tech"], "i_else"), "tech", "left")
+    free, inside = F.lit(False), F.lit(True)
+    if technology is not None:
+        rows, free = rows.join(flag(technology.where("unlim_cap = 1"), ["tech"], "free"), "tech", "left"), F.col("free").isNotNull()
+    if horizon is not None:
+        rows, inside = rows.join(flag(horizon.withColumnRenamed("period", "vintage"), ["vintage"], "inside"), "vintage", "left"), F.col("inside").isNotNull()
     found = F.array_compact(
         F.array(
             F.when(F.col("f").isNull() & F.col("v").isNull() & F.col("i").isNull(), "no cost"),
-            F.when(F.col("f").isNull() & F.col("i").isNull(), "no fixed or invest cost"),
+            F.when(F.col("f").isNull() & F.col("i").isNull() & ~free & inside, "no fixed or invest cost"),
+            F.when(F.col("b").isNull() & F.col("b_else").isNotNull() & inside, "fixed cost of the build year only elsewhere"),
+            F.when(F.col("i").isNull() & F.col("i_else").isNotNull() & inside, "invest cost only elsewhere"),
             F.when(F.col("f").isNotNull() & F.col("v").isNotNull() & (F.col("f") != F.col("v")), "fixed and variable periods differ"),
             F.when(F.col("f").isNotNull() & (F.size(F.array_except("life", "f")) > 0), "fixed cost missing in the lifetime"),
             F.when(F.col("v").isNotNull() & (F.size(F.array_except("life", "v")) > 0), "variable cost missing in the lifetime"),

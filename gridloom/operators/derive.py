@@ -93,3 +93,36 @@ def carry_forward(table: DataFrame, alive: DataFrame, technology: DataFrame, bas
     keep = old.join(alive.select(*PROCESS).distinct(), list(PROCESS), "left_semi")
     free = old.join(F.broadcast(technology.where("unlim_cap = 1").select("tech")), "tech", "left_semi").join(alive.select(*PROCESS).distinct(), list(PROCESS), "left_anti")
     return keep.unionByName(free).unionByName(table.where(F.col("vintage").between(base, last)))
+
+
+def constraint_domains(active_rows: DataFrame, efficiency: DataFrame, slices: DataFrame, technology: DataFrame, demand: DataFrame, commodity: DataFrame) -> DataFrame:
+    """DER-12: the keys at which each rule applies: rule, region, period, tech, vintage, commodity, season, tod (null where the rule has none).
+
+    Per slice: capacity (processes that are not annual), baseload, storage, ramp, balance (commodities of a node that some active process there takes or makes; annual ones, flag a, once a
+    period as `annual balance`). Per period: annual capacity, exchange (edges whose other direction is active too), demand, growth (a row a technology).
+    active_rows: region, tech, vintage, period; technology: tech, annual, baseload, storage, ramp (0 or 1); demand: region, period, commodity; commodity: name, flag.
+    """
+    from gridloom.operators.regions import edge_from, edge_to, is_edge, mirrored
+
+    columns = ("region", "period", "tech", "vintage", "commodity", "season", "tod")
+    times = slices.select("period", "season", "tod").distinct()
+
+    def rows(rule: str, df: DataFrame, by_slice: bool = False) -> DataFrame:
+        df = df.join(times, "period") if by_slice else df
+        kinds = {"vintage": "int"} | dict.fromkeys(("tech", "commodity", "season", "tod"), "string")
+        return df.select(F.lit(rule).alias("rule"), *(F.col(c) if c in df.columns else F.lit(None).cast(kinds[c]).alias(c) for c in columns))
+
+    own = active_rows.select(*PROCESS, "period").distinct().join(technology.select("tech", "annual", "baseload", "storage", "ramp"), "tech")
+    back = own.select(mirrored().alias("region"), "tech", "vintage", "period")
+    uses = own.join(efficiency.select(*PROCESS, "input_comm", "output_comm"), list(PROCESS))
+    ends = uses.select("period", F.explode(F.array(F.struct(F.coalesce(edge_from(), F.col("region")).alias("region"), F.col("input_comm").alias("commodity")), F.struct(F.coalesce(edge_to(), F.col("region")).alias("region"), F.col("output_comm").alias("commodity")))).alias("e")).select("e.region", "period", "e.commodity").distinct()
+    ends = ends.join(commodity.select(F.col("name").alias("commodity"), "flag"), "commodity")
+    parts = [
+        rows("capacity", own.where("annual = 0"), True), rows("annual capacity", own.where("annual = 1")), *(rows(k, own.where(F.col(k) == 1), True) for k in ("baseload", "storage", "ramp")),
+        rows("exchange", own.where(is_edge()).join(back, [*PROCESS, "period"], "left_semi")), rows("demand", demand.select("region", "period", "commodity").distinct()),
+        rows("balance", ends.where("flag <> 'a'"), True), rows("annual balance", ends.where("flag = 'a'")), rows("growth", own.select("region", "period", "tech").distinct()),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out

@@ -34,25 +34,44 @@ def process_balance(flow_in: DataFrame, flow_out: DataFrame, other: DataFrame |
     return out.withColumn("residual", residual).withColumn("failed", F.abs("residual") > F.when(F.col("flow_in") > 0, tolerance * F.col("flow_in")).otherwise(tolerance))
 
 
-def node_balance(flow_out: DataFrame, flow_in: DataFrame, demand: DataFrame, keys: Sequence[str] = NODE) -> DataFrame:
+PARTS = ("production", "imports", "consumption", "exports", "demand")
+
+
+def balanced(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Sums of signed parts (keys, part, amount), their residual and scale."""
+    out = parts.groupBy(*keys).agg(*(F.coalesce(F.sum(F.when(F.col("part") == n, F.col("amount"))), F.lit(0.0)).alias(n) for n in PARTS))
+    supply, use = F.col("production") + F.col("imports"), F.col("consumption") + F.col("exports") + F.col("demand")
+    return out.withColumn("residual", supply - use).withColumn("scale", F.greatest(F.abs(supply), F.abs(use)))
+
+
+def needed(demand: DataFrame, scenarios: DataFrame, extra: Sequence[str]) -> DataFrame:
+    """Demand as a part of every scenario."""
+    every = demand.crossJoin(F.broadcast(scenarios.select("scenario").distinct()))  # scenarios: few
+    return every.select("scenario", "period", "region", "commodity", *(F.col(k) if k in demand.columns else F.lit(None).cast("string").alias(k) for k in extra), F.lit("demand").alias("part"), F.col("demand").alias("amount"))
+
+
+def side(commodity: str, amount: str, end: Column, at_node: str, at_edge: str) -> list[Column]:
+    """Where a flow counts and as what: at its node, or at the end of its edge."""
+    return [F.coalesce(end, F.col("region")).alias("region"), F.col(commodity).alias("commodity"), F.when(is_edge(), at_edge).otherwise(at_node).alias("part"), F.col(amount).alias("amount")]
+
+
+def node_balance(flow_out: DataFrame, flow_in: DataFrame, demand: DataFrame, keys: Sequence[str] = NODE, scenarios: DataFrame | None = None) -> DataFrame:
     """RES-16: what each node makes, gets, uses, sends and needs of each commodity, in one pass over signed parts.
 
-    An edge's output is an export of its origin (of the input commodity) and an import of its target. Demand counts in every scenario.
+    An edge's output is an export of its origin (of the input commodity) and an import of its target. Demand counts in every scenario (those of flow_out, unless given).
     """
     extra = [k for k in keys if k not in NODE]
+    made = flow_out.select("scenario", "period", *extra, *side("output_comm", "flow", edge_to(), "production", "imports"))
+    used = flow_in.select("scenario", "period", *extra, *side("input_comm", "flow", edge_from(), "consumption", "exports"))
+    return balanced(union(made, used, needed(demand, flow_out if scenarios is None else scenarios, extra)), keys)
 
-    def row(df: DataFrame, commodity: str, end: Column, at_node: str, at_edge: str) -> DataFrame:
-        """Each flow once: at its node, or at the end of its edge."""
-        part = F.when(is_edge(), at_edge).otherwise(at_node).alias("part")
-        return df.select("scenario", "period", F.coalesce(end, F.col("region")).alias("region"), F.col(commodity).alias("commodity"), *extra, part, F.col("flow").alias("amount"))
 
-    needed = demand.crossJoin(F.broadcast(flow_out.select("scenario").distinct()))  # scenarios: few
-    needed = needed.select("scenario", "period", "region", "commodity", *(F.col(k) if k in demand.columns else F.lit(None).cast("string").alias(k) for k in extra), F.lit("demand").alias("part"), F.col("demand").alias("amount"))
-    parts = union(row(flow_out, "output_comm", edge_to(), "production", "imports"), row(flow_in, "input_comm", edge_from(), "consumption", "exports"), needed)
-    names = ("production", "imports", "consumption", "exports", "demand")
-    out = parts.groupBy(*keys).agg(*(F.coalesce(F.sum(F.when(F.col("part") == n, F.col("amount"))), F.lit(0.0)).alias(n) for n in names))
-    supply, use = F.col("production") + F.col("imports"), F.col("consumption") + F.col("exports") + F.col("demand")
-    return out.withColumn("residual", supply - use).withColumn("scale", F.greatest(F.abs(supply), F.abs(use)))
+def node_balance_of(flows: DataFrame, demand: DataFrame, scenarios: DataFrame, keys: Sequence[str] = NODE) -> DataFrame:
+    """RES-16 where one table holds both sides of each process (columns made and drawn): it is read once, and each row gives both of its parts."""
+    extra = [k for k in keys if k not in NODE]
+    both = F.array(F.struct(*side("output_comm", "made", edge_to(), "production", "imports")), F.struct(*side("input_comm", "drawn", edge_from(), "consumption", "exports")))
+    parts = flows.select("scenario", "period", *extra, F.explode(both).alias("p")).select("scenario", "period", *extra, "p.*")
+    return balanced(union(parts, needed(demand, scenarios, extra)), keys)
 
 
 def balance_verdict(balance: DataFrame, commodity: DataFrame, excluded: Sequence[str], absolute: float, relative: float) -> DataFrame:
@@ -202,11 +221,14 @@ def exchange_costs(costs: DataFrame, flow_out: DataFrame) -> DataFrame:
     costs: link, period, tech, vintage, cost; flows are summed over the same keys. Several cost rows of one link add up.
     """
     keys = ["period", "tech", "vintage"]
-    own = costs.groupBy("link", *keys).agg(F.sum("cost").alias("cost"))
-    flows = flow_out.where(is_edge()).groupBy(F.col("region").alias("link"), *keys).agg(F.sum("flow").alias("flow"))
-    back = own.select(mirrored("link").alias("link"), *keys, F.lit(True).alias("both"))
-    back_flow = flows.select(mirrored("link").alias("link"), *keys, F.col("flow").alias("back_flow"))
-    all_ = own.join(back, ["link", *keys], "left").join(flows, ["link", *keys], "left").join(back_flow, ["link", *keys], "left").na.fill(0.0, ["flow", "back_flow"])
+    amount = lambda df, link, cost, flow: df.select(F.col(link).alias("link"), *keys, cost.cast("double").alias("cost"), flow.cast("double").alias("flow"))
+    rows = union(amount(costs, "link", F.col("cost"), F.lit(None)), amount(flow_out.where(is_edge()), "region", F.lit(None), F.col("flow")))
+    # both directions of a link in one group: no self join
+    one = rows.select("*", F.least("link", mirrored("link")).alias("pair"), (F.col("link") <= mirrored("link")).alias("ahead"))
+    total = lambda c, ahead: F.sum(F.when(F.col("ahead") == ahead, F.col(c)))
+    pairs = one.groupBy("pair", *keys).agg(*(total(c, a).alias(f"{c}_{n}") for c in ("cost", "flow") for a, n in ((True, "ahead"), (False, "back"))))
+    way = lambda link, n, m: F.struct(link.alias("link"), F.col(f"cost_{n}").alias("cost"), F.col(f"cost_{m}").isNotNull().alias("both"), F.coalesce(f"flow_{n}", F.lit(0.0)).alias("flow"), F.coalesce(f"flow_{m}", F.lit(0.0)).alias("back_flow"))
+    all_ = pairs.select(*keys, F.explode(F.array(way(F.col("pair"), "ahead", "back"), way(mirrored("pair"), "back", "ahead"))).alias("w")).select(*keys, "w.*").where("cost is not null")
     share = F.when(F.col("both"), 1.0).when(F.col("flow") + F.col("back_flow") > 0, F.col("flow") / (F.col("flow") + F.col("back_flow"))).otherwise(0.5)
     sides = all_.withColumn("side", F.explode(F.array(F.struct(edge_to("link").alias("region"), share.alias("share")), F.struct(edge_from("link").alias("region"), (1 - share).alias("share")))))
     return sides.groupBy("side.region", *keys).agg(F.sum(F.col("cost") * F.col("side.share")).alias("cost"))

@@ -30,6 +30,10 @@ ADAPTERS = {
     "flow_in": """
         SELECT scenario, region, period, season, tod, input_comm, tech, vintage, output_comm, sum(quantity / (1 - discount)) AS flow FROM {placed}
         GROUP BY scenario, region, period, season, tod, input_comm, tech, vintage, output_comm""",
+    "flows": """
+        SELECT scenario, region, period, season, tod, input_comm, tech, vintage, output_comm, sum(quantity) AS made, sum(quantity / (1 - discount)) AS drawn FROM {placed}
+        GROUP BY scenario, region, period, season, tod, input_comm, tech, vintage, output_comm""",
+    "scenarios": "SELECT DISTINCT l_returnflag AS scenario FROM {lineitem}",
     "demand": f"""
         SELECT concat('R', CAST(c_nationkey % 5 AS STRING)) AS region, {_FIVE.format('o_orderdate')} AS period, o_orderpriority AS commodity, sum(o_totalprice) / 1e4 AS demand
         FROM {{orders}} JOIN {{customer}} ON o_custkey = c_custkey GROUP BY 1, 2, 3""",

@@ -219,6 +219,24 @@ def _(t: Tables) -> DataFrame:
     return rows.groupBy("region", "period", "tech").agg(F.count("*").alias("n"))
 
 
+@query(
+    "der12_constraint_domains",
+    f"""WITH o AS (SELECT DISTINCT a.region, a.tech, a.vintage, a.period, annual, baseload, reserve, flex FROM ({_ACTIVE}) a JOIN (SELECT * FROM {{technology}}) k ON k.tech = a.tech), q AS (SELECT DISTINCT period, season, tod FROM {{slices}}),
+    u AS (SELECT o.*, input_comm, output_comm FROM o JOIN (SELECT * FROM {{efficiency}}) e ON e.region = o.region AND e.tech = o.tech AND e.vintage = o.vintage),
+    c AS (SELECT region, period, commodity, flag FROM (SELECT CASE WHEN region LIKE '%-%' THEN split_part(region, '-', 1) ELSE region END AS region, period, input_comm AS commodity FROM u UNION SELECT CASE WHEN region LIKE '%-%' THEN split_part(region, '-', 2) ELSE region END, period, output_comm FROM u) JOIN (SELECT name AS commodity, flag FROM {{commodity}}) USING (commodity)),
+    r AS (SELECT 'capacity' AS rule, o.region, o.period, season FROM o JOIN q ON q.period = o.period WHERE annual = 0 UNION ALL SELECT 'annual capacity', region, period, NULL FROM o WHERE annual = 1 UNION ALL SELECT 'baseload', o.region, o.period, season FROM o JOIN q ON q.period = o.period WHERE baseload = 1
+      UNION ALL SELECT 'storage', o.region, o.period, season FROM o JOIN q ON q.period = o.period WHERE reserve = 1 UNION ALL SELECT 'ramp', o.region, o.period, season FROM o JOIN q ON q.period = o.period WHERE flex = 1
+      UNION ALL SELECT 'exchange', region, period, NULL FROM o WHERE region LIKE '%-%' AND (concat(split_part(region, '-', 2), '-', split_part(region, '-', 1)), tech, vintage, period) IN (SELECT (region, tech, vintage, period) FROM o)
+      UNION ALL SELECT 'demand', region, period, NULL FROM (SELECT DISTINCT region, period, commodity FROM {{demand}}) UNION ALL SELECT 'balance', c.region, c.period, season FROM c JOIN q ON q.period = c.period WHERE flag <> 'a' UNION ALL SELECT 'annual balance', region, period, NULL FROM c WHERE flag = 'a'
+      UNION ALL SELECT 'growth', region, period, NULL FROM (SELECT DISTINCT region, period, tech FROM o))
+    SELECT rule, region, period, count(*) AS n, count(season) AS with_slice FROM r GROUP BY rule, region, period""",
+)
+def _(t: Tables) -> DataFrame:
+    flags = t("technology").select("tech", "annual", "baseload", F.col("reserve").alias("storage"), F.col("flex").alias("ramp"))
+    out = D.constraint_domains(D.active(_lives(t), t("period")), t("efficiency"), t("slices"), flags, t("demand"), t("commodity"))
+    return out.groupBy("rule", "region", "period").agg(F.count("*").alias("n"), F.count("season").alias("with_slice"))
+
+
 _KEYS = {"net_capacity": ["region", "period", "tech", "vintage"], "cost_invest": ["region", "tech", "vintage"], "demand": ["region", "period"]}
 
 
@@ -336,12 +354,14 @@ def _(t: Tables) -> DataFrame:
     "dia16_price_checks",
     f"""WITH e AS ({_PROCESS}), f AS (SELECT region, tech, vintage, list_sort(list(DISTINCT period)) AS f FROM {{cost_fixed}} GROUP BY ALL), v AS (SELECT region, tech, vintage, list_sort(list(DISTINCT period)) AS v FROM {{cost_variable}} GROUP BY ALL), i AS (SELECT DISTINCT region, tech, vintage, true AS i FROM {{cost_invest}}), l AS (SELECT region, tech, vintage, list(DISTINCT period) AS life FROM ({_ACTIVE}) GROUP BY ALL),
     j AS (SELECT * FROM e LEFT JOIN f USING (region, tech, vintage) LEFT JOIN v USING (region, tech, vintage) LEFT JOIN i USING (region, tech, vintage) LEFT JOIN l USING (region, tech, vintage))
-    SELECT region, tech, vintage, 'no cost' AS finding FROM j WHERE f IS NULL AND v IS NULL AND i IS NULL UNION ALL SELECT region, tech, vintage, 'no fixed or invest cost' FROM j WHERE f IS NULL AND i IS NULL
+    SELECT region, tech, vintage, 'no cost' AS finding FROM j WHERE f IS NULL AND v IS NULL AND i IS NULL UNION ALL SELECT region, tech, vintage, 'no fixed or invest cost' FROM j WHERE f IS NULL AND i IS NULL AND vintage >= 1995 AND tech NOT IN (SELECT tech FROM {{technology}} WHERE unlim_cap = 1)
+    UNION ALL SELECT region, tech, vintage, 'fixed cost of the build year only elsewhere' FROM j WHERE vintage >= 1995 AND (region, tech, vintage) NOT IN (SELECT (region, tech, vintage) FROM {{cost_fixed}} WHERE period = vintage) AND tech IN (SELECT tech FROM {{cost_fixed}} WHERE period = vintage)
+    UNION ALL SELECT region, tech, vintage, 'invest cost only elsewhere' FROM j WHERE vintage >= 1995 AND i IS NULL AND tech IN (SELECT tech FROM {{cost_invest}})
     UNION ALL SELECT region, tech, vintage, 'fixed and variable periods differ' FROM j WHERE f <> v UNION ALL SELECT region, tech, vintage, 'fixed cost missing in the lifetime' FROM j WHERE len(list_filter(life, lambda x: NOT list_contains(f, x))) > 0
     UNION ALL SELECT region, tech, vintage, 'variable cost missing in the lifetime' FROM j WHERE len(list_filter(life, lambda x: NOT list_contains(v, x))) > 0""",
 )
 def _(t: Tables) -> DataFrame:
-    return C.price_checks(t("efficiency"), t("cost_fixed"), t("cost_variable"), t("cost_invest"), D.active(_lives(t), t("period")))
+    return C.price_checks(t("efficiency"), t("cost_fixed"), t("cost_variable"), t("cost_invest"), D.active(_lives(t), t("period")), t("technology"), t("period").where("period >= 1995"))
 
 
 @query("dia18_fractions", "SELECT period, count(n) AS n, 16 - count(n) AS missing, round(sum(f), 6) AS total, count(n) = 16 AND abs(sum(f) - 1) <= 0.001 AS passed FROM (SELECT period, n, n / sum(n) OVER (PARTITION BY period) AS f FROM {slices}) GROUP BY period")

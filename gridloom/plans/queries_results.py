@@ -31,7 +31,7 @@ _BALANCE = _BALANCE.replace("{demand} d", "(SELECT * FROM {demand}) d")
     f"SELECT scenario, period, region, commodity, round(production, 6) AS production, round(imports, 6) AS imports, round(consumption, 6) AS consumption, round(exports, 6) AS exports, round(demand, 6) AS demand, round(production + imports - consumption - exports - demand, 6) AS residual FROM ({_BALANCE})",
 )
 def _(t: Tables) -> DataFrame:
-    b = R.node_balance(t("flow_out"), t("flow_in"), t("demand"))
+    b = R.node_balance_of(t("flows"), t("demand"), t("scenarios"))
     return b.select("scenario", "period", "region", "commodity", *r6("production", "imports", "consumption", "exports", "demand", "residual"))
 
 
@@ -42,7 +42,7 @@ def _(t: Tables) -> DataFrame:
       LEFT JOIN (SELECT name, flag FROM {{commodity}}) c ON b.commodity = c.name WHERE flag IS NULL OR flag NOT IN ('s', 'a')""",
 )
 def _(t: Tables) -> DataFrame:
-    b = R.balance_verdict(R.node_balance(t("flow_out"), t("flow_in"), t("demand")), t("commodity"), ["s", "a"], 1.0, 0.2)
+    b = R.balance_verdict(R.node_balance_of(t("flows"), t("demand"), t("scenarios")), t("commodity"), ["s", "a"], 1.0, 0.2)
     return b.select("scenario", "period", "region", "commodity", "flag", *r6("residual"), "failed")
 
 
@@ -119,7 +119,7 @@ def _(t: Tables) -> DataFrame:
     ORDER BY round(abs(residual), 6) DESC, scenario, period, region, commodity LIMIT 25""",
 )
 def _(t: Tables) -> DataFrame:
-    b = R.node_balance(t("flow_out"), t("flow_in"), t("demand")).select("scenario", "period", "region", "commodity", *r6("residual"))
+    b = R.node_balance_of(t("flows"), t("demand"), t("scenarios")).select("scenario", "period", "region", "commodity", *r6("residual"))
     return R.largest(b, "residual", 25, "scenario", "period", "region", "commodity")
 
 
