@@ -117,7 +117,7 @@ def similar(pairs: DataFrame, lines: DataFrame, t: float) -> DataFrame:
     at = lambda c: F.col(c).bitwiseAND(F.lit(WANTED_BITS - 1))
     ends = pairs.select(F.explode(F.array("x", "y")).alias("e")).select("e.id")
     bits = ends.groupBy(F.shiftright(at("id"), 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(id & 63 AS INT))")).alias("value"))
-    bit = F.shiftright(F.get("wanted", F.shiftright(at("id"), 6).cast("int")), 0).bitwiseAND(F.expr("shiftleft(1L, CAST(id & 63 AS INT))"))
+    bit = F.get("wanted", F.shiftright(at("id"), 6).cast("int")).bitwiseAND(F.expr("shiftleft(1L, CAST(id & 63 AS INT))"))
     texts = with_row(lines.select(*CLASS, "line"), packed_row(spark, bits, WANTED_BITS >> 6, "long", 1024), "wanted").where(bit != 0).groupBy(F.struct(*CLASS).alias("c")).agg(F.first("line").alias("line"))
     x, y = (texts.select(F.col("c").alias(s), F.array_distinct(word_list(F.col("line"))).alias(f"{s}_words")) for s in "xy")
     both = pairs.join(x, "x").join(y, "y")

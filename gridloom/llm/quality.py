@@ -6,7 +6,7 @@ posterior of each pattern. A logistic scorer on hashed features (word shapes by
 documents, taken by a hash of the row; it then scores every document. No true label is used; they only measure held-out accuracy in the tests.
 
 Null or empty texts, and texts too short for a statistic, get no vote from it and are kept unless others speak against them. Repeated rows get equal scores. With no rows
-at all there is nothing to fit and nothing to score. Extra columns are dropped.
+at all there is nothing to fit and nothing to score. A very long text is a slice of its own. Extra columns are dropped.
 """
 
 from __future__ import annotations

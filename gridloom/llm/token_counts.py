@@ -4,7 +4,7 @@ A text is cut where no vocabulary piece can reach across; each cut-off piece of
 (leftmost first) is popped off a heap until no known pair is left. The count is the initial symbols minus the merges: no identifiers are made.
 The map has no shuffle. Each Python worker keeps the counts of short segments that recur.
 
-Null or empty text: 0 bytes, 0 tokens. Repeated rows give repeated rows. Extra columns are ignored. Very long texts and segments take O(n log n).
+Null or empty text: 0 bytes, 0 tokens. Repeated rows give repeated rows, an empty table none. Extra columns are ignored. Very long texts and segments take O(n log n).
 """
 
 from __future__ import annotations

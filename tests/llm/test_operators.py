@@ -289,6 +289,64 @@ def test_quality_em_finds_labeller_rates():
     assert np.mean((quality.estimate(patterns, counts)[inverse] > 0.5) == good) > 0.97
 
 
+def plain_features(text):
+    """The statistics of a text, and its hashed shapes with their shares, word by word."""
+    from gridloom.llm.words import NOT_SPACE
+    from gridloom.llm.words import words as split
+
+    data = (text or "").encode()
+    own = re.findall(rb"[^\x20\x09-\x0D]+", data)
+    n = len(own)
+    letters, upper = re.findall(rb"[A-Za-z]", data), re.findall(rb"[A-Z]", data)
+    digit, plain = set(b"0123456789"), set(range(0x61, 0x7B)) | set(range(0x41, 0x5B)) | set(range(0x80, 0x100)) | set(b".,")
+    odd = lambda w: w[-1] not in plain and w[-1] not in digit
+    low = [bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in w) for w in own]
+    share = lambda k: k / n if n >= quality.FEW_WORDS else np.nan
+    top = max((low.count(w) for w in set(low)), default=0)
+    stats = [
+        float(n),
+        len([c for c in data if c in b"#$%&*@^~=<>{}[]\\/+_|"]) / max(sum(map(len, own)), 1) if n >= quality.FEW_WORDS else np.nan,
+        len(upper) / len(letters) if len(letters) >= quality.FEW_LETTERS else np.nan,
+        share(sum(len(w) == 1 and odd(w) for w in own)),
+        share(sum(w.endswith(b"!") for w in own)),
+        share(sum(len(w) > 2 and w[-1] == w[-2] and odd(w) for w in own)),
+        share(top),
+        share(sum(x == y for x, y in zip(low, low[1:], strict=False))),
+        len(set(low)) / np.sqrt(n) if n >= quality.FEW_WORDS else np.nan,
+        share(sum(w[-1] in plain and w[0] in plain for w in own)),
+    ]
+    kind = lambda c: 97 if 0x61 <= c <= 0x7A or c >= 0x80 else 65 if 0x41 <= c <= 0x5A else 48 if c in digit else c
+    shapes = [re.sub(rb"(?s)(.)\1+", rb"\1", bytes(map(kind, w))) for w in own]
+    joined = np.frombuffer(b" ".join(shapes), np.uint8)
+    hashes = split(joined, np.array([0, len(joined)]), NOT_SPACE).hashes()
+    return np.array(stats), (hashes % np.uint64(quality.FEATURES // 2)).astype(np.int64), n
+
+
+def test_quality_scores_against_brute_force(spark, docs, rows):
+    """Statistics, votes, pattern counts and the score of each document, worked out text by text."""
+    more = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    texts = [t for _, t in rows] + more
+    found = quality.score_quality(frame(spark, list(enumerate(texts)))).collect()
+    each = [plain_features(t) for t in texts]
+    stats = np.stack([s for s, _, _ in each])
+    marks = quality.pattern(quality.votes(stats))
+    patterns, counts = np.unique(marks, return_counts=True)
+    good = dict(zip(patterns.tolist(), quality.estimate(patterns, counts).tolist(), strict=True))
+    own, bucket, weight = [], [], []
+    for k, (s, b, n) in enumerate(each):
+        _, where, half = quality.binned(s[None, :])
+        own += [k] * (len(b) + len(where))
+        bucket += [*b, *where]
+        weight += [1 / max(n, 1)] * len(b) + half.tolist()
+    own, bucket, weight = np.array(own), np.array(bucket), np.array(weight)
+    w = quality.fit(own, bucket, weight, np.array([good[p] for p in marks.tolist()]))
+    z = np.bincount(own, weight * w[bucket], minlength=len(texts)) + w[-1]
+    want = 1 / (1 + np.exp(-z))
+    assert len(found) == len(texts) and 0 < sum(r.kept for r in found) < len(texts)
+    for r in found:
+        assert r.quality == pytest.approx(want[r.doc_id], abs=1e-4)
+
+
 def brute_rake(cells, wanted, budget, rounds=200):
     mass = {c: float(t) for c, t in cells.items()}
     for _ in range(rounds):
@@ -362,6 +420,16 @@ def test_lines_against_all_pairs(spark, docs, rows, none):
     assert lines.repeated_lines(none).count() == 0
 
 
+def test_very_long_line(spark):
+    """A line of many thousand words, its near copy, and an equal one with other spaces."""
+    rng, words = random.Random(3), vocabulary(9, 30_000)
+    own = rng.choices(words, k=60_000)
+    near = [w if rng.random() > 0.01 else "changed" for w in own]
+    rows = [(1, " ".join(own)), (2, "short line here\n" + " ".join(near)), (3, "\t" + " \t".join(own)), (4, "another line")]
+    found = {r.doc_id: list(r.removed) for r in lines.repeated_lines(frame(spark, rows)).collect()}
+    assert found == {1: [], 2: [1], 3: [0], 4: []}
+
+
 def test_lines_stay_native(docs):
     plan = lines.digest(lines.repeated_lines(docs))._jdf.queryExecution().toString() + pii.digest(pii.find_pii(docs))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|ArrowEval|MapInArrow", plan)
