@@ -219,11 +219,11 @@ def line_in_layers(edges: DataFrame, layers: DataFrame, tile: float, key: str =
 
 
 def segment_cells(segments: DataFrame, size: float, key: str) -> DataFrame:
-    """GEO-J8: all grid cells (ix, iy) of a size that a segment touches."""
+    """GEO-J8: all grid cells (ix, iy) of a size that a segment touches, be it at a corner (to a billionth of the segment)."""
     s = segments.withColumns({"_a": F.least("x0", "x1"), "_b": F.least("y0", "y1"), "_c": F.greatest("x0", "x1"), "_d": F.greatest("y0", "y1")})
     s = s.withColumn("t", F.explode(tiles(size, "_a", "_b", "_c", "_d"))).withColumns({"xmin": F.col("t.tx") * size, "ymin": F.col("t.ty") * size, "xmax": (F.col("t.tx") + 1) * size, "ymax": (F.col("t.ty") + 1) * size})
     lo, hi = clip_interval()
-    return s.where(lo <= hi).select(key, F.col("t.tx").alias("ix"), F.col("t.ty").alias("iy"))
+    return s.where(lo <= hi + 1e-9).select(key, F.col("t.tx").alias("ix"), F.col("t.ty").alias("iy"))
 
 
 def dense_regions(cells: DataFrame) -> DataFrame:
