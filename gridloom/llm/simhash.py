@@ -168,7 +168,7 @@ class _Words(dict):
     """Hashes of words met before."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1 << 20:
+        if len(self) > 1 << 17:  # workers live on and hold other caches too
             self.clear()
         own = self[word] = xxhash.xxh64_intdigest(word, SEED)
         return own
@@ -208,8 +208,8 @@ def set_prints(own: np.ndarray, n: int = PRINTS) -> np.ndarray:
 
 
 def taken(key: np.ndarray, node: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows that are hubs of their key, and (rows, their hubs). Of each key's rows the one with the least mixed node is a hub and takes all near it; what is left chooses again. Each fingerprint (the key's top bits) mixes nodes its own way."""
-    left = np.lexsort((mixed(node.view(np.uint64) ^ mixed(key.astype(np.uint64) >> np.uint64(26))), key))
+    """Rows that are hubs of their key, and (rows, their hubs). Of each key's rows the one with the least mixed node is a hub and takes all near it; what is left chooses again. One order of all nodes keeps the pairs of a large group few."""
+    left = np.lexsort((mixed(node.view(np.uint64)), key))
     hubs, members, above = [], [], []
     while len(left):
         first = np.append(True, key[left[1:]] != key[left[:-1]])
@@ -277,8 +277,8 @@ def proposed_pairs(classes: DataFrame) -> DataFrame:
     return materialize(made.groupBy("part").applyInArrow(met, "a long, b long").distinct(), "proposed")
 
 
-def similar_sets(pairs: DataFrame, rows: DataFrame, size: int, least: int) -> DataFrame:
-    """Those of the pairs (a, b, hashes of texts) whose shingle sets have a Jaccard similarity of `least` hundredths or more."""
+def sets_of(pairs: DataFrame, rows: DataFrame, size: int) -> DataFrame:
+    """row, shingles of the texts that the pairs (a, b, hashes of texts) name, as a table of its own: what is joined with it can be split where a hub has many members."""
     at = F.col("row").bitwiseAND(F.lit(FILTER_BITS - 1))
     ends = pairs.select(F.explode(F.array("a", "b")).alias("row"))
     bits = ends.groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(row & 63 AS INT))")).alias("bits")).toArrow()  # at most FILTER_BITS / 64 rows
@@ -293,14 +293,14 @@ def similar_sets(pairs: DataFrame, rows: DataFrame, size: int, least: int) -> Da
                 part = b.slice(i, 1 << 9)
                 yield pa.RecordBatch.from_arrays([part.column(0), _lists([shingle_set(t.as_buffer().to_pybytes(), size) for t in part.column(1)])], names=["row", "shingles"])
 
-    # a table of its own, so that the joins below can split a hub with many members
-    own = materialize(rows.select("row", "text").mapInArrow(sets, "row long, shingles array<long>").groupBy("row").agg(F.first("shingles").alias("shingles")), "sets")
-    a, b = own.select(F.col("row").alias("a"), F.col("shingles").alias("sa")), own.select(F.col("row").alias("b"), F.col("shingles").alias("sb"))
+    return materialize(rows.select("row", "text").mapInArrow(sets, "row long, shingles array<long>").groupBy("row").agg(F.first("shingles").alias("shingles")), "sets")
+
+
+def similar_sets(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
+    """Those of the pairs (a, b) whose shingle sets have a Jaccard similarity of `least` hundredths or more."""
+    a, b = sets.select(F.col("row").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("row").alias("b"), F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
-    links = pairs.join(a, "a").join(b, "b").where((100 + least) * both >= least * (F.size("sa") + F.size("sb"))).select("a", "b")
-    links = materialize(links, "links")
-    drop_folder(own)
-    return links
+    return materialize(pairs.join(a, "a").join(b, "b").where((100 + least) * both >= least * (F.size("sa") + F.size("sb"))).select("a", "b"), "links")
 
 
 def near_copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = WORDS, least: int = LEAST) -> DataFrame:
@@ -322,10 +322,11 @@ def near_copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     classes = own.groupBy("same").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first"), F.min("row").alias("node"), F.first("prints").alias("prints"))
     classes = materialize(classes.drop("same"), "classes")
     pairs = proposed_pairs(classes)
-    links = similar_sets(pairs, rows, shingle, least)
+    sets = sets_of(pairs, rows, shingle)
+    links = similar_sets(pairs, sets, least)
     member = connected_components(links)
     firsts = classes.select("node", "first").join(member, "node", "left").withColumn("group", F.coalesce("component", "node"))
     out = materialize(firsts.groupBy("group").agg(F.min("first").alias("first")).select("group", "first.doc_id", "first.row"), "groups")
-    for done in (classes, pairs, links):
+    for done in (classes, pairs, sets, links):
         drop_folder(done)
     return out
