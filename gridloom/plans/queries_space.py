@@ -149,7 +149,7 @@ _LAYERS = "SELECT layer, 0.5e0 AS factor, false AS constant, xmin, ymin, xmax, y
 @query(
     "geoj7_line_in_layers",
     f"""WITH h AS (SELECT edge_region, layer, factor, distance_km / 100 * (CASE WHEN y0 = y1 THEN greatest(least(greatest(x0, x1), xmax) - greatest(least(x0, x1), xmin), 0) ELSE greatest(least(greatest(y0, y1), ymax) - greatest(least(y0, y1), ymin), 0) END) / (CASE WHEN y0 = y1 THEN abs(x1 - x0) ELSE abs(y1 - y0) END) AS l
-      FROM (SELECT * FROM {{edges}}) e, (SELECT DISTINCT * FROM ({_LAYERS})) r WHERE (y0 = y1 AND y0 BETWEEN ymin AND ymax) OR (x0 = x1 AND x0 BETWEEN xmin AND xmax))
+      FROM (SELECT * FROM {{edges}}) e, (SELECT * FROM ({_LAYERS})) r WHERE (y0 = y1 AND y0 BETWEEN ymin AND ymax) OR (x0 = x1 AND x0 BETWEEN xmin AND xmax))
     SELECT edge_region, layer, round(sum(l), 6) AS length, round(sum(l * factor), 6) AS penalty FROM h WHERE l > 1e-12 GROUP BY edge_region, layer""",
 )
 def _(t: Tables) -> DataFrame:
@@ -255,11 +255,11 @@ def _(t: Tables) -> DataFrame:
 _SIDES = (("x0 - x1", "x0 - xmin"), ("x1 - x0", "xmax - x0"), ("y0 - y1", "y0 - ymin"), ("y1 - y0", "ymax - y0"))
 _ENTER = ", ".join(f"CASE WHEN {p} < 0 THEN ({q}) / nullif({p}, 0) WHEN {p} = 0 AND {q} < 0 THEN 2e0 ELSE 0e0 END" for p, q in _SIDES)
 _LEAVE = ", ".join(f"CASE WHEN {p} > 0 THEN ({q}) / nullif({p}, 0) WHEN {p} = 0 AND {q} < 0 THEN -1e0 ELSE 1e0 END" for p, q in _SIDES)
-#: A row for each cell that a segment touches; four order keys in a row are a road. The queries get the same by segment_cells.
+#: A row for each cell that a segment touches (to a billionth of it); four order keys in a row are a road. The queries get the same by segment_cells.
 ADAPTERS["road_cells"] = f"""
     SELECT CAST(floor(segment_id / 4) AS BIGINT) AS road_id, region FROM (SELECT segment_id, x0, y0, x1, y1 FROM {{segments}}) s JOIN (SELECT ix, iy, region, x0 AS xmin, y0 AS ymin, x1 AS xmax, y1 AS ymax FROM {{cells}}) c
     ON c.ix BETWEEN floor(least(s.x0, s.x1) / 5) + 29 AND floor(greatest(s.x0, s.x1) / 5) + 29 AND c.iy BETWEEN floor(least(s.y0, s.y1) / 5) - 8 AND floor(greatest(s.y0, s.y1) / 5) - 8
-    WHERE greatest(0e0, {_ENTER}) <= least(1e0, {_LEAVE})"""
+    WHERE greatest(0e0, {_ENTER}) <= least(1e0, {_LEAVE}) + 1e-9"""
 
 
 def _road_cells(t: Tables) -> DataFrame:
