@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from gridloom.llm import decontaminate, lines, pii, substrings
+from gridloom.llm.alignment import alignment_links
 from gridloom.llm.common import table
 from gridloom.llm.embeddings import SQL as EMBEDDINGS_SQL
 from gridloom.llm.embeddings import near_embeddings
@@ -57,6 +58,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment_links(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_simhash": op2_simhash,
@@ -68,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sstable": op8_sstable,
     "op9_embeddings": op9_embeddings,
     "op10_token_counts": op10_token_counts,
+    "op13_alignment": op13_alignment,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_pii": pii.SQL,
