@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import decontaminate, lines, pii, substrings
+from gridloom.llm import chat, decontaminate, lines, pii, repair, substrings
 from gridloom.llm.alignment import alignment_links
 from gridloom.llm.common import table
 from gridloom.llm.embeddings import SQL as EMBEDDINGS_SQL
@@ -58,6 +58,14 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(repair.damaged(table(spark, sf_dir, "conversations")))
+
+
+def op12_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.digest(chat.format_chats(chat.with_planted(table(spark, sf_dir, "conversations"))))
+
+
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment_links(table(spark, sf_dir, "documents"))
 
@@ -73,6 +81,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sstable": op8_sstable,
     "op9_embeddings": op9_embeddings,
     "op10_token_counts": op10_token_counts,
+    "op11_repair": op11_repair,
+    "op12_chat": op12_chat,
     "op13_alignment": op13_alignment,
 }
 ORACLE_SQL: dict[str, str] = {
@@ -81,4 +91,6 @@ ORACLE_SQL: dict[str, str] = {
     "op4_decontaminate": decontaminate.SQL,
     "op7_lines": lines.SQL,
     "op9_embeddings": EMBEDDINGS_SQL,
+    "op11_repair": repair.SQL,
+    "op12_chat": chat.SQL,
 }
