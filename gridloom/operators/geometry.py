@@ -295,12 +295,3 @@ def clip_tiles(features: DataFrame, areas: DataFrame, tile: float, key: str) ->
     once = features.dropDuplicates([key])
     parts = overlay(once, areas.withColumn("_area", F.lit(0)), tile, key, "_area").groupBy(key).agg(F.sum("area").alias("clipped"))
     return once.join(parts, key).select(key, source.alias("source"), "clipped")
-
-
-def exposure(areas: DataFrame, centres: DataFrame, bands: DataFrame, tile: float, density: str) -> DataFrame:
-    """GEO-14: parts of areas (code, jurisdiction) inside population centres (centre, jurisdiction) of the same jurisdiction, with the density band of the centre."""
-    from gridloom.operators.prepare import classify_bands
-
-    parts = overlay(areas, centres, tile, "code", "centre")
-    same = parts.join(areas.select("code", F.col("jurisdiction").alias("_j")), "code").join(centres.select("centre", F.col("jurisdiction").alias("_k"), density), "centre").where("_j = _k")
-    return classify_bands(same, bands, density, ["code", "centre"]).select("code", "centre", "area", density, "band")

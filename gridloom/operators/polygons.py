@@ -1,18 +1,22 @@
-"""Polygons with any rings (GEO-9, and the polygon forms of GEO-3, GEO-6, GEO-11, GEO-14, GEO-J1, GEO-J2, GEO-J6, GEO-J7, GEO-J9), with DataFrame functions only.
+"""Polygons with any rings (GEO-9, and the polygon forms of GEO-3, GEO-10, GEO-11, GEO-14, GEO-J1, GEO-J2, GEO-J6, GEO-J7, GEO-J9, STO-3, GRF-12), with DataFrame functions.
 
-A layer is a table of vertices (code, part, ring, seq, x, y): ring 0 of a part is its outer border, further ones are holes. `shapes` gathers each polygon into one row:
-its bounds, its area, and `edges`, the directed sides of all its rings with the inside to their left (outer rings turn left, holes right). What follows needs only the
-sides: a point is inside if it lies left of more of them than right, a line is cut at them, and the area that two polygons share is a sum over pairs of sides.
-Polygons meet on tile keys first; a polygon's own vertices are the only thing a row gathers.
+A layer is a table of vertices (code, part, ring, seq, x, y): ring 0 of a part is its outer border, further ones are holes. `layer` turns it into directed sides with the
+inside to their left (outer rings turn left, holes right), a row a side; all that follows works on sides dealt to tiles (`planar`), so no row or task holds a polygon.
+Rings that can't be used are reported by `ring_faults`. Only `rings`, which puts a border's vertices in order, takes one ring at a time into a task.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gridloom.operators.geometry import met_here, tile_of, tiles
+from gridloom.operators import planar as P
+from gridloom.operators.planar import XY
+from gridloom.session import materialize
 
 RING = ("code", "part", "ring")
 
@@ -35,113 +39,197 @@ def normalised(vertices: DataFrame) -> DataFrame:
     return own.join(good, list(RING)).select(*RING, "seq", pick("x0", "x1").alias("x0"), pick("y0", "y1").alias("y0"), pick("x1", "x0").alias("x1"), pick("y1", "y0").alias("y1"), "turned", F.abs("signed").alias("area"))
 
 
-def shapes(vertices: DataFrame, *also: str) -> DataFrame:
-    """code, edges, xmin..ymax, area of each polygon (all its parts less their holes), with other columns that its vertices share."""
-    rows = normalised(vertices)
-    edge = F.struct("x0", "y0", "x1", "y1")
-    signed = F.col("x0") * F.col("y1") - F.col("x1") * F.col("y0")
-    out = rows.groupBy("code").agg(
-        F.collect_list(edge).alias("edges"), F.min("x0").alias("xmin"), F.min("y0").alias("ymin"), F.max("x0").alias("xmax"), F.max("y0").alias("ymax"), (F.sum(signed) / 2).alias("area")
-    )
-    return out.join(vertices.select("code", *also).dropDuplicates(["code"]), "code") if also else out
-
-
-def inside(x: Column, y: Column, edges: Column) -> Column:
-    """Whether a point lies in the polygon: sides that pass it upward on its right less downward ones. Border points may fall on either side."""
-    crossing = lambda e: F.when((e["y0"] <= y) & (e["y1"] > y), 1).when((e["y1"] <= y) & (e["y0"] > y), -1).otherwise(0)
-    right = lambda e: (e["x1"] - e["x0"]) * (y - e["y0"]) - (x - e["x0"]) * (e["y1"] - e["y0"])
-    step = lambda n, e: n + F.when((crossing(e) == 1) & (right(e) > 0), 1).when((crossing(e) == -1) & (right(e) < 0), -1).otherwise(0)
-    return F.aggregate(edges, F.lit(0), step) > 0
-
-
-def side_distance(x: Column, y: Column, e: Column) -> Column:
-    dx, dy = e["x1"] - e["x0"], e["y1"] - e["y0"]
-    t = F.least(F.greatest(((x - e["x0"]) * dx + (y - e["y0"]) * dy) / (dx * dx + dy * dy), F.lit(0.0)), F.lit(1.0))
-    return F.sqrt(F.pow(x - e["x0"] - t * dx, 2) + F.pow(y - e["y0"] - t * dy, 2))
-
-
-def distance(x: Column, y: Column, edges: Column) -> Column:
-    """From a point to the polygon; 0 inside."""
-    return F.when(inside(x, y, edges), 0.0).otherwise(F.array_min(F.transform(edges, lambda e: side_distance(x, y, e))))
+def ring_faults(vertices: DataFrame, tile: float) -> DataFrame:
+    """GEO-9, GRF-12: rings that are not as they should be, with the reason: null (a coordinate is missing), short (fewer than three sides), crossing (two of its sides cross or lie on each other), no_area."""
+    own = sides(vertices)
+    every = vertices.groupBy(*RING).agg(F.max((F.col("x").isNull() | F.col("y").isNull()).cast("int")).alias("null"))
+    sums = own.groupBy(*RING).agg(F.count("*").alias("n"), F.abs(F.sum(F.col("x0") * F.col("y1") - F.col("x1") * F.col("y0")) / 2).alias("area"))
+    keyed = materialize(own.select(*RING, *XY, F.col("seq").alias("_side")), "sides")
+    crossed = P.cut(keyed, keyed, tile, RING, but="_side").groupBy(*RING, "_side").agg(F.count("*").alias("k")).where("k > 1").select(*RING).distinct().withColumn("crossing", F.lit(True))
+    all_ = every.join(sums, list(RING), "left").join(crossed, list(RING), "left")
+    reason = F.when(F.col("null") == 1, "null").when(F.coalesce("n", F.lit(0)) < 3, "short").when(F.col("crossing"), "crossing").when(F.col("area") <= 1e-12, "no_area")
+    return all_.select(*RING, reason.alias("reason")).where("reason is not null")
+
+
+def geometry_quality(vertices: DataFrame, tile: float) -> DataFrame:
+    """GRF-12: one row: rings, those with a missing coordinate, empty ones (short or without area), invalid ones (sides that cross) and repeats (the same points in the same order as another ring)."""
+    n = vertices.select(*RING).distinct().count()
+    shape = vertices.groupBy(*RING).agg(F.sort_array(F.collect_list(F.struct("seq", "x", "y"))).alias("p")).select(F.sha2(F.transform("p", lambda v: F.struct(v["x"], v["y"])).cast("string"), 256).alias("h"))
+    faults = ring_faults(vertices, tile)
+    of = lambda *names: F.count_if(F.col("reason").isin(*names))
+    counts = faults.agg(of("null").alias("n_null"), of("short", "no_area").alias("n_empty"), of("crossing").alias("n_invalid"))
+    repeats = shape.groupBy("h").agg(F.count("*").alias("k")).agg(F.coalesce(F.sum(F.col("k") - 1), F.lit(0)).alias("n_repeated"))
+    return counts.join(repeats).select(F.lit(n).cast("long").alias("n"), "n_null", "n_empty", "n_invalid", "n_repeated")  # a row and a row
+
+
+def layer(vertices: DataFrame, *also: str) -> DataFrame:
+    """code, the sides x0 … y1 of each polygon (all its parts and holes), and other columns that its vertices share."""
+    rows = normalised(vertices).select("code", *XY)
+    return rows.join(vertices.select("code", *also).dropDuplicates(["code"]), "code").select("code", *also, *XY) if also else rows
+
+
+def flat(sides_: DataFrame, tile: float, key: str = "code") -> DataFrame:
+    """Sides of polygons without parts that overlap: those of a polygon whose points don't all count once are replaced by its boundary. key, x0 … y1."""
+    own = materialize(sides_.select(key, *XY), "sides")
+    # a winding of 0 and 1 is its own square, over the whole plane
+    piece = P.pieces(own, [key], tile)
+    a, b = (piece.select(key, "tx", "ty", *(F.col(v).alias(f"{s}_{v}") for v in ("xa", "ya", "xb", "yb", "s"))) for s in "lr")
+    part = F.col("l_s") * F.col("r_s") * P._over_both((F.col("ty") + 1 + P.SHIFT_Y) * tile)
+    square = a.join(b, [key, "tx", "ty"]).where("l_xa < r_xb and r_xa < l_xb").groupBy(key).agg(F.sum(part).alias("square"))
+    bad = square.join(P.area(own, key), key).where(F.abs(F.col("square") - F.col("area")) > 1e-9 * F.greatest(F.lit(1.0), F.abs("area"))).select(key)
+    bad = materialize(bad, "uneven")
+    if bad.isEmpty():
+        return own
+    return own.join(bad, key, "left_anti").unionByName(P.boundary(own.join(bad, key, "left_semi"), [key], tile))
 
 
 def points_in_polygons(points: DataFrame, polygons: DataFrame, tile: float, x: str = "x", y: str = "y", key: str = "point_id") -> DataFrame:
     """GEO-J1, GEO-3, GEO-J9: points with the polygon that holds them; of several the lexically least code. Points outside all are left out."""
-    p = points.withColumn("_tile", tile_of(F.col(x), F.col(y), tile))
-    r = polygons.select("code", "edges", F.explode(tiles(tile)).alias("_tile"))
-    held = p.join(r, "_tile").where(inside(F.col(x), F.col(y), F.col("edges"))).groupBy(key).agg(F.min("code").alias("code"))
-    return points.join(held, key)
+    at = points.select(F.col(key).alias("_key"), F.col(x).alias("x"), F.col(y).alias("y")).distinct()
+    held = P.winding(at, polygons.select("code", *XY), tile).where("w > 0").groupBy("_key").agg(F.min("code").alias("code"))
+    return points.join(held, F.col(key) == F.col("_key")).drop("_key")
 
 
-def within_or_nearest_polygon(points: DataFrame, polygons: DataFrame, limit: float, x: str = "x", y: str = "y", key: str = "point_id") -> DataFrame:
-    """GEO-J2: the holding polygon, else the nearest within the limit (ties by code), else none: adds code, distance, matched_by (within, nearest, none)."""
-    p = points.withColumn("_tile", tile_of(F.col(x), F.col(y), limit))
-    wide = {"_a": F.col("xmin") - limit, "_b": F.col("ymin") - limit, "_c": F.col("xmax") + limit, "_d": F.col("ymax") + limit}
-    r = polygons.withColumns(wide).select("code", "edges", F.explode(tiles(limit, "_a", "_b", "_c", "_d")).alias("_tile"))
-    near = p.join(r, "_tile").withColumn("_distance", distance(F.col(x), F.col(y), F.col("edges"))).where(F.col("_distance") <= limit)
-    best = near.groupBy(key).agg(F.min(F.struct("_distance", "code")).alias("best"))
-    how = F.when(F.col("best").isNull(), "none").when(F.col("best._distance") > 0, "nearest").otherwise("within")
-    return points.join(best, key, "left").select(*points.columns, F.col("best.code").alias("code"), F.col("best._distance").alias("distance"), how.alias("matched_by"))
+def side_distance(x: Column, y: Column) -> Column:
+    """From a point to the side of its row."""
+    c = F.col
+    dx, dy = c("x1") - c("x0"), c("y1") - c("y0")
+    t = F.least(F.greatest(((x - c("x0")) * dx + (y - c("y0")) * dy) / (dx * dx + dy * dy), F.lit(0.0)), F.lit(1.0))
+    return F.sqrt(F.pow(x - c("x0") - t * dx, 2) + F.pow(y - c("y0") - t * dy, 2))
 
 
-def under_both(a: Column, b: Column, base: Column) -> Column:
-    """The area over the line y = base that lies under both sides, signed by their directions: where they share x, the integral of the lower one."""
-    lo = F.greatest(F.least(a["x0"], a["x1"]), F.least(b["x0"], b["x1"]))
-    hi = F.least(F.greatest(a["x0"], a["x1"]), F.greatest(b["x0"], b["x1"]))
-    at = lambda e, x: e["y0"] + (e["y1"] - e["y0"]) * (x - e["x0"]) / (e["x1"] - e["x0"]) - base
-    al, ah, bl, bh = at(a, lo), at(a, hi), at(b, lo), at(b, hi)
-    dl, dh = al - bl, ah - bh
-    least = (F.least(al, bl) + F.least(ah, bh)) / 2 * (hi - lo)
-    # where they cross, the lower line has a kink there
-    cross = F.when(dl * dh < 0, F.abs(dl * dh) / (F.abs(dl) + F.abs(dh)) / 2 * (hi - lo)).otherwise(0.0)
-    sign = F.signum(a["x1"] - a["x0"]) * F.signum(b["x1"] - b["x0"])
-    return F.when((hi > lo) & (a["x0"] != a["x1"]) & (b["x0"] != b["x1"]), sign * (least + cross)).otherwise(0.0)
+def within_or_nearest_polygon(points: DataFrame, polygons: DataFrame, limit: float, x: str = "x", y: str = "y", key: str = "point_id", tile: float | None = None) -> DataFrame:
+    """GEO-J2: the holding polygon, else the nearest within the limit (ties by code), else none: adds code, distance, matched_by (within, nearest, none)."""
+    size = tile or 4 * limit
+    at = points.select(F.col(key).alias("_key"), F.col(x).alias("_x"), F.col(y).alias("_y")).distinct()
+    own = polygons.select("code", *XY)
+    held = P.winding(at, own, size, x="_x", y="_y").where("w > 0").select("_key", F.lit(0.0).alias("_distance"), "code")
+    near = at.withColumns({"tx": P.tile_x(F.col("_x"), size), "ty": P.tile_y(F.col("_y"), size)}).join(P.dealt(own, size, limit), ["tx", "ty"])
+    near = near.select("_key", side_distance(F.col("_x"), F.col("_y")).alias("_distance"), "code").where(F.col("_distance") <= limit)
+    best = held.unionByName(near).groupBy("_key").agg(F.min(F.struct("_distance", "code")).alias("best"), F.min(F.when(F.col("_distance") == 0, F.col("code"))).alias("on"))
+    how = F.when(F.col("best").isNull(), "none").when(F.col("best._distance") > 0, "nearest").otherwise("within")
+    return points.join(best, F.col(key) == F.col("_key"), "left").select(*points.columns, F.col("best.code").alias("code"), F.col("best._distance").alias("distance"), how.alias("matched_by"))
 
 
-def shared_area(a: Column, b: Column, base: Column) -> Column:
-    """Area that two polygons (sides) share: over all pairs of sides what lies under both."""
-    return F.aggregate(a, F.lit(0.0), lambda s, x: s + F.aggregate(b, F.lit(0.0), lambda t, y: t + under_both(x, y, base)))
+def overlay_polygons(left: DataFrame, right: DataFrame, tile: float) -> DataFrame:
+    """GEO-J6: positive-area intersections of two layers with their share of either: left, right, area, left_share, right_share. A point counts once, however many parts of a polygon hold it."""
+    a, b = flat(left, tile).withColumnRenamed("code", "left"), flat(right, tile).withColumnRenamed("code", "right")
+    met = P.shared_area(a, b, tile, "left", "right")
+    own = lambda df, k: P.area(df, k).withColumnRenamed("area", f"_{k}")
+    both = met.join(own(a, "left"), "left").join(own(b, "right"), "right")
+    return both.select("left", "right", "area", (F.col("area") / F.col("_left")).alias("left_share"), (F.col("area") / F.col("_right")).alias("right_share"))
 
 
-def overlay_polygons(left: DataFrame, right: DataFrame, tile: float) -> DataFrame:
-    """GEO-J6, GEO-11, GEO-14: positive-area intersections of two layers with their share of either: left, right, area, left_share, right_share."""
-    side = lambda df, s: df.select(*(F.col(c).alias(f"{s}_{c}") for c in ("code", "edges", "area", "xmin", "ymin", "xmax", "ymax")), F.explode(tiles(tile)).alias("_tile"))
-    both = side(left, "l").join(side(right, "r"), "_tile").where(met_here(tile, ("l_xmin", "r_xmin"), ("l_ymin", "r_ymin")))
-    both = both.where("l_xmin < r_xmax and r_xmin < l_xmax and l_ymin < r_ymax and r_ymin < l_ymax")
-    area = both.withColumn("area", shared_area(F.col("l_edges"), F.col("r_edges"), F.least("l_ymin", "r_ymin"))).where("area > 1e-12")
-    share = lambda s: F.least(F.col("area") / F.col(f"{s}_area"), F.lit(1.0))
-    return area.select(F.col("l_code").alias("left"), F.col("r_code").alias("right"), "area", share("l").alias("left_share"), share("r").alias("right_share"))
+def line_in_polygons(lines: DataFrame, layers: DataFrame, tile: float, key: str = "edge_id") -> DataFrame:
+    """GEO-J7: length of each line (x0, y0, x1, y1) in each layer times its factor.
 
+    layers: sides with code, layer, factor, constant (boolean). A constant-factor layer is dissolved first, so its polygons count once where they overlap; those of a
+    column-factor layer add up. Factors of a constant layer are one.
+    """
+    once = P.boundary(layers.where("constant").select("layer", "factor", *XY), ["layer", "factor"], tile)
+    several = layers.where("not constant").withColumn("_of", F.struct("code", "layer", "factor"))
+    several = flat(several, tile, "_of").select("_of.layer", "_of.factor", *XY)
+    named = lines.select(F.col(key), *XY)
+    shares = P.line_shares(named, once.unionByName(several), tile, key, ["layer", "factor"])
+    size = F.sqrt(F.pow(F.col("x1") - F.col("x0"), 2) + F.pow(F.col("y1") - F.col("y0"), 2))
+    part = shares.join(named.select(key, size.alias("len")), key).withColumn("part", F.col("share") * F.col("len"))
+    return part.groupBy(key, "layer").agg(F.sum("part").alias("length"), F.sum(F.col("part") * F.col("factor")).alias("penalty"))
 
-def cut(edges: Column) -> Column:
-    """The parts (lo, hi, as fractions) of the line x0,y0-x1,y1 of a row that lie in the polygon: it is cut at every side, and the middle of each piece decides."""
-    c = F.col
-    dx, dy = c("x1") - c("x0"), c("y1") - c("y0")
 
-    def crossing(e: Column) -> Column:
-        ex, ey = e["x1"] - e["x0"], e["y1"] - e["y0"]
-        det = ex * dy - dx * ey
-        t = F.try_divide(ex * (e["y0"] - c("y0")) - ey * (e["x0"] - c("x0")), det)
-        u = F.try_divide(dx * (e["y0"] - c("y0")) - dy * (e["x0"] - c("x0")), det)
-        return F.when((t > 0) & (t < 1) & (u >= 0) & (u <= 1), t)
+def dissolve_polygons(polygons: DataFrame, tile: float, within: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """GEO-10: polygons joined by overlaps of positive area, transitively; touching only is no overlap. (members, borders): code and component (least code); and the border of each component as sides.
 
-    at = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0.0), F.lit(1.0)), F.array_compact(F.transform(edges, crossing)))))
-    pieces = F.zip_with(F.slice(at, F.lit(1), F.size(at) - 1), F.slice(at, F.lit(2), F.size(at) - 1), lambda lo, hi: F.struct(lo.alias("lo"), hi.alias("hi")))
-    return F.filter(pieces, lambda p: inside(c("x0") + (p["lo"] + p["hi"]) / 2 * dx, c("y0") + (p["lo"] + p["hi"]) / 2 * dy, edges))
+    within: a column of the polygons; those that differ in it stay apart.
+    """
+    from gridloom.operators.components import connected_components
+
+    own = materialize(polygons.select("code", *XY), "sides")
+    links = P.shared_area(own.withColumnRenamed("code", "a"), own.withColumnRenamed("code", "b"), tile, "a", "b", 1e-9).where("a < b").select("a", "b")
+    if within:
+        of = materialize(polygons.select("code", within).distinct(), "groups")
+        links = links.join(of.select(F.col("code").alias("a"), F.col(within).alias("_ga")), "a").join(of.select(F.col("code").alias("b"), F.col(within).alias("_gb")), "b").where("_ga <=> _gb").select("a", "b")
+    members = own.select("code").distinct().join(connected_components(links).withColumnRenamed("node", "code"), "code", "left").withColumn("component", F.coalesce("component", "code"))
+    members = materialize(members, "members")
+    borders = P.boundary(own.join(members, "code").select("component", *XY), ["component"], tile)
+    return members, borders
+
+
+def dissolve_summary(polygons: DataFrame, members: DataFrame, borders: DataFrame, tile: float) -> DataFrame:
+    """component, n (polygons), summed (their areas) and dissolved (the border's area)."""
+    areas = P.area(flat(polygons, tile), "code").join(members, "code").groupBy("component").agg(F.count("*").alias("n"), F.sum("area").alias("summed"))
+    return areas.join(P.area(borders, "component").withColumnRenamed("area", "dissolved"), "component")
+
+
+def rings(borders: DataFrame, key: str) -> DataFrame:
+    """Borders (key, x0 … y1) as vertices: key, ring, seq, x, y, hole. Where borders touch in a point a ring turns left, so rings don't cross; an outer ring turns left, a hole right."""
+    from gridloom.operators.components import connected_components
+
+    at = lambda x, y: F.struct((F.round(x, 9) + 0.0).alias("x"), (F.round(y, 9) + 0.0).alias("y"))
+    own = borders.select(key, *XY, at("x0", "y0").alias("_from"), at("x1", "y1").alias("_to")).withColumn("_id", F.xxhash64(key, "_from", "_to"))
+    own = materialize(own, "borders")
+    after = own.select(F.col(key), F.col("_from").alias("_to"), F.col("_id").alias("_next"), (F.col("x1") - F.col("x0")).alias("_ex"), (F.col("y1") - F.col("y0")).alias("_ey"))
+    dx, dy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+    turn = F.atan2(dx * F.col("_ey") - dy * F.col("_ex"), dx * F.col("_ex") + dy * F.col("_ey"))
+    linked = own.join(after, [key, "_to"]).groupBy("_id").agg(F.max_by("_next", turn).alias("_next"))
+    linked = materialize(linked, "linked")
+    ring = connected_components(linked, "_id", "_next").select(F.col("node").alias("_id"), F.col("component").alias("ring"))
+    whole = own.join(linked, "_id").join(ring, "_id").select(key, "ring", "_id", "_next", "x0", "y0")
+    kind = borders.schema[key].dataType.simpleString()
+
+    def ordered(g: pd.DataFrame) -> pd.DataFrame:
+        place = dict(zip(g["_id"], range(len(g)), strict=True))
+        to, k, order = g["_next"].tolist(), int(g["_id"].argmin()), []
+        for _ in range(len(g)):
+            order.append(k)
+            k = place[to[k]]
+        out = g.iloc[order]
+        x, y = out["x0"].to_numpy(), out["y0"].to_numpy()
+        signed = float((x * (y[[*range(1, len(y)), 0]]) - x[[*range(1, len(x)), 0]] * y).sum())
+        return pd.DataFrame({key: out[key].tolist(), "ring": out["ring"].tolist(), "seq": range(len(out)), "x": x, "y": y, "hole": signed < 0})
+
+    return whole.groupBy(key, "ring").applyInPandas(ordered, f"`{key}` {kind}, ring long, seq int, x double, y double, hole boolean")
+
+
+def clip_features(features: DataFrame, area: DataFrame, tile: float) -> tuple[DataFrame, DataFrame]:
+    """GEO-11: features (vertices; a repeated code is read once, by its first rows) cut to a study area (vertices): (measures, borders): code, source, clipped; and the clipped borders as sides. Features outside are left out."""
+    own = flat(layer(features.dropDuplicates([*RING, "seq"])), tile)
+    whole = P.boundary(layer(area).select(F.lit(0).alias("_area"), *XY), ["_area"], tile).drop("_area")
+    cut = P.clip(own, whole, tile, "code")
+    clipped = P.area(cut, "code").withColumnRenamed("area", "clipped").where("clipped > 1e-12")
+    return P.area(own, "code").withColumnRenamed("area", "source").join(clipped, "code"), cut
+
+
+def clip_lines(lines: DataFrame, area: DataFrame, tile: float, key: str) -> tuple[DataFrame, DataFrame]:
+    """GEO-11 for lines (key, x0 … y1): (measures, parts): key, source and clipped length; and the parts within the area (vertices)."""
+    whole = P.boundary(layer(area).select(F.lit(0).alias("_area"), *XY), ["_area"], tile).drop("_area")
+    parts = P.clip_lines(lines, whole, tile, key)
+    size = F.sum(F.sqrt(F.pow(F.col("x1") - F.col("x0"), 2) + F.pow(F.col("y1") - F.col("y0"), 2)))
+    return lines.groupBy(key).agg(size.alias("source")).join(parts.groupBy(key).agg(size.alias("clipped")), key), parts
+
+
+def union_coverage(regions: DataFrame, features: DataFrame, tile: float, sources: Sequence[str], source: str = "source") -> DataFrame:
+    """STO-3: code and, for each source, the part of the region's area that lies in at least one of its features: union first, so nothing counts twice and no share needs a bound.
+
+    regions, features: sides; features with a source column. Every source is a column; regions without any are 0.
+    """
+    own = flat(regions, tile)
+    union = P.boundary(features.select(source, *XY), [source], tile)
+    shared = P.shared_area(own, union, tile, "code", source)
+    share = shared.join(P.area(own, "code").withColumnRenamed("area", "_own"), "code").withColumn("share", F.col("area") / F.col("_own"))
+    wide = share.groupBy("code").pivot(source, list(sources)).agg(F.sum("share"))
+    return own.select("code").distinct().join(wide, "code", "left").na.fill(0.0, list(sources))
 
 
-def line_in_polygons(lines: DataFrame, layers: DataFrame, tile: float, key: str = "edge_id") -> DataFrame:
-    """GEO-J7: length of each line (x0, y0, x1, y1) in each layer times its factor.
+def population_exposure(areas: DataFrame, centres: DataFrame, bands: DataFrame, tile: float, density: str) -> DataFrame:
+    """GEO-14: code, centre, area, share (of the area), density, band and factor: what areas (sides with code, jurisdiction) share with population centres (sides with centre, jurisdiction, density) of the same jurisdiction.
 
-    layers: shapes with layer, factor, constant (boolean). Polygons of a constant-factor layer count once where they overlap; those of a column-factor layer add up.
+    bands: band, lower, upper, lower_inclusive, upper_inclusive, factor.
     """
-    bounds = {"_a": F.least("x0", "x1"), "_b": F.least("y0", "y1"), "_c": F.greatest("x0", "x1"), "_d": F.greatest("y0", "y1")}
-    e = lines.select(key, "x0", "y0", "x1", "y1").withColumns(bounds).withColumn("_tile", F.explode(tiles(tile, "_a", "_b", "_c", "_d")))
-    r = layers.select("layer", "factor", "constant", "edges", "xmin", "ymin", F.explode(tiles(tile)).alias("_tile"))
-    length = F.sqrt(F.pow(F.col("x1") - F.col("x0"), 2) + F.pow(F.col("y1") - F.col("y0"), 2))
-    hit = e.join(r, "_tile").where(met_here(tile, ("_a", "xmin"), ("_b", "ymin"))).select(key, "layer", "factor", "constant", length.alias("len"), F.explode(cut(F.col("edges"))).alias("p"))
-    hit = hit.select(key, "layer", "factor", "constant", "len", "p.lo", "p.hi")
-    w = W.partitionBy(key, "layer").orderBy("lo", "hi")
-    before = F.max("hi").over(w.rowsBetween(W.unboundedPreceding, -1))
-    new = F.when(F.col("constant"), F.greatest(F.col("hi") - F.greatest("lo", F.coalesce(before, F.lit(0.0))), F.lit(0.0))).otherwise(F.col("hi") - F.col("lo"))
-    return hit.withColumn("part", new * F.col("len")).groupBy(key, "layer").agg(F.sum("part").alias("length"), F.sum(F.col("part") * F.col("factor")).alias("penalty"))
+    from gridloom.operators.prepare import classify_bands
+
+    areas, centres = materialize(areas, "areas"), materialize(centres, "centres")
+    a, b = flat(areas, tile), flat(centres, tile, "centre")
+    met = P.shared_area(a, b, tile, "code", "centre").join(P.area(a, "code").withColumnRenamed("area", "_own"), "code")
+    same = met.join(areas.select("code", F.col("jurisdiction").alias("_j")).distinct(), "code").join(centres.select("centre", F.col("jurisdiction").alias("_k"), density).distinct(), "centre").where("_j = _k")
+    out = classify_bands(same, bands.drop("factor"), density, ["code", "centre"]).join(bands.select("band", "factor"), "band", "left")
+    return out.select("code", "centre", "area", (F.col("area") / F.col("_own")).alias("share"), density, "band", "factor")

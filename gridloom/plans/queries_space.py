@@ -406,18 +406,6 @@ def _(t: Tables) -> DataFrame:
     return S.clip_tiles(f.unionByName(f.where("feature_id % 3 = 0")), t("zones"), 20.0, "feature_id").select("feature_id", *r6("source", "clipped"))
 
 
-_CENTRES = "SELECT feature_id AS centre, xmin, ymin, xmax, ymax, CAST(feature_id % 5 AS INT) AS jurisdiction, value FROM {features} WHERE class = 'Brand#2'"
-
-
-@query(
-    "geo14_exposure",
-    f"""SELECT code, centre, round(a, 6) AS area, CASE WHEN value < 1000 THEN 'low' WHEN value <= 1500 THEN 'mid' ELSE 'high' END AS band FROM (SELECT code, centre, value, greatest(least(z.xmax, f.xmax) - greatest(z.xmin, f.xmin), 0) * greatest(least(z.ymax, f.ymax) - greatest(z.ymin, f.ymin), 0) AS a FROM (SELECT * FROM {{zones}}) z JOIN ({_CENTRES}) f ON z.grp = f.jurisdiction) WHERE a > 0""",
-)
-def _(t: Tables) -> DataFrame:
-    bands = t.sql("SELECT DISTINCT 'low' AS band, CAST(NULL AS DOUBLE) AS lower, 1e3 AS upper, true AS lower_inclusive, false AS upper_inclusive FROM {region} UNION ALL SELECT DISTINCT 'mid', 1e3, 1.5e3, true, true FROM {region} UNION ALL SELECT DISTINCT 'high', 1.5e3, CAST(NULL AS DOUBLE), false, true FROM {region}")
-    return S.exposure(t("zones").withColumnRenamed("grp", "jurisdiction"), t.sql(_CENTRES), bands, 20.0, "value").select("code", "centre", *r6("area"), "band")
-
-
 @query("geo13_edge_lines", "SELECT edge_region, x0, y0, x1, y1 FROM {edges}")
 def _(t: Tables) -> DataFrame:
     return H.edge_lines(t("edges").select("edge_region", "region_from", "region_to"), t("cells")).select("edge_region", "x0", "y0", "x1", "y1")

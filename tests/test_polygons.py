@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridloom.operators import geometry as S
+from gridloom.operators import planar as P
 from gridloom.operators import polygons as G
 
 VERTICES = "code string, part int, ring int, seq int, x double, y double"
@@ -34,27 +35,27 @@ def test_normalised_rings(spark):
     shape = {"a": [[[(0, 0), (0, 2), (2, 2), (2, 2), (2, 0), (0, 0)], [(0.5, 0.5), (1, 0.5), (1, 1), (0.5, 1)]], [[(5, 5), (6, 6)]], [[(7, 7), (8, 7), (9, 7)]]]}
     rows = {(r.part, r.ring): (r.n, r.turned, r.area) for r in G.normalised(layer(spark, shape)).groupBy("part", "ring").agg(F.count("*").alias("n"), F.first("turned").alias("turned"), F.first("area").alias("area")).collect()}
     assert rows == {(0, 0): (4, True, 4.0), (0, 1): (4, True, 0.25)}
-    assert G.shapes(layer(spark, shape)).first().area == 3.75
+    assert P.area(G.layer(layer(spark, shape)), "code").first().area == 3.75
 
 
 def test_points_against_even_odd(spark):
     rng = random.Random(1)
     points = [(i, rng.uniform(-1, 10), rng.uniform(-1, 10)) for i in range(600)]
     shapes = {"b": [U], "a": [HOLED], "c": [STAR, [[(9, 0), (10, 0), (10, 1)]]]}
-    held = {r.point_id: r.code for r in G.points_in_polygons(spark.createDataFrame(points, "point_id int, x double, y double"), G.shapes(layer(spark, shapes)), 2.5).collect()}
+    held = {r.point_id: r.code for r in G.points_in_polygons(spark.createDataFrame(points, "point_id int, x double, y double"), G.layer(layer(spark, shapes)), 2.5).collect()}
     want = {i: min((c for c, parts in shapes.items() if any(odd(rings, x, y) for rings in parts)), default=None) for i, x, y in points}
     assert held == {i: c for i, c in want.items() if c}
 
 
 def test_nearest_polygon(spark):
     points = spark.createDataFrame([(1, 3.0, 4.0), (2, 3.0, 1.0), (3, 6.0, 6.0), (4, -1.0, -1.0), (5, 30.0, 0.0)], "point_id int, x double, y double")
-    found = {r.point_id: (r.code, r.distance and round(r.distance, 6), r.matched_by) for r in G.within_or_nearest_polygon(points, G.shapes(layer(spark, {"u": [U], "h": [HOLED]})), 2.0).collect()}
+    found = {r.point_id: (r.code, r.distance and round(r.distance, 6), r.matched_by) for r in G.within_or_nearest_polygon(points, G.layer(layer(spark, {"u": [U], "h": [HOLED]})), 2.0).collect()}
     assert found[1] == ("h", 0.0, "within") and found[2] == ("u", 0.0, "within") and found[3] == ("h", 1.0, "nearest") and found[4] == ("u", 1.414214, "nearest") and found[5] == (None, None, "none")
 
 
 @pytest.mark.parametrize("a,b", [(U, HOLED), (U, STAR), (HOLED, STAR), (STAR, STAR)])
 def test_shared_area(spark, a, b):
-    found = G.overlay_polygons(G.shapes(layer(spark, {"a": [a]})), G.shapes(layer(spark, {"b": [b]})), 3.0).collect()
+    found = G.overlay_polygons(G.layer(layer(spark, {"a": [a]})), G.layer(layer(spark, {"b": [b]})), 3.0).collect()
     n = 200
     hits = sum(odd(a, x, y) and odd(b, x, y) for i in range(n) for j in range(n) for x, y in [((i + 0.5) * 10 / n, (j + 0.5) * 10 / n)])
     assert len(found) == 1 and found[0].area == pytest.approx(hits * (10 / n) ** 2, abs=0.15)
@@ -64,7 +65,7 @@ def test_shared_area(spark, a, b):
 
 def test_line_lengths(spark):
     lines = spark.createDataFrame([(1, -1.0, 3.0, 11.0, 3.0), (2, 0.0, 6.0, 10.0, 6.0), (3, -1.0, -1.0, -1.0, 9.0)], "edge_id int, x0 double, y0 double, x1 double, y1 double")
-    shapes = G.shapes(layer(spark, {"u": [U], "u2": [U], "h": [HOLED]}))
+    shapes = G.layer(layer(spark, {"u": [U], "u2": [U], "h": [HOLED]}))
     kind = F.when(F.col("code") == "h", "open").otherwise("water")
     found = {(r.edge_id, r.layer): (round(r.length, 6), round(r.penalty, 6)) for r in G.line_in_polygons(lines, shapes.select("*", kind.alias("layer"), F.lit(2.0).alias("factor"), (F.col("code") != "h").alias("constant")), 3.0).collect() if r.length}
     assert found == {(1, "water"): (4.0, 8.0), (2, "open"): (4.0, 8.0)} or found == {(1, "water"): (4.0, 8.0), (1, "open"): (6.0, 12.0), (2, "open"): (4.0, 8.0)}
