@@ -9,7 +9,7 @@ displacement of `sigmas` standard deviations of a random direction, level by lev
 keep a resident unless the triangle inequality (distance to its code less its error) proves it too far, so codes lose nothing; what is left is ranked by the exact
 cosine in double precision.
 
-All rows are queries. Neighbouring lists make a group, to which a query is sent once; groups are cut into blocks of about `BLOCK_ROWS` on both sides. A block returns
+All rows are queries. A link found from one side only counts for both of its ends: a block credits a resident whose own query does not come to the asker's list. Neighbouring lists make a group, to which a query is sent once; groups are cut into blocks of about `BLOCK_ROWS` on both sides. A block returns
 counts per query and a spanning forest of its links, not the links, so a dense group costs rows in proportion to its size.
 
 Vectors of different length link with nothing of each other: blocks hold one length. Lists and codes see the first `dim` parts (the most common length; shorter vectors
@@ -256,6 +256,7 @@ def found_links(classes: DataFrame, dim: int, cosine: float, sample_rows: int, s
             there, here = of[(at == name) & ~asks[of]], of[(at == name) & asks[of]]
             codes, errors, extra = q.codes(near[there], int(name))
             far, center = ((q.reach + errors + SLACK) ** 2 - extra).astype(np.float32)[None, :], q.centers(int(name))
+            comes = None
             for i in range(0, len(here), 256):
                 own = here[i : i + 256]
                 d = np.repeat((((near[own] - center) ** 2).sum(1))[:, None].astype(np.float32), len(there), axis=1)
@@ -266,10 +267,21 @@ def found_links(classes: DataFrame, dim: int, cosine: float, sample_rows: int, s
                     k, j = np.nonzero(x[own] @ x[there].T >= cosine)
                 else:
                     k, j = (v[np.einsum("ij,ij->i", x[own][k], x[there][j]) >= cosine] for v in (k, j)) if len(k) else (k, j)
+                asker, resident = k + i, j
                 k, j = own[k], there[j]
                 other = ids[k] != ids[j]
-                k, j = k[other], j[other]
+                k, j, asker, resident = k[other], j[other], asker[other], resident[other]
                 counts += np.bincount(k, weights[j], minlength=len(ids)).astype(np.int64)
+                # a link has two ends: where the resident's own query does not come to the asker's list, it is credited here
+                if len(k):
+                    if comes is None:
+                        homes, home = np.unique(q.lists(near[here]), return_inverse=True)
+                        row, probed = q.probes(near[there], x.shape[1], sigmas)
+                        met = np.isin(probed, homes)
+                        comes = np.zeros((len(homes), len(there)), bool)
+                        comes[np.searchsorted(homes, probed[met]), row[met]] = True
+                    lone = ~comes[home[asker], resident]
+                    counts += np.bincount(j[lone], weights[k[lone]], minlength=len(ids)).astype(np.int64)
                 p, r = forest(ids[k], ids[j])
                 a.append(p)
                 b.append(r)
