@@ -244,6 +244,46 @@ def identity(df: DataFrame, expected: Mapping[str, str]) -> DataFrame:
     return row.select(cells).select("x.*")
 
 
+def topology(regions: DataFrame, nodes: DataFrame, edges: DataFrame, roads: DataFrame, road_edges: DataFrame) -> DataFrame:
+    """DIA-12: metric and value of a grid and its graph: rows and distinct regions of regions and nodes (region) and edges (edge_region, region_from, region_to, distance_km), rows and connected rows of roads (connected, distance_km), road geometries, distances, and of the graph isolated nodes, one-way edges and components."""
+    from gridloom.operators.components import connected_components
+
+    stats = lambda name: (F.min("distance_km").alias(f"{name}_distance_min"), F.avg("distance_km").alias(f"{name}_distance_mean"), F.max("distance_km").alias(f"{name}_distance_max"))
+    ways = edges.select(F.col("region_from").alias("a"), F.col("region_to").alias("b")).distinct()
+    member = connected_components(ways)
+    ends = ways.select("a").union(ways.select("b")).distinct()
+    known = nodes.select("region").distinct()
+    alone = known.join(ends, F.col("region") == F.col("a"), "left_anti")
+    one_way = ways.join(ways.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
+    rows = (
+        regions.agg(F.count("*").alias("basemap_regions"), F.countDistinct("region").alias("basemap_unique_regions")),
+        nodes.agg(F.count("*").alias("graph_nodes"), F.countDistinct("region").alias("graph_node_unique_regions")),
+        edges.agg(F.count("*").alias("graph_edges"), F.countDistinct("edge_region").alias("graph_edge_unique_regions"), *stats("graph_edge")),
+        roads.agg(F.count("*").alias("road_connection_rows"), F.count_if("connected").alias("road_connected_rows")),
+        roads.where("connected").agg(*stats("road_edge")),
+        road_edges.agg(F.count("*").alias("road_edge_geometries")),
+        alone.agg(F.count("*").alias("isolated_nodes")),
+        one_way.agg(F.count("*").alias("one_way_edges")),
+        member.agg(F.countDistinct("component").alias("linked_components")),
+    )
+    return union(*(metric_rows(r) for r in rows))
+
+
+def topology_verdicts(metrics: DataFrame) -> DataFrame:
+    """DIA-12: the six verdicts on the metrics: name, severity, passed. A metric that is missing counts as 0."""
+    has = lambda m: F.coalesce(F.max(F.when(F.col("metric") == m, F.col("value"))), F.lit(0.0))
+    rules = (
+        ("basemap has regions", "error", has("basemap_regions") > 0),
+        ("nodes are unique by region", "error", (has("graph_nodes") > 0) & (has("graph_nodes") == has("graph_node_unique_regions"))),
+        ("graph has edges", "error", has("graph_edges") > 0),
+        ("road connections have rows", "error", has("road_connection_rows") > 0),
+        ("connected rows exist", "warning", has("road_connected_rows") > 0),
+        ("road geometries exist", "warning", has("road_edge_geometries") > 0),
+    )
+    cells = F.explode(F.array(*(F.struct(F.lit(n).alias("name"), F.lit(level).alias("severity"), F.col(f"_{k}").alias("passed")) for k, (n, level, _) in enumerate(rules)))).alias("x")
+    return metrics.agg(*(rule.alias(f"_{k}") for k, (_, _, rule) in enumerate(rules))).select(cells).select("x.*")
+
+
 def metric_rows(row: DataFrame) -> DataFrame:
     """DIA-12: a one-row frame as metric and value."""
     cells = F.explode(F.array(*(F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in row.columns))).alias("x")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from gridloom.operators.joins import first_per_key, union
 from gridloom.operators.regions import edge_from, edge_to, is_edge, undirected_key
-from gridloom.session import materialize
+from gridloom.session import drop_folder, materialize
 
 #: Neighbour offsets; NONE stands for no neighbour.
 OFFSETS = (("up", 0, 1), ("down", 0, -1), ("left", -1, 0), ("right", 1, 0))
@@ -151,41 +151,56 @@ def process_network(efficiency: DataFrame, active: DataFrame) -> DataFrame:
     )
 
 
+def _reach(edges: DataFrame, start: DataFrame, keys: Sequence[str], a: str, b: str, most_steps: int) -> DataFrame:
+    """keys, commodity: all that is reached from start along the edges from a to b. What is known is one table, written anew each step, so a step reads two tables however many came before."""
+    step = materialize(edges.select(*keys, F.col(a).alias("commodity"), F.col(b).alias("_next")).distinct(), "steps")
+    seen = materialize(start.select(*keys, "commodity").distinct().withColumn("step", F.lit(0)), "seen")
+    for k in range(1, most_steps + 1):
+        new = seen.where(F.col("step") == k - 1).join(step, [*keys, "commodity"]).select(*keys, F.col("_next").alias("commodity"), F.lit(k).alias("step"))
+        both = seen.unionByName(new).groupBy(*keys, "commodity").agg(F.min("step").alias("step"))
+        more = materialize(both, "seen")
+        drop_folder(seen)
+        seen = more
+        if seen.where(F.col("step") == k).isEmpty():
+            drop_folder(step)
+            return seen.drop("step")
+    raise RuntimeError("the trace did not end")
+
+
 def source_trace(links: DataFrame, sources: DataFrame, demands: DataFrame, keys: Sequence[str] = ("region", "period"), most_steps: int = 200) -> DataFrame:
     """GRF-19: links on a way from a source to a demand, per key: reachable backward from demands, and from there forward from sources.
 
     sources and demands: keys and commodity. Frontiers advance by joins against what has been visited, so cycles end.
     """
-    k = list(keys)
-
-    def reach(edges: DataFrame, start: DataFrame, a: str, b: str) -> DataFrame:
-        step = edges.select(*k, F.col(a).alias("commodity"), F.col(b).alias("_next")).distinct()
-        seen = materialize(start.select(*k, "commodity").distinct(), "seen")
-        front = seen
-        for _ in range(most_steps):
-            new = front.join(step, [*k, "commodity"]).select(*k, F.col("_next").alias("commodity")).distinct().join(seen, [*k, "commodity"], "left_anti")
-            front = materialize(new, "front")
-            if front.isEmpty():
-                return seen
-            seen = seen.unionByName(front)
-        raise RuntimeError("the trace did not end")
-
-    back = reach(links, demands, "output_comm", "input_comm")
-    kept = links.join(back.withColumnRenamed("commodity", "output_comm"), [*k, "output_comm"], "left_semi")
-    fore = reach(kept, sources, "input_comm", "output_comm")
-    return kept.join(fore.withColumnRenamed("commodity", "input_comm"), [*k, "input_comm"], "left_semi")
-
-
-def prune_orphans(links: DataFrame, sources: DataFrame, demands: DataFrame, process: Sequence[str] = ("region", "tech", "vintage"), most_rounds: int = 50) -> DataFrame:
-    """GRF-20: drop each process that is an orphan in any period, from all of them, until none is left."""
-    keys = [*process, "period", "input_comm", "output_comm"]
-    current = links
-    for _ in range(most_rounds):
-        good = source_trace(current, sources, demands)
-        bad = materialize(current.select(*keys).distinct().join(good.select(*keys).distinct(), keys, "left_anti").select(*process).distinct(), "orphans")
+    kept = _demand_side(links, demands, keys, most_steps)
+    fore = _reach(kept, sources, keys, "input_comm", "output_comm", most_steps)
+    return kept.join(fore.withColumnRenamed("commodity", "input_comm"), [*keys, "input_comm"], "left_semi")
+
+
+def _demand_side(links: DataFrame, demands: DataFrame, keys: Sequence[str], most_steps: int) -> DataFrame:
+    """Links from which a demand can be reached."""
+    back = _reach(links, demands, keys, "output_comm", "input_comm", most_steps)
+    return links.join(back.withColumnRenamed("commodity", "output_comm"), [*keys, "output_comm"], "left_semi")
+
+
+def orphans(links: DataFrame, sources: DataFrame, demands: DataFrame, keys: Sequence[str] = ("region", "period"), most_steps: int = 200) -> DataFrame:
+    """GRF-20: links on no way from a source to a demand, with their class: demand_side (a demand can be reached, but not from a source), other. Repeated links come once."""
+    own = materialize(links.distinct(), "links")
+    side = materialize(_demand_side(own, demands, keys, most_steps), "demand_side")
+    fore = _reach(side, sources, keys, "input_comm", "output_comm", most_steps)
+    bad = side.join(fore.withColumnRenamed("commodity", "input_comm"), [*keys, "input_comm"], "left_anti").withColumn("class", F.lit("demand_side"))
+    return bad.unionByName(own.join(side, own.columns, "left_anti").withColumn("class", F.lit("other")))
+
+
+def prune_orphans(links: DataFrame, sources: DataFrame, demands: DataFrame, process: Sequence[str] = ("region", "tech", "vintage"), most_rounds: int = 50) -> tuple[DataFrame, DataFrame]:
+    """GRF-20: drop each process that is an orphan in any period, from all of them, until none is left. (kept, report): the links that stay, and all orphans with class and round. Keys are not null."""
+    current, report = links.distinct(), []
+    for k in range(most_rounds):
+        bad = materialize(orphans(current, sources, demands).withColumn("round", F.lit(k + 1)), "orphans")
+        report.append(bad)
         if bad.isEmpty():
-            return current
-        current = materialize(current.join(bad, list(process), "left_anti"), "links")
+            return current, union(*report)
+        current = materialize(current.join(bad.select(*process).distinct(), list(process), "left_anti"), "links")
     raise RuntimeError("pruning did not end")
 
 

@@ -40,6 +40,33 @@ def full_diff(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.exceptAll(right).withColumn("side", F.lit("left")).unionByName(right.exceptAll(left).withColumn("side", F.lit("right")))
 
 
+def ranged(df: DataFrame, col: str) -> DataFrame:
+    """df in range partitions of a column, written: _p, the number of a row's range; equal values share one."""
+    from gridloom.session import materialize
+
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return materialize(df.repartitionByRange(parts, col).withColumn("_p", F.spark_partition_id()), "ranges")
+
+
+def distributed_median(df: DataFrame, col: str) -> DataFrame:
+    """One row, `median`: the middle value, or the mean of the two in the middle; ranks are counted a range at a time, no task holds all. Null without values."""
+    rows = ranged(df.select(F.col(col).cast("double").alias("v")).where("v is not null"), "v")
+    counts = rows.groupBy("_p").agg(F.count("*").alias("n"))
+    before = counts.select("_p", (F.sum("n").over(W.orderBy("_p")) - F.col("n")).alias("_before"), F.sum("n").over(W.partitionBy()).alias("_n"))  # a row a range
+    rank = F.col("_before") + F.row_number().over(W.partitionBy("_p").orderBy("v")) - 1
+    middle = rows.join(F.broadcast(before), "_p").withColumn("_r", rank).where((F.col("_r") == F.floor((F.col("_n") - 1) / 2)) | (F.col("_r") == F.floor(F.col("_n") / 2)))
+    return middle.agg(F.avg("v").alias("median"))
+
+
+def gaps(df: DataFrame, col: str) -> DataFrame:
+    """`gap`: differences of neighbouring distinct values; a range's first value is compared with the last of the range before."""
+    rows = ranged(df.select(F.col(col).alias("v")).where("v is not null").distinct(), "v")
+    inner = rows.select((F.col("v") - F.lag("v").over(W.partitionBy("_p").orderBy("v"))).alias("gap"))
+    ends = rows.groupBy("_p").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))  # a row a range
+    between = ends.select((F.col("lo") - F.lag("hi").over(W.orderBy("_p"))).alias("gap"))
+    return inner.unionByName(between).where("gap is not null")
+
+
 def r6(*names: str) -> list[Column]:
     """Columns rounded for comparison."""
     return [F.round(n, 6).alias(n) for n in names]

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gridloom.operators.joins import EPSILON, union
+from gridloom.operators.joins import EPSILON, distributed_median, gaps, union
 from gridloom.operators.regions import edge_from, edge_to, is_edge, mirrored
 
 LINK = ("scenario", "region", "period", "input_comm", "tech", "vintage", "output_comm")
@@ -182,12 +182,7 @@ def sqrt_scaled(df: DataFrame, value: str, low: float, high: float, out: str = "
 
 def grid_spacing(points: DataFrame, x: str = "lon", y: str = "lat") -> DataFrame:
     """RES-31: the smaller of the median positive gaps between distinct coordinates of either axis, one row."""
-    gaps = []
-    for axis in (x, y):
-        own = points.select(F.col(axis).alias("v")).where("v is not null").distinct()
-        step = own.withColumn("gap", F.col("v") - F.lag("v").over(W.orderBy("v")))  # distinct coordinates of one axis: as many as the grid is wide
-        gaps.append(step.where("gap > 0").agg(F.median("gap").alias("gap")))
-    return union(*gaps).agg(F.min("gap").alias("spacing"))
+    return union(*(distributed_median(gaps(points, axis).where("gap > 0"), "gap") for axis in (x, y))).agg(F.min("median").alias("spacing"))
 
 
 def compare_scenarios(df: DataFrame, keys: Sequence[str], value: str, base: str, other: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -30,16 +30,32 @@ def bad_rows(rows: DataFrame, known: DataFrame) -> DataFrame:
     return flagged.withColumn("reason", reason).where("reason is not null").drop("_before", "_known")
 
 
+def _mask(index: Sequence[str]) -> Column:
+    return F.concat(*(F.when(F.col(f"i{k}") == "*", "1").otherwise("0") for k in range(len(index))))
+
+
+def _keyed(tweaks: DataFrame, index: Sequence[str]) -> list[Column]:
+    """A tweak's wildcards as _mask, its other parts as _key: what base rows must equal."""
+    return [_mask(index).alias("_mask"), F.array(*(F.col(f"i{k}") for k in range(len(index)))).alias("_key")]
+
+
+def _masked(base: DataFrame, tweaks: DataFrame, index: Sequence[str]) -> DataFrame:
+    """base with _mask and _key, a row for each mask that the tweaks have, so that tweaks join by equality. Masks are at most two to the number of index parts."""
+    masks = sorted(r[0] for r in tweaks.select(_mask(index).alias("m")).distinct().collect())
+    part = lambda k, c: F.coalesce(F.col(c).cast("string"), F.lit("\0"))
+    keys = [F.struct(F.lit(m).alias("mask"), F.array(*(F.lit("*") if m[k] == "1" else part(k, c) for k, c in enumerate(index))).alias("key")) for m in masks]
+    if not keys:
+        return base.select("*", F.lit("").alias("_mask"), F.array().cast("array<string>").alias("_key")).where(F.lit(False))
+    return base.withColumn("_m", F.explode(F.array(*keys))).select(*base.columns, F.col("_m.mask").alias("_mask"), F.col("_m.key").alias("_key"))
+
+
 def apply_tweaks(base: DataFrame, tweaks: DataFrame, index: Sequence[str], value: str) -> DataFrame:
     """SCN-3, SCN-4: base rows of every run that touches them: old and new value. r: old (1 + f), a: old + f, s: f; `*` matches all.
 
     tweaks: run, seq, mod, value, i0 …; later tweaks of a run see what earlier ones made of a cell.
     """
-    t = tweaks.select("run", "seq", "mod", F.col("value").alias("_f"), *(F.col(f"i{k}").alias(f"_i{k}") for k in range(len(index))))
-    match = F.lit(True)
-    for k, c in enumerate(index):
-        match = match & ((F.col(f"_i{k}") == "*") | (F.col(f"_i{k}") == F.col(c).cast("string")))
-    hit = base.join(F.broadcast(t), match)  # tweaks: a few thousand rows of a run file
+    t = tweaks.select("run", "seq", "mod", F.col("value").alias("_f"), *_keyed(tweaks, index))
+    hit = _masked(base, tweaks, index).join(t, ["_mask", "_key"]).drop("_mask", "_key")
     steps = F.array_sort(F.collect_list(F.struct("seq", "mod", "_f")))
     step = lambda acc, s: F.when(s["mod"] == "r", acc * (1 + s["_f"])).when(s["mod"] == "a", acc + s["_f"]).otherwise(s["_f"])
     return hit.groupBy("run", *index, value).agg(steps.alias("_steps")).select("run", *index, F.col(value).alias("old"), F.aggregate("_steps", F.col(value), step).alias("new"))
@@ -47,11 +63,8 @@ def apply_tweaks(base: DataFrame, tweaks: DataFrame, index: Sequence[str], value
 
 def unmatched_tweaks(base: DataFrame, tweaks: DataFrame, index: Sequence[str]) -> DataFrame:
     """SCN-3: tweaks that match no row."""
-    match = F.lit(True)
-    for k, c in enumerate(index):
-        match = match & ((F.col(f"i{k}") == "*") | (F.col(f"i{k}") == F.col(f"b_{c}")))
-    known = base.select(*(F.col(c).cast("string").alias(f"b_{c}") for c in index)).distinct()
-    hit = known.join(F.broadcast(tweaks), match).select("run", "seq").distinct()
+    known = _masked(base.select(*index).distinct(), tweaks, index).select("_mask", "_key").distinct()
+    hit = tweaks.select("run", "seq", *_keyed(tweaks, index)).join(known, ["_mask", "_key"], "left_semi").select("run", "seq").distinct()
     return tweaks.select("run", "seq").distinct().join(hit, ["run", "seq"], "left_anti")
 
 

@@ -325,7 +325,7 @@ def _(t: Tables) -> DataFrame:
 
 @query(
     "dia13_conservation",
-    """SELECT count(*) FILTER (b IS NULL) AS left_only, count(*) FILTER (a IS NULL) AS right_only, round(sum(a), 4) AS total_left, round(sum(b), 4) AS total_right, false AS passed FROM (SELECT region, sum(flow) AS a FROM {flow_in} GROUP BY region) FULL JOIN (SELECT region, sum(flow) AS b FROM {flow_out} WHERE region <> 'R0' GROUP BY region) USING (region)""",
+    """SELECT count(*) FILTER (b IS NULL) AS left_only, count(*) FILTER (a IS NULL) AS right_only, round(sum(a), 4) AS total_left, round(sum(b), 4) AS total_right, count(*) FILTER (a IS NULL OR b IS NULL) = 0 AND abs(sum(a) - sum(b)) <= 1e-6 AS passed FROM (SELECT region, sum(flow) AS a FROM {flow_in} GROUP BY region) FULL JOIN (SELECT region, sum(flow) AS b FROM {flow_out} WHERE region <> 'R0' GROUP BY region) USING (region)""",
 )
 def _(t: Tables) -> DataFrame:
     c = C.conservation(t("flow_in").withColumnRenamed("flow", "x"), t("flow_out").where("region <> 'R0'").withColumnRenamed("flow", "x"), "region", "x")
@@ -445,9 +445,52 @@ def _(t: Tables) -> DataFrame:
     return C.unknown_index(t("net_capacity"), {"tech": t("technology").where("tech not like 'Brand#1%'").select("tech"), "period": t("period").where("period = 1995").select("period")})
 
 
-@query("dia28_identity", "SELECT 'p_type' AS field, array_to_string(list_sort(list(DISTINCT p_type)), ',') AS found, false AS passed FROM {part} WHERE p_brand = 'Brand#1' UNION ALL SELECT 'p_brand', 'Brand#1', true")
+#: Layers with what should be one value each: their system, which is, and their class, which is not.
+_LAYER = "SELECT concat('EPSG:', CAST(3347 + 0 * p_size AS STRING)) AS crs, p_brand, CASE WHEN p_size > 0 THEN 'part' ELSE 'other' END AS kind FROM {part}"
+_EXPECTED = {"crs": "EPSG:3347", "p_brand": "Brand#1", "kind": "other"}
+
+
+@query("dia28_identity", " UNION ALL ".join(f"SELECT '{c}' AS field, array_to_string(list_sort(list(DISTINCT {c})), ',') AS found, list_sort(list(DISTINCT {c})) = ['{v}'] AS passed FROM ({_LAYER})" for c, v in _EXPECTED.items()))
+def _(t: Tables) -> DataFrame:
+    return C.identity(t.sql(_LAYER), _EXPECTED)
+
+
+@query(
+    "dia13_conserved",
+    """SELECT count(*) FILTER (b IS NULL) AS left_only, count(*) FILTER (a IS NULL) AS right_only, round(sum(a), 4) AS total_left, round(sum(b), 4) AS total_right, count(*) FILTER (a IS NULL OR b IS NULL) = 0 AND abs(sum(a) - sum(b)) <= 1e-6 AS passed FROM (SELECT region, sum(flow) AS a FROM {flow_out} GROUP BY region) FULL JOIN (SELECT region, sum(quantity) AS b FROM {placed} GROUP BY region) USING (region)""",
+)
+def _(t: Tables) -> DataFrame:
+    c = C.conservation(t("flow_out").withColumnRenamed("flow", "x"), t("placed").withColumnRenamed("quantity", "x"), "region", "x")
+    return c.select("left_only", "right_only", F.round("total_left", 4).alias("total_left"), F.round("total_right", 4).alias("total_right"), "passed")
+
+
+_TOPOLOGY = """WITH RECURSIVE c AS (SELECT * FROM {cells}), e AS (SELECT * FROM {edges} WHERE NOT (region_from = 'R1' AND region_to = 'R0')), r AS (SELECT edge_region, distance_km, direction IN ('up', 'down') AS connected FROM e), g AS (SELECT region_from AS a, region_to AS b FROM e UNION SELECT region_to, region_from FROM e),
+    k AS (SELECT DISTINCT a AS id, a AS top FROM g UNION SELECT g.a, k.top FROM k JOIN g ON g.b = k.id),
+    m AS (SELECT 'basemap_regions' AS metric, count(*)::DOUBLE AS value FROM c UNION ALL SELECT 'basemap_unique_regions', count(DISTINCT region) FROM c UNION ALL SELECT 'graph_nodes', count(*) FROM c UNION ALL SELECT 'graph_node_unique_regions', count(DISTINCT region) FROM c
+      UNION ALL SELECT 'graph_edges', count(*) FROM e UNION ALL SELECT 'graph_edge_unique_regions', count(DISTINCT edge_region) FROM e UNION ALL SELECT 'graph_edge_distance_min', min(distance_km) FROM e UNION ALL SELECT 'graph_edge_distance_mean', avg(distance_km) FROM e UNION ALL SELECT 'graph_edge_distance_max', max(distance_km) FROM e
+      UNION ALL SELECT 'road_connection_rows', count(*) FROM r UNION ALL SELECT 'road_connected_rows', count(*) FROM r WHERE connected UNION ALL SELECT 'road_edge_distance_min', min(distance_km) FROM r WHERE connected UNION ALL SELECT 'road_edge_distance_mean', avg(distance_km) FROM r WHERE connected UNION ALL SELECT 'road_edge_distance_max', max(distance_km) FROM r WHERE connected
+      UNION ALL SELECT 'road_edge_geometries', 0 UNION ALL SELECT 'isolated_nodes', count(*) FROM c WHERE region NOT IN (SELECT a FROM g) UNION ALL SELECT 'one_way_edges', count(*) FROM e WHERE (region_to, region_from) NOT IN (SELECT (region_from, region_to) FROM e)
+      UNION ALL SELECT 'linked_components', count(DISTINCT t) FROM (SELECT min(top) AS t FROM k GROUP BY id)),
+    w AS (SELECT max(value) FILTER (metric = 'basemap_regions') AS a, max(value) FILTER (metric = 'graph_nodes') AS b, max(value) FILTER (metric = 'graph_node_unique_regions') AS u, max(value) FILTER (metric = 'graph_edges') AS d, max(value) FILTER (metric = 'road_connection_rows') AS e, max(value) FILTER (metric = 'road_connected_rows') AS f, max(value) FILTER (metric = 'road_edge_geometries') AS g FROM m)"""
+
+
+def _topology(t: Tables) -> DataFrame:
+    edges = t("edges").where("not (region_from = 'R1' and region_to = 'R0')")
+    roads = edges.select("edge_region", "distance_km", F.col("direction").isin("up", "down").alias("connected"))
+    return C.topology(t("cells"), t("cells"), edges, roads, t("segments").where("x0 is null"))
+
+
+@query("dia12_topology", f"{_TOPOLOGY} SELECT metric, round(value, 6) AS value FROM m")
+def _(t: Tables) -> DataFrame:
+    return _topology(t).withColumn("value", F.round("value", 6))
+
+
+@query(
+    "dia12_verdicts",
+    f"{_TOPOLOGY} SELECT 'basemap has regions' AS name, 'error' AS severity, a > 0 AS passed FROM w UNION ALL SELECT 'nodes are unique by region', 'error', b > 0 AND b = u FROM w UNION ALL SELECT 'graph has edges', 'error', d > 0 FROM w UNION ALL SELECT 'road connections have rows', 'error', e > 0 FROM w UNION ALL SELECT 'connected rows exist', 'warning', f > 0 FROM w UNION ALL SELECT 'road geometries exist', 'warning', g > 0 FROM w",
+)
 def _(t: Tables) -> DataFrame:
-    return C.identity(t("part").where("p_brand = 'Brand#1'"), {"p_type": "PROMO", "p_brand": "Brand#1"})
+    return C.topology_verdicts(_topology(t))
 
 
 @query("prj12_modes", "SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'pipeline' WHEN 1 THEN 'truck' WHEN 2 THEN 'power_line' END AS mode FROM {part}")

@@ -321,9 +321,19 @@ def _(t: Tables) -> DataFrame:
     return H.source_trace(*_trace(t)).select("region", "period", "input_comm", "tech", "vintage", "output_comm")
 
 
+@query(
+    "grf20_orphans",
+    f"""WITH RECURSIVE l AS ({_LINKS}), b AS (SELECT DISTINCT region, 'c28' AS c FROM l UNION SELECT l.region, l.input_comm FROM l JOIN b ON l.region = b.region AND l.output_comm = b.c),
+    k AS (SELECT l.* FROM l JOIN b ON l.region = b.region AND l.output_comm = b.c), f AS (SELECT DISTINCT region, 'c1' AS c FROM l UNION SELECT k.region, k.output_comm FROM k JOIN f ON k.region = f.region AND k.input_comm = f.c)
+    SELECT l.*, CASE WHEN (l.region, l.output_comm) IN (SELECT (region, c) FROM b) THEN 'demand_side' ELSE 'other' END AS class FROM l WHERE (l.region, l.output_comm) NOT IN (SELECT (region, c) FROM b) OR (l.region, l.input_comm) NOT IN (SELECT (region, c) FROM f)""",
+)
+def _(t: Tables) -> DataFrame:
+    return H.orphans(*_trace(t))
+
+
 @query("grf20_pruned")
 def _(t: Tables) -> DataFrame:
-    return H.prune_orphans(*_trace(t), process=("region", "tech", "vintage", "input_comm", "output_comm")).select("region", "period", "input_comm", "tech", "vintage", "output_comm")
+    return H.prune_orphans(*_trace(t), process=("region", "tech", "vintage", "input_comm", "output_comm"))[0].select("region", "period", "input_comm", "tech", "vintage", "output_comm")
 
 
 @query(
