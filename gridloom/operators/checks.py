@@ -87,6 +87,30 @@ def unit_inventory(df: DataFrame, group: Sequence[str], unit: str, example: str,
     return df.groupBy(*group, unit).agg(F.count("*").alias("n"), F.array_join(F.slice(F.sort_array(F.collect_set(example)), 1, most), ",").alias("examples"))
 
 
+def unit_findings(df: DataFrame, units: DataFrame, allowed: DataFrame, table: str, unit: str, region: str, tech: str, strict: bool = False, most: int = 5) -> DataFrame:
+    """DIA-9: per table and unit: rows, category, whether the table may have that category, up to five example regions and technologies, and the finding: missing, unknown, incompatible or none, with its severity (warning; error if strict).
+
+    units: unit, category. allowed: table, category; a table without rows there may have any, so its `compatible` is null.
+    """
+    from gridloom.operators.prepare import unit_category
+
+    examples = lambda c: F.array_join(F.slice(F.sort_array(F.collect_set(F.col(c).cast("string"))), 1, most), ";")
+    text = F.trim(F.col(unit).cast("string"))
+    named = df.withColumn("unit", F.when(text == "", None).otherwise(text)).groupBy(F.col(table).alias("table"), "unit").agg(F.count("*").alias("n"), examples(region).alias("regions"), examples(tech).alias("techs"))
+    judged = unit_category(named, units)
+    fits = judged.join(allowed.select("table", "category", F.lit(True).alias("_fits")).distinct(), ["table", "category"], "left").join(allowed.select("table", F.lit(True).alias("_bound")).distinct(), "table", "left")
+    known = ~F.col("category").isin("missing", "unknown")
+    compatible = F.when(F.col("_bound") & known, F.coalesce("_fits", F.lit(False)))
+    finding = F.when(~known, F.col("category")).when(~compatible, "incompatible")
+    out = fits.withColumns({"compatible": compatible, "finding": finding})
+    return out.select("table", F.coalesce("unit", F.lit("")).alias("unit"), "n", "category", "compatible", "regions", "techs", "finding", F.when(F.col("finding").isNotNull(), "error" if strict else "warning").alias("severity"))
+
+
+def point_union(*layers: tuple[DataFrame, str, Sequence[str], str]) -> DataFrame:
+    """DIA-15: points of several layers as one: id, name (the first of several columns that is not null), layer. layers: table, id column, name columns, layer name."""
+    return union(*(df.select(F.col(key).cast("string").alias("id"), F.coalesce(*(F.col(n).cast("string") for n in names)).alias("name"), F.lit(layer).alias("layer")) for df, key, names, layer in layers))
+
+
 def distance_summary(df: DataFrame, group: str, distance: str, fallback: Column) -> DataFrame:
     """DIA-10: per group rows, fallbacks and their share, mean, median, 95th percentile and maximum distance."""
     far = F.when(fallback, F.col(distance))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -265,6 +266,16 @@ def dense_regions(cells: DataFrame) -> DataFrame:
     return ordered.join(F.broadcast(before), "_p").withColumn("region", F.concat(F.lit("R"), (F.col("_before") + n).cast("long").cast("string"))).drop("_p", "_before")
 
 
+def region_metadata(regions: DataFrame, resolution: float, unit: str, crs: str, to_lonlat: Callable[[Column, Column], tuple[Column, Column]] | None = None) -> DataFrame:
+    """GEO-4: numbered cells with what names their place: lon and lat of the centre, resolution and its unit, the system, and the centre as `site`.
+
+    to_lonlat: from centre to degrees, as unproject(); without it centres are degrees already.
+    """
+    lon, lat = to_lonlat(F.col("cx"), F.col("cy")) if to_lonlat else (F.col("cx"), F.col("cy"))
+    site = F.concat(F.format_number(lat, 4), F.lit(","), F.format_number(lon, 4))
+    return regions.withColumns({"lon": lon, "lat": lat, "resolution": F.lit(float(resolution)), "resolution_unit": F.lit(unit), "crs": F.lit(crs), "site": site})
+
+
 def grid_summary(cells: DataFrame, *keys: str) -> DataFrame:
     """GEO-5: rows and extents per variant."""
     return cells.groupBy(*keys).agg(F.count("*").alias("n"), F.min("x0").alias("xmin"), F.min("y0").alias("ymin"), F.max("x1").alias("xmax"), F.max("y1").alias("ymax"))

@@ -61,11 +61,19 @@ def cost_distance(edges: DataFrame, penalties: DataFrame, key: str = "edge_regio
     return out.withColumns({"multiplier": F.col("effective_km") / F.col(physical), "penalty_share": F.col("penalty") / F.col("effective_km")})
 
 
-def impedance_summary(edges: DataFrame, *keys: str) -> DataFrame:
-    """GRF-7: per graph: edges, distance sums, mean and largest multiplier, penalised edges."""
-    return edges.groupBy(*keys).agg(
-        F.count("*").alias("n_edges"), F.sum("distance_km").alias("physical_km"), F.sum("effective_km").alias("effective_km"), F.avg("multiplier").alias("mean_multiplier"), F.max("multiplier").alias("max_multiplier"), F.count_if(F.col("penalty") > 0).alias("n_penalised")
-    )
+def impedance_summary(edges: DataFrame, *keys: str, penalties: DataFrame | None = None, layers: Sequence[str] = (), edge: str = "edge_region") -> DataFrame:
+    """GRF-7: per graph: edges, distance sums, mean and largest multiplier, penalised edges, and for each layer the sum of its penalties as `<layer>_km`.
+
+    penalties: edge, layer, penalty; an edge may have several rows of a layer. Layers that an edge doesn't meet add 0.
+    """
+    wide = edges
+    if layers:
+        sums = penalties.groupBy(edge).pivot("layer", list(layers)).agg(F.sum("penalty"))
+        wide = edges.join(sums.select(edge, *(F.col(f"`{n}`").alias(f"_{n}") for n in layers)), edge, "left")
+    return wide.groupBy(*keys).agg(
+        F.count("*").alias("n_edges"), F.sum("distance_km").alias("physical_km"), F.sum("effective_km").alias("effective_km"), F.avg("multiplier").alias("mean_multiplier"), F.max("multiplier").alias("max_multiplier"), F.count_if(F.col("penalty") > 0).alias("n_penalised"),
+        *(F.coalesce(F.sum(f"`_{n}`"), F.lit(0.0)).alias(f"{n}_km") for n in layers),
+    )
 
 
 #: Which cost kinds take the effective distance in each scope.
@@ -100,6 +108,11 @@ def geometry_quality(segments: DataFrame, geometry: Sequence[str]) -> DataFrame:
     return segments.agg(F.count("*").alias("n"), F.count_if(null).alias("n_null"), F.count_if((F.col(x0) == F.col(x1)) & (F.col(y0) == F.col(y1))).alias("n_empty"), (F.count("*") - F.count_distinct(F.struct(*geometry))).alias("n_repeated"))
 
 
+def class_counts(segments: DataFrame, group: str, of: str) -> DataFrame:
+    """GRF-13: segments of each class per jurisdiction, the largest first; null classes and groups are values."""
+    return segments.groupBy(group, of).agg(F.count("*").alias("n")).orderBy(F.desc("n"), group, of)
+
+
 def network_summary(segments: DataFrame, group: str, flags: Sequence[str], total: str = "STUDY_AREA") -> DataFrame:
     """GRF-14: segments, and for each flag the kept ones and their percent (one decimal), per group and for all."""
     cols = [c for f in flags for c in (F.count_if(F.col(f)).alias(f), F.round(100 * F.count_if(F.col(f)) / F.count("*"), 1).alias(f"{f}_pct"))]

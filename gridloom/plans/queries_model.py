@@ -343,11 +343,26 @@ def _(t: Tables) -> DataFrame:
     return C.roll_up(t.sql(_VERDICTS))
 
 
-@query("dia15_point_union", "SELECT concat('s', CAST(s_suppkey AS STRING)) AS id, s_name AS name FROM {supplier} UNION ALL SELECT concat('c', CAST(c_custkey AS STRING)), CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE c_mktsegment END FROM {customer}")
+@query("dia15_point_union", "SELECT concat('s', CAST(s_suppkey AS STRING)) AS id, s_name AS name, 'supply' AS layer FROM {supplier} UNION ALL SELECT concat('c', CAST(c_custkey AS STRING)), CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE c_mktsegment END, 'demand' FROM {customer}")
 def _(t: Tables) -> DataFrame:
-    one = t("supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("id"), F.col("s_name").alias("name"))
-    first = F.coalesce(F.when(F.col("c_custkey") % 2 == 0, F.col("c_name")), F.col("c_mktsegment"))
-    return one.unionByName(t("customer").select(F.concat(F.lit("c"), "c_custkey").alias("id"), first.alias("name")))
+    one = t("supplier").withColumn("key", F.concat(F.lit("s"), "s_suppkey"))
+    two = t("customer").withColumns({"key": F.concat(F.lit("c"), "c_custkey"), "first": F.when(F.col("c_custkey") % 2 == 0, F.col("c_name"))})
+    return C.point_union((one, "key", ["s_name"], "supply"), (two, "key", ["first", "c_mktsegment"], "demand"))
+
+
+_UNITS = "SELECT p_brand AS tbl, p_type AS tech, concat('R', CAST(p_partkey % 7 AS STRING)) AS region, CASE p_size % 6 WHEN 0 THEN 'PJ' WHEN 1 THEN ' pj ' WHEN 2 THEN 'kt' WHEN 3 THEN '  ' WHEN 4 THEN NULL ELSE 'furlong' END AS units FROM {part}"
+_KNOWN = "SELECT DISTINCT CASE WHEN r_regionkey % 2 = 0 THEN 'PJ' ELSE 'kt' END AS unit, CASE WHEN r_regionkey % 2 = 0 THEN 'energy' ELSE 'mass' END AS category FROM {region}"
+_ALLOWED = "SELECT DISTINCT p_brand AS tbl, CASE WHEN length(p_brand) = 7 THEN 'energy' ELSE 'mass' END AS category FROM {part} WHERE p_brand <> 'Brand#3'"
+
+
+@query(
+    "dia9_unit_findings",
+    f"""SELECT tbl AS "table", unit, n, category, compatible, regions, techs, finding, CASE WHEN finding IS NOT NULL THEN 'warning' END AS severity FROM (SELECT *, CASE WHEN category IN ('missing', 'unknown') THEN category WHEN NOT compatible THEN 'incompatible' END AS finding FROM (
+      SELECT i.tbl, i.unit, n, CASE WHEN i.unit = '' THEN 'missing' ELSE coalesce(k.category, 'unknown') END AS category, CASE WHEN k.category IS NOT NULL AND i.tbl <> 'Brand#3' THEN k.category = CASE WHEN length(i.tbl) = 7 THEN 'energy' ELSE 'mass' END END AS compatible, regions, techs FROM (
+        SELECT tbl, coalesce(trim(units), '') AS unit, count(*) AS n, array_to_string(list_sort(list_distinct(list(region)))[1:5], ';') AS regions, array_to_string(list_sort(list_distinct(list(tech)))[1:5], ';') AS techs FROM ({_UNITS}) GROUP BY 1, 2) i LEFT JOIN ({_KNOWN}) k ON lower(i.unit) = lower(k.unit)))""",
+)
+def _(t: Tables) -> DataFrame:
+    return C.unit_findings(t.sql(_UNITS), t.sql(_KNOWN), t.sql(_ALLOWED).withColumnRenamed("tbl", "table"), "tbl", "units", "region", "tech")
 
 
 @query(

@@ -203,7 +203,7 @@ def _(t: Tables) -> DataFrame:
 
 @query(
     "geo14_exposure",
-    """SELECT code, centre, round(a, 7) AS area, round(a / own, 7) AS share, band, CASE band WHEN 'low' THEN 1e0 WHEN 'mid' THEN 1.5e0 ELSE 2.25e0 END AS factor FROM (SELECT *, CASE WHEN value < 1000 THEN 'low' WHEN value <= 1500 THEN 'mid' ELSE 'high' END AS band FROM (
+    """SELECT code, centre, round(a, 7) AS area, round(a / own, 10) AS share, band, CASE band WHEN 'low' THEN 1e0 WHEN 'mid' THEN 1.5e0 ELSE 2.25e0 END AS factor FROM (SELECT *, CASE WHEN value < 1000 THEN 'low' WHEN value <= 1500 THEN 'mid' ELSE 'high' END AS band FROM (
       SELECT code, feature_id AS centre, value, (z.xmax - z.xmin) * (z.ymax - z.ymin) AS own, greatest(least(z.xmax, f.xmax) - greatest(z.xmin, f.xmin), 0) * greatest(least(z.ymax, f.ymax) - greatest(z.ymin, f.ymin), 0) AS a FROM (SELECT * FROM {zones}) z JOIN (SELECT * FROM {features}) f ON z.grp = f.feature_id % 5)) WHERE a > 1e-9""",
 )
 def _(t: Tables) -> DataFrame:
@@ -213,4 +213,4 @@ def _(t: Tables) -> DataFrame:
     of = t("features").select(F.col("feature_id").cast("string").alias("code"), F.col("feature_id").alias("centre"), (F.col("feature_id") % 5).cast("int").alias("jurisdiction"), "value")
     centres = G.layer(t("boxes")).join(of, "code").drop("code")
     out = G.population_exposure(G.layer(zones, "jurisdiction"), centres, bands, 8.0, "value").where("area > 1e-9")
-    return out.select("code", "centre", F.round("area", 7).alias("area"), F.round("share", 7).alias("share"), "band", "factor")
+    return out.select("code", "centre", F.round("area", 7).alias("area"), F.round("share", 10).alias("share"), "band", "factor")

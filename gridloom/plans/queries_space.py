@@ -214,6 +214,27 @@ def _(t: Tables) -> DataFrame:
     return H.impedance_summary(t("impedance"), "region_from").select("region_from", "n_edges", *r6("physical_km", "effective_km", "mean_multiplier", "max_multiplier"), "n_penalised")
 
 
+#: What each layer adds to an edge; an edge may meet a layer more than once, or not at all.
+_ADDED = "SELECT edge_region, CASE WHEN ix % 3 = 0 THEN 'water' WHEN ix % 3 = 1 THEN 'land' ELSE 'people' END AS layer, (iy + k) * 1.5e0 AS penalty FROM {edges} JOIN (SELECT region, ix, iy FROM {cells}) c ON c.region = region_from CROSS JOIN (VALUES (0), (1)) AS v(k) WHERE direction <> 'left'"
+_IMPEDED = f"SELECT e.edge_region, region_from, distance_km, coalesce(p, 0e0) AS penalty, distance_km + coalesce(p, 0e0) AS effective_km, (distance_km + coalesce(p, 0e0)) / distance_km AS multiplier FROM (SELECT * FROM {{edges}}) e LEFT JOIN (SELECT edge_region, sum(penalty) AS p FROM ({_ADDED}) GROUP BY edge_region) a ON a.edge_region = e.edge_region"
+
+
+@query(
+    "grf7_layer_sums",
+    f"""SELECT region_from, count(*) AS n_edges, round(sum(distance_km), 6) AS physical_km, round(sum(effective_km), 6) AS effective_km, round(avg(multiplier), 6) AS mean_multiplier, round(max(multiplier), 6) AS max_multiplier, count(*) FILTER (penalty > 0) AS n_penalised,
+      round(coalesce(sum(w), 0), 6) AS water_km, round(coalesce(sum(l), 0), 6) AS land_km, round(coalesce(sum(q), 0), 6) AS people_km FROM ({_IMPEDED}) i LEFT JOIN (SELECT edge_region AS er, sum(penalty) FILTER (layer = 'water') AS w, sum(penalty) FILTER (layer = 'land') AS l, sum(penalty) FILTER (layer = 'people') AS q FROM ({_ADDED}) GROUP BY 1) ON er = edge_region GROUP BY region_from""",
+)
+def _(t: Tables) -> DataFrame:
+    out = H.impedance_summary(H.cost_distance(t("edges"), t.sql(_ADDED)), "region_from", penalties=t.sql(_ADDED), layers=("water", "land", "people"))
+    return out.select("region_from", "n_edges", *r6("physical_km", "effective_km", "mean_multiplier", "max_multiplier"), "n_penalised", *r6("water_km", "land_km", "people_km"))
+
+
+@query("geo4_metadata", "SELECT region, cx AS lon, cy AS lat, 5e0 AS resolution, 'degrees' AS resolution_unit, 'EPSG:4326' AS crs, concat(printf('%.4f', cy), ',', printf('%.4f', cx)) AS site FROM {cells}")
+def _(t: Tables) -> DataFrame:
+    own = S.region_metadata(S.dense_regions(t("cells").drop("region")), SIZE, "degrees", "EPSG:4326")
+    return own.select("region", "lon", "lat", "resolution", "resolution_unit", "crs", "site")
+
+
 @query("grf8_scoped", "SELECT edge_region, round(effective_km, 6) AS capex_km, round(distance_km, 6) AS fixed_km, round(distance_km, 6) AS variable_km FROM {impedance}")
 def _(t: Tables) -> DataFrame:
     return H.scoped_distances(t("impedance"), "etl_capex_only").select("edge_region", *r6("capex_km", "fixed_km", "variable_km"))
@@ -244,7 +265,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("grf13_class_counts", "SELECT jurisdiction, class, count(*) AS n FROM {segments} GROUP BY jurisdiction, class")
 def _(t: Tables) -> DataFrame:
-    return t("segments").groupBy("jurisdiction", "class").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "jurisdiction", "class")
+    return H.class_counts(t("segments"), "jurisdiction", "class")
 
 
 @query("grf14_network_summary", "SELECT CASE WHEN grouping(jurisdiction) = 1 THEN 'STUDY_AREA' ELSE CAST(jurisdiction AS STRING) END AS jurisdiction, count(*) AS n, count(*) FILTER (class < '2') AS backbone, round(100.0 * count(*) FILTER (class < '2') / count(*), 1) AS backbone_pct FROM {segments} GROUP BY ROLLUP (jurisdiction)")
