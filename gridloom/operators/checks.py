@@ -218,6 +218,15 @@ def slice_sequence(slices: DataFrame, loop: str = "period") -> DataFrame:
     return slices.select("period", "season", "tod", nxt("season"), nxt("tod"))
 
 
+def season_sequence(slices: DataFrame) -> DataFrame:
+    """DIA-22, between seasons: the last slice of each season and the first of the next, in the form of slice_sequence(); the last season is followed by the first, a season alone by none."""
+    ends = slices.groupBy("period", "season").agg(F.min("tod").alias("first"), F.max("tod").alias("tod"))
+    w = W.partitionBy("period").orderBy("season")
+    all_ = w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    nxt = lambda c, name: F.coalesce(F.lead(c).over(w), F.first(c).over(all_)).alias(name)
+    return ends.select("period", "season", "tod", nxt("season", "next_season"), nxt("first", "next_tod")).where("season <> next_season")
+
+
 def survival(curve: DataFrame, lifetime: DataFrame, tolerance: float = 1e-4) -> tuple[DataFrame, DataFrame]:
     """DIA-24: the curve (region, tech, vintage, period, fraction) with yearly gaps filled linearly, and findings per process."""
     key = ["region", "tech", "vintage"]
@@ -250,6 +259,49 @@ def region_kind(region: Column | str = "region") -> Column:
     return F.when(c.rlike(GROUP_RULE), "group").when(c.rlike(EDGE_RULE) & (edge_from(c) != edge_to(c)), "edge").when(c.rlike(NODE_RULE), "node")
 
 
+def name_findings(names: DataFrame, regions: DataFrame) -> DataFrame:
+    """DIA-25: kind (node, edge, group) of each region index and its fault, null if it is valid. names: name; regions: region, the known nodes.
+
+    node: `characters` (other than letters, digits, underscore), `reserved` (global, unless it stands for the group of all, which the kind then says), `unknown`. edge (with a hyphen):
+    `characters` (more than two names), `same ends`, `unknown`. group (with a plus): `characters`, `repeated` member, `unknown`. A null name has the fault `missing`.
+    """
+    own = names.select("name").distinct()
+    c = F.col("name")
+    kind = F.when(c.contains("-"), "edge").when(c.contains("+") | (c == "global"), "group").when(c.isNotNull(), "node")
+    parts = own.select("name", kind.alias("kind"), F.split("name", r"[-+]").alias("_parts"))
+    known = regions.select(F.col("region").alias("_part"), F.lit(1).alias("_known")).distinct()
+    members = parts.select("name", F.explode(F.array_distinct("_parts")).alias("_part")).join(known, "_part", "left").groupBy("name").agg(F.count_if(F.col("_known").isNull()).alias("_unknown"))
+    shape = F.when(F.col("kind") == "edge", c.rlike(r"^[A-Za-z0-9_]+-[A-Za-z0-9_]+\z")).when(F.col("kind") == "group", c.rlike(r"^[A-Za-z0-9_+]+\z")).otherwise(c.rlike(r"^[A-Za-z0-9_]+\z"))
+    twice = F.size(F.array_distinct("_parts")) < F.size("_parts")
+    finding = (
+        F.when(c.isNull(), "missing").when(c == "global", None).when(~shape, "characters").when(twice, F.when(F.col("kind") == "edge", "same ends").otherwise("repeated")).when(F.col("_unknown") > 0, "unknown")
+    )
+    return parts.join(members, "name", "left").select("name", "kind", finding.alias("finding"))
+
+
+def reserved_nodes(regions: DataFrame) -> DataFrame:
+    """DIA-25: declared nodes with a name that no node may have: the reserved `global`, or other than letters, digits and underscore."""
+    return regions.select("region").distinct().where((F.col("region") == "global") | ~F.col("region").rlike(r"^[A-Za-z0-9_]+\z") | F.col("region").isNull())
+
+
+def element_findings(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """DIA-25: element names with a slash or a pipe, which stand for lists in run indices: column, element, rows. Numbers and nulls pass."""
+    text = [f.name for f in df.schema.fields if f.name in columns and f.dataType.typeName() in ("string", "varchar", "char")]
+    if not text:
+        return df.sparkSession.createDataFrame([], "column string, element string, n long")
+    cells = F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("element")) for c in text))).alias("x")
+    return df.select(cells).select("x.*").where(F.col("element").rlike("[/|]")).groupBy("column", "element").agg(F.count("*").alias("n"))
+
+
+def group_entry_findings(entries: DataFrame, regions: DataFrame, groups: DataFrame, technology: DataFrame) -> DataFrame:
+    """DIA-25: entries (region, group, tech) of technology groups with each fault: `region` (name_findings() faults it), `group` or `tech` (not known)."""
+    bad = name_findings(entries.select(F.col("region").alias("name")), regions).where("finding is not null").select(F.col("name").alias("region"), F.lit(1).alias("_bad"))
+    known = lambda df, c: df.select(c, F.lit(1).alias(f"_{c}")).distinct()
+    out = entries.select("region", "group", "tech").join(bad, "region", "left").join(known(groups, "group"), "group", "left").join(known(technology, "tech"), "tech", "left")
+    found = F.array_compact(F.array(F.when((F.col("_bad") == 1) | F.col("region").isNull(), "region"), F.when(F.col("_group").isNull(), "group"), F.when(F.col("_tech").isNull(), "tech")))
+    return out.select("region", "group", "tech", F.explode(found).alias("finding"))
+
+
 def flag_conflicts(technology: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
     """DIA-26: technologies with two flags that exclude each other."""
     found = F.array_compact(F.array(*(F.when((F.col(a) == 1) & (F.col(b) == 1), f"{a} with {b}") for a, b in pairs)))

@@ -187,3 +187,34 @@ def merge_costs(capex: DataFrame, variable: DataFrame, fixed: DataFrame, keys: S
 def opex_template(fitted: DataFrame, keys: Sequence[str], unit: str) -> DataFrame:
     """CST-8: the slope of each linear fit with its unit a kilometre; intercepts are left out."""
     return fitted.select(*keys, F.col("b").alias("slope"), F.lit(f"{unit}/km").alias("unit"))
+
+
+def technology_table(raw: DataFrame, required: DataFrame, values: dict[str, str | int]) -> DataFrame:
+    """ENC-9: the technology table of a model: raw rows with the columns of values set to them, added where absent. A required technology (tech) that raw lacks is an error."""
+    missing = [r.tech for r in required.select("tech").distinct().join(raw, "tech", "left_anti").orderBy("tech").limit(10).collect()]
+    if missing:
+        raise ContractError(f"technologies without a definition, the first ten: {missing}")
+    return raw.withColumns({c: F.lit(v) for c, v in values.items()})
+
+
+def period_table(bounds: DataFrame) -> DataFrame:
+    """ENC-9: sequence, period and flag (f, future) of the periods of bounds (period), in order."""
+    return bounds.select("period").distinct().select(F.row_number().over(W.orderBy("period")).alias("sequence"), "period", F.lit("f").alias("flag"))  # a row a period
+
+
+def label_table(df: DataFrame, label: str, descriptions: dict[str, str]) -> DataFrame:
+    """ENC-9: label and description of each label that df uses; one without a description has null."""
+    words = F.create_map(*(F.lit(x) for pair in descriptions.items() for x in pair)) if descriptions else F.lit(None).cast("map<string,string>")
+    return df.select(F.col(label).alias("label")).distinct().withColumn("description", F.element_at(words, F.col("label")))
+
+
+def encode_static(technologies: DataFrame, commodities: DataFrame, required: DataFrame, bounds: DataFrame, metadata: DataFrame, finance: dict[str, float], values: dict[str, str | int], types: dict[str, str]) -> dict[str, DataFrame]:
+    """ENC-9: the supporting tables of a model by name: Technology, Commodity, TechnologyType and SectorLabel (labels that the technologies use), TimePeriod and MetaDataReal with the finance elements put in.
+
+    technologies: tech, flag (the type) and more; values: the columns of technology_table(), with sector; metadata: element, value.
+    """
+    technology = technology_table(technologies, required, values)
+    return {
+        "Technology": technology, "Commodity": commodities, "TechnologyType": label_table(technology, "flag", types), "SectorLabel": technology.select("sector", F.concat(F.col("sector").cast("string"), F.lit(" sector")).alias("notes")).distinct(),
+        "TimePeriod": period_table(bounds), "MetaDataReal": finance_elements(metadata, finance),
+    }

@@ -62,6 +62,34 @@ def slice_index(active_rows: DataFrame, efficiency: DataFrame, slices: DataFrame
     return by_slice.unionByName(annual).select(*keys, "period", "season", "tod", "input_comm", "output_comm", kinds.alias("kind"))
 
 
+def flow_index(active_rows: DataFrame, efficiency: DataFrame, slices: DataFrame, technology: DataFrame, commodity: DataFrame, stored_seasons: DataFrame | None = None) -> DataFrame:
+    """DER-6: every variant of the flow index as rows of a kind, with null where the variant has no input, output, season or time.
+
+    By slice: flow and flex (not annual), curtail, storage_in and, without input and output, storage_level. By year: flow_annual (annual technologies, and demand technologies for demand
+    commodities), flex_annual, and, without input and output, activity (every process) and capacity (those with a limit). By season of stored_seasons (period, season): seasonal_level.
+    technology: tech and the flags annual, flex, curtail, storage, seasonal, demand, unlim_cap (0 or 1); commodity: name, flag (d for demand).
+    """
+    keys = [*PROCESS, "period"]
+    flags = technology.select("tech", "annual", "flex", "curtail", "storage", "seasonal", "demand", "unlim_cap")
+    own = active_rows.select(*keys).distinct().join(flags, "tech")
+    wanted = commodity.where("flag = 'd'").select(F.col("name").alias("output_comm"), F.lit(1).alias("_d")).distinct()
+    uses = own.join(efficiency.select(*PROCESS, "input_comm", "output_comm").distinct(), list(PROCESS)).join(wanted, "output_comm", "left")
+    kind = lambda name, by_slice, test: F.when(test, F.struct(F.lit(name).alias("kind"), F.lit(by_slice).alias("by_slice")))
+    on = lambda c: F.col(c) == 1
+    kinds = F.explode(F.array_compact(F.array(
+        kind("flow", True, ~on("annual")), kind("flow_annual", False, on("annual") | (on("demand") & on("_d"))), kind("flex", True, ~on("annual") & on("flex")), kind("flex_annual", False, on("annual") & on("flex")),
+        kind("curtail", True, on("curtail")), kind("storage_in", True, on("storage")),
+    ))).alias("k")
+    states = F.explode(F.array_compact(F.array(kind("activity", False, F.lit(True)), kind("capacity", False, ~on("unlim_cap")), kind("storage_level", True, on("storage"))))).alias("k")
+    none = lambda c: F.lit(None).cast("string").alias(c)
+    rows = uses.select(*keys, "input_comm", "output_comm", kinds).unionByName(own.select(*keys, none("input_comm"), none("output_comm"), states)).select(*keys, "input_comm", "output_comm", "k.*")
+    out = rows.where("by_slice").join(slices.select("period", "season", "tod").distinct(), "period").unionByName(rows.where("not by_slice").select("*", none("season"), none("tod"))).drop("by_slice")
+    if stored_seasons is None:
+        return out
+    level = own.where("storage = 1 and seasonal = 1").join(stored_seasons.select("period", "season").distinct(), "period")
+    return out.unionByName(level.select(*keys, none("input_comm"), none("output_comm"), F.lit("seasonal_level").alias("kind"), "season", none("tod")))
+
+
 def resolve_factor(rows: DataFrame, by_process: DataFrame, by_tech: DataFrame, process_keys: Sequence[str], tech_keys: Sequence[str], value: str = "factor", default: float = 1.0) -> DataFrame:
     """DER-7: a process value, else the technology's, else the default."""
     own, tech = by_process.select(*process_keys, F.col(value).alias("_own")), by_tech.select(*tech_keys, F.col(value).alias("_tech"))

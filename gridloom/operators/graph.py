@@ -206,14 +206,26 @@ def orphans(links: DataFrame, sources: DataFrame, demands: DataFrame, keys: Sequ
 
 
 def prune_orphans(links: DataFrame, sources: DataFrame, demands: DataFrame, process: Sequence[str] = ("region", "tech", "vintage"), most_rounds: int = 50) -> tuple[DataFrame, DataFrame]:
-    """GRF-20: drop each process that is an orphan in any period, from all of them, until none is left. (kept, report): the links that stay, and all orphans with class and round. Keys are not null."""
-    current, report = links.distinct(), []
+    """GRF-20: drop each process that is an orphan in any period, from all of them, until none is left. (kept, report): the links that stay, and all orphans with class and round. Keys are not null.
+
+    An orphan lies on no way from a source to a demand, so its going changes no other link's class. Only networks (region, period) that lose a link which was none there are traced again.
+    """
+    keys = ["region", "period"]
+    current = materialize(links.distinct(), "links")
+    todo, ends, report = current, (sources, demands), []
     for k in range(most_rounds):
-        bad = materialize(orphans(current, sources, demands).withColumn("round", F.lit(k + 1)), "orphans")
+        bad = materialize(orphans(todo, *ends).withColumn("round", F.lit(k + 1)), "orphans")
         report.append(bad)
-        if bad.isEmpty():
+        gone = bad.select(*process).distinct()
+        lost = current.join(gone, list(process), "left_semi").join(bad, current.columns, "left_anti").select(*keys).distinct()
+        lost = materialize(lost, "networks")
+        more = materialize(current.join(gone, list(process), "left_anti"), "links")
+        drop_folder(current)
+        current = more
+        if lost.isEmpty():
+            drop_folder(lost)
             return current, union(*report)
-        current = materialize(current.join(bad.select(*process).distinct(), list(process), "left_anti"), "links")
+        todo, ends = current.join(lost, keys, "left_semi"), tuple(df.join(lost, keys, "left_semi") for df in (sources, demands))
     raise RuntimeError("pruning did not end")
 
 

@@ -253,3 +253,76 @@ def dynamic_reserve(capacity: DataFrame, flow_out: DataFrame, charge: DataFrame,
     load = got.unionByName(sent).unionByName(stored).groupBy(*place).agg(F.sum("flow").alias("load"))
     out = able.join(load, place, "full").na.fill(0.0, ["available", "load"])
     return out.withColumn("broken", F.col("available") < F.col("load") * (1 + margin) - tolerance)
+
+
+def demand_shares(flow_out: DataFrame, shares: DataFrame, annual: DataFrame | None = None, relative: float = 1e-6) -> DataFrame:
+    """LIM-11, by slice: what each process makes of a demand in a slice against its output of the year times the demand's share of that slice; absent output counts 0.
+
+    shares: region, period, season, tod, commodity, share; slices without a share, or with none above 0, are not held. An edge supplies the demand where it ends.
+    annual: STORE, commodity, flow of processes that are solved by the year; without it the sum over slices.
+    """
+    keys = [*STORE, "commodity"]
+    made = flow_out.withColumnRenamed("output_comm", "commodity")
+    by_slice = made.groupBy(*keys, "season", "tod").agg(F.sum("flow").alias("flow"))
+    year = (made if annual is None else annual).groupBy(*keys).agg(F.sum("flow").alias("year")).withColumn("_at", F.coalesce(edge_to(), F.col("region")))
+    held = shares.where("share > 0").select(F.col("region").alias("_at"), "period", "season", "tod", "commodity", "share")
+    out = year.join(held, ["_at", "period", "commodity"]).drop("_at").join(by_slice, [*keys, "season", "tod"], "left").na.fill(0.0, ["flow"])
+    out = out.withColumn("expected", F.col("year") * F.col("share"))
+    return out.withColumn("broken", F.abs(F.col("flow") - F.col("expected")) > relative * F.greatest(F.lit(1.0), F.abs("expected")))
+
+
+def hourly_ramps(flow_out: DataFrame, capacity: DataFrame, sequence: DataFrame, segfrac: DataFrame, rates: DataFrame, days: float, to_activity: float, own_hours: bool = False, tolerance: float = 1e-6) -> DataFrame:
+    """LIM-14, by the hour: rise (up) or fall (down) of hourly output from each slice to the next against rate * hours between their middles * capacity * conversion.
+
+    sequence: slice_sequence(slices, 'season') within seasons, season_sequence(slices) between them. rates: region, tech, direction (up or down), rate (part of capacity an hour). A rate that
+    reaches the whole capacity in the hours between cannot bind and gives no row. Output a slice is divided by the hours of the step's first slice on both sides, or with own_hours by those of
+    its own slice; absent output counts 0.
+    """
+    season = W.partitionBy("period", "season")
+    part = segfrac.select("period", "season", "tod", "segfrac", (F.col("segfrac") / F.sum("segfrac").over(season)).alias("of_season"))
+    ahead = part.withColumnsRenamed({c: f"next_{c}" for c in ("season", "tod", "segfrac", "of_season")})
+    steps = sequence.select("period", "season", "tod", "next_season", "next_tod").join(part, ["period", "season", "tod"]).join(ahead, ["period", "next_season", "next_tod"])
+    hours = 24 * days * F.col("segfrac")
+    steps = steps.withColumns({"hours": hours, "next_hours": 24 * days * F.col("next_segfrac") if own_hours else hours, "between": 12 * (F.col("of_season") + F.col("next_of_season"))})
+    sums = flow_out.groupBy(*STORE, "season", "tod").agg(F.sum("flow").alias("flow"))
+    later = sums.select(*STORE, F.col("season").alias("next_season"), F.col("tod").alias("next_tod"), F.col("flow").alias("next_flow"))
+    rows = capacity.select(*STORE, "capacity").join(rates.select("region", "tech", "direction", "rate"), ["region", "tech"]).join(steps, "period").where("rate * between < 1")
+    rows = rows.join(sums, [*STORE, "season", "tod"], "left").join(later, [*STORE, "next_season", "next_tod"], "left").na.fill(0.0, ["flow", "next_flow"])
+    now, then = F.col("flow") / F.col("hours"), F.col("next_flow") / F.col("next_hours")
+    out = rows.withColumn("change", F.when(F.col("direction") == "up", then - now).otherwise(now - then)).withColumn("allowed", F.col("rate") * F.col("between") * F.col("capacity") * to_activity)
+    out = out.withColumn("broken", F.col("change") > F.col("allowed") + tolerance * F.greatest(F.lit(1.0), F.col("allowed")))
+    return out.select(*STORE, "season", "tod", "next_season", "next_tod", "direction", "change", "allowed", "broken")
+
+
+def annual_retirement(net: DataFrame, existing: DataFrame, lifetime: DataFrame, life: DataFrame, horizon: DataFrame, solved: DataFrame | None = None, tolerance: float = 1e-6) -> DataFrame:
+    """LIM-16, annual: capacity that a process loses a year in each period, its end of life included: (start - end) / length.
+
+    Start: net capacity over the lived part of the period, times what survives at its start; in the period that starts just as the life ends, the same from the period before, and in the first
+    period the existing capacity. End: 0 where the life ends within the period; else the next period's start, or, where that has no capacity of its own (the horizon ends or the life does), the start
+    carried on down the survival curve.
+
+    net: STORE, capacity; existing: scenario, region, tech, vintage, capacity; lifetime: region, tech, vintage, lifetime; life: region, period, tech, vintage, fraction, survival (1 where absent, up
+    to the horizon's end); horizon: period, length, where the last period only ends it and has no length. With solved (STORE, retirement; 0 where absent) `broken` says where it differs.
+    """
+    keys = ["scenario", "region", "tech", "vintage"]
+    own = W.partitionBy(*keys).orderBy("period")
+    spans = horizon.select("period", "length")
+    last = spans.where("length is not null").agg(F.min("period").alias("_first"), F.max("period").alias("_last"))
+    built = net.select(*keys).union(existing.select(*keys)).distinct().join(lifetime.select("region", "tech", "vintage", "lifetime"), keys[1:])
+    rows = built.join(spans, F.col("vintage") <= F.col("period")).join(last, F.lit(True))  # a row a period; one row
+    rows = rows.join(net.select(*STORE, "capacity"), list(STORE), "left").join(life.select("region", "period", "tech", "vintage", "fraction", "survival"), list(STORE[1:]), "left")
+    rows = rows.join(existing.select(*keys, F.col("capacity").alias("_old")), keys, "left").na.fill(0.0, ["capacity", "_old"]).na.fill(1.0, ["fraction", "survival"])
+    whole, ends = F.col("capacity") / F.col("fraction"), F.col("vintage") + F.col("lifetime")
+    rows = rows.withColumns({"_whole": whole, "_ends": ends, "_was": F.lag(whole).over(own), "_next": F.lead("period").over(own), "_next_whole": F.lead(whole).over(own), "_next_survival": F.lead("survival").over(own)})
+    rows = rows.where("length is not null and period <= _ends")
+    at_end = F.col("period") == F.col("_ends")
+    start = F.when(~at_end, F.col("_whole")).when(F.col("period") == F.col("_first"), F.col("_old")).otherwise(F.coalesce("_was", F.lit(0.0))) * F.col("survival")
+    carried = (F.col("period") == F.col("_last")) | (F.col("_next") == F.col("_ends"))
+    rows = rows.withColumn("start", start)
+    down = F.when(F.col("survival") == 0, 0.0).otherwise(F.col("start") * F.col("_next_survival") / F.col("survival"))
+    rows = rows.withColumn("end", F.when(F.col("_ends") < F.col("period") + F.col("length"), 0.0).when(carried, down).otherwise(F.col("_next_whole") * F.col("_next_survival")))
+    out = rows.select(*STORE, "start", "end", ((F.col("start") - F.col("end")) / F.col("length")).alias("retirement"))
+    if solved is None:
+        return out
+    out = out.join(solved.select(*STORE, F.col("retirement").alias("solved")), list(STORE), "left").na.fill(0.0, ["solved"])
+    return out.withColumn("broken", F.abs(F.col("solved") - F.col("retirement")) > tolerance * F.greatest(F.lit(1.0), F.abs("retirement")))

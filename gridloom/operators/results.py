@@ -398,3 +398,24 @@ def diagram_emissions(found: DataFrame) -> DataFrame:
     """RES-38: links from each process to its emission commodities, by scenario and period, in the form of diagram()."""
     sums = found.groupBy("scenario", "period", F.col("tech").alias("source"), F.col("emis_comm").alias("target")).agg(F.sum("emission").alias("value"))
     return sums.withColumn("kind", F.lit("emission"))
+
+
+def process_detail(flow_in: DataFrame, flow_out: DataFrame, net_capacity: DataFrame, sources: DataFrame) -> DataFrame:
+    """RES-38, by process: per scenario, region, period and technology its capacity (total), that of each vintage, and what each vintage takes (input) and makes (output) by commodity. Inputs that sources (name) holds, which stand for nothing taken, are left out."""
+    keys = ("scenario", "region", "period", "tech")
+    flow = lambda df, c, kind: df.groupBy(*keys, "vintage", F.col(c).alias("commodity")).agg(F.sum("flow").alias("value")).withColumn("kind", F.lit(kind))
+    into, out = flow(flow_in.join(sources.select(F.col("name").alias("input_comm")), "input_comm", "left_anti"), "input_comm", "input"), flow(flow_out, "output_comm", "output")
+    boxes = net_capacity.groupingSets([[*keys, "vintage"], [*keys]], *keys, "vintage").agg(F.sum("capacity").alias("value"), F.grouping_id().alias("_level"))
+    boxes = boxes.withColumns({"kind": F.when(F.col("_level") == 0, "vintage").otherwise("total"), "commodity": F.lit(None).cast("string")})
+    return union(into, out, boxes.select(*into.columns))
+
+
+def commodity_detail(flow_in: DataFrame, flow_out: DataFrame, efficiency: DataFrame) -> DataFrame:
+    """RES-38, by commodity: per scenario, region, period and commodity each technology that could take (use) or make it, with its flow; used is false, and the flow null, for those without one there."""
+    keys = ("region", "commodity", "tech", "kind")
+    side = lambda df, c, kind: df.withColumnsRenamed({c: "commodity"}).withColumn("kind", F.lit(kind))
+    flows = union(*(side(df, c, kind).groupBy("scenario", "period", *keys).agg(F.sum("flow").alias("value")) for df, c, kind in ((flow_in, "input_comm", "use"), (flow_out, "output_comm", "make"))))
+    could = union(*(side(efficiency, c, kind).select(*keys) for c, kind in (("input_comm", "use"), ("output_comm", "make")))).distinct()
+    # a commodity is drawn where it flows
+    drawn = flows.select("scenario", "period", "region", "commodity").distinct().join(could, ["region", "commodity"])
+    return drawn.join(flows, ["scenario", "period", *keys], "full").withColumn("used", F.col("value").isNotNull()).select("scenario", "region", "period", "commodity", "tech", "kind", "used", "value")

@@ -24,4 +24,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Callable[[Tables], Dat
     return register
 
 
-from gridloom.plans import queries_audit, queries_io, queries_model, queries_polygons, queries_results, queries_rules, queries_solved, queries_space  # noqa: E402, F401
+from gridloom.plans import queries_audit, queries_detail, queries_io, queries_model, queries_polygons, queries_results, queries_rules, queries_solved, queries_space  # noqa: E402, F401
