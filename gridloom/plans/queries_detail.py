@@ -39,7 +39,7 @@ _BY_HOUR = f"""WITH g AS (SELECT period, season, tod, segfrac, segfrac / sum(seg
       FROM (SELECT * FROM {{net_capacity}}) c JOIN ({_RATES}) w ON w.region = c.region AND w.tech = c.tech JOIN s ON s.period = c.period
       LEFT JOIN f a ON a.scenario = c.scenario AND a.region = c.region AND a.period = c.period AND a.tech = c.tech AND a.vintage = c.vintage AND a.season = s.season AND a.tod = s.tod
       LEFT JOIN f b ON b.scenario = c.scenario AND b.region = c.region AND b.period = c.period AND b.tech = c.tech AND b.vintage = c.vintage AND b.season = s.ns AND b.tod = s.nt WHERE rate * between_ < 1)
-    SELECT {_STORE}, season, tod, ns AS next_season, nt AS next_tod, direction, round(change, 9) AS change, round(allowed, 6) AS allowed, change > allowed + 1e-6 * greatest(1, allowed) AS broken FROM r"""
+    SELECT {_STORE}, season, tod, ns AS next_season, nt AS next_tod, direction, round(change, 9) AS change, round(allowed, 9) AS allowed, change > allowed + 1e-6 * greatest(1, allowed) AS broken FROM r"""
 _WITHIN = "SELECT period, season, tod, season AS ns, coalesce(lead(tod) OVER w, first_value(tod) OVER w) AS nt FROM {slices} WINDOW w AS (PARTITION BY period, season ORDER BY tod ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
 _BETWEEN = """SELECT * FROM (SELECT period, season, tod, coalesce(lead(season) OVER w, first_value(season) OVER w) AS ns, coalesce(lead(head) OVER w, first_value(head) OVER w) AS nt
       FROM (SELECT period, season, min(tod) AS head, max(tod) AS tod FROM {slices} GROUP BY period, season) WINDOW w AS (PARTITION BY period ORDER BY season ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) WHERE season <> ns"""
@@ -47,7 +47,7 @@ _BETWEEN = """SELECT * FROM (SELECT period, season, tod, coalesce(lead(season) O
 
 def _ramps(t: Tables, sequence: DataFrame) -> DataFrame:
     out = L.hourly_ramps(t("flow_out"), t("net_capacity"), sequence, t("segfrac"), t.sql(_RATES), 365.0, 1e-3)
-    return out.withColumn("change", F.round("change", 9)).withColumn("allowed", F.round("allowed", 6))
+    return out.withColumn("change", F.round("change", 9)).withColumn("allowed", F.round("allowed", 9))
 
 
 @query("lim14_hourly_ramp", _BY_HOUR.replace("SEQUENCE_", _WITHIN))
@@ -74,12 +74,12 @@ _CURVE = f"SELECT region, tech, vintage, period, least(1e0, greatest(0.1e0, (vin
     w AS (SELECT *, lag(whole) OVER o AS was, lead(whole) OVER o AS nw, lead(survival) OVER o AS ns, lead(period) OVER o AS np FROM r WINDOW o AS (PARTITION BY scenario, region, tech, vintage ORDER BY period)),
     s AS (SELECT *, CASE WHEN period < ends THEN whole WHEN period = (SELECT min(period) FROM h) THEN old ELSE coalesce(was, 0) END * survival AS begin_ FROM w WHERE length IS NOT NULL AND period <= ends),
     x AS (SELECT *, CASE WHEN ends < period + length THEN 0 WHEN np = ends OR period = (SELECT max(period) FROM h WHERE length IS NOT NULL) THEN begin_ * ns / survival ELSE nw * ns END AS end_ FROM s)
-    SELECT {_STORE}, round(begin_, 6) AS start, round(end_, 6) AS "end", round((begin_ - end_) / length, 6) AS retirement, abs(coalesce(v, 0) - (begin_ - end_) / length) > 5 * greatest(1, abs((begin_ - end_) / length)) AS broken
+    SELECT {_STORE}, round(begin_, 6) AS start, round(end_, 6) AS "end", round((begin_ - end_) / length, 6) AS retirement, abs(coalesce(v, 0) - (begin_ - end_) / length) > 0.37 * greatest(1, abs((begin_ - end_) / length)) AS broken
     FROM x LEFT JOIN (SELECT {_STORE}, capacity AS v FROM {{retired}}) USING ({_STORE})""",
 )
 def _(t: Tables) -> DataFrame:
     solved = t("retired").withColumnRenamed("capacity", "retirement")
-    out = L.annual_retirement(t("net_capacity"), t.sql(_EXISTING), t.sql(_LIFETIME), t.sql(_CURVE), t.sql(_HORIZON), solved, 5.0)
+    out = L.annual_retirement(t("net_capacity"), t.sql(_EXISTING), t.sql(_LIFETIME), t.sql(_CURVE), t.sql(_HORIZON), solved, 0.37)
     return out.select(*L.STORE, *r6("start", "end", "retirement"), "broken")
 
 
