@@ -71,7 +71,7 @@ def readiness(technology: DataFrame, tables: Mapping[str, DataFrame], efficiency
     for name, df in tables.items():
         out = out.join(df.select("tech").distinct().withColumn(f"in_{name}", F.lit(True)), "tech", "left")
     out = out.na.fill(False, [f"in_{n}" for n in tables])
-    flag = lambda c, n: F.broadcast(commodity.select(F.col("name").alias(c), F.col("flag").alias(n)))  # noqa: E731  a row a commodity name
+    flag = lambda c, n: commodity.select(F.col("name").alias(c), F.col("flag").alias(n))  # noqa: E731  a row a commodity name
     ends = efficiency.select("tech", "input_comm", "output_comm").distinct().join(flag("input_comm", "fi"), "input_comm", "left").join(flag("output_comm", "fo"), "output_comm", "left")
     sinks = ends.groupBy("tech").agg((F.every(F.coalesce(F.col("fo") == "d", F.lit(False))) & ~F.bool_or(F.coalesce(F.col("fi") == "s", F.lit(False)))).alias("sink"))
     missing = F.array_compact(F.array(*(F.when(~F.col(f"in_{c}"), c) for c in costs)))
@@ -370,9 +370,9 @@ def uncapped_findings(technology: DataFrame, fixed: DataFrame, invest: DataFrame
     """DIA-17: processes of uncapped technologies with fixed, invest or existing-capacity rows, and those whose variable cost misses periods of their life."""
     key = ["region", "tech", "vintage"]
     free = technology.where("unlim_cap = 1").select("tech")
-    of = lambda df, text: df.join(F.broadcast(free), "tech", "left_semi").select(*key).distinct().withColumn("finding", F.lit(text))
+    of = lambda df, text: df.join(free, "tech", "left_semi").select(*key).distinct().withColumn("finding", F.lit(text))
     some = variable.groupBy(*key).agg(F.collect_set("period").alias("v"))
-    life = active.join(F.broadcast(free), "tech", "left_semi").groupBy(*key).agg(F.collect_set("period").alias("life"))
+    life = active.join(free, "tech", "left_semi").groupBy(*key).agg(F.collect_set("period").alias("life"))
     gaps = life.join(some, key).where(F.size(F.array_except("life", "v")) > 0).select(*key, F.lit("variable cost missing in the lifetime").alias("finding"))
     return union(of(fixed, "fixed cost"), of(invest, "invest cost"), of(existing, "existing capacity"), gaps)
 

@@ -46,7 +46,7 @@ def select_models(metrics: DataFrame, wanted: DataFrame, keys: Sequence[str], co
     """CST-6: the rows of the one model that wanted(cost_type, model) names for each cost type; not just one is an error."""
     if wanted.groupBy(cost_type).count().where("count <> 1").limit(1).count():
         raise ContractError("a cost type needs just one model")
-    return metrics.join(F.broadcast(wanted), [cost_type, "model"])
+    return metrics.join(wanted, [cost_type, "model"])
 
 
 def piecewise_template(curves: DataFrame, keys: Sequence[str], n: int, spacing: str = "log") -> DataFrame:
@@ -71,18 +71,18 @@ def expand_curve(curve: DataFrame, edges: DataFrame, distance: str, by: str = "r
     """CST-10: every segment on every edge, cost times the edge's distance over the mean of all edges, or times kilometres. curve: a few segments."""
     mean = edges.agg(F.avg(distance).alias("_mean"))
     scale = F.col(distance) / F.col("_mean") if by == "relative" else F.col(distance)
-    rows = edges.crossJoin(F.broadcast(mean)).crossJoin(F.broadcast(curve))
+    rows = edges.crossJoin(mean).crossJoin(curve)
     return rows.withColumns({"cost_lower": F.col("cost_lower") * scale, "cost_upper": F.col("cost_upper") * scale}).drop("_mean")
 
 
 def opex_rows(edges: DataFrame, slopes: DataFrame) -> DataFrame:
     """CST-11: fixed and variable cost per edge and technology: slope times the distance of its kind. slopes: tech, fixed, variable."""
-    return edges.select("edge_region", "fixed_km", "variable_km").crossJoin(F.broadcast(slopes)).select("edge_region", "tech", (F.col("fixed") * F.col("fixed_km")).alias("fixed"), (F.col("variable") * F.col("variable_km")).alias("variable"))
+    return edges.select("edge_region", "fixed_km", "variable_km").crossJoin(slopes).select("edge_region", "tech", (F.col("fixed") * F.col("fixed_km")).alias("fixed"), (F.col("variable") * F.col("variable_km")).alias("variable"))
 
 
 def transport_rows(edges: DataFrame, modes: DataFrame, distance: str) -> DataFrame:
     """CST-12: per edge and technology a variable cost of intercept + cost per km times km, and efficiency 1. modes: tech, intercept, per_km."""
-    return edges.crossJoin(F.broadcast(modes)).select("edge_region", "tech", (F.col("intercept") + F.col("per_km") * F.col(distance)).alias("cost"), F.lit(1.0).alias("efficiency"))
+    return edges.crossJoin(modes).select("edge_region", "tech", (F.col("intercept") + F.col("per_km") * F.col(distance)).alias("cost"), F.lit(1.0).alias("efficiency"))
 
 
 def evaluate_curve(capacity: DataFrame, curve: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
@@ -151,13 +151,13 @@ def input_splits(regions: DataFrame, splits: DataFrame, tolerance: float = 1e-6)
     """ENC-7: the proportions (tech, input_comm, proportion) on every region; a technology's must sum to 1."""
     if bad := splits.groupBy("tech").agg(F.sum("proportion").alias("s")).where(F.abs(F.col("s") - 1) > tolerance).first():
         raise ContractError(f"the inputs of {bad.tech} sum to {bad.s}")
-    return regions.select("region").crossJoin(F.broadcast(splits)).select("region", "input_comm", "tech", F.lit("e").alias("operator"), "proportion")
+    return regions.select("region").crossJoin(splits).select("region", "input_comm", "tech", F.lit("e").alias("operator"), "proportion")
 
 
 def node_efficiency(regions: DataFrame, technologies: DataFrame, demand_nodes: DataFrame) -> DataFrame:
     """ENC-8: each (tech, input_comm, output_comm) on all nodes, or on demand nodes only where it says so."""
-    every = regions.select("region").join(F.broadcast(technologies.where("NOT demand_only")), F.lit(True))
-    some = demand_nodes.select("region").distinct().join(F.broadcast(technologies.where("demand_only")), F.lit(True))
+    every = regions.select("region").join(technologies.where("NOT demand_only"), F.lit(True))
+    some = demand_nodes.select("region").distinct().join(technologies.where("demand_only"), F.lit(True))
     return every.unionByName(some).select("region", "input_comm", "tech", "output_comm", F.lit(1.0).alias("efficiency"))
 
 

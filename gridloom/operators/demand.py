@@ -79,7 +79,7 @@ def select_sales(sales: DataFrame, product: str, year: int, known: Sequence[str]
 def allocate(parts: DataFrame, totals: DataFrame, group: str, weight: str, amount: str) -> DataFrame:
     """DEM-8: each part's share of its group's weight, and that share of the group's amount."""
     share = parts.withColumn("share", F.try_divide(F.col(weight), F.sum(weight).over(W.partitionBy(group))))
-    return share.join(F.broadcast(totals.select(group, F.col(amount).alias("_total"))), group).withColumn(amount, F.col("share") * F.col("_total")).drop("_total")  # a row a jurisdiction
+    return share.join(totals.select(group, F.col(amount).alias("_total")), group).withColumn(amount, F.col("share") * F.col("_total")).drop("_total")  # a row a jurisdiction
 
 
 def conservation_audit(allocated: DataFrame, totals: DataFrame, group: str, amount: str, weight_tolerance: float = 1e-12, relative: float = 1e-5, absolute: float = 1e-8) -> DataFrame:

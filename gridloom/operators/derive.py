@@ -55,7 +55,7 @@ def life_fraction(vintage: Column, lifetime: Column, period: Column, length: Col
 def slice_index(active_rows: DataFrame, efficiency: DataFrame, slices: DataFrame, technology: DataFrame) -> DataFrame:
     """DER-6: active processes by input, output and slice; annual technologies have no slice. kind: flow, curtail, flex (one row each that applies)."""
     keys = list(PROCESS)
-    rows = active_rows.select(*keys, "period").join(efficiency.select(*keys, "input_comm", "output_comm"), keys).join(F.broadcast(technology.select("tech", "annual", "curtail", "flex")), "tech")
+    rows = active_rows.select(*keys, "period").join(efficiency.select(*keys, "input_comm", "output_comm"), keys).join(technology.select("tech", "annual", "curtail", "flex"), "tech")
     by_slice = rows.where("annual = 0").join(F.broadcast(slices.select("period", "season", "tod").distinct()), "period")
     annual = rows.where("annual = 1").withColumns({"season": F.lit(None).cast("string"), "tod": F.lit(None).cast("string")})
     kinds = F.explode(F.array_compact(F.array(F.lit("flow"), F.when(F.col("curtail") == 1, "curtail"), F.when(F.col("flex") == 1, "flex"))))
@@ -119,7 +119,7 @@ def carry_forward(table: DataFrame, alive: DataFrame, technology: DataFrame, bas
     """DER-11: rows of earlier vintages that still have capacity or are uncapped, and the vintages of the window."""
     old = table.where(F.col("vintage") < base)
     keep = old.join(alive.select(*PROCESS).distinct(), list(PROCESS), "left_semi")
-    free = old.join(F.broadcast(technology.where("unlim_cap = 1").select("tech")), "tech", "left_semi").join(alive.select(*PROCESS).distinct(), list(PROCESS), "left_anti")
+    free = old.join(technology.where("unlim_cap = 1").select("tech"), "tech", "left_semi").join(alive.select(*PROCESS).distinct(), list(PROCESS), "left_anti")
     return keep.unionByName(free).unionByName(table.where(F.col("vintage").between(base, last)))
 
 

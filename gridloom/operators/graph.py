@@ -93,7 +93,7 @@ def coverage(edges: DataFrame, impedance: DataFrame, key: str = "edge_region") -
 
 def network_classes(segments: DataFrame, classes: DataFrame) -> DataFrame:
     """GRF-10: segments of each network by its list of classes(network, class)."""
-    return segments.join(F.broadcast(classes), "class")
+    return segments.join(classes, "class")
 
 
 def unique_geometry(segments: DataFrame, geometry: Sequence[str], *order: Column | str) -> DataFrame:
@@ -252,7 +252,7 @@ def viable(df: DataFrame, known: DataFrame, keys: Sequence[str], region: str = "
 
 def corridor_ranks(links: DataFrame, order: DataFrame, spread: float, most: float) -> DataFrame:
     """GRF-24: links(region, mode, name) per undirected route: rank by mode order and name, centred offset clipped to +-most and turned for reversed rows, and the route's count and modes."""
-    keyed = links.join(F.broadcast(order), "mode").withColumns({"route": undirected_key(), "reversed": edge_from() > edge_to()})
+    keyed = links.join(order, "mode").withColumns({"route": undirected_key(), "reversed": edge_from() > edge_to()})
     own = W.partitionBy("route")
     rank = F.row_number().over(own.orderBy("rank", "name", "region"))
     n = F.count("*").over(own)

@@ -23,7 +23,7 @@ def group_limits(limits: DataFrame, values: DataFrame, regions: DataFrame, group
     named = limits.withColumn("_limit", F.xxhash64(*limits.columns))
     members = expand_groups(named, regions, groups).select("_limit", F.col("member").alias("region"), F.col("member_tech").alias("tech"), *keys).distinct()
     sums = members.join(values.select("scenario", "region", "tech", *keys, value), ["region", "tech", *keys]).groupBy("_limit", "scenario").agg(F.sum(value).alias("value"))
-    every = named.crossJoin(F.broadcast(values.select("scenario").distinct()))  # scenarios: few
+    every = named.crossJoin(values.select("scenario").distinct())  # scenarios: few
     out = every.join(sums, ["_limit", "scenario"], "left").na.fill(0.0, ["value"]).drop("_limit")
     return out.withColumn("broken", breaks(F.col("operator"), F.col("value"), F.col(limit)))
 
@@ -38,7 +38,7 @@ def share_limits(limits: DataFrame, values: DataFrame, groups: DataFrame, by: Se
 def capacity_factors(flow_out: DataFrame, capacity: DataFrame, limits: DataFrame, to_activity: float) -> DataFrame:
     """LIM-4: yearly output against factor times capacity times conversion. limits: tech, operator, factor."""
     keys = ["scenario", "region", "period", "tech", "vintage"]
-    out = capacity.join(F.broadcast(limits), "tech").join(flow_out.groupBy(*keys).agg(F.sum("flow").alias("flow")), keys, "left").na.fill(0.0, ["flow"])
+    out = capacity.join(limits, "tech").join(flow_out.groupBy(*keys).agg(F.sum("flow").alias("flow")), keys, "left").na.fill(0.0, ["flow"])
     return out.withColumn("allowed", F.col("factor") * F.col("capacity") * to_activity).withColumn("broken", breaks(F.col("operator"), F.col("flow"), F.col("allowed")))
 
 
@@ -55,13 +55,13 @@ def split_limits(flow: DataFrame, limits: DataFrame, process: Sequence[str], com
     """LIM-7: each commodity's share of a process's flow against its limit. limits: tech, comm, operator, share."""
     sums = flow.groupBy(*process, comm).agg(F.sum("flow").alias("flow"))
     shares = sums.withColumn("own", F.col("flow") / F.sum("flow").over(W.partitionBy(*process)))
-    return shares.join(F.broadcast(limits), ["tech", comm]).withColumn("broken", breaks(F.col("operator"), F.col("own"), F.col("share")))
+    return shares.join(limits, ["tech", comm]).withColumn("broken", breaks(F.col("operator"), F.col("own"), F.col("share")))
 
 
 def reserve_margin(capacity: DataFrame, flow_out: DataFrame, reserve: DataFrame, margin: float) -> DataFrame:
     """LIM-8: per scenario, region and period, credited capacity of reserve technologies against their largest slice output, less exports, times 1 + margin. reserve: tech, credit."""
-    own = capacity.where(~is_edge()).join(F.broadcast(reserve), "tech").groupBy("scenario", "region", "period").agg(F.sum(F.col("capacity") * F.col("credit")).alias("available"))
-    here = flow_out.join(F.broadcast(reserve.select("tech")), "tech", "left_semi")
+    own = capacity.where(~is_edge()).join(reserve, "tech").groupBy("scenario", "region", "period").agg(F.sum(F.col("capacity") * F.col("credit")).alias("available"))
+    here = flow_out.join(reserve.select("tech"), "tech", "left_semi")
     made = here.withColumn("node", F.coalesce(edge_from(), F.col("region"))).groupBy("scenario", F.col("node").alias("region"), "period", "season", "tod").agg(F.sum(F.when(is_edge(), -F.col("flow")).otherwise(F.col("flow"))).alias("load"))
     peak = made.groupBy("scenario", "region", "period").agg(F.max("load").alias("load"))
     return own.join(peak, ["scenario", "region", "period"], "left").na.fill(0.0, ["load"]).withColumn("broken", F.col("available") < F.col("load") * (1 + margin) - 1e-6)
@@ -69,7 +69,7 @@ def reserve_margin(capacity: DataFrame, flow_out: DataFrame, reserve: DataFrame,
 
 def portfolio_standard(flow_out: DataFrame, members: DataFrame, base: DataFrame, share: float) -> DataFrame:
     """LIM-9: output of the member technologies against a share of that of the base, per scenario, region and period."""
-    flagged = flow_out.join(F.broadcast(members.select("tech", F.lit(1).alias("m"))), "tech", "left").join(F.broadcast(base.select("tech", F.lit(1).alias("b"))), "tech", "left")
+    flagged = flow_out.join(members.select("tech", F.lit(1).alias("m")), "tech", "left").join(base.select("tech", F.lit(1).alias("b")), "tech", "left")
     out = flagged.groupBy("scenario", "region", "period").agg(F.coalesce(F.sum(F.when(F.col("m") == 1, F.col("flow"))), F.lit(0.0)).alias("part"), F.coalesce(F.sum(F.when(F.col("b") == 1, F.col("flow"))), F.lit(0.0)).alias("whole"))
     return out.withColumn("broken", F.col("part") < share * F.col("whole") - 1e-6)
 
@@ -84,7 +84,7 @@ def slice_capacity(flow_out: DataFrame, capacity: DataFrame, segfrac: DataFrame,
 def demand_met(demand: DataFrame, flow_out: DataFrame, relative: float) -> DataFrame:
     """LIM-11: supply of each demand (by nodes and edges into its region) against it, per scenario."""
     made = flow_out.withColumn("region", F.coalesce(edge_to(), F.col("region"))).groupBy("scenario", "region", "period", F.col("output_comm").alias("commodity")).agg(F.sum("flow").alias("supplied"))
-    every = demand.crossJoin(F.broadcast(flow_out.select("scenario").distinct()))
+    every = demand.crossJoin(flow_out.select("scenario").distinct())
     out = every.join(made, ["scenario", "region", "period", "commodity"], "left").na.fill(0.0, ["supplied"])
     return out.withColumn("broken", F.abs(F.col("supplied") - F.col("demand")) > relative * F.col("demand"))
 
@@ -117,7 +117,7 @@ def asymmetric_exchange(capacity: DataFrame, tolerance: float = 1e-6) -> DataFra
 def uneven_baseload(flow_out: DataFrame, baseload: DataFrame, tolerance: float = 1e-6) -> DataFrame:
     """LIM-15: baseload processes whose output differs between times of a season."""
     keys = ["scenario", "region", "period", "tech", "vintage", "season"]
-    sums = flow_out.join(F.broadcast(baseload.select("tech")), "tech", "left_semi").groupBy(*keys, "tod").agg(F.sum("flow").alias("flow"))
+    sums = flow_out.join(baseload.select("tech"), "tech", "left_semi").groupBy(*keys, "tod").agg(F.sum("flow").alias("flow"))
     return sums.groupBy(*keys).agg(F.min("flow").alias("least"), F.max("flow").alias("most")).where(F.col("most") - F.col("least") > tolerance)
 
 
@@ -135,7 +135,7 @@ def emission_limits(limits: DataFrame, found: DataFrame, regions: DataFrame, by:
     named = limits.withColumn("_limit", F.xxhash64(*limits.columns))
     members = expand_groups(named, regions).select("_limit", F.col("member").alias("region"), *by).distinct()
     sums = members.join(found.select("scenario", "region", *by, "emission"), ["region", *by]).groupBy("_limit", "scenario").agg(F.sum("emission").alias("emission"))
-    every = named.crossJoin(F.broadcast(found.select("scenario").distinct()))  # scenarios: few
+    every = named.crossJoin(found.select("scenario").distinct())  # scenarios: few
     out = every.join(sums, ["_limit", "scenario"], "left").na.fill(0.0, ["emission"]).drop("_limit")
     return out.withColumn("broken", breaks(F.col("operator"), F.col("emission"), F.col(limit)))
 

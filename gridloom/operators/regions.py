@@ -48,7 +48,7 @@ def expand_groups(df: DataFrame, regions: DataFrame, tech_groups: DataFrame | No
     `global` stands for every known region, `A+B` for its parts; a technology group for its members, `t1+t2` for its parts.
     """
     named = df.where(F.col(region) != "global").withColumn("member", F.explode(F.split(region, r"\+")))
-    every = df.where(F.col(region) == "global").crossJoin(F.broadcast(regions.select(F.col("region").alias("member")).distinct()))
+    every = df.where(F.col(region) == "global").crossJoin(regions.select(F.col("region").alias("member")).distinct())
     out = named.unionByName(every)
     if tech_groups is None:
         return out

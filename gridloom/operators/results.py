@@ -46,7 +46,7 @@ def balanced(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def needed(demand: DataFrame, scenarios: DataFrame, extra: Sequence[str]) -> DataFrame:
     """Demand as a part of every scenario."""
-    every = demand.crossJoin(F.broadcast(scenarios.select("scenario").distinct()))  # scenarios: few
+    every = demand.crossJoin(scenarios.select("scenario").distinct())  # scenarios: few
     return every.select("scenario", "period", "region", "commodity", *(F.col(k) if k in demand.columns else F.lit(None).cast("string").alias(k) for k in extra), F.lit("demand").alias("part"), F.col("demand").alias("amount"))
 
 
@@ -77,7 +77,7 @@ def node_balance_of(flows: DataFrame, demand: DataFrame, scenarios: DataFrame, k
 def balance_verdict(balance: DataFrame, commodity: DataFrame, excluded: Sequence[str], absolute: float, relative: float) -> DataFrame:
     """RES-17: fails where the residual exceeds both tolerances; commodities of an excluded flag are left out, those without a flag stay."""
     flags = commodity.select(F.col("name").alias("commodity"), "flag")
-    joined = balance.join(F.broadcast(flags), "commodity", "left").where(F.col("flag").isNull() | ~F.col("flag").isin(*excluded))  # flags: a row a commodity name
+    joined = balance.join(flags, "commodity", "left").where(F.col("flag").isNull() | ~F.col("flag").isin(*excluded))  # flags: a row a commodity name
     return joined.withColumn("failed", (F.abs("residual") > absolute) & (F.abs("residual") > relative * F.col("scale")))
 
 
@@ -129,7 +129,7 @@ def period_pivot(df: DataFrame, technology: DataFrame, sector: str, value: str,
 
 def long_format(df: DataFrame, technology: DataFrame, kind: str, value: str) -> DataFrame:
     """RES-25: variable `kind|sector|tech` with its sums, and `kind|sector` parents, by grouping sets."""
-    rows = df.join(F.broadcast(technology.select("tech", "sector")), "tech")  # a row a technology
+    rows = df.join(technology.select("tech", "sector"), "tech")  # a row a technology
     out = rows.groupingSets([["scenario", "region", "period", "sector", "tech"], ["scenario", "region", "period", "sector"]], "scenario", "region", "period", "sector", "tech")
     return out.agg(F.sum(value).alias("value")).select("scenario", "region", "period", F.concat_ws("|", F.lit(kind), "sector", "tech").alias("variable"), "value")
 
@@ -256,8 +256,8 @@ def spread_annual(annual: DataFrame, distribution: DataFrame, segfrac: DataFrame
 
 def series(df: DataFrame, categories: DataFrame, periods: DataFrame, value: str) -> DataFrame:
     """RES-36: value per period and category (the technology itself without one), 0 where absent; an empty category is left out. categories: tech, category."""
-    named = df.join(F.broadcast(categories), "tech", "left").withColumn("category", F.coalesce("category", "tech")).where("category <> ''")
-    spine = named.select("category").distinct().crossJoin(F.broadcast(periods.select("period").distinct()))
+    named = df.join(categories, "tech", "left").withColumn("category", F.coalesce("category", "tech")).where("category <> ''")
+    spine = named.select("category").distinct().crossJoin(periods.select("period").distinct())
     return spine.join(named.groupBy("category", "period").agg(F.sum(value).alias("value")), ["category", "period"], "left").na.fill(0.0, ["value"])
 
 
@@ -299,7 +299,7 @@ def flow_results(out: DataFrame, curtailed: DataFrame, flex: DataFrame, efficien
     """RES-2: rows of kind out (less flex), in (out / efficiency), lost, curtail and flex per link and slice; storage has no `in` here. All inputs: LINK, season, tod, flow."""
     keys = [*LINK, "season", "tod"]
     eff = efficiency.select("region", "input_comm", "tech", "vintage", "output_comm", "efficiency")
-    own = out.join(eff, ["region", "input_comm", "tech", "vintage", "output_comm"]).join(F.broadcast(storage.select("tech").distinct()), "tech", "left_anti")
+    own = out.join(eff, ["region", "input_comm", "tech", "vintage", "output_comm"]).join(storage.select("tech").distinct(), "tech", "left_anti")
     row = lambda df, kind, value: df.select(*keys, F.lit(kind).alias("kind"), value.alias("flow"))
     parts = union(
         row(out, "out", F.col("flow")), row(flex, "out", -F.col("flow")), row(flex, "flex", F.col("flow")), row(curtailed, "curtail", F.col("flow")),
@@ -382,7 +382,7 @@ def emission_costs(found: DataFrame, cost_emission: DataFrame, lengths: DataFram
 def map_nodes(flow_out: DataFrame, demand: DataFrame, places: DataFrame) -> DataFrame:
     """RES-29: what each node makes and needs by scenario, period and technology (demand: by commodity, in every scenario), with its coordinates: kind, name, value, x, y."""
     made = flow_out.where(~is_edge()).groupBy("scenario", "region", "period", F.col("tech").alias("name")).agg(F.sum("flow").alias("value")).withColumn("kind", F.lit("flow"))
-    every = demand.crossJoin(F.broadcast(flow_out.select("scenario").distinct()))  # scenarios: few
+    every = demand.crossJoin(flow_out.select("scenario").distinct())  # scenarios: few
     need = every.groupBy("scenario", "region", "period", F.col("commodity").alias("name")).agg(F.sum("demand").alias("value")).withColumn("kind", F.lit("demand"))
     return made.unionByName(need).where("value > 0").join(places.select("region", "x", "y"), "region")
 

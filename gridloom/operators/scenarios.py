@@ -22,7 +22,7 @@ def bad_rows(rows: DataFrame, known: DataFrame) -> DataFrame:
     parts = F.transform(F.split("index", r"\|"), lambda x: F.trim(x))
     run = F.col("run").try_cast("int")
     before = F.lag(run).over(W.orderBy("seq"))  # a run file: small
-    flagged = rows.withColumn("_before", before).join(F.broadcast(known.select("param", F.lit(True).alias("_known"))), "param", "left")
+    flagged = rows.withColumn("_before", before).join(known.select("param", F.lit(True).alias("_known")), "param", "left")
     reason = (
         F.when(run.isNull(), "run is no whole number").when(F.col("value").try_cast("double").isNull(), "value is no number").when(F.col("_known").isNull(), "unknown parameter")
         .when(~F.col("mod").isin("r", "a", "s"), "unknown change").when(F.exists(parts, lambda x: x == ""), "empty index").when(F.col("_before") > run, "run falls")
@@ -70,7 +70,7 @@ def unmatched_tweaks(base: DataFrame, tweaks: DataFrame, index: Sequence[str]) -
 
 def fan_out(base: DataFrame, runs: DataFrame, changes: DataFrame, index: Sequence[str], value: str) -> DataFrame:
     """SCN-4: the whole table in every run, changed values put in. runs: a row a run."""
-    every = base.crossJoin(F.broadcast(runs.select("run").distinct()))
+    every = base.crossJoin(runs.select("run").distinct())
     new = changes.select("run", *index, F.col("new").alias("_new"))
     return every.join(new, ["run", *index], "left").withColumn(value, F.coalesce("_new", value)).drop("_new")
 
@@ -104,4 +104,4 @@ def elementary_effects(runs: DataFrame, resamples: int = 0, seed: int = 1) -> Da
 
 def activity_vectors(flow_out: DataFrame, categories: DataFrame, names: Sequence[str]) -> DataFrame:
     """SCN-7: total activity of each category, a row a run and a column a category."""
-    return flow_out.join(F.broadcast(categories), "tech").groupBy("scenario").pivot("category", list(names)).agg(F.sum("flow")).na.fill(0.0, list(names))
+    return flow_out.join(categories, "tech").groupBy("scenario").pivot("category", list(names)).agg(F.sum("flow")).na.fill(0.0, list(names))
