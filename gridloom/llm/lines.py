@@ -6,10 +6,12 @@ classes are joined where the Jaccard similarity of their words is at least the t
 - words are ordered by rarity. Occurrences are counted in 2**20 buckets of the word's hash, so what is sent to all tasks has a fixed size; a bucket's magnitude ranks
   its words and the hash breaks ties. Any total order keeps the join exact, a good one keeps it short;
 - a set of n words posts its first n - ceil(t n) + 1 ones: two similar sets share one of these. Words are looked up line by line, and only the posted ones are shuffled;
+- near copies of one line are many, so hubs go first: of the classes that post one word and have one size the earliest is compared with the others, and those similar to it
+  are decided. Only classes that are still open ask for all earlier partners, so a group of copies makes few pairs, not all;
 - the postings' join tests lengths, positions (the first word that both hold leaves enough words after it on both sides), and the parity signatures of the two sets (each
   word in one set only changes one bit, so signatures of similar sets differ in few bits), so what comes out is nearly only true pairs;
 - each later line is compared, word for word, with the earliest of its partners; those that fail there with all others they have. Texts of lines that no pair names stay
-  where they are.
+  where they are. Texts are read twice: for the table of classes, and for the places of classes that lose lines.
 
 A line goes if an earlier one (by doc_id, text, line number) is similar, whether or not that one stays. Lines without words stay. Null texts have no lines; an empty one
 has one. Rows with equal id and text count once and share their result; an empty table gives none; a very long line is one set like any other. Extra columns are dropped.
@@ -23,11 +25,15 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.session import materialize
+from gridloom.session import drop_folder, materialize
 
 THRESHOLD = 0.8
 #: Buckets of words; bits of the filter for lines that are compared.
 RARITY_BUCKETS, WANTED_BITS = 1 << 20, 1 << 22
+#: From this many classes on that post one word and have one size, the earliest is compared with the others first.
+HUB_MEMBERS = 4
+PLACE = ("doc_id", "row", "line_no")
+CLASS = ("id", "id2")
 GAP, SPACES = r"[\x20\x09-\x0D]+", "\x20\x09\x0a\x0b\x0c\x0d"
 
 
@@ -55,11 +61,11 @@ def packed_row(spark: SparkSession, sparse: DataFrame, n: int, kind: str, step:
     return flat.agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("block", "own"))), lambda x: x["own"])).alias("packed"))
 
 
-def rarity(docs: DataFrame) -> DataFrame:
+def rarity(classes: DataFrame) -> DataFrame:
     """One row: an array with, for each bucket of words, twice the binary logarithm of its occurrences in all texts."""
-    words = lines_of(docs).select(F.explode(word_list(F.col("line"))).alias("w"))
-    counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(RARITY_BUCKETS - 1)).cast("int").alias("at")).agg(F.count("*").alias("n"))
-    return packed_row(docs.sparkSession, counts.select("at", F.floor(2 * F.log2(F.col("n") + 1)).cast("byte").alias("value")), RARITY_BUCKETS, "byte")
+    words = classes.select("times", F.explode(word_list(F.col("line"))).alias("w"))
+    counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(RARITY_BUCKETS - 1)).cast("int").alias("at")).agg(F.sum("times").alias("n"))
+    return packed_row(classes.sparkSession, counts.select("at", F.floor(2 * F.log2(F.col("n") + 1)).cast("byte").alias("value")), RARITY_BUCKETS, "byte")
 
 
 def with_row(df: DataFrame, row: DataFrame, name: str) -> DataFrame:
@@ -86,62 +92,90 @@ def overlap_needed(n: Column, m: Column, t: float) -> Column:
     return F.ceil(F.lit(t / (1 + t)) * (n + m) - 1e-9)
 
 
-def candidate_pairs(lines: DataFrame, ranks: DataFrame, t: float = THRESHOLD) -> DataFrame:
-    """Pairs a, b (ids of classes) of which a is the smaller set (of equal ones that of the lower id) and may have a Jaccard similarity of at least t."""
+def posted_sets(classes: DataFrame, ranks: DataFrame, t: float) -> DataFrame:
+    """id, id2, n (words), s (signature), p (31 bits of each posted word) and ord of each class: a number that grows with the class's first place. Classes are dealt by ranges of places, so no task numbers them all."""
+    # dealt before the sets are made, as the bounds of the ranges are taken from a pass of their own
+    dealt = classes.select(*CLASS, *(F.col(f"first.{c}").alias(c) for c in PLACE), "line").repartitionByRange(*PLACE).sortWithinPartitions(*PLACE)
     # named first, as lambdas take a column but no subquery
-    sets = with_row(lines.select("id", "id2", "line"), ranks, "ranks").select("id", "id2", ordered_words(F.col("line"), F.col("ranks")).alias("words"))
-    # coalesced, so that the join infers no null test that would compute the sets twice
-    whole = lambda c, zero=0: F.coalesce(c, F.lit(zero))
-    sets = sets.select("id", "id2", whole(F.size("words")).alias("n"), whole(signature(F.col("words"), 13)).cast("long").alias("s"), "words")
-    prefix = F.slice("words", F.lit(1), F.col("n") - F.ceil(F.lit(t) * F.col("n") - 1e-9).cast("int") + 1)
+    sets = with_row(dealt.withColumn("ord", F.monotonically_increasing_id()), ranks, "ranks").select("ord", *CLASS, ordered_words(F.col("line"), F.col("ranks")).alias("words"))
+    n = F.size("words")
+    prefix = F.slice("words", F.lit(1), n - F.ceil(F.lit(t) * n - 1e-9).cast("int") + 1)
     # 31 bits of a word are enough to meet: what meets by chance fails the tests
     short = F.transform(prefix, lambda w: w.bitwiseAND(F.lit(2**31 - 1)).cast("int"))
-    classes = sets.select("id", "id2", "n", "s", short.alias("p")).groupBy("id", "id2").agg(F.first("n").alias("n"), F.first("s").alias("s"), F.first("p").alias("p"))
-    posts = classes.select("id", whole(F.col("n")).alias("n"), whole(F.col("s")).alias("s"), F.posexplode("p").alias("i", "w"))
-    a, b = (posts.select("w", *(F.col(c).alias(f"{side}_{c}") for c in ("id", "n", "i", "s"))) for side in "ab")
-    need = overlap_needed(F.col("a_n"), F.col("b_n"), t)
-    first = (F.col("a_n") < F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a_id") < F.col("b_id")))
-    # a pair's first common word has all others after it. Said in one expression of both sides: alone it would filter one side before the shuffle, and the sides could not share it
-    left = F.when(first, F.least(F.col("a_n") - F.col("a_i"), F.col("b_n") - F.col("b_i")) >= need).otherwise(F.lit(False))
-    fit = left & (F.col("a_n") >= F.lit(t) * F.col("b_n") - 1e-9) & (F.bit_count(F.col("a_s").bitwiseXOR(F.col("b_s"))) <= F.col("a_n") + F.col("b_n") - 2 * need)
-    return a.join(b.hint("shuffle_merge"), (a["w"] == b["w"]) & fit).select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct()
+    return sets.select("ord", *CLASS, n.alias("n"), signature(F.col("words"), 13).cast("long").alias("s"), short.alias("p"))
 
 
-PLACE = ("doc_id", "row", "line_no")
-CLASS = ("id", "id2")
+def unlike_words(a: str, b: str) -> Column:
+    """The words in which two sets differ at least, by their signatures."""
+    return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
 
 
-def similar(pairs: DataFrame, lines: DataFrame, t: float) -> DataFrame:
-    """Of the pairs of classes (x, y: structs of id and id2) the y of those whose words have a Jaccard similarity of at least t."""
-    spark = lines.sparkSession
-    at = lambda c: F.col(c).bitwiseAND(F.lit(WANTED_BITS - 1))
-    ends = pairs.select(F.explode(F.array("x", "y")).alias("e")).select("e.id")
-    bits = ends.groupBy(F.shiftright(at("id"), 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(id & 63 AS INT))")).alias("value"))
-    bit = F.get("wanted", F.shiftright(at("id"), 6).cast("int")).bitwiseAND(F.expr("shiftleft(1L, CAST(id & 63 AS INT))"))
-    texts = with_row(lines.select(*CLASS, "line"), packed_row(spark, bits, WANTED_BITS >> 6, "long", 1024), "wanted").where(bit != 0).groupBy(F.struct(*CLASS).alias("c")).agg(F.first("line").alias("line"))
-    x, y = (texts.select(F.col("c").alias(s), F.array_distinct(word_list(F.col("line"))).alias(f"{s}_words")) for s in "xy")
-    both = pairs.join(x, "x").join(y, "y")
+def hub_pairs(posts: DataFrame, t: float) -> DataFrame:
+    """y, x (ord): for each class the earliest of the hubs that it may be similar to. A hub is the earliest class of those that post one word and have one size, where these are at least HUB_MEMBERS."""
+    hubs = posts.groupBy("w", "n").agg(F.min("ord").alias("x"), F.min_by("s", "ord").alias("x_s"), F.count("*").alias("members")).where(F.col("members") >= HUB_MEMBERS).drop("members")
+    near = unlike_words("s", "x_s") <= 2 * F.col("n") - 2 * overlap_needed(F.col("n"), F.col("n"), t)
+    return posts.join(hubs, ["w", "n"]).where((F.col("ord") > F.col("x")) & near).groupBy(F.col("ord").alias("y")).agg(F.min("x").alias("x"))
+
+
+def open_pairs(posts: DataFrame, known: DataFrame, t: float) -> DataFrame:
+    """y, x (ord): each class whose fate is not known (ord y) with all earlier ones that may be similar to it."""
+    asked = posts.join(known.select(F.col("y").alias("ord")), "ord", "left_anti")
+    a, b = (df.select("w", *(F.col(c).alias(f"{side}_{c}") for c in ("ord", "n", "i", "s"))) for side, df in (("a", posts), ("b", asked)))
+    need = overlap_needed(F.col("a_n"), F.col("b_n"), t)
+    # a pair's first common word has all others after it
+    left = F.least(F.col("a_n") - F.col("a_i"), F.col("b_n") - F.col("b_i")) >= need
+    sizes = (F.col("a_n") >= F.lit(t) * F.col("b_n") - 1e-9) & (F.col("b_n") >= F.lit(t) * F.col("a_n") - 1e-9)
+    fit = (F.col("a_ord") < F.col("b_ord")) & left & sizes & (unlike_words("a_s", "b_s") <= F.col("a_n") + F.col("b_n") - 2 * need)
+    return a.join(b.hint("shuffle_merge"), (a["w"] == b["w"]) & fit).select(F.col("b_ord").alias("y"), F.col("a_ord").alias("x")).distinct()
+
+
+def wanted(df: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of df whose id has its bit in a filter of fixed size made of ids; a few others pass."""
+    at = F.col("id").bitwiseAND(F.lit(WANTED_BITS - 1))
+    bits = ids.groupBy(F.shiftright(at, 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(id & 63 AS INT))")).alias("value"))
+    bit = F.get("wanted", F.shiftright(at, 6).cast("int")).bitwiseAND(F.expr("shiftleft(1L, CAST(id & 63 AS INT))"))
+    return with_row(df, packed_row(df.sparkSession, bits, WANTED_BITS >> 6, "long", 1024), "wanted").where(bit != 0).drop("wanted")
+
+
+def similar(pairs: DataFrame, sets: DataFrame, classes: DataFrame, t: float) -> DataFrame:
+    """Of the pairs (y, x: ord) the distinct y of those whose words have a Jaccard similarity of at least t."""
+    ends = pairs.select(F.explode(F.array("x", "y")).alias("ord")).distinct()
+    named = sets.select("ord", *CLASS).join(ends, "ord", "left_semi")
+    texts = wanted(classes.select(*CLASS, "line"), named.select("id")).join(named, list(CLASS))
+    x, y = (texts.select(F.col("ord").alias(s), F.array_distinct(word_list(F.col("line"))).alias(f"{s}_words")) for s in "xy")
     good = F.size(F.array_intersect("x_words", "y_words")) >= overlap_needed(F.size("x_words"), F.size("y_words"), t)
-    return both.where(good).select("y").distinct()
+    return pairs.join(x, "x").join(y, "y").where(good).select("y").distinct()
+
+
+def late_classes(classes: DataFrame, t: float) -> DataFrame:
+    """id and id2 of the classes that have an earlier similar one."""
+    sets = materialize(posted_sets(classes, rarity(classes), t), "sets")
+    posts = sets.select("ord", "n", "s", F.posexplode("p").alias("i", "w"))
+    hubs = materialize(hub_pairs(posts, t), "hubs")
+    late = materialize(similar(hubs, sets, classes, t), "late")
+    ways = materialize(open_pairs(posts, late, t), "ways")
+    best = ways.groupBy("y").agg(F.min("x").alias("x"))
+    more = materialize(similar(best, sets, classes, t), "late")
+    others = ways.join(more, "y", "left_anti").join(best, ["y", "x"], "left_anti")
+    last = materialize(similar(others, sets, classes, t), "late")
+    found = late.unionByName(more).unionByName(last).select(F.col("y").alias("ord"))
+    out = materialize(sets.select("ord", *CLASS).join(found, "ord", "left_semi").select(*CLASS), "late")
+    for done in (sets, hubs, late, ways, more, last):
+        drop_folder(done)
+    return out
 
 
 def repeated_lines(docs: DataFrame, t: float = THRESHOLD) -> DataFrame:
     """doc_id, n_lines, removed (numbers of the lines to remove, from 0, ascending) of each row."""
     lines = lines_of(docs)
-    pairs = materialize(candidate_pairs(lines, rarity(docs), t), "pairs")
-    # dealt out by id once: the first place of each class, and later all places of it
-    placed = lines.select(*CLASS, *PLACE).repartition("id")
-    firsts = placed.groupBy(*CLASS).agg(F.min(F.struct(*PLACE)).alias("first"))
-    side = lambda s: firsts.select(F.col("id").alias(s), F.struct("first", *CLASS).alias(f"{s}_own"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").select(F.least("a_own", "b_own").alias("x"), F.greatest("a_own", "b_own").alias("y"))
-    key = lambda c: F.struct(*(F.col(f"{c}.{k}") for k in CLASS)).alias(c)
-    ways = materialize(both.select("x.first", key("x"), key("y")), "ways")
-    best = ways.groupBy("y").agg(F.min(F.struct("first", "x")).alias("best")).select("best.x", "y")
-    late = materialize(similar(best, lines, t), "late")
-    others = ways.join(late, "y", "left_anti").join(best, ["x", "y"], "left_anti").select("x", "y")
-    late = late.unionByName(materialize(similar(others, lines, t), "late")).select("y.*", F.lit(True).alias("late"))
-    flagged = placed.groupBy(*CLASS).agg(F.min(F.struct(*PLACE)).alias("first")).join(late, list(CLASS), "left")
-    gone = placed.join(flagged, list(CLASS)).where(F.coalesce("late", F.lit(False)) | ~F.struct(*PLACE).eqNullSafe(F.col("first")))
+    classes = materialize(lines.groupBy(*CLASS).agg(F.min(F.struct(*PLACE)).alias("first"), F.first("line").alias("line"), F.count("*").alias("times")), "classes")
+    late = late_classes(classes, t)
+    flagged = classes.select(*CLASS, "first", "times").join(late.withColumn("late", F.lit(True)), list(CLASS), "left").where("late OR times > 1")
+    flagged = materialize(flagged.select(*CLASS, F.coalesce("late", F.lit(False)).alias("late"), "first"), "flagged")
+    for done in (classes, late):
+        drop_folder(done)
+    placed = wanted(lines.select(*CLASS, *PLACE), flagged.select("id"))
+    gone = placed.join(flagged, list(CLASS)).where(F.col("late") | ~F.struct(*PLACE).eqNullSafe(F.col("first")))
     gone = gone.groupBy("doc_id", "row").agg(F.array_sort(F.collect_set("line_no")).alias("removed"))
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), n_lines.alias("n_lines"))
