@@ -11,7 +11,7 @@ classes are joined where the Jaccard similarity of their words is at least the t
 - the postings' join tests lengths, positions (the first word that both hold leaves enough words after it on both sides), and the parity signatures of the two sets (each
   word in one set only changes one bit, so signatures of similar sets differ in few bits), so what comes out is nearly only true pairs;
 - each later line is compared, word for word, with the earliest of its partners; those that fail there with all others they have. Texts of lines that no pair names stay
-  where they are. Texts are read twice: for the table of classes, and for the places of classes that lose lines.
+  where they are. Texts are split into a compressed table of lines once; the other passes read the columns of it that they need.
 
 A line goes if an earlier one (by doc_id, text, line number) is similar, whether or not that one stays. Lines without words stay. Null texts have no lines; an empty one
 has one. Rows with equal id and text count once and share their result; an empty table gives none; a very long line is one set like any other. Extra columns are dropped.
@@ -23,20 +23,26 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gridloom.session import drop_folder, materialize
+from gridloom.session import drop_folder, materialize, new_folder
 
 THRESHOLD = 0.8
 #: Buckets of words; bits of the filter for lines that are compared.
 RARITY_BUCKETS, WANTED_BITS = 1 << 20, 1 << 22
 #: From this many classes on that post one word and have one size, the earliest is compared with the others first.
-HUB_MEMBERS = 4
+HUB_MEMBERS, HUB_WORDS = 4, 2
 PLACE = ("doc_id", "row", "line_no")
 CLASS = ("id", "id2")
 GAP, SPACES = r"[\x20\x09-\x0D]+", "\x20\x09\x0a\x0b\x0c\x0d"
 
 
+def text_key() -> list[Column]:
+    """A text's key without nulls."""
+    return [F.col("doc_id").isNull().alias("none"), F.coalesce(F.col("doc_id"), F.lit(0)).cast("long").alias("doc"), F.col("row")]
+
+
 def norm(line: Column) -> Column:
     return F.btrim(F.lower(line), F.lit(SPACES))
 
@@ -61,11 +67,11 @@ def packed_row(spark: SparkSession, sparse: DataFrame, n: int, kind: str, step:
     return flat.agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("block", "own"))), lambda x: x["own"])).alias("packed"))
 
 
-def rarity(classes: DataFrame) -> DataFrame:
+def rarity(lines: DataFrame) -> DataFrame:
     """One row: an array with, for each bucket of words, twice the binary logarithm of its occurrences in all texts."""
-    words = classes.select("times", F.explode(word_list(F.col("line"))).alias("w"))
-    counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(RARITY_BUCKETS - 1)).cast("int").alias("at")).agg(F.sum("times").alias("n"))
-    return packed_row(classes.sparkSession, counts.select("at", F.floor(2 * F.log2(F.col("n") + 1)).cast("byte").alias("value")), RARITY_BUCKETS, "byte")
+    words = lines.select(F.explode(word_list(F.col("line"))).alias("w"))
+    counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(RARITY_BUCKETS - 1)).cast("int").alias("at")).agg(F.count("*").alias("n"))
+    return packed_row(lines.sparkSession, counts.select("at", F.floor(2 * F.log2(F.col("n") + 1)).cast("byte").alias("value")), RARITY_BUCKETS, "byte")
 
 
 def with_row(df: DataFrame, row: DataFrame, name: str) -> DataFrame:
@@ -92,17 +98,28 @@ def overlap_needed(n: Column, m: Column, t: float) -> Column:
     return F.ceil(F.lit(t / (1 + t)) * (n + m) - 1e-9)
 
 
-def posted_sets(classes: DataFrame, ranks: DataFrame, t: float) -> DataFrame:
-    """id, id2, n (words), s (signature), p (31 bits of each posted word) and ord of each class: a number that grows with the class's first place. Classes are dealt by ranges of places, so no task numbers them all."""
-    # dealt before the sets are made, as the bounds of the ranges are taken from a pass of their own
-    dealt = classes.select(*CLASS, *(F.col(f"first.{c}").alias(c) for c in PLACE), "line").repartitionByRange(*PLACE).sortWithinPartitions(*PLACE)
+def text_bases(lines: DataFrame) -> DataFrame:
+    """Of each text (none: doc_id is null; id: doc_id or 0; row) a base: bases plus line numbers order all lines as (doc_id, row, line number) does. A running sum by ranges: within a range by a window, over the ranges' few totals by another."""
+    texts = lines.groupBy("doc_id", "row").agg((F.max("line_no").cast("long") + 1).alias("n"))
+    dealt = materialize(texts.repartitionByRange("doc_id", "row").select("*", F.spark_partition_id().alias("part")), "texts")
+    before = dealt.groupBy("part").agg(F.sum("n").alias("total")).select("part", (F.sum("total").over(W.partitionBy(F.lit(0)).orderBy("part")) - F.col("total")).alias("before"))
+    own = F.sum("n").over(W.partitionBy("part").orderBy("doc_id", "row")) - F.col("n")
+    return dealt.select(*text_key(), own.alias("own"), "part").join(before, "part").select("none", "doc", "row", (F.col("own") + F.col("before")).alias("base"))
+
+
+def posted_sets(lines: DataFrame, ranks: DataFrame, t: float) -> DataFrame:
+    """id, id2, first (place), times, n (words), s (signature), p (31 bits of each posted word) and ord of each class: a number that grows with its first place."""
     # named first, as lambdas take a column but no subquery
-    sets = with_row(dealt.withColumn("ord", F.monotonically_increasing_id()), ranks, "ranks").select("ord", *CLASS, ordered_words(F.col("line"), F.col("ranks")).alias("words"))
+    sets = with_row(lines, ranks, "ranks").select(*CLASS, *PLACE, ordered_words(F.col("line"), F.col("ranks")).alias("words"))
     n = F.size("words")
     prefix = F.slice("words", F.lit(1), n - F.ceil(F.lit(t) * n - 1e-9).cast("int") + 1)
     # 31 bits of a word are enough to meet: what meets by chance fails the tests
     short = F.transform(prefix, lambda w: w.bitwiseAND(F.lit(2**31 - 1)).cast("int"))
-    return sets.select("ord", *CLASS, n.alias("n"), signature(F.col("words"), 13).cast("long").alias("s"), short.alias("p"))
+    sets = sets.select(*CLASS, F.struct(*PLACE).alias("place"), n.alias("n"), signature(F.col("words"), 13).cast("long").alias("s"), short.alias("p"))
+    sets = sets.groupBy(*CLASS).agg(F.min("place").alias("first"), F.count("*").alias("times"), *(F.first(c).alias(c) for c in ("n", "s", "p"))).select("*", *(F.col(f"first.{c}").alias(c) for c in PLACE))
+    at = sets.select(*CLASS, "times", "n", "s", "p", "line_no", *text_key()).join(text_bases(lines), ["none", "doc", "row"])
+    place = F.struct(F.when(~F.col("none"), F.col("doc")).alias("doc_id"), "row", "line_no")
+    return at.select((F.col("base") + F.col("line_no")).alias("ord"), *CLASS, place.alias("first"), "times", "n", "s", "p")
 
 
 def unlike_words(a: str, b: str) -> Column:
@@ -111,8 +128,10 @@ def unlike_words(a: str, b: str) -> Column:
 
 
 def hub_pairs(posts: DataFrame, t: float) -> DataFrame:
-    """y, x (ord): for each class the earliest of the hubs that it may be similar to. A hub is the earliest class of those that post one word and have one size, where these are at least HUB_MEMBERS."""
-    hubs = posts.groupBy("w", "n").agg(F.min("ord").alias("x"), F.min_by("s", "ord").alias("x_s"), F.count("*").alias("members")).where(F.col("members") >= HUB_MEMBERS).drop("members")
+    """y, x (ord): for each class the earliest of the hubs that it may be similar to. A hub is the earliest class of those that hold one word among their HUB_WORDS rarest and have one size, where these are at least HUB_MEMBERS."""
+    hubs = posts.where(F.col("i") < HUB_WORDS).groupBy("w", "n").agg(F.min("ord").alias("x"), F.min_by("s", "ord").alias("x_s"), F.count("*").alias("members"))
+    # a table of its own: Spark sees its size before it decides how to join
+    hubs = materialize(hubs.where(F.col("members") >= HUB_MEMBERS).drop("members"), "hubs")
     near = unlike_words("s", "x_s") <= 2 * F.col("n") - 2 * overlap_needed(F.col("n"), F.col("n"), t)
     return posts.join(hubs, ["w", "n"]).where((F.col("ord") > F.col("x")) & near).groupBy(F.col("ord").alias("y")).agg(F.min("x").alias("x"))
 
@@ -137,42 +156,42 @@ def wanted(df: DataFrame, ids: DataFrame) -> DataFrame:
     return with_row(df, packed_row(df.sparkSession, bits, WANTED_BITS >> 6, "long", 1024), "wanted").where(bit != 0).drop("wanted")
 
 
-def similar(pairs: DataFrame, sets: DataFrame, classes: DataFrame, t: float) -> DataFrame:
+def similar(pairs: DataFrame, sets: DataFrame, lines: DataFrame, t: float) -> DataFrame:
     """Of the pairs (y, x: ord) the distinct y of those whose words have a Jaccard similarity of at least t."""
     ends = pairs.select(F.explode(F.array("x", "y")).alias("ord")).distinct()
-    named = sets.select("ord", *CLASS).join(ends, "ord", "left_semi")
-    texts = wanted(classes.select(*CLASS, "line"), named.select("id")).join(named, list(CLASS))
+    named = materialize(sets.select("ord", *CLASS).join(ends, "ord", "left_semi"), "named")
+    texts = wanted(lines.select(*CLASS, "line"), named.select("id")).groupBy(*CLASS).agg(F.first("line").alias("line")).join(named, list(CLASS))
     x, y = (texts.select(F.col("ord").alias(s), F.array_distinct(word_list(F.col("line"))).alias(f"{s}_words")) for s in "xy")
     good = F.size(F.array_intersect("x_words", "y_words")) >= overlap_needed(F.size("x_words"), F.size("y_words"), t)
     return pairs.join(x, "x").join(y, "y").where(good).select("y").distinct()
 
 
-def late_classes(classes: DataFrame, t: float) -> DataFrame:
-    """id and id2 of the classes that have an earlier similar one."""
-    sets = materialize(posted_sets(classes, rarity(classes), t), "sets")
+def late_classes(sets: DataFrame, lines: DataFrame, t: float) -> DataFrame:
+    """ord of the classes that have an earlier similar one."""
     posts = sets.select("ord", "n", "s", F.posexplode("p").alias("i", "w"))
-    hubs = materialize(hub_pairs(posts, t), "hubs")
-    late = materialize(similar(hubs, sets, classes, t), "late")
+    hubs = materialize(hub_pairs(posts, t), "asked")
+    late = materialize(similar(hubs, sets, lines, t), "late")
     ways = materialize(open_pairs(posts, late, t), "ways")
     best = ways.groupBy("y").agg(F.min("x").alias("x"))
-    more = materialize(similar(best, sets, classes, t), "late")
+    more = materialize(similar(best, sets, lines, t), "late")
     others = ways.join(more, "y", "left_anti").join(best, ["y", "x"], "left_anti")
-    last = materialize(similar(others, sets, classes, t), "late")
-    found = late.unionByName(more).unionByName(last).select(F.col("y").alias("ord"))
-    out = materialize(sets.select("ord", *CLASS).join(found, "ord", "left_semi").select(*CLASS), "late")
-    for done in (sets, hubs, late, ways, more, last):
+    last = materialize(similar(others, sets, lines, t), "late")
+    out = materialize(late.unionByName(more).unionByName(last).select(F.col("y").alias("ord")), "late")
+    for done in (hubs, late, ways, more, last):
         drop_folder(done)
     return out
 
 
 def repeated_lines(docs: DataFrame, t: float = THRESHOLD) -> DataFrame:
     """doc_id, n_lines, removed (numbers of the lines to remove, from 0, ascending) of each row."""
-    lines = lines_of(docs)
-    classes = materialize(lines.groupBy(*CLASS).agg(F.min(F.struct(*PLACE)).alias("first"), F.first("line").alias("line"), F.count("*").alias("times")), "classes")
-    late = late_classes(classes, t)
-    flagged = classes.select(*CLASS, "first", "times").join(late.withColumn("late", F.lit(True)), list(CLASS), "left").where("late OR times > 1")
+    path = new_folder(docs.sparkSession, "lines")
+    lines_of(docs).write.option("compression", "zstd").parquet(path)
+    lines = docs.sparkSession.read.parquet(path)
+    sets = materialize(posted_sets(lines, rarity(lines), t), "sets")
+    late = late_classes(sets, lines, t)
+    flagged = sets.select("ord", *CLASS, "first", "times").join(late.withColumn("late", F.lit(True)), "ord", "left").where("late OR times > 1")
     flagged = materialize(flagged.select(*CLASS, F.coalesce("late", F.lit(False)).alias("late"), "first"), "flagged")
-    for done in (classes, late):
+    for done in (sets, late):
         drop_folder(done)
     placed = wanted(lines.select(*CLASS, *PLACE), flagged.select("id"))
     gone = placed.join(flagged, list(CLASS)).where(F.col("late") | ~F.struct(*PLACE).eqNullSafe(F.col("first")))
