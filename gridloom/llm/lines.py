@@ -104,7 +104,9 @@ def text_bases(lines: DataFrame) -> DataFrame:
     dealt = materialize(texts.repartitionByRange("doc_id", "row").select("*", F.spark_partition_id().alias("part")), "texts")
     before = dealt.groupBy("part").agg(F.sum("n").alias("total")).select("part", (F.sum("total").over(W.partitionBy(F.lit(0)).orderBy("part")) - F.col("total")).alias("before"))
     own = F.sum("n").over(W.partitionBy("part").orderBy("doc_id", "row")) - F.col("n")
-    return dealt.select(*text_key(), own.alias("own"), "part").join(before, "part").select("none", "doc", "row", (F.col("own") + F.col("before")).alias("base"))
+    bases = materialize(dealt.select(*text_key(), own.alias("own"), "part").join(before, "part").select("none", "doc", "row", (F.col("own") + F.col("before")).alias("base")), "bases")
+    drop_folder(dealt)
+    return bases
 
 
 def posted_sets(lines: DataFrame, ranks: DataFrame, t: float) -> DataFrame:
@@ -159,7 +161,7 @@ def wanted(df: DataFrame, ids: DataFrame) -> DataFrame:
 def similar(pairs: DataFrame, sets: DataFrame, lines: DataFrame, t: float) -> DataFrame:
     """Of the pairs (y, x: ord) the distinct y of those whose words have a Jaccard similarity of at least t."""
     ends = pairs.select(F.explode(F.array("x", "y")).alias("ord")).distinct()
-    named = materialize(sets.select("ord", *CLASS).join(ends, "ord", "left_semi"), "named")
+    named = materialize(sets.select("ord", *CLASS).join(ends, "ord", "left_semi"), "named")  # its size is seen before the joins are chosen
     texts = wanted(lines.select(*CLASS, "line"), named.select("id")).groupBy(*CLASS).agg(F.first("line").alias("line")).join(named, list(CLASS))
     x, y = (texts.select(F.col("ord").alias(s), F.array_distinct(word_list(F.col("line"))).alias(f"{s}_words")) for s in "xy")
     good = F.size(F.array_intersect("x_words", "y_words")) >= overlap_needed(F.size("x_words"), F.size("y_words"), t)
@@ -195,7 +197,9 @@ def repeated_lines(docs: DataFrame, t: float = THRESHOLD) -> DataFrame:
         drop_folder(done)
     placed = wanted(lines.select(*CLASS, *PLACE), flagged.select("id"))
     gone = placed.join(flagged, list(CLASS)).where(F.col("late") | ~F.struct(*PLACE).eqNullSafe(F.col("first")))
-    gone = gone.groupBy("doc_id", "row").agg(F.array_sort(F.collect_set("line_no")).alias("removed"))
+    gone = materialize(gone.groupBy("doc_id", "row").agg(F.array_sort(F.collect_set("line_no")).alias("removed")), "gone")
+    for done in (lines, flagged):
+        drop_folder(done)
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), n_lines.alias("n_lines"))
     found = gone.withColumnsRenamed({"doc_id": "d", "row": "r"})
