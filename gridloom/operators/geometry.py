@@ -310,16 +310,28 @@ def union_area(rects: pd.DataFrame) -> float:
 
 
 def dissolve(rects: DataFrame, tile: float, key: str) -> DataFrame:
-    """GEO-10: rectangles joined by overlaps of positive area, transitively: component (least key), parts, summed and dissolved area. Touching only is no overlap. Keys are whole numbers."""
+    """GEO-10: rectangles joined by overlaps of positive area, transitively: component (least key), parts, summed and dissolved area. Touching only is no overlap. Keys are whole numbers.
+
+    Rectangles of one low corner overlap each other, and one that lies within another of its corner meets nothing that the other doesn't. So corners are what is linked,
+    through the outer rectangles of each, and copies or nested ones make no pairs.
+    """
     from gridloom.operators.components import connected_components
+    from gridloom.session import materialize
 
     own = rects.select(F.col(key).cast("long").alias("a"), "xmin", "ymin", "xmax", "ymax")
-    links = overlay(own, own.withColumnRenamed("a", "b"), tile, "a", "b").where("a < b").select("a", "b")
-    member = connected_components(links).withColumnRenamed("node", "a")
-    placed = own.join(member, "a", "left").withColumn("component", F.coalesce("component", "a"))
+    solid = own.where("xmax > xmin and ymax > ymin")
+    corners = solid.groupBy("xmin", "ymin").agg(F.min("a").alias("corner"))
+    wider = W.partitionBy("xmin", "ymin").orderBy(F.desc("xmax")).rowsBetween(W.unboundedPreceding, -1)
+    tall = solid.groupBy("xmin", "ymin", "xmax").agg(F.max("ymax").alias("ymax")).withColumn("_m", F.max("ymax").over(wider))
+    outer = materialize(tall.where("_m is null or ymax > _m").join(corners, ["xmin", "ymin"]).select("corner", "xmin", "ymin", "xmax", "ymax"), "outer")
+    links = overlay(outer, outer.withColumnRenamed("corner", "b"), tile, "corner", "b").where("corner < b").select("corner", "b")
+    member = connected_components(links, "corner", "b").withColumnRenamed("node", "corner")
+    found = outer.join(member, "corner", "left").withColumn("component", F.coalesce("component", "corner"))
+    of = found.select("xmin", "ymin", "component").distinct()
+    placed = solid.join(of, ["xmin", "ymin"]).unionByName(own.where("not coalesce(xmax > xmin and ymax > ymin, false)").withColumn("component", F.col("a")))
     area = F.sum((F.col("xmax") - F.col("xmin")) * (F.col("ymax") - F.col("ymin"))).alias("summed")
     sums = placed.groupBy("component").agg(F.count("*").alias("n"), area)
-    several = placed.join(sums.where("n > 1").select("component"), "component", "left_semi").withColumn("_t", F.explode(tiles(tile)))
+    several = found.join(sums.where("n > 1").select("component"), "component", "left_semi").withColumn("_t", F.explode(tiles(tile)))
     # areas add up over tiles, so a group is what one tile holds of a component
     cut = several.select(
         "component", "_t.tx", "_t.ty", F.greatest("xmin", F.col("_t.tx") * tile).alias("xmin"), F.greatest("ymin", F.col("_t.ty") * tile).alias("ymin"), F.least("xmax", (F.col("_t.tx") + 1) * tile).alias("xmax"), F.least("ymax", (F.col("_t.ty") + 1) * tile).alias("ymax")
