@@ -176,37 +176,44 @@ def nearest_in_group(points: DataFrame, hubs: DataFrame, group: str, key: str, h
     """GEO-J4: each point's nearest hub of its group (ties by hub id), with the distance. Points of a group without hubs are left out.
 
     A point looks at the nine tiles around it; tiles of a group hold about one hub. A hub found within a tile's width is proven the nearest, other points go on with tiles
-    twice as wide, so no group is joined with itself. Each round ends in the shared folder.
+    twice as wide, so no group is joined with itself. Points of one place are looked up once, and of hubs in one place the least id stands for all. A round writes what it
+    proved and what goes on as one table in the shared folder.
     """
     from gridloom.session import drop_folder, materialize
 
-    h = materialize(hubs.select(F.col(group).alias("_g"), F.col(hub).alias("_hub"), F.col("x").alias("_x"), F.col("y").alias("_y")).where("_x is not null and _y is not null"), "hubs")
+    place = [F.col(group).alias("_g"), F.col("x").alias("_px"), F.col("y").alias("_py")]
+    h = hubs.where("x is not null and y is not null").groupBy(F.col(group).alias("_g"), F.col("x").alias("_x"), F.col("y").alias("_y")).agg(F.min(hub).alias("_hub"))
+    h = materialize(h, "hubs")
     wide, high = F.max("_x") - F.min("_x"), F.max("_y") - F.min("_y")
     size = F.greatest(F.sqrt(wide * high / F.count("*")), F.greatest(wide, high) / F.count("*"))
     sizes = h.groupBy("_g").agg(F.when(size > 0, size).otherwise(1.0).alias("_size"))
-    left = materialize(points.select(F.col(key).alias("_key"), F.col(group).alias("_g"), F.col("x").alias("_px"), F.col("y").alias("_py")).where("_px is not null and _py is not null").join(sizes, "_g"), "points")
+    left = points.where("x is not null and y is not null").select(*place).distinct().join(sizes, "_g")
     h = h.join(sizes, "_g")
-    found = []
+    found, kept = [], None
     for k in range(most_rounds):
         width = F.col("_size") * float(2**k)
         at = lambda x, y: (F.floor(F.col(x) / width).alias("_tx"), F.floor(F.col(y) / width).alias("_ty"))  # noqa: B023, E731
         near = left.select("*", *at("_px", "_py")).withColumn("_d", F.explode(F.array(*(F.struct(F.lit(i).alias("x"), F.lit(j).alias("y")) for i in (-1, 0, 1) for j in (-1, 0, 1)))))
         near = near.withColumns({"_tx": F.col("_tx") + F.col("_d.x"), "_ty": F.col("_ty") + F.col("_d.y")}).drop("_d")
-        met = near.join(h.select("_g", "_hub", "_x", "_y", *at("_x", "_y")), ["_g", "_tx", "_ty"])
+        met = near.join(h.select("_g", "_hub", "_x", "_y", *at("_x", "_y")), ["_g", "_tx", "_ty"], "left")
         d = F.sqrt(F.pow(F.col("_px") - F.col("_x"), 2) + F.pow(F.col("_py") - F.col("_y"), 2))
-        best = met.groupBy("_key").agg(F.min(F.struct(d.alias("distance"), F.col("_hub").alias("hub"))).alias("b"), F.first(width).alias("w")).where(F.col("b.distance") <= F.col("w"))
-        found.append(materialize(best.select("_key", "b"), "nearest"))
-        rest = materialize(left.join(found[-1], "_key", "left_anti"), "points")
-        drop_folder(left)
-        left = rest
+        best = met.groupBy("_g", "_px", "_py", "_size").agg(F.min(F.when(F.col("_hub").isNotNull(), F.struct(d.alias("distance"), F.col("_hub").alias("hub")))).alias("b"))
+        looked = materialize(best.withColumn("_near", F.coalesce(F.col("b.distance") <= width, F.lit(False))), "nearest")
+        if kept is not None and not proven:
+            drop_folder(kept)
+        proven = not looked.where("_near").isEmpty()
+        if proven:
+            found.append(looked.where("_near").select("_g", "_px", "_py", "b"))
+        left, kept = looked.where("not _near").drop("b", "_near"), looked
         if left.isEmpty():
             break
     else:
         raise RuntimeError("hubs lie too far from points")
-    out = found[0]
+    out = found[0] if found else looked.select("_g", "_px", "_py", "b")
     for f in found[1:]:
         out = out.unionByName(f)
-    return out.select(F.col("_key").alias(key), F.col("b.hub").alias(hub), F.col("b.distance").alias("distance"))
+    own = points.select(F.col(key), *place)
+    return own.join(out, ["_g", "_px", "_py"]).select(key, F.col("b.hub").alias(hub), F.col("b.distance").alias("distance"))
 
 
 def overlay(left: DataFrame, right: DataFrame, tile: float, left_id: str, right_id: str) -> DataFrame:

@@ -38,3 +38,26 @@ def test_dissolve_links_corners_not_copies(spark, monkeypatch):
     assert all(found[k].summed == pytest.approx(s) for k, (_, s) in want.items())
     assert found[1000].dissolved == pytest.approx(7 * 4.0)
     assert pairs[0] < 1000  # 244,650 pairs of copies alone before
+
+
+def test_nearest_hub_looks_up_places_not_points(spark, monkeypatch):
+    from gridloom import session
+
+    points = [(k, k % 2, float(k % 10), float(k % 20)) for k in range(2000)]
+    hubs = [(g, f"h{k:03}", float(k % 5), 3.0) for g in (0, 1) for k in range(100)]
+    rows, plain = [], session.materialize
+    monkeypatch.setattr(session, "materialize", lambda df, name: (lambda out: rows.append((name, out.count())) or out)(plain(df, name)))
+    out = S.nearest_in_group(spark.createDataFrame(points, "id int, g int, x double, y double"), spark.createDataFrame(hubs, "g int, hub string, x double, y double"), "g", "id", "hub").collect()
+    assert max(n for _, n in rows) <= 20  # 2,000 before
+    found = {r.id: (r.hub, r.distance) for r in out}
+    for k, _, x, y in points:
+        d, h = min((((x - a) ** 2 + (y - b) ** 2) ** 0.5, h) for g, h, a, b in hubs if g == 0)
+        assert found[k] == (h, pytest.approx(d))
+
+
+@pytest.mark.parametrize("name", ["dem5_catchments", "dem6_audit", "dem8_allocation", "dem9_conservation"])
+def test_assignment_makes_no_pairs_of_a_jurisdiction(spark, sf_dir, monkeypatch, name):
+    from gridloom.plans import adapters, catalog
+
+    monkeypatch.setitem(adapters.ADAPTERS, "assigned", "SELECT no_such_column FROM {nation}")
+    assert catalog.QUERIES[name](spark, sf_dir).count() > 0
