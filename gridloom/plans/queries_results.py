@@ -10,6 +10,7 @@ from gridloom.operators import results as R
 from gridloom.operators.joins import r6
 from gridloom.plans.adapters import Tables
 from gridloom.plans.catalog import query
+from gridloom.session import materialize
 
 _BALANCE = """
   SELECT scenario, period, region, commodity,
@@ -107,7 +108,7 @@ def _(t: Tables) -> DataFrame:
       sum(CASE WHEN scenario = 'A' AND cost_type LIKE 'd_%' THEN cost WHEN scenario = 'N' AND cost_type NOT LIKE 'd_%' THEN cost ELSE 0 END) AS obj FROM ({_COSTS}) GROUP BY scenario)""",
 )
 def _(t: Tables) -> DataFrame:
-    costs = t.sql(_COSTS)
+    costs = materialize(t.sql(_COSTS), "costs")
     met = (F.col("scenario") == "A") & F.col("cost_type").startswith("d_") | (F.col("scenario") == "N") & ~F.col("cost_type").startswith("d_")
     objective = costs.groupBy("scenario").agg(F.sum(F.when(met, F.col("cost")).otherwise(0.0)).alias("total_system_cost"))
     return R.reconcile_objective(objective, R.cost_table(costs)).select("scenario", *(F.round(c, 4).alias(c) for c in ("total_system_cost", "discounted", "raw")), "convention")
@@ -261,7 +262,8 @@ def _(t: Tables) -> DataFrame:
 )
 def _(t: Tables) -> DataFrame:
     d = t.sql("SELECT period, region, output_comm AS commodity, season, tod, sum(flow) / sum(sum(flow)) OVER (PARTITION BY period, region, output_comm) AS dsd FROM {flow_out} WHERE output_comm LIKE '1%' GROUP BY period, region, output_comm, season, tod")
-    return R.spread_annual(t("demand").withColumnRenamed("demand", "flow"), d, t("segfrac")).withColumn("flow", F.round("flow", 6))
+    d, demand = materialize(d, "shares"), materialize(t("demand"), "demand")
+    return R.spread_annual(demand.withColumnRenamed("demand", "flow"), d, t("segfrac")).withColumn("flow", F.round("flow", 6))
 
 
 @query(

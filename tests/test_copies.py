@@ -61,3 +61,20 @@ def test_assignment_makes_no_pairs_of_a_jurisdiction(spark, sf_dir, monkeypatch,
 
     monkeypatch.setitem(adapters.ADAPTERS, "assigned", "SELECT no_such_column FROM {nation}")
     assert catalog.QUERIES[name](spark, sf_dir).count() > 0
+
+
+def test_line_items_are_joined_once(spark, sf_dir):
+    from gridloom.plans import adapters
+    from gridloom.plans.adapters import PLACED, Tables, columns
+
+    plain, once = Tables(spark, sf_dir), Tables(spark, sf_dir, columns("SELECT * FROM {net_capacity}"))
+    for name in ("net_capacity", "built_capacity", "net_capacity"):
+        df = once(name)
+        assert not any("lineitem.parquet" in f for f in df.inputFiles())
+        assert sorted(map(tuple, df.collect())) == sorted(map(tuple, plain(name).collect()))
+    assert once.held < set(PLACED) and "price" not in once.held
+    # a column that wasn't kept: all are
+    assert once("cost_invest").count() == plain("cost_invest").count() and once.held == set(PLACED)
+    rows = lambda df: sorted(map(tuple, df.select(*PLACED).collect()))
+    assert rows(once("placed")) == rows(plain("placed"))
+    assert adapters.uses("SELECT * FROM {net_capacity} JOIN {flow_out}") == 2 and adapters.uses("SELECT * FROM {orders}") == 0
