@@ -101,11 +101,14 @@ def winding(points: DataFrame, sides: DataFrame, tile: float, on: Sequence[str]
     foot, corner = orient(gx, c(y)), orient(gx, cy)
     right, left = (c("x0") <= gx) & (c("x1") > gx), (c("x1") <= gx) & (c("x0") > gx)
     stepped = F.when(right & (corner < 0) & (foot >= 0), 1).when(left & (corner > 0) & (foot <= 0), -1).otherwise(0)
-    here, there, net = passed(orient(c(x), c(y))), passed(foot), F.lit(0)
+    # a point on a border is decided by where the whole side passes its height, whatever the tile
+    across = c("x0") + F.try_divide((c(y) - c("y0")) * (c("x1") - c("x0")), c("y1") - c("y0"))
+    here = F.when(up & (c(x) < across), 1).when(down & (c(x) < across), -1).otherwise(0)
+    there, net = passed(foot), F.lit(0)
     if piece:
         along, level = _along(), _level()
         # of a side along the line the point lies just right, or just above where the line is level, however its last digits fall
-        here, there = F.when(along, 0).otherwise(here), F.when(along & level, 0).otherwise(there)
+        here, there = F.when(along, 0).otherwise(passed(orient(c(x), c(y)))), F.when(along & level, 0).otherwise(there)
         stepped = F.when(along & level, F.when(right & (corner < 0), 1).when(left & (corner > 0), -1).otherwise(0)).otherwise(stepped)
         net = F.when(along, F.when((c("_p1x") - c("_p0x")) * (c("x1") - c("x0")) + (c("_p1y") - c("_p0y")) * (c("y1") - c("y0")) > 0, 1).otherwise(-1)).otherwise(0)
     parts = met.select(*points.columns, *own, (here - there + stepped).alias("w"), net.alias("net")).where("w <> 0 or net <> 0")

@@ -24,6 +24,8 @@ _VALUES = ", ".join(f"({p}, {r}, {k}, {x}e0, {y}e0)" for k, (p, r, x, y) in enum
 ADAPTERS["vertices"] = f"""
     SELECT concat(pre, CAST(n_nationkey AS STRING)) AS code, part, ring, CASE WHEN n_nationkey % 2 = 1 THEN -seq ELSE seq END AS seq, -144.9986280652e0 + (n_nationkey % 5) * 18 + sx + dx AS x, 41.0007312973e0 + floor(n_nationkey / 5) * 8 + sy + dy AS y, layer, factor, constant
     FROM {{nation}} CROSS JOIN (VALUES {_VALUES}) AS v(part, ring, seq, dx, dy) CROSS JOIN (VALUES ('Z', 0e0, 0e0, 'water', 9e0, true), ('Y', 2e0, 1e0, 'water', 9e0, true), ('X', -3e0, 0.5e0, 'land', 0.5e0, false), ('W', -3e0, 0.5e0, 'land', 0.25e0, false)) AS k(pre, sx, sy, layer, factor, constant)"""
+# the same polygons on the points' grid, where points and lines meet borders
+ADAPTERS["grid_vertices"] = ADAPTERS["vertices"].replace("-144.9986280652e0", "-145e0").replace("41.0007312973e0", "41e0")
 ADAPTERS["boxes"] = """
     SELECT CAST(feature_id AS STRING) AS code, 0 AS part, 0 AS ring, k AS seq, CASE WHEN k IN (0, 3) THEN xmin ELSE xmax END AS x, CASE WHEN k < 2 THEN ymin ELSE ymax END AS y FROM {features} CROSS JOIN (VALUES (0), (1), (2), (3)) AS v(k)"""
 # the same sides in SQL
@@ -32,7 +34,7 @@ _SIDES = """SELECT code, part, ring, CASE WHEN t THEN x1 ELSE x END AS x0, CASE
         SELECT *, coalesce(lead(x) OVER w, first_value(x) OVER w) AS x1, coalesce(lead(y) OVER w, first_value(y) OVER w) AS y1 FROM (
           SELECT *, lag(x) OVER (PARTITION BY code, part, ring ORDER BY seq) AS px, lag(y) OVER (PARTITION BY code, part, ring ORDER BY seq) AS py FROM TABLE_) WHERE px IS NULL OR px <> x OR py <> y
         WINDOW w AS (PARTITION BY code, part, ring ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) WHERE x <> x1 OR y <> y1) WHERE n >= 3 AND abs(a) > 1e-12)"""
-_OWN, _BOXES = _SIDES.replace("TABLE_", "{vertices}"), _SIDES.replace("TABLE_", "{boxes}")
+_OWN, _BOXES, _GRID = (_SIDES.replace("TABLE_", name) for name in ("{vertices}", "{boxes}", "{grid_vertices}"))
 _ODD = "count(*) FILTER ((y0 <= PY) <> (y1 <= PY) AND PX < x0 + (PY - y0) * (x1 - x0) / (y1 - y0)) % 2 = 1"
 _P = "SELECT point_id, lon AS px, lat AS py, value FROM {points}"
 
@@ -42,23 +44,23 @@ def _(t: Tables) -> DataFrame:
     return G.normalised(t("vertices")).groupBy("code", "part", "ring").agg(F.count("*").alias("n"), F.first("turned").alias("turned"), F.round(F.first("area"), 6).alias("area"))
 
 
-_HELD = f"SELECT point_id, any_value(value) AS value, code FROM ({_P}) p, ({_OWN}) s GROUP BY point_id, code HAVING {_ODD}".replace("PX", "px").replace("PY", "py")
+_HELD = f"SELECT point_id, any_value(value) AS value, code FROM ({_P}) p, ({_GRID}) s GROUP BY point_id, code HAVING {_ODD}".replace("PX", "px").replace("PY", "py")
 
 
 @query("geoj1_true_polygons", f"SELECT point_id, min(code) AS code FROM ({_HELD}) GROUP BY point_id")
 def _(t: Tables) -> DataFrame:
-    return G.points_in_polygons(t.sql(_P), G.layer(t("vertices")), 10.0, "px", "py").select("point_id", "code")
+    return G.points_in_polygons(t.sql(_P), G.layer(t("grid_vertices")), 10.0, "px", "py").select("point_id", "code")
 
 
-@query("geo3_true_retained", f"SELECT DISTINCT region FROM (SELECT region, code FROM (SELECT region, cx, cy FROM {{cells}}) c, ({_OWN}) s GROUP BY region, code HAVING {_ODD})".replace("PX", "any_value(cx)").replace("PY", "any_value(cy)").replace("any_value(cx)", "cx").replace("any_value(cy)", "cy"))
+@query("geo3_true_retained", f"SELECT DISTINCT region FROM (SELECT region, code FROM (SELECT region, cx, cy FROM {{cells}}) c, ({_GRID}) s GROUP BY region, code HAVING {_ODD})".replace("PX", "any_value(cx)").replace("PY", "any_value(cy)").replace("any_value(cx)", "cx").replace("any_value(cy)", "cy"))
 def _(t: Tables) -> DataFrame:
-    return G.points_in_polygons(t("cells"), G.layer(t("vertices")), 10.0, "cx", "cy", "region").select("region")
+    return G.points_in_polygons(t("cells"), G.layer(t("grid_vertices")), 10.0, "cx", "cy", "region").select("region")
 
 
-@query("geoj9_true_population", f"SELECT code, round(coalesce(sum(value), 0), 4) AS population FROM (SELECT DISTINCT code FROM {{vertices}}) LEFT JOIN (SELECT min(code) AS code, any_value(value) AS value FROM ({_HELD}) GROUP BY point_id) USING (code) GROUP BY code")
+@query("geoj9_true_population", f"SELECT code, round(coalesce(sum(value), 0), 4) AS population FROM (SELECT DISTINCT code FROM {{grid_vertices}}) LEFT JOIN (SELECT min(code) AS code, any_value(value) AS value FROM ({_HELD}) GROUP BY point_id) USING (code) GROUP BY code")
 def _(t: Tables) -> DataFrame:
-    own = G.points_in_polygons(t.sql(_P), G.layer(t("vertices")), 10.0, "px", "py").groupBy("code").agg(F.sum("value").alias("population"))
-    return t("vertices").select("code").distinct().join(own, "code", "left").select("code", F.round(F.coalesce("population", F.lit(0.0)), 4).alias("population"))
+    own = G.points_in_polygons(t.sql(_P), G.layer(t("grid_vertices")), 10.0, "px", "py").groupBy("code").agg(F.sum("value").alias("population"))
+    return t("grid_vertices").select("code").distinct().join(own, "code", "left").select("code", F.round(F.coalesce("population", F.lit(0.0)), 4).alias("population"))
 
 
 @query(

@@ -79,3 +79,16 @@ def test_equal_rectangles_of_an_additive_layer_add_up(spark):
     layers = spark.createDataFrame([rect, rect], "layer string, factor double, constant boolean, xmin double, ymin double, xmax double, ymax double")
     assert S.line_in_layers(edges, layers, 1.0).first().length == 4.0
     assert S.line_in_layers(edges, layers.withColumn("constant", F.lit(True)), 1.0).first().length == 2.0
+
+
+@pytest.mark.parametrize("tile", [1.7, 10.0])
+def test_points_on_slanted_borders_as_the_formula_says(spark, tile):
+    # on the points' grid rounding decides about a border: as it does for the whole side, in every tile
+    ring = [(-145.0, 41.0), (-129.0, 42.0), (-133.0, 45.0), (-130.0, 48.0), (-138.0, 46.0), (-144.0, 48.0), (-141.0, 44.5)]
+    rng = random.Random(3)
+    points = []
+    for (x0, y0), (x1, y1) in zip(ring, ring[1:] + ring[:1], strict=True):
+        for k in rng.sample(range(1601), 300):
+            points.append((len(points), -145 + round((x0 + (x1 - x0) * k / 1600 + 145) * 100) / 1e2, 41 + round((y0 + (y1 - y0) * k / 1600 - 41) * 100) / 1e2))
+    held = G.points_in_polygons(spark.createDataFrame(points, "point_id int, x double, y double"), G.layer(layer(spark, {"a": [[ring]]})), tile)
+    assert {r.point_id for r in held.collect()} == {i for i, x, y in points if odd([ring], x, y)}
