@@ -181,36 +181,43 @@ def shared_area(left: DataFrame, right: DataFrame, tile: float, left_key: str, r
 
 
 def line_shares(lines: DataFrame, sides: DataFrame, tile: float, key: str, keys: Sequence[str]) -> DataFrame:
-    """key, keys, share: the part of each line (x0 … y1) that lies in each polygon: over all pieces of a tile, the part that passes above, times the piece's sign."""
+    """key, keys, share, along, x0 … y1: the part of each line that lies in each polygon: over all pieces of a tile, the part that passes above, times the piece's sign; and whether it lies along one.
+
+    Pieces are written, so Spark knows their size before it joins: few ones meet the lines where these are. Of a tile's pieces a line meets those that it passes over.
+    """
     c = F.col
-    named = lines.select(key, *(F.col(k).alias(f"l{k}") for k in XY))
+    slope = (c("yb") - c("ya")) / (c("xb") - c("xa"))
+    bits = materialize(pieces(sides, keys, tile).where("xa < xb").select(*keys, "tx", "ty", "xa", "xb", "s", "ya", slope.alias("_slope"), F.least("ya", "yb").alias("_low")), "pieces")
     # a line is cut to its tiles like a side, as an interval of its length
-    rows = dealt(named.select(key, *(F.col(f"l{k}").alias(k) for k in XY)), tile)
-    lo_x, lo_y = (c("tx") + SHIFT_X) * tile, (c("ty") + SHIFT_Y) * tile
-    lo, hi = F.lit(0.0), F.lit(1.0)
-    for p, q in ((c("x0") - c("x1"), c("x0") - lo_x), (c("x1") - c("x0"), lo_x + tile - c("x0")), (c("y0") - c("y1"), c("y0") - lo_y), (c("y1") - c("y0"), lo_y + tile - c("y0"))):
-        t = F.try_divide(q, p)
-        lo = F.greatest(lo, F.when(p < 0, t).when((p == 0) & (q < 0), 2.0).otherwise(0.0))
-        hi = F.least(hi, F.when(p > 0, t).when((p == 0) & (q < 0), -1.0).otherwise(1.0))
-    cut = rows.withColumns({"_lo": lo, "_hi": hi}).where("_lo < _hi")
-    met = cut.join(pieces(sides, keys, tile), ["tx", "ty"])
     dx, dy = c("x1") - c("x0"), c("y1") - c("y0")
+    rows = dealt(lines.select(key, *XY), tile)
+    rows = rows.withColumns({"_dx": dx, "_dy": dy, "_inv": F.try_divide(F.lit(1.0), dx), "_ls": (c("tx") + SHIFT_X) * tile, "_bs": (c("ty") + SHIFT_Y) * tile})
+    ends = {"_l": F.try_divide(c("_ls") - c("x0"), dx), "_r": F.try_divide(c("_ls") + tile - c("x0"), dx), "_b": F.try_divide(c("_bs") - c("y0"), dy), "_t": F.try_divide(c("_bs") + tile - c("y0"), dy)}
+    # where a line is upright or level two of them are null, which greatest and least skip
+    lo, hi = F.greatest(F.lit(0.0), F.least("_l", "_r"), F.least("_b", "_t")), F.least(F.lit(1.0), F.greatest("_l", "_r"), F.greatest("_b", "_t"))
+    within = ((c("_dx") != 0) | ((c("x0") >= c("_ls")) & (c("x0") < c("_ls") + tile))) & ((c("_dy") != 0) | ((c("y0") >= c("_bs")) & (c("y0") < c("_bs") + tile)))
+    cut = rows.withColumns(ends).withColumns({"_lo": lo, "_hi": hi}).where((c("_lo") < c("_hi")) & within)
+    at = lambda v, d, f: f(c(v) + c("_lo") * d, c(v) + c("_hi") * d)
+    cut = cut.select(key, *XY, "tx", "ty", "_dx", "_dy", "_inv", "_lo", "_hi", (at("x0", dx, F.least) - NEAR).alias("_left"), (at("x0", dx, F.greatest) + NEAR).alias("_right"), (at("y0", dy, F.greatest) + 2 * NEAR).alias("_top"))
+    cut = cut.repartition(key)  # in one stage with the join the generated method is too long for the JVM to compile
+    ours, piece = cut.alias("l"), bits.alias("p")
+    near = (c("l.tx") == c("p.tx")) & (c("l.ty") == c("p.ty")) & (c("xa") <= c("_right")) & (c("xb") >= c("_left")) & (c("_low") <= c("_top"))
+    met = ours.join(piece, near).drop("tx", "ty")
     # x within the piece
-    ta, tb = F.try_divide(c("xa") - c("x0"), dx), F.try_divide(c("xb") - c("x0"), dx)
-    level = dx == 0
+    ta, tb = (c("xa") - c("x0")) * c("_inv"), (c("xb") - c("x0")) * c("_inv")
     over = (c("xa") <= c("x0")) & (c("x0") < c("xb"))
-    from_ = F.when(level, F.when(over, c("_lo")).otherwise(2.0)).otherwise(F.greatest(c("_lo"), F.least(ta, tb)))
-    to = F.when(level, c("_hi")).otherwise(F.least(c("_hi"), F.greatest(ta, tb)))
-    # above the piece: h(t) = a + b t > 0
-    slope = (c("yb") - c("ya")) / (c("xb") - c("xa"))
-    a, b = c("y0") - c("ya") - slope * (c("x0") - c("xa")), dy - slope * dx
-    met = met.withColumns({"_from": from_, "_to": to, "_a": a, "_b": b, "_slope": slope}).where("_from < _to")
-    root = F.try_divide(-c("_a"), c("_b"))
+    from_ = F.when(c("_inv").isNull(), F.when(over, c("_lo")).otherwise(2.0)).otherwise(F.greatest(c("_lo"), F.least(ta, tb)))
+    to = F.when(c("_inv").isNull(), c("_hi")).otherwise(F.least(c("_hi"), F.greatest(ta, tb)))
+    met = met.withColumns({"_from": from_, "_to": to}).where("_from < _to")
+    # height above the piece at both ends
+    above = lambda t: c("y0") - c("ya") - c("_slope") * (c("x0") - c("xa")) + c(t) * (c("_dy") - c("_slope") * c("_dx"))
+    met = met.select(key, *XY, *keys, "s", "_slope", (c("_to") - c("_from")).alias("_size"), above("_from").alias("_a"), above("_to").alias("_b"))
+    most, least = F.greatest("_a", "_b"), F.least("_a", "_b")
     # a line along the piece counts as the border rule says: above it unless it rises
-    along = (F.abs(c("_a") + c("_b") * c("_from")) <= NEAR) & (F.abs(c("_a") + c("_b") * c("_to")) <= NEAR)
-    above = F.when(along, F.when(c("_slope") <= 0, c("_to") - c("_from")).otherwise(0.0)).when(c("_b") > 0, c("_to") - F.greatest(c("_from"), root)).when(c("_b") < 0, F.least(c("_to"), root) - c("_from")).when(c("_a") > 0, c("_to") - c("_from")).otherwise(0.0)
-    part = met.withColumn("_part", F.greatest(above, F.lit(0.0)) * c("s"))
-    return part.groupBy(key, *keys).agg(F.sum("_part").alias("share"))
+    along = (most <= NEAR) & (least >= -NEAR)
+    part = F.when(along, F.when(c("_slope") <= 0, 1.0).otherwise(0.0)).when(least >= 0, 1.0).when(most <= 0, 0.0).otherwise(F.try_divide(most, most - least))
+    sums = [F.sum(part * c("_size") * c("s")).alias("share"), F.max(along).alias("along"), *(F.first(k).alias(k) for k in XY)]
+    return met.groupBy(key, *keys).agg(*sums)
 
 
 def _cuts(t: Column, u: Column) -> Column:

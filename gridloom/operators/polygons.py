@@ -124,16 +124,48 @@ def line_in_polygons(lines: DataFrame, layers: DataFrame, tile: float, key: str
     """GEO-J7: length of each line (x0, y0, x1, y1) in each layer times its factor.
 
     layers: sides with code, layer, factor, constant (boolean). A constant-factor layer is dissolved first, so its polygons count once where they overlap; those of a
-    column-factor layer add up. Factors of a constant layer are one.
+    column-factor layer add up. Factors of a constant layer are one. A line along a border is decided in `border_lines`.
     """
-    once = P.boundary(layers.where("constant").select("layer", "factor", *XY), ["layer", "factor"], tile)
-    several = layers.where("not constant").withColumn("_of", F.struct("code", "layer", "factor"))
+    own = materialize(layers.select("code", "layer", "factor", "constant", *XY), "layers")
+    once = P.boundary(own.where("constant").select("layer", "factor", *XY), ["layer", "factor"], tile)
+    several = own.where("not constant").withColumn("_of", F.struct("code", "layer", "factor"))
     several = flat(several, tile, "_of").select("_of.layer", "_of.factor", *XY)
-    named = lines.select(F.col(key), *XY)
-    shares = P.line_shares(named, once.unionByName(several), tile, key, ["layer", "factor"])
     size = F.sqrt(F.pow(F.col("x1") - F.col("x0"), 2) + F.pow(F.col("y1") - F.col("y0"), 2))
-    part = shares.join(named.select(key, size.alias("len")), key).withColumn("part", F.col("share") * F.col("len"))
-    return part.groupBy(key, "layer").agg(F.sum("part").alias("length"), F.sum(F.col("part") * F.col("factor")).alias("penalty"))
+    shares = P.line_shares(lines, once.unionByName(several), tile, key, ["layer", "factor"]).withColumn("part", F.col("share") * size)
+    sums = shares.groupBy(key, "layer").agg(F.sum("part").alias("length"), F.sum(F.col("part") * F.col("factor")).alias("penalty"), F.max("along").alias("_along"), *(F.first(k).alias(k) for k in XY))
+    sums = materialize(sums, "sums")
+    along = materialize(sums.where("_along").select(key, "layer", *XY), "along")
+    rest = sums.where("not _along").select(key, "layer", "length", "penalty")
+    return rest if along.isEmpty() else rest.unionByName(border_lines(along, own, tile, key))
+
+
+def border_lines(lines: DataFrame, layers: DataFrame, tile: float, key: str) -> DataFrame:
+    """GEO-J7 for lines (key, layer, x0 … y1) that run along borders: key, layer, length, penalty.
+
+    Each line is cut by the lines of all sides of each polygon that it shares a tile with, and each part counts in the polygons that hold its middle, by the half-open rule.
+    So a row costs as much as its polygons have sides; lines that cross borders only don't come here.
+    """
+    c = F.col
+    own = layers.select("layer", "code", "factor", "constant", *XY)
+    held = ["layer", "code", "factor", "constant"]
+    present = P.dealt(own, tile).select(*held, "tx", "ty").unionByName(P.corners(own, held, tile).select(*held, "tx", "ty")).distinct()
+    pairs = materialize(P.dealt(lines, tile).select(key, "layer", "tx", "ty").join(present, ["layer", "tx", "ty"]).select(key, *held).distinct(), "pairs")
+    line = lines.select(key, "layer", c("x0").alias("_ax"), c("y0").alias("_ay"), (c("x1") - c("x0")).alias("_dx"), (c("y1") - c("y0")).alias("_dy"))
+    met = pairs.join(line, [key, "layer"]).join(own, held)
+    dx, dy = c("x1") - c("x0"), c("y1") - c("y0")
+    t = F.when(c("_dx") * dy != c("_dy") * dx, F.try_divide(dx * (c("y0") - c("_ay")) - dy * (c("x0") - c("_ax")), dx * c("_dy") - c("_dx") * dy))
+    cuts = met.select(key, *held, t.alias("t")).where("t between 0 and 1").unionByName(pairs.select(key, *held, F.explode(F.array(F.lit(0.0), F.lit(1.0))).alias("t"))).distinct()
+    parts = cuts.select(key, *held, c("t").alias("lo"), F.lead("t").over(W.partitionBy(key, *held).orderBy("t")).alias("hi")).where("hi - lo > 1e-12")
+    mid = (c("lo") + c("hi")) / 2
+    at = parts.join(line, [key, "layer"]).withColumns({"_x": c("_ax") + mid * c("_dx"), "_y": c("_ay") + mid * c("_dy")}).join(own, held)
+    across = c("x0") + F.try_divide((c("_y") - c("y0")) * dx, dy)
+    crossed = F.sum((((c("y0") <= c("_y")) != (c("y1") <= c("_y"))) & (c("_x") < across)).cast("int"))
+    inside = at.groupBy(key, *held, "lo", "hi").agg(F.coalesce(crossed, F.lit(0)).alias("n"), F.first(F.sqrt(c("_dx") * c("_dx") + c("_dy") * c("_dy"))).alias("len")).where("n % 2 = 1")
+    # of a constant layer what earlier parts cover counts no more
+    before = F.max("hi").over(W.partitionBy(key, "layer", "factor", "constant").orderBy("lo", "hi").rowsBetween(W.unboundedPreceding, -1))
+    new = F.when(c("constant"), F.greatest(c("hi") - F.greatest("lo", F.coalesce(before, F.lit(0.0))), F.lit(0.0))).otherwise(c("hi") - c("lo"))
+    part = inside.withColumn("part", c("len") * new)
+    return part.groupBy(key, "layer").agg(F.sum("part").alias("length"), F.sum(c("part") * c("factor")).alias("penalty"))
 
 
 def dissolve_polygons(polygons: DataFrame, tile: float, within: str | None = None) -> tuple[DataFrame, DataFrame]:

@@ -97,7 +97,7 @@ _TS = "CASE WHEN (bx - ax) * (s.y1 - s.y0) <> (by_ - ay) * (s.x1 - s.x0) THEN ((
 
 @query(
     "geoj7_true_polygons",
-    f"""WITH s AS (SELECT s.*, layer, factor, constant FROM ({_OWN}) s JOIN (SELECT DISTINCT code, layer, factor, constant FROM {{vertices}}) USING (code)), b AS (SELECT code, min(x0) AS bx0, max(x0) AS bx1, min(y0) AS by0, max(y0) AS by1 FROM s GROUP BY code),
+    f"""WITH s AS (SELECT s.*, layer, factor, constant FROM ({_GRID}) s JOIN (SELECT DISTINCT code, layer, factor, constant FROM {{grid_vertices}}) USING (code)), b AS (SELECT code, min(x0) AS bx0, max(x0) AS bx1, min(y0) AS by0, max(y0) AS by1 FROM s GROUP BY code),
     l AS (SELECT segment_id, x0 AS ax, y0 AS ay, x1 AS bx, y1 AS by_ FROM {{segments}}),
     m AS (SELECT l.*, code FROM l, b WHERE least(ax, bx) <= bx1 AND greatest(ax, bx) >= bx0 AND least(ay, by_) <= by1 AND greatest(ay, by_) >= by0),
     ts AS (SELECT DISTINCT segment_id, code, t FROM (SELECT segment_id, code, unnest([0.0, 1.0]) AS t FROM m UNION ALL SELECT segment_id, m.code, {_TS} AS t FROM m JOIN s USING (code)) WHERE t BETWEEN 0 AND 1),
@@ -105,11 +105,11 @@ _TS = "CASE WHEN (bx - ax) * (s.y1 - s.y0) <> (by_ - ay) * (s.x1 - s.x0) THEN ((
     h AS (SELECT segment_id, code, lo, hi, any_value(bx - ax) AS dx, any_value(by_ - ay) AS dy FROM (SELECT c.*, ax, ay, bx, by_, ax + (lo + hi) / 2 * (bx - ax) AS qx, ay + (lo + hi) / 2 * (by_ - ay) AS qy FROM c JOIN m USING (segment_id, code) WHERE hi - lo > 1e-12) JOIN s USING (code) GROUP BY segment_id, code, lo, hi, qx, qy HAVING {_ODD}),
     k AS (SELECT segment_id, layer, factor, lo, hi, sqrt(dx * dx + dy * dy) AS len, constant, max(hi) OVER (PARTITION BY segment_id, layer ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM h JOIN (SELECT DISTINCT code, layer, factor, constant FROM s) USING (code)),
     g AS (SELECT segment_id, layer, factor, len * CASE WHEN constant THEN greatest(hi - greatest(lo, coalesce(before, 0)), 0) ELSE hi - lo END AS part FROM k)
-    SELECT segment_id, layer, round(sum(part), 5) AS length, round(sum(part * factor), 5) AS penalty FROM g GROUP BY segment_id, layer HAVING sum(part) > 1e-9""".replace("PX", "qx").replace("PY", "qy"),
+    SELECT segment_id, layer, round(sum(part), 8) AS length, round(sum(part * factor), 8) AS penalty FROM g GROUP BY segment_id, layer HAVING sum(part) > 1e-9""".replace("PX", "qx").replace("PY", "qy"),
 )
 def _(t: Tables) -> DataFrame:
-    out = G.line_in_polygons(t("segments"), G.layer(t("vertices"), "layer", "factor", "constant"), 10.0, "segment_id").where("length > 1e-9")
-    return out.select("segment_id", "layer", F.round("length", 5).alias("length"), F.round("penalty", 5).alias("penalty"))
+    out = G.line_in_polygons(t("segments"), G.layer(t("grid_vertices"), "layer", "factor", "constant"), 4.0, "segment_id").where("length > 1e-9")
+    return out.select("segment_id", "layer", F.round("length", 8).alias("length"), F.round("penalty", 8).alias("penalty"))
 
 
 # --- unions and clips: areas of polygon pairs a, b (code, x0 … y1 and a column grp that both share) in SQL

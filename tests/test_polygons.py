@@ -92,3 +92,27 @@ def test_points_on_slanted_borders_as_the_formula_says(spark, tile):
             points.append((len(points), -145 + round((x0 + (x1 - x0) * k / 1600 + 145) * 100) / 1e2, 41 + round((y0 + (y1 - y0) * k / 1600 - 41) * 100) / 1e2))
     held = G.points_in_polygons(spark.createDataFrame(points, "point_id int, x double, y double"), G.layer(layer(spark, {"a": [[ring]]})), tile)
     assert {r.point_id for r in held.collect()} == {i for i, x, y in points if odd([ring], x, y)}
+
+
+def test_lines_along_slanted_borders_as_the_formula_says(spark):
+    ring = [(-145.0, 41.0), (-129.0, 42.0), (-133.0, 45.0), (-130.0, 48.0), (-138.0, 46.0), (-144.0, 48.0), (-141.0, 44.5)]
+    side = list(zip(ring, ring[1:] + ring[:1], strict=True))
+    lines = []
+    for (x0, y0), dx, dy in (((-133.0, 45.0), 2, 2), ((-129.0, 42.0), -2.0, 1.5), ((-130.0, 48.0), -4, -1), ((-138.0, 46.0), -3, 1)):
+        for k in range(60):
+            x, y = -145 + round((x0 + dx * k / 100 + 145) * 100) / 1e2, 41 + round((y0 + dy * k / 100 - 41) * 100) / 1e2
+            lines.append((len(lines), x, y, x + dx, y + dy))
+    want = {}
+    for i, ax, ay, bx, by in lines:
+        ts = {0.0, 1.0}
+        for (x0, y0), (x1, y1) in side:
+            if (bx - ax) * (y1 - y0) != (by - ay) * (x1 - x0):
+                ts.add(((x1 - x0) * (y0 - ay) - (y1 - y0) * (x0 - ax)) / ((x1 - x0) * (by - ay) - (bx - ax) * (y1 - y0)))
+        ts = sorted(t for t in ts if 0 <= t <= 1)
+        part = sum(hi - lo for lo, hi in zip(ts, ts[1:], strict=False) if hi - lo > 1e-12 and odd([ring], ax + (lo + hi) / 2 * (bx - ax), ay + (lo + hi) / 2 * (by - ay)))
+        want[i] = ((bx - ax) ** 2 + (by - ay) ** 2) ** 0.5 * part
+    of = G.layer(layer(spark, {"a": [[ring]]}))
+    for constant in (True, False):
+        found = G.line_in_polygons(spark.createDataFrame(lines, "edge_id int, x0 double, y0 double, x1 double, y1 double"), of.select("*", F.lit("l").alias("layer"), F.lit(1.0).alias("factor"), F.lit(constant).alias("constant")), 4.0)
+        found = {r.edge_id: r.length for r in found.collect()}
+        assert [i for i in want if abs(found.get(i, 0.0) - want[i]) > 1e-9] == []
