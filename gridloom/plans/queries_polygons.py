@@ -13,7 +13,7 @@ from gridloom.plans.catalog import query
 from gridloom.session import materialize
 
 # a concave border with a hole, a second part and one of no area; points repeat, and every other polygon turns the other way; they lie off the points' grid, so that
-# nothing lies on a border, where either side is right
+# nothing lies on a border
 _SHAPE = (
     [(0, 0, x, y) for x, y in ((0, 0), (16, 1), (16, 1), (12, 4), (15, 7), (7, 5), (1, 7), (4, 3.5), (0, 0))]
     + [(0, 1, x, y) for x, y in ((5, 2), (8, 2.25), (7.5, 4), (5.25, 3.5))]
