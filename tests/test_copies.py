@@ -88,3 +88,24 @@ def test_union_of_copied_boxes(spark):
     rows += [("t", "a", 0.0, 0.0, 1.0, 0.0), ("t", "a", 1.0, 0.0, 0.0, 1.0), ("t", "a", 0.0, 1.0, 0.0, 0.0)]
     out = G.outer_boxes(spark.createDataFrame(rows, "code string, source string, x0 double, y0 double, x1 double, y1 double"), ["source"])
     assert {(r.x0, r.y0, r.x1, r.y1) for r in out.collect()} >= {(2.0, 0.0, 7.0, 0.0), (1.0, 0.0, 0.0, 1.0)} and out.count() == 15
+
+
+def test_customers_meet_orders_not_line_items(spark, sf_dir, monkeypatch):
+    from gridloom.plans import adapters
+    from gridloom.plans.adapters import Tables, columns
+
+    written, plain = [], adapters.materialize
+    monkeypatch.setattr(adapters, "materialize", lambda df, name: written.append(df) or plain(df, name))
+    Tables(spark, sf_dir, columns("SELECT * FROM {net_capacity}"))("net_capacity")
+    node, depth = written[0]._jdf.queryExecution().optimizedPlan(), []
+    # every join with the tables below it
+    todo = [node]
+    while todo:
+        at = todo.pop()
+        kids = at.children()
+        todo += [kids.apply(k) for k in range(kids.size())]
+        if at.nodeName() == "Join":
+            leaves = at.collectLeaves()
+            depth.append({leaves.apply(k).toString().split("[", 1)[1].split("_", 1)[0] for k in range(leaves.size())})
+    assert {"o", "c"} in depth and {"l", "s", "p"} in depth and max(map(len, depth)) == 5
+    assert not any({"l", "o"} <= d and len(d) < 5 for d in depth)  # line items went on to customers, suppliers and parts after their orders before
