@@ -3,15 +3,16 @@ r"""Near-duplicate lines by an exact set-similarity join, with DataFrame functio
 A line is the set of its words (lower case, split at \x20 and \x09-\x0D). Lines equal but for case and outer space are one class, named by two hashes of the line (96 bits);
 classes are joined where the Jaccard similarity of their words is at least the threshold:
 
+- texts are split once, into a table of lines with the 64-bit hashes of their distinct words; all later passes read the columns of it that they need;
 - words are ordered by rarity. Occurrences are counted in 2**20 buckets of the word's hash, so what is sent to all tasks has a fixed size; a bucket's magnitude ranks
   its words and the hash breaks ties. Any total order keeps the join exact, a good one keeps it short;
-- a set of n words posts its first n - ceil(t n) + 1 ones: two similar sets share one of these. Words are looked up line by line, and only the posted ones are shuffled;
+- a set of n words posts its first n - ceil(t n) + 1 ones: two similar sets share one of these;
 - near copies of one line are many, so hubs go first: of the classes that post one word and have one size the earliest is compared with the others, and those similar to it
   are decided. Only classes that are still open ask for all earlier partners, so a group of copies makes few pairs, not all;
-- the postings' join tests lengths, positions (the first word that both hold leaves enough words after it on both sides), and the parity signatures of the two sets (each
-  word in one set only changes one bit, so signatures of similar sets differ in few bits), so what comes out is nearly only true pairs;
-- each later line is compared, word for word, with the earliest of its partners; those that fail there with all others they have. Texts of lines that no pair names stay
-  where they are. Texts are split into a compressed table of lines once; the other passes read the columns of it that they need.
+- the postings are dealt once and joined with themselves. The join tests lengths, positions (the first word that both hold leaves enough words after it on both sides), and the
+  parity signatures of the two sets (each word in one set only changes one bit, so signatures of similar sets differ in few bits; 64 bits tell little of sets of over a hundred
+  words, so these have 256), so what comes out is nearly only true pairs for lines of up to some 400 words;
+- each later line is compared, word for word, with the likeliest of its partners; those that fail there with all others they have.
 
 A line goes if an earlier one (by doc_id, text, line number) is similar, whether or not that one stays. Lines without words stay. Null texts have no lines; an empty one
 has one. Rows with equal id and text count once and share their result; an empty table gives none; a very long line is one set like any other. Extra columns are dropped.
@@ -21,9 +22,9 @@ Classes, not lines, are joined: repeats cost nothing.
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridloom.session import drop_folder, materialize, new_folder
@@ -33,16 +34,13 @@ THRESHOLD = 0.8
 RARITY_BUCKETS, WANTED_BITS = 1 << 20, 1 << 22
 #: From this many classes on that post one word and have one size, the earliest is compared with the others first.
 HUB_MEMBERS, HUB_WORDS = 4, 2
+#: Sets of more words have a signature of WIDE times 64 bits too.
+SHORT, WIDE = 96, 4
 PLACE = ("doc_id", "row", "line_no")
 CLASS = ("id", "id2")
 GAP, SPACES = r"[\x20\x09-\x0D]+", "\x20\x09\x0a\x0b\x0c\x0d"
 
 
-def text_key() -> list[Column]:
-    """A text's key without nulls."""
-    return [F.col("doc_id").isNull().alias("none"), F.coalesce(F.col("doc_id"), F.lit(0)).cast("long").alias("doc"), F.col("row")]
-
-
 def norm(line: Column) -> Column:
     return F.btrim(F.lower(line), F.lit(SPACES))
 
@@ -54,9 +52,10 @@ def word_list(normed: Column) -> Column:
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """doc_id, row (hash of the text), line_no, line, id and id2 (hashes of the line) for each line with words."""
+    """doc_id, row (hash of the text), line_no, id and id2 (hashes of the line) and words (hashes, each once) for each line with words."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), F.posexplode(F.split("text", "\n")).alias("line_no", "raw"))
-    return rows.select("doc_id", "row", "line_no", norm(F.col("raw")).alias("line")).where("line <> ''").select("*", F.xxhash64("line").alias("id"), F.hash("line").alias("id2"))
+    rows = rows.where(F.btrim("raw", F.lit(SPACES)) != "").select("doc_id", "row", "line_no", norm(F.col("raw")).alias("line"))
+    return rows.select(*PLACE, F.xxhash64("line").alias("id"), F.hash("line").alias("id2"), F.array_distinct(F.transform(word_list(F.col("line")), lambda w: F.xxhash64(w))).alias("words"))
 
 
 def packed_row(spark: SparkSession, sparse: DataFrame, n: int, kind: str, step: int = 4096) -> DataFrame:
@@ -68,9 +67,9 @@ def packed_row(spark: SparkSession, sparse: DataFrame, n: int, kind: str, step:
 
 
 def rarity(lines: DataFrame) -> DataFrame:
-    """One row: an array with, for each bucket of words, twice the binary logarithm of its occurrences in all texts."""
-    words = lines.select(F.explode(word_list(F.col("line"))).alias("w"))
-    counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(RARITY_BUCKETS - 1)).cast("int").alias("at")).agg(F.count("*").alias("n"))
+    """One row: an array with, for each bucket of words, twice the binary logarithm of the number of lines that hold one."""
+    words = lines.select(F.explode("words").alias("w"))
+    counts = words.groupBy(F.col("w").bitwiseAND(F.lit(RARITY_BUCKETS - 1)).cast("int").alias("at")).agg(F.count("*").alias("n"))
     return packed_row(lines.sparkSession, counts.select("at", F.floor(2 * F.log2(F.col("n") + 1)).cast("byte").alias("value")), RARITY_BUCKETS, "byte")
 
 
@@ -83,102 +82,128 @@ def with_row(df: DataFrame, row: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def ordered_words(line: Column, ranks: Column) -> Column:
-    """Distinct words as longs that sort by rarity: the rank in the top byte, 56 bits of the hash below."""
-    hashes = F.array_distinct(F.transform(word_list(line), lambda w: F.xxhash64(w)))
-    own = lambda h: F.shiftleft(F.get(ranks, h.bitwiseAND(F.lit(RARITY_BUCKETS - 1)).cast("int")).cast("long"), 56).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1)))
-    return F.sort_array(F.transform(hashes, own))
+def ordered_words(hashes: Column, ranks: Column) -> Column:
+    """Words as longs that sort by rarity: the rank in the top byte, 56 bits of the hash below."""
+    rank = lambda h: F.coalesce(F.get(ranks, h.bitwiseAND(F.lit(RARITY_BUCKETS - 1)).cast("int")), F.lit(0).cast("byte"))  # noqa: E731  without nulls longs are sorted as such
+    return F.sort_array(F.transform(hashes, lambda h: F.shiftleft(rank(h).cast("long"), 56).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1)))))
 
 
-def signature(words: Column, shift: int) -> Column:
-    return F.aggregate(words, F.lit(0).cast("long"), lambda s, w: s.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(w, shift).bitwiseAND(F.lit(63)).cast("int"))))
+def signature(words: Column) -> Column:
+    """64 parities: bit k tells whether the set holds an odd number of words of kind k."""
+    return F.aggregate(words, F.lit(0).cast("long"), lambda s, w: s.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), w.bitwiseAND(F.lit(63)).cast("int"))))
 
 
-def overlap_needed(n: Column, m: Column, t: float) -> Column:
-    return F.ceil(F.lit(t / (1 + t)) * (n + m) - 1e-9)
+def wide_signature(words: Column, n: Column) -> Column:
+    """Of a set of more than SHORT words WIDE times 64 parities, else null."""
+    part = lambda k: F.filter(words, lambda w: F.shiftright(w, 6).bitwiseAND(F.lit(WIDE - 1)) == k)
+    return F.when(n > SHORT, F.array(*(signature(part(k)) for k in range(WIDE))))
 
 
-def text_bases(lines: DataFrame) -> DataFrame:
-    """Of each text (none: doc_id is null; id: doc_id or 0; row) a base: bases plus line numbers order all lines as (doc_id, row, line number) does. A running sum by ranges: within a range by a window, over the ranges' few totals by another."""
-    texts = lines.groupBy("doc_id", "row").agg((F.max("line_no").cast("long") + 1).alias("n"))
-    dealt = materialize(texts.repartitionByRange("doc_id", "row").select("*", F.spark_partition_id().alias("part")), "texts")
-    before = dealt.groupBy("part").agg(F.sum("n").alias("total")).select("part", (F.sum("total").over(W.partitionBy(F.lit(0)).orderBy("part")) - F.col("total")).alias("before"))
-    own = F.sum("n").over(W.partitionBy("part").orderBy("doc_id", "row")) - F.col("n")
-    bases = materialize(dealt.select(*text_key(), own.alias("own"), "part").join(before, "part").select("none", "doc", "row", (F.col("own") + F.col("before")).alias("base")), "bases")
-    drop_folder(dealt)
-    return bases
+def overlap_needed(n: Column, m: Column, t: float) -> Column:
+    return F.ceil(F.lit(t / (1 + t)) * (n + m) - 1e-9)
 
 
 def posted_sets(lines: DataFrame, ranks: DataFrame, t: float) -> DataFrame:
-    """id, id2, first (place), times, n (words), s (signature), p (31 bits of each posted word) and ord of each class: a number that grows with its first place."""
+    """id, id2, first (place), times, n (words), s and wide (signatures), p (31 bits of each posted word) of each class."""
     # named first, as lambdas take a column but no subquery
-    sets = with_row(lines, ranks, "ranks").select(*CLASS, *PLACE, ordered_words(F.col("line"), F.col("ranks")).alias("words"))
-    n = F.size("words")
-    prefix = F.slice("words", F.lit(1), n - F.ceil(F.lit(t) * n - 1e-9).cast("int") + 1)
+    sets = with_row(lines, ranks, "ranks").select(*CLASS, *PLACE, F.size("words").alias("n"), ordered_words(F.col("words"), F.col("ranks")).alias("ordered"), "words")
+    n = F.col("n")
+    prefix = F.slice("ordered", F.lit(1), n - F.ceil(F.lit(t) * n - 1e-9).cast("int") + 1)
     # 31 bits of a word are enough to meet: what meets by chance fails the tests
     short = F.transform(prefix, lambda w: w.bitwiseAND(F.lit(2**31 - 1)).cast("int"))
-    sets = sets.select(*CLASS, F.struct(*PLACE).alias("place"), n.alias("n"), signature(F.col("words"), 13).cast("long").alias("s"), short.alias("p"))
-    sets = sets.groupBy(*CLASS).agg(F.min("place").alias("first"), F.count("*").alias("times"), *(F.first(c).alias(c) for c in ("n", "s", "p"))).select("*", *(F.col(f"first.{c}").alias(c) for c in PLACE))
-    at = sets.select(*CLASS, "times", "n", "s", "p", "line_no", *text_key()).join(text_bases(lines), ["none", "doc", "row"])
-    place = F.struct(F.when(~F.col("none"), F.col("doc")).alias("doc_id"), "row", "line_no")
-    return at.select((F.col("base") + F.col("line_no")).alias("ord"), *CLASS, place.alias("first"), "times", "n", "s", "p")
+    own = sets.select(*CLASS, F.struct(*PLACE).alias("place"), "n", "words", wide_signature(F.col("words"), n).alias("wide"), short.alias("p"))
+    folded = reduce(lambda x, y: x.bitwiseXOR(y), (F.get("wide", F.lit(k)) for k in range(WIDE)))  # the parts share no word
+    own = own.select(*CLASS, "place", "n", F.coalesce(folded, signature(F.col("words"))).alias("s"), "wide", "p")
+    return own.groupBy(*CLASS).agg(F.min("place").alias("first"), F.count("*").alias("times"), *(F.first(c).alias(c) for c in ("n", "s", "wide", "p")))
+
+
+def postings(sets: DataFrame) -> DataFrame:
+    """w (posted word), doc (of the first place), id, meta (n, i: the word's position, open: one number), s and wide for each posted word."""
+    is_open = F.col("open") if "open" in sets.columns else F.lit(True)
+    doc = F.coalesce("first.doc_id", F.lit(-(1 << 63)).cast("long"))
+    posts = sets.select(doc.alias("doc"), "id", "n", is_open.cast("long").alias("open"), "s", "wide", F.posexplode("p").alias("i", "w"))
+    return posts.select("w", "doc", "id", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.shiftleft(F.col("i").cast("long"), 1)).bitwiseOR(F.col("open")).alias("meta"), "s", "wide")
+
+
+def of_meta(meta: str) -> tuple[Column, Column, Column]:
+    """n, i and open of a posting."""
+    m = F.col(meta)
+    return F.shiftright(m, 32), F.shiftright(m, 1).bitwiseAND(F.lit((1 << 31) - 1)), m.bitwiseAND(F.lit(1)) == 1
 
 
 def unlike_words(a: str, b: str) -> Column:
     """The words in which two sets differ at least, by their signatures."""
-    return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
+    bits = lambda x, y: F.bit_count(x.bitwiseXOR(y))
+    a_wide, b_wide = F.col(f"{a}wide"), F.col(f"{b}wide")
+    wide = reduce(lambda x, y: x + y, (bits(F.get(a_wide, F.lit(k)), F.get(b_wide, F.lit(k))) for k in range(WIDE)))
+    return F.coalesce(wide, bits(F.col(f"{a}s"), F.col(f"{b}s")))
 
 
-def hub_pairs(posts: DataFrame, t: float) -> DataFrame:
-    """y, x (ord): for each class the earliest of the hubs that it may be similar to. A hub is the earliest class of those that hold one word among their HUB_WORDS rarest and have one size, where these are at least HUB_MEMBERS."""
-    hubs = posts.where(F.col("i") < HUB_WORDS).groupBy("w", "n").agg(F.min("ord").alias("x"), F.min_by("s", "ord").alias("x_s"), F.count("*").alias("members"))
-    # a table of its own: Spark sees its size before it decides how to join
-    hubs = materialize(hubs.where(F.col("members") >= HUB_MEMBERS).drop("members"), "hubs")
-    near = unlike_words("s", "x_s") <= 2 * F.col("n") - 2 * overlap_needed(F.col("n"), F.col("n"), t)
-    return posts.join(hubs, ["w", "n"]).where((F.col("ord") > F.col("x")) & near).groupBy(F.col("ord").alias("y")).agg(F.min("x").alias("x"))
+def earlier(a: str, b: str) -> Column:
+    """Whether class a may come before class b: documents tell, except within one."""
+    return (F.col(f"{a}doc") <= F.col(f"{b}doc")) & (F.col(f"{a}id") != F.col(f"{b}id"))
 
 
-def open_pairs(posts: DataFrame, known: DataFrame, t: float) -> DataFrame:
-    """y, x (ord): each class whose fate is not known (ord y) with all earlier ones that may be similar to it."""
-    asked = posts.join(known.select(F.col("y").alias("ord")), "ord", "left_anti")
-    a, b = (df.select("w", *(F.col(c).alias(f"{side}_{c}") for c in ("ord", "n", "i", "s"))) for side, df in (("a", posts), ("b", asked)))
-    need = overlap_needed(F.col("a_n"), F.col("b_n"), t)
+def hub_pairs(sets: DataFrame, t: float) -> DataFrame:
+    """y, x (id): for each class the earliest of the hubs that it may be similar to. A hub is the earliest class of those that hold one word among their HUB_WORDS rarest and have one size, where these are at least HUB_MEMBERS."""
+    posts = postings(sets).drop("wide")
+    n, i, _ = of_meta("meta")
+    hubs = posts.where(i < HUB_WORDS).groupBy("w", n.alias("x_n")).agg(F.min("doc").alias("x_doc"), *(F.min_by(c, "doc").alias(f"x_{c}") for c in ("id", "s")), F.count("*").alias("members"))
+    # a table of its own: Spark sees its size before it decides how to join
+    hubs = materialize(hubs.where(F.col("members") >= HUB_MEMBERS).drop("members").withColumnRenamed("w", "x_w"), "hubs")
+    asked = wanted(posts, hubs.select("x_w"), "w", "x_w")
+    near = F.bit_count(F.col("s").bitwiseXOR(F.col("x_s"))) <= 2 * n - 2 * overlap_needed(n, n, t)
+    met = asked.join(hubs, (F.col("w") == F.col("x_w")) & (n == F.col("x_n")) & earlier("x_", "") & near)
+    return met.groupBy(F.col("id").alias("y")).agg(F.min_by("x_id", "x_doc").alias("x"))
+
+
+def open_pairs(sets: DataFrame, late: DataFrame, t: float) -> DataFrame:
+    """y, x (id), unlike (words that differ at least): each class whose fate is not known with all earlier ones that may be similar to it."""
+    told = sets.join(late.withColumn("known", F.lit(True)), list(CLASS), "left").withColumn("open", F.col("known").isNull())
+    posts = postings(told)
+    # both sides have all columns and no test of their own, so that the postings are dealt once
+    a, b = posts.alias("a"), posts.alias("b")
+    (a_n, a_i, _), (b_n, b_i, b_open) = of_meta("a.meta"), of_meta("b.meta")
+    need = overlap_needed(a_n, b_n, t)
     # a pair's first common word has all others after it
-    left = F.least(F.col("a_n") - F.col("a_i"), F.col("b_n") - F.col("b_i")) >= need
-    sizes = (F.col("a_n") >= F.lit(t) * F.col("b_n") - 1e-9) & (F.col("b_n") >= F.lit(t) * F.col("a_n") - 1e-9)
-    fit = (F.col("a_ord") < F.col("b_ord")) & left & sizes & (unlike_words("a_s", "b_s") <= F.col("a_n") + F.col("b_n") - 2 * need)
-    return a.join(b.hint("shuffle_merge"), (a["w"] == b["w"]) & fit).select(F.col("b_ord").alias("y"), F.col("a_ord").alias("x")).distinct()
-
-
-def wanted(df: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of df whose id has its bit in a filter of fixed size made of ids; a few others pass."""
-    at = F.col("id").bitwiseAND(F.lit(WANTED_BITS - 1))
-    bits = ids.groupBy(F.shiftright(at, 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(id & 63 AS INT))")).alias("value"))
-    bit = F.get("wanted", F.shiftright(at, 6).cast("int")).bitwiseAND(F.expr("shiftleft(1L, CAST(id & 63 AS INT))"))
+    left = F.least(a_n - a_i, b_n - b_i) >= need
+    sizes = (a_n >= F.lit(t) * b_n - 1e-9) & (b_n >= F.lit(t) * a_n - 1e-9)
+    asks = F.col("a.doc") <= F.when(b_open, F.col("b.doc"))
+    fit = asks & (F.col("a.id") != F.col("b.id")) & sizes & left & (unlike_words("a.", "b.") <= a_n + b_n - 2 * need)
+    met = a.join(b.hint("shuffle_merge"), (F.col("a.w") == F.col("b.w")) & fit)
+    return met.select(F.col("b.id").alias("y"), F.col("a.id").alias("x"), (unlike_words("a.", "b.") / (a_n + b_n)).alias("unlike")).distinct()
+
+
+def wanted(df: DataFrame, ids: DataFrame, key: str = "id", of: str = "id") -> DataFrame:
+    """Rows of df whose key has its bit in a filter of fixed size made of ids; a few others pass."""
+    at = lambda c: F.col(c).cast("long").bitwiseAND(F.lit(WANTED_BITS - 1))
+    one = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), F.col(c).bitwiseAND(F.lit(63)).cast("int"))
+    bits = ids.groupBy(F.shiftright(at(of), 6).alias("at")).agg(F.bit_or(one(of)).alias("value"))
+    bit = F.get("wanted", F.shiftright(at(key), 6).cast("int")).bitwiseAND(one(key))
     return with_row(df, packed_row(df.sparkSession, bits, WANTED_BITS >> 6, "long", 1024), "wanted").where(bit != 0).drop("wanted")
 
 
 def similar(pairs: DataFrame, sets: DataFrame, lines: DataFrame, t: float) -> DataFrame:
-    """Of the pairs (y, x: ord) the distinct y of those whose words have a Jaccard similarity of at least t."""
-    ends = pairs.select(F.explode(F.array("x", "y")).alias("ord")).distinct()
-    named = materialize(sets.select("ord", *CLASS).join(ends, "ord", "left_semi"), "named")  # its size is seen before the joins are chosen
-    texts = wanted(lines.select(*CLASS, "line"), named.select("id")).groupBy(*CLASS).agg(F.first("line").alias("line")).join(named, list(CLASS))
-    x, y = (texts.select(F.col("ord").alias(s), F.array_distinct(word_list(F.col("line"))).alias(f"{s}_words")) for s in "xy")
+    """Of the pairs (y, x: id) the distinct y (id, id2) of those where x is earlier and whose words have a Jaccard similarity of at least t."""
+    ends = pairs.select(F.col("x").alias("id")).distinct().unionByName(pairs.select(F.col("y").alias("id")).distinct())
+    named = materialize(sets.select(*CLASS, "first").join(ends, "id", "left_semi"), "named")  # its size is seen before the joins are chosen
+    own = wanted(lines, named.select("id")).join(named, list(CLASS)).where(F.col("first").eqNullSafe(F.struct(*PLACE))).select(*CLASS, "first", "words").dropDuplicates(list(CLASS))
+    x = own.select(F.col("id").alias("x"), F.col("first").alias("x_first"), F.col("words").alias("x_words"))
+    y = own.select(F.col("id").alias("y"), "id2", F.col("first").alias("y_first"), F.col("words").alias("y_words"))
     good = F.size(F.array_intersect("x_words", "y_words")) >= overlap_needed(F.size("x_words"), F.size("y_words"), t)
-    return pairs.join(x, "x").join(y, "y").where(good).select("y").distinct()
+    return pairs.join(x, "x").join(y, "y").where((F.col("x_first") < F.col("y_first")) & good).select(F.col("y").alias("id"), "id2").distinct()
 
 
 def late_classes(sets: DataFrame, lines: DataFrame, t: float) -> DataFrame:
-    """ord of the classes that have an earlier similar one."""
-    posts = sets.select("ord", "n", "s", F.posexplode("p").alias("i", "w"))
-    hubs = materialize(hub_pairs(posts, t), "asked")
+    """id, id2 of the classes that have an earlier similar one."""
+    hubs = materialize(hub_pairs(sets, t), "asked")
     late = materialize(similar(hubs, sets, lines, t), "late")
-    ways = materialize(open_pairs(posts, late, t), "ways")
-    best = ways.groupBy("y").agg(F.min("x").alias("x"))
+    ways = materialize(open_pairs(sets, late, t), "ways")
+    best = ways.groupBy("y").agg(F.min_by("x", F.struct("unlike", "x")).alias("x"))
     more = materialize(similar(best, sets, lines, t), "late")
-    others = ways.join(more, "y", "left_anti").join(best, ["y", "x"], "left_anti")
+    others = ways.select("y", "x").join(more.select(F.col("id").alias("y")), "y", "left_anti").join(best, ["y", "x"], "left_anti")
     last = materialize(similar(others, sets, lines, t), "late")
-    out = materialize(late.unionByName(more).unionByName(last).select(F.col("y").alias("ord")), "late")
+    out = materialize(late.unionByName(more).unionByName(last).distinct(), "late")
     for done in (hubs, late, ways, more, last):
         drop_folder(done)
     return out
@@ -187,11 +212,11 @@ def late_classes(sets: DataFrame, lines: DataFrame, t: float) -> DataFrame:
 def repeated_lines(docs: DataFrame, t: float = THRESHOLD) -> DataFrame:
     """doc_id, n_lines, removed (numbers of the lines to remove, from 0, ascending) of each row."""
     path = new_folder(docs.sparkSession, "lines")
-    lines_of(docs).write.option("compression", "zstd").parquet(path)
+    lines_of(docs).write.option("compression", "zstd").option("parquet.dictionary.page.size", 16 << 20).parquet(path)
     lines = docs.sparkSession.read.parquet(path)
     sets = materialize(posted_sets(lines, rarity(lines), t), "sets")
     late = late_classes(sets, lines, t)
-    flagged = sets.select("ord", *CLASS, "first", "times").join(late.withColumn("late", F.lit(True)), "ord", "left").where("late OR times > 1")
+    flagged = sets.select(*CLASS, "first", "times").join(late.withColumn("late", F.lit(True)), list(CLASS), "left").where("late OR times > 1")
     flagged = materialize(flagged.select(*CLASS, F.coalesce("late", F.lit(False)).alias("late"), "first"), "flagged")
     for done in (sets, late):
         drop_folder(done)

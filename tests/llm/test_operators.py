@@ -430,6 +430,24 @@ def test_very_long_line(spark):
     assert found == {1: [], 2: [1], 3: [0], 4: []}
 
 
+def test_long_unlike_lines_make_few_pairs(spark, monkeypatch):
+    """Lines of 150 words that share many words, but are not similar: signatures of 64 bits let about half of their pairs through."""
+    rng, words = random.Random(11), vocabulary(12, 600)
+    rows = [(k, " ".join(rng.sample(words, 150))) for k in range(60)]
+    rows += [(100, " ".join(reversed(rows[7][1].split(" "))) + " more")]
+    made, write = {}, lines.materialize
+
+    def counted(df, name):
+        out = write(df, name)
+        made.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(lines, "materialize", counted)
+    found = {r.doc_id: list(r.removed) for r in lines.repeated_lines(frame(spark, rows)).collect()}
+    assert found == {k: [0] if k == 100 else [] for k, _ in rows}
+    assert sum(made["ways"]) <= 60
+
+
 def test_lines_stay_native(docs):
     plan = lines.digest(lines.repeated_lines(docs))._jdf.queryExecution().toString() + pii.digest(pii.find_pii(docs))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|ArrowEval|MapInArrow", plan)
